@@ -72,13 +72,17 @@ def utf8_bytes(text: Column) -> Column:
     return F.octet_length(text).cast("bigint")
 
 
-def is_strict_json(text: Column) -> Column:
-    """Whether the text is exactly one JSON value.
+def strict_variant(text: Column) -> Column:
+    """The VARIANT of a text that is exactly one JSON value, NULL for any other text.
 
-    The parser stops after the first value and ignores what follows, so the text is also
-    parsed as the only element of an array and as the only member of an object: no text with
-    a trailing remainder passes both.
+    The parser stops after the first value and ignores what follows, so the text is parsed
+    as the only element of an array and as the only member of an object: no text with a
+    trailing remainder passes both.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    return in_array & in_object
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(in_object.isNotNull(), F.variant_get(in_array, "$[0]", "variant"))
+
+
+def is_strict_json(text: Column) -> Column:
+    return strict_variant(text).isNotNull()

@@ -108,16 +108,17 @@ def _ipv4_part(part: Column) -> Column:
     )
 
 
-def ipv4_value(host: Column) -> Column:
-    """Address of a host in any of the forms URL parsers accept (``127.1``, ``0x7f000001``, …)."""
-    parts = F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), _ipv4_part)
-    count = F.size(parts)
-    last = F.element_at(parts, -1)
-    leading = F.slice(parts, 1, F.greatest(count - 1, F.lit(0)))
+def _ipv4_parts(host: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), _ipv4_part)
+
+
+def ipv4_value(parts: Column) -> Column:
+    """32-bit address of up to four number parts, the last of which fills the remaining bytes."""
+    leading = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     high = F.aggregate(leading, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p)
-    room = F.pow(F.lit(256.0), (5 - count).cast("double")).cast("bigint")
-    fits = F.forall(parts, lambda p: p.isNotNull()) & F.forall(leading, lambda p: p <= 255) & (last < room)
-    return F.when(count <= 4, F.when(fits, high * room + last))
+    room = F.pow(F.lit(256.0), (5 - F.size(parts)).cast("double")).cast("bigint")
+    fits = F.forall(parts, lambda p: p.isNotNull()) & F.forall(leading, lambda p: p <= 255)
+    return F.when((F.size(parts) <= 4) & fits, F.when(F.element_at(parts, -1) < room, high * room + F.element_at(parts, -1)))
 
 
 def ipv4_text(value: Column) -> Column:
@@ -125,46 +126,74 @@ def ipv4_text(value: Column) -> Column:
     return F.concat_ws(".", *octets)
 
 
-def ipv6_bits(address: Column) -> Column:
-    """128 binary digits of an address without brackets; NULL if it is not one."""
-    tail = F.regexp_extract(address, r":((?:\d{1,3}\.){3}\d{1,3})$", 1)
-    tail_value = F.when(tail != "", ipv4_value(tail))
-    groups_of_tail = F.concat(
-        F.lower(F.hex(F.shiftright(tail_value, 16))),
-        F.lit(":"),
-        F.lower(F.hex(tail_value.bitwiseAND(F.lit(65535).cast("bigint")))),
+def _with_ipv6_bits(df: DataFrame, address: str) -> DataFrame:
+    """Add ``_bits``: 128 binary digits of an address without brackets, NULL if it is not one."""
+    text = F.col(address)
+    tail = F.regexp_extract(text, r":((?:\d{1,3}\.){3}\d{1,3})$", 1)
+    low = F.lit(65535).cast("bigint")
+    hextets = F.concat(F.lower(F.hex(F.shiftright("_tail", 16))), F.lit(":"), F.lower(F.hex(F.col("_tail").bitwiseAND(low))))
+    plain = F.when(~text.contains("."), text).when(
+        F.col("_tail").isNotNull(), F.concat(F.regexp_replace(text, "[^:]*$", ""), hextets)
     )
-    text = F.when(
-        address.contains("."),
-        F.when(tail_value.isNotNull(), F.concat(F.regexp_replace(address, r"[^:]*$", ""), groups_of_tail)),
-    ).otherwise(address)
-    halves = F.split(text, "::")
-
-    def groups(half: Column) -> Column:
-        return F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
-
-    left, right = groups(F.element_at(halves, 1)), groups(F.try_element_at(halves, F.lit(2)))
-    given = F.size(left) + F.size(right)
-    compressed = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)
-    full = F.when(F.size(halves) == 1, F.when(F.size(left) == 8, left)).when(
-        F.size(halves) == 2, F.when(given < 8, compressed)
+
+    def groups(index: int) -> Column:
+        half = F.coalesce(F.try_element_at("_halves", F.lit(index)), F.lit(""))
+        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+
+    given = F.size("_left") + F.size("_right")
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0)))
+    full = F.when((F.size("_halves") == 1) & (F.size("_left") == 8), F.col("_left")).when(
+        (F.size("_halves") == 2) & (given < 8), F.concat("_left", zeros, "_right")
     )
-    wellformed = F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(
-        wellformed, F.array_join(F.transform(full, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    bits = F.array_join(F.transform("_groups", lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    return (
+        df.withColumn("_tail", F.when(tail != "", ipv4_value(_ipv4_parts(tail))))
+        .withColumn("_halves", F.split(plain, "::"))
+        .withColumns({"_left": groups(1), "_right": groups(2)})
+        .withColumn("_groups", full)
+        .withColumn("_bits", F.when(F.forall("_groups", lambda g: g.rlike("^[0-9a-f]{1,4}$")), bits))
     )
 
 
-def _parts(url: Column) -> dict[str, Column]:
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+def _with_parts(df: DataFrame, url: Column) -> DataFrame:
+    """Split a URL. Every step is a column of its own, so that no pattern is matched twice."""
     pattern = r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*([^/\\?#]*)([^?#]*)(?:\?([^#]*))?(?:#((?s:.*)))?$"
-    return {
-        "scheme": F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)),
-        "authority": F.regexp_extract(text, pattern, 1),
-        "path": F.regexp_replace(F.regexp_extract(text, pattern, 2), r"\\", "/"),
-        "query": F.regexp_extract(text, pattern, 3),
-        "fragment": F.regexp_extract(text, pattern, 4),
-    }
+    text = F.col("_text")
+    place = F.col("_place")
+    host_pattern = r"^(\[[^\]]*\]|[^:\[]*)(?::([0-9]*))?$"
+    raw = F.col("_raw")
+    decoded = F.when(raw.contains("%"), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
+    return (
+        df.withColumn(
+            "_text", F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+        )
+        .withColumns(
+            {
+                "_scheme": F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)),
+                "_authority": F.regexp_extract(text, pattern, 1),
+                "_path": F.regexp_replace(F.regexp_extract(text, pattern, 2), r"\\", "/"),
+                "_query": F.regexp_extract(text, pattern, 3),
+                "_fragment": F.regexp_extract(text, pattern, 4),
+            }
+        )
+        .withColumns(
+            {"_place": F.regexp_replace("_authority", "^.*@", ""), "_user": F.regexp_extract("_authority", "^(.*)@", 1)}
+        )
+        .withColumns(
+            {
+                "_is_v6": F.startswith(place, F.lit("[")),
+                "_parsed": place.rlike(host_pattern),
+                "_raw": F.regexp_replace(F.regexp_extract(place, host_pattern, 1), r"^\[|\]$", ""),
+                "_port": F.regexp_replace(F.regexp_extract(place, host_pattern, 2), "^0+(?=[0-9])", ""),
+            }
+        )
+        .withColumn("_name", F.lower(F.translate(decoded, _WIDE, _PLAIN)))
+        .withColumn("_bare", F.regexp_replace("_name", r"\.$", ""))
+        .withColumn("_is_v4", ~F.col("_is_v6") & F.col("_bare").rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$"))
+        .withColumn("_v4_parts", F.when(F.col("_is_v4"), _ipv4_parts(F.col("_name"))))
+        .withColumn("_v4", ipv4_value(F.col("_v4_parts")))
+        .withColumn("_v6_text", F.when(F.col("_is_v6"), F.col("_name")))
+    )
 
 
 def screen_source_urls(df: DataFrame, url_col: str) -> DataFrame:
@@ -173,71 +202,44 @@ def screen_source_urls(df: DataFrame, url_col: str) -> DataFrame:
     ``reason`` is the first rule a URL breaks. ``normalized_url`` is given for allowed URLs,
     without query and fragment.
     """
-    steps = df.withColumn("_url", F.struct(*[part.alias(name) for name, part in _parts(column(url_col)).items()]))
-    authority = F.col("_url.authority")
-    place = F.regexp_replace(authority, "^.*@", "")
-    bracketed = F.startswith(place, F.lit("["))
-    pattern = r"^(\[[^\]]*\]|[^:\[]*)(?::([0-9]*))?$"
-    raw_host = F.regexp_replace(F.regexp_extract(place, pattern, 1), r"^\[|\]$", "")
-    decoded = F.when(raw_host.contains("%"), F.try_url_decode(F.replace(raw_host, F.lit("+"), F.lit("%2B")))).otherwise(raw_host)
-    steps = steps.withColumn(
-        "_host",
-        F.struct(
-            bracketed.alias("v6"),
-            place.rlike(pattern).alias("parsed"),
-            F.lower(F.translate(decoded, _WIDE, _PLAIN)).alias("name"),
-            F.regexp_replace(F.regexp_extract(place, pattern, 2), "^0+(?=[0-9])", "").alias("port"),
-            F.regexp_extract(authority, "^(.*)@", 1).alias("user"),
-        ),
-    )
-    name = F.col("_host.name")
-    bare = F.regexp_replace(name, r"\.$", "")
-    numeric = ~F.col("_host.v6") & bare.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$")
-    steps = steps.withColumn(
-        "_address",
-        F.struct(
-            numeric.alias("numeric"),
-            F.when(numeric, ipv4_value(name)).alias("v4"),
-            F.when(F.col("_host.v6"), ipv6_bits(name)).alias("v6"),
-        ),
-    )
-    port = F.col("_host.port")
-    scheme = F.col("_url.scheme")
+    steps = _with_ipv6_bits(_with_parts(df, column(url_col)), "_v6_text")
+    name, bare, port, scheme = (F.col(c) for c in ("_name", "_bare", "_port", "_scheme"))
     is_http = scheme.isin("http", "https")
     bad_host = (
         F.coalesce(name, F.lit("")).isin("", ".")
-        | (F.col("_address.numeric") & F.col("_address.v4").isNull())
-        | (F.col("_host.v6") & F.col("_address.v6").isNull())
-        | (~F.col("_host.v6") & name.rlike(_FORBIDDEN_IN_HOST))
+        | (F.col("_is_v4") & F.col("_v4").isNull())
+        | (F.col("_is_v6") & F.col("_bits").isNull())
+        | (~F.col("_is_v6") & name.rlike(_FORBIDDEN_IN_HOST))
     )
-    bad_port = (F.length(port) > 5) | (port.try_cast("int") > 65535)
+    bad_port = F.coalesce((F.length(port) > 5) | (port.try_cast("int") > 65535), F.lit(False))
     blocked = bare.isin(*BLOCKED_HOSTS)
     for suffix in BLOCKED_SUFFIXES:
         blocked = blocked | F.endswith(bare, F.lit(suffix))
     default_port = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
-    prohibited = F.coalesce(prohibited_ipv4(F.col("_address.v4")), prohibited_ipv6(F.col("_address.v6")), F.lit(False))
+    prohibited = F.coalesce(prohibited_ipv4(F.col("_v4")), prohibited_ipv6(F.col("_bits")), F.lit(False))
     reason = (
         F.when(column(url_col).isNull() | (scheme == ""), F.lit(INVALID))
-        .when(is_http & (~F.col("_host.parsed") | F.coalesce(bad_port, F.lit(False)) | bad_host), F.lit(INVALID))
+        .when(is_http & (~F.col("_parsed") | bad_port | bad_host), F.lit(INVALID))
         .when(~is_http, F.lit(SCHEME))
-        .when(~F.col("_host.user").isin("", ":"), F.lit(CREDENTIALS))
-        .when(F.col("_url.fragment") != "", F.lit(FRAGMENT))
+        .when(~F.col("_user").isin("", ":"), F.lit(CREDENTIALS))
+        .when(F.col("_fragment") != "", F.lit(FRAGMENT))
         .when(blocked, F.lit(HOST))
         .when((port != "") & (port != default_port), F.lit(PORT))
         .when(prohibited, F.lit(ADDRESS))
     )
     host = (
-        F.when(F.col("_host.v6"), F.concat(F.lit("["), name, F.lit("]")))
-        .when(F.col("_address.v4").isNotNull(), ipv4_text(F.col("_address.v4")))
+        F.when(F.col("_is_v6"), F.concat(F.lit("["), name, F.lit("]")))
+        .when(F.col("_v4").isNotNull(), ipv4_text(F.col("_v4")))
         .otherwise(name)
     )
-    path = F.when(F.col("_url.path") == "", F.lit("/")).otherwise(F.col("_url.path"))
-    return (
-        steps.withColumn("reason", reason)
-        .withColumn("allowed", F.col("reason").isNull())
-        .withColumn("normalized_url", F.when(F.col("allowed"), F.concat(scheme, F.lit("://"), host, path)))
-        .withColumn("query_redacted", F.coalesce(F.col("_url.query") != "", F.lit(False)))
-        .drop("_url", "_host", "_address")
+    path = F.when(F.col("_path") == "", F.lit("/")).otherwise(F.col("_path"))
+    verdict = steps.withColumn("_reason", reason)
+    return verdict.select(
+        *[column(c) for c in df.columns],
+        F.col("_reason").alias("reason"),
+        F.col("_reason").isNull().alias("allowed"),
+        F.when(F.col("_reason").isNull(), F.concat(scheme, F.lit("://"), host, path)).alias("normalized_url"),
+        F.coalesce(F.col("_query") != "", F.lit(False)).alias("query_redacted"),
     )
 
 

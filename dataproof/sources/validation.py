@@ -74,7 +74,7 @@ def _line_errors(lines: DataFrame, format: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.col("value"),
-    ).where(F.trim("value") != "")
+    ).where(F.col("value").rlike(r"\S"))
     rows = split.select("path", "start", F.monotonically_increasing_id().alias("id"), line_status(F.col("value"), format).alias("status"))
     per_split = rows.groupBy("path", "start").agg(
         F.min("id").alias("first"),
