@@ -14,9 +14,30 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 
 
+def _rounded(value: Column, digits: int) -> tuple[Column, Column]:
+    """Text with the given number of significant digits, and whether it still is the same number."""
+    text = F.format_string(f"%.{digits - 1}e", value.cast("double"))
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)e", 1), "0+$", "")
+    mantissa = F.when(F.endswith(mantissa, F.lit(".")), F.concat(mantissa, F.lit("0"))).otherwise(mantissa)
+    exponent = F.regexp_extract(text, "e([+-][0-9]+)$", 1).try_cast("int").cast("string")
+    return F.concat(mantissa, F.lit("E"), exponent), text.try_cast("double") == value
+
+
+def _shortest(value: Column) -> Column:
+    """Digits of a number, the fewest that give it back.
+
+    Java versions before 19 sometimes write one or two digits that are not needed.
+    """
+    text = value.cast("string")
+    digits = F.length(F.regexp_replace(F.regexp_replace(text, "E.*$", ""), r"^-?0*\.?0*|\.", ""))
+    sixteen, same16 = _rounded(value, 16)
+    seventeen, same17 = _rounded(value, 17)
+    return F.when(digits < 17, text).when(same16, sixteen).when((digits > 17) & same17, seventeen).otherwise(text)
+
+
 def _render_fractional(value: Column) -> Column:
     """Plain digits from 1e-4 up to 1e16, otherwise ``1.5e+16``; whole numbers keep ``.0``."""
-    text = value.cast("string")
+    text = _shortest(value)
     size = F.abs(value.cast("double"))
     # 16 whole digits and 21 decimals hold every 17-digit double of the plain range exactly.
     plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,8 @@ from dataproof.plans.two_level import aggregate_two_level, melt
 MAX_COLUMNS = 100
 TOP_K = 10
 SAMPLE_ROWS = 20
-# 2^12 registers: about 1.6 % standard error.
-DISTINCT_LOG2_REGISTERS = 12
-DISTINCT_ERROR = 1.04 / 64
+# Standard error of distinct estimates.
+DISTINCT_ERROR = 0.05
 
 STATISTICS_SCHEMA = T.StructType(
     [
@@ -102,74 +102,68 @@ def _lane_type(dtype: T.DataType) -> T.DataType | None:
     return dtype if isinstance(dtype, T.DecimalType) or is_temporal(dtype) else None
 
 
-def _statistics_frame(df: DataFrame, fields: Sequence[T.StructField], distinct: bool, moments: bool, quantiles: bool) -> DataFrame:
-    """One row per column position with the merged aggregates of that column."""
+def _scalar_frame(df: DataFrame, fields: Sequence[T.StructField], moments: bool) -> DataFrame:
+    """One row per column position: counts, extremes, mean and spread, all in generated code."""
     lanes = _order_lanes(fields) if moments else []
     cells = []
     for f in fields:
         value = column(f.name)
         cell = [value.isNotNull().alias("present")]
-        if distinct:
-            cell.append(value_hash(value, f.dataType).alias("hash"))
         if moments:
             cell.append((value if is_numeric(f.dataType) else F.lit(None)).cast("double").alias("number"))
         cell += [
             (value if _lane_type(f.dataType) == dtype else F.lit(None)).cast(dtype).alias(lane) for lane, dtype in lanes
         ]
         cells.append(cell)
-    partial = [F.count(F.lit(1)).alias("rows"), F.count_if("present").alias("present")]
-    merge = [F.sum("rows").alias("rows"), F.sum("present").alias("present")]
-    if distinct:
-        partial.append(F.hll_sketch_agg("hash", F.lit(DISTINCT_LOG2_REGISTERS)).alias("distinct"))
-        merge.append(F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("distinct"))
+    aggregates = [F.count(F.lit(1)).alias("rows"), F.count_if("present").alias("present")]
     if moments:
         for name in ("number", *[lane for lane, _ in lanes]):
-            for extreme in (F.min, F.max):
-                alias = f"{extreme.__name__}_{name}"
-                partial.append(extreme(name).alias(alias))
-                merge.append(extreme(alias).alias(alias))
-        partial += [F.avg("number").alias("mean"), F.var_pop("number").alias("var")]
-        part = F.struct(F.col("present").alias("n"), "mean", "var")
-        merge.append(F.sort_array(F.collect_list(F.when(F.col("mean").isNotNull(), part))).alias("parts"))
-    if quantiles:
-        partial.append(sketch(F.col("number")).alias("sketch"))
-        merge.append(merge_sketches(F.col("sketch")).alias("sketch"))
-    merged = aggregate_two_level(melt(df, cells), partial, merge)
-    nothing = F.lit(None)
-    minimum = maximum = nothing.cast("string")
-    low = high = mean = std = nothing.cast("double")
-    if moments:
-        def extreme_text(which: str) -> Column:
-            fractional = F.when(_is_fractional_position(fields), render(F.col(f"{which}_number"), T.DoubleType()))
-            return F.coalesce(fractional, *[render(F.col(f"{which}_{lane}"), dtype) for lane, dtype in lanes])
-
-        minimum, maximum = extreme_text("min"), extreme_text("max")
-        low, high = finite(F.col("min_number")), finite(F.col("max_number"))
-        # Pooled mean and variance of the groups; no difference of large squares.
-        count = F.nullif(F.col("present").cast("double"), F.lit(0.0))
-        mean = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["n"] * p["mean"]) / count
-        spread = F.aggregate(
-            "parts", F.lit(0.0), lambda acc, p: acc + p["n"] * (p["var"] + F.pow(p["mean"] - F.col("pooled"), F.lit(2)))
-        )
-        merged = merged.withColumn("pooled", F.when(F.size("parts") > 0, mean))
-        mean, std = finite(F.col("pooled")), finite(F.when(F.size("parts") > 0, F.sqrt(spread / count)))
-    bracket, real = nothing.cast("array<double>"), F.lit(0)
-    if quantiles:
-        bracket = sketch_quantiles(F.col("sketch"), bracket_ranks(QUARTILES))
-        real = F.coalesce(sketch_count(F.col("sketch")), F.lit(0))
+            aggregates += [F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}")]
+        aggregates += [F.avg("number").alias("mean"), F.stddev_pop("number").alias("std")]
+    merged = melt(df, cells).groupBy("position").agg(*aggregates)
+    if not moments:
+        return merged
+
+    def extreme_text(which: str) -> Column:
+        fractional = F.when(_is_fractional_position(fields), render(F.col(f"{which}_number"), T.DoubleType()))
+        return F.coalesce(fractional, *[render(F.col(f"{which}_{lane}"), dtype) for lane, dtype in lanes])
+
     return merged.select(
         "position",
         "rows",
         "present",
-        (F.coalesce("distinct", F.lit(0)) if distinct else nothing).cast("bigint").alias("distinct"),
-        minimum.alias("minimum"),
-        maximum.alias("maximum"),
-        low.alias("min_number"),
-        high.alias("max_number"),
-        mean.alias("mean"),
-        std.alias("std"),
-        bracket.alias("bracket"),
-        real.cast("bigint").alias("real"),
+        extreme_text("min").alias("minimum"),
+        extreme_text("max").alias("maximum"),
+        *[finite(F.col(name)).alias(name) for name in ("min_number", "max_number", "mean", "std")],
+    )
+
+
+def _distinct_frame(df: DataFrame, fields: Sequence[T.StructField], error: float) -> DataFrame:
+    """One row per column position: the estimated number of distinct values.
+
+    The estimate is a function of the values alone; merging the registers of the tasks gives
+    the same one in any partitioning. It is not generated code, so it gets a plan of its own
+    instead of slowing down the other aggregates.
+    """
+    cells = [[value_hash(column(f.name), f.dataType).alias("hash")] for f in fields]
+    return melt(df, cells).groupBy("position").agg(F.approx_count_distinct("hash", error).alias("distinct"))
+
+
+def _bracket_frame(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """One row per numeric column position: its sketch at the ranks the quartiles need."""
+    cells = [
+        [F.lit(i).alias("field"), column(f.name).cast("double").alias("number")]
+        for i, f in enumerate(fields)
+        if is_numeric(f.dataType)
+    ]
+    numbers = melt(df, cells).where(F.col("number").isNotNull()).select("field", "number")
+    merged = aggregate_two_level(
+        numbers, [sketch(F.col("number")).alias("sketch")], [merge_sketches(F.col("sketch")).alias("sketch")], ["field"]
+    )
+    return merged.select(
+        F.col("field").alias("position"),
+        sketch_count(F.col("sketch")).alias("real"),
+        sketch_quantiles(F.col("sketch"), bracket_ranks(QUARTILES)).alias("bracket"),
     )
 
 
@@ -185,24 +179,31 @@ def column_statistics(
     moments: bool = True,
     quantiles: bool = True,
     approx_quantiles: bool = False,
+    distinct_error: float = DISTINCT_ERROR,
 ) -> Statistics:
     """All scalar statistics of the first ``max_columns`` columns.
 
-    One scan computes everything but the quartiles; exact quartiles take at least one more
-    (``approx_quantiles`` takes them from the sketch instead). The number of scans does not
+    One job computes everything but the quartiles; exact quartiles take at least one more
+    (``approx_quantiles`` takes them from the sketch instead). The number of jobs does not
     depend on the number of columns.
     """
     quantiles = quantiles and moments
     fields = tuple(df.schema.fields[:max_columns])
-    found = {row["position"]: row for row in _statistics_frame(df, fields, distinct, moments, quantiles).collect()}
-    row_count = max((row["rows"] for row in found.values()), default=0)
-    empty = {name: None for name in ("distinct", "minimum", "maximum", "min_number", "max_number", "mean", "std", "bracket")}
-    empty |= {"present": 0, "real": 0, "distinct": 0 if distinct else None}
-    rows = [found.get(i, empty) for i in range(len(fields))]
+    parts = [_scalar_frame(df, fields, moments)] if fields else []
+    if fields and distinct:
+        parts.append(_distinct_frame(df, fields, distinct_error))
+    if quantiles and any(is_numeric(f.dataType) for f in fields):
+        parts.append(_bracket_frame(df, fields))
+    # One job: the aggregations run side by side and end in a few rows per column.
+    collected = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).collect() if parts else []
+    rows: list[dict] = [{"present": 0, "distinct": 0 if distinct else None, "real": 0} for _ in fields]
+    for row in collected:
+        rows[row["position"]] |= {key: value for key, value in row.asDict().items() if value is not None}
+    row_count = max((row.get("rows", 0) for row in rows), default=0) if fields else df.count()
     quartiles: dict[str, list[float | None]] = {}
     if quantiles and approx_quantiles:
         for f, r in zip(fields, rows):
-            ends = r["bracket"]
+            ends = r.get("bracket")
             if ends:
                 quartiles[f.name] = [(ends[2 + 2 * q] + ends[3 + 2 * q]) / 2 for q in range(len(QUARTILES))]
     elif quantiles:
@@ -221,12 +222,12 @@ def column_statistics(
                 "null_count": nulls,
                 "null_rate": rate(nulls, row_count),
                 "approximate_distinct": r["distinct"],
-                "minimum": r["minimum"],
-                "maximum": r["maximum"],
-                "min_number": r["min_number"],
-                "max_number": r["max_number"],
-                "mean": r["mean"],
-                "standard_deviation": r["std"],
+                "minimum": r.get("minimum"),
+                "maximum": r.get("maximum"),
+                "min_number": r.get("min_number"),
+                "max_number": r.get("max_number"),
+                "mean": r.get("mean"),
+                "standard_deviation": r.get("std"),
                 "first_quartile": q1,
                 "median": median,
                 "third_quartile": q3,

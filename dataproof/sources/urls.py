@@ -147,7 +147,8 @@ def _with_ipv6_bits(df: DataFrame, address: str) -> DataFrame:
     )
     bits = F.array_join(F.transform("_groups", lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
     return (
-        df.withColumn("_tail", F.when(tail != "", ipv4_value(_ipv4_parts(tail))))
+        df.withColumn("_tail_parts", F.when(tail != "", _ipv4_parts(tail)))
+        .withColumn("_tail", ipv4_value(F.col("_tail_parts")))
         .withColumn("_halves", F.split(plain, "::"))
         .withColumns({"_left": groups(1), "_right": groups(2)})
         .withColumn("_groups", full)
