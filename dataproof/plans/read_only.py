@@ -129,11 +129,28 @@ def _check_function(name: str) -> None:
         raise PolicyError(f"Function {name} is volatile or non-reproducible")
 
 
-def check_parsed(spark: SparkSession, sql: str, tables: set[str]) -> tuple[str, bool]:
-    """The statement without its trailing semicolon, and whether its outermost rows are ordered."""
+def _parse(session: SparkSession, text: str) -> Any:
+    """Parse under the settings of the given session, which the parser takes from the active one."""
+    sessions = SparkSession._get_j_spark_session_module(session._jvm)
+    active = sessions.getActiveSession()
+    sessions.setActiveSession(session._jsparkSession)
+    try:
+        return session._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    finally:
+        if active.isDefined():
+            sessions.setActiveSession(active.get())
+        else:
+            sessions.clearActiveSession()
+
+
+def check_parsed(session: SparkSession, sql: str, tables: set[str]) -> tuple[str, bool]:
+    """The statement without its trailing semicolon, and whether its outermost rows are ordered.
+
+    ``session`` must be the one that will run the statement: both must read it alike.
+    """
     text = _clean(sql)
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        plan = _parse(session, text)
     except ParseException as error:
         raise PolicyError(f"Not a single valid statement: {str(error).strip().splitlines()[0]}") from None
     found = list(_walk(plan))

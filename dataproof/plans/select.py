@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from dataproof.plans.read_only import check_analyzed, check_parsed
-from dataproof.plans.tables import check_names, register
+from dataproof.plans.tables import register
 
 DEFAULT_ROWS = 1000
 MAX_ROWS = 10_000
@@ -61,16 +61,16 @@ def _text(value: Any) -> str:
 def _collect(df: DataFrame, timeout_seconds: float | None) -> list[Row]:
     if timeout_seconds is None:
         return df.collect()
-    spark = df.sparkSession
+    context = df.sparkSession.sparkContext
     tag = f"dataproof-{uuid.uuid4().hex}"
     expired = threading.Event()
 
     def interrupt() -> None:
         expired.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(timeout_seconds, interrupt)
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         return df.collect()
@@ -80,7 +80,7 @@ def _collect(df: DataFrame, timeout_seconds: float | None) -> list[Row]:
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def safe_select(
@@ -94,16 +94,8 @@ def safe_select(
     if isinstance(row_limit, bool) or not isinstance(row_limit, int) or row_limit < 1:
         raise ValueError("row limit must be a positive integer")
     row_limit = min(row_limit, MAX_ROWS)
-    check_names(tables)
-    text, deterministic = check_parsed(_parsing_session(spark), sql, set(tables))
-    query = register(spark, tables).sql(text)
+    session = register(spark, tables)
+    text, deterministic = check_parsed(session, sql, set(tables))
+    query = session.sql(text)
     check_analyzed(query)
     return SelectResult(query.limit(row_limit), deterministic, row_limit, query)
-
-
-def _parsing_session(spark: SparkSession) -> SparkSession:
-    """A session in which double quotes are identifiers; the caller's settings stay as they are."""
-    session = spark.newSession()
-    session.conf.set("spark.sql.ansi.enabled", "true")
-    session.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
-    return session

@@ -104,7 +104,8 @@ def _with_dates(df: DataFrame) -> T.StructType:
         value = column(name)
         is_date = value.rlike(_PLAIN_DATE) & value.try_cast("date").isNotNull()
         is_time = value.rlike(DATE_TEXT) & value.try_cast("timestamp_ntz").isNotNull()
-        checks += [F.bool_and(is_date).alias(f"date{i}"), F.bool_and(is_time).alias(f"time{i}")]
+        for label, holds in (("date", is_date), ("time", is_time)):
+            checks.append(F.bool_and(F.when(value.isNotNull(), holds)).alias(f"{label}{i}"))
     row = df.agg(*checks).first()
     types = {}
     for i, name in enumerate(texts):
