@@ -26,13 +26,15 @@ def _rounded(value: Column, digits: int) -> tuple[Column, Column]:
 def _shortest(value: Column) -> Column:
     """Digits of a number, the fewest that give it back.
 
-    Java versions before 19 sometimes write one or two digits that are not needed.
+    Java versions before 19 sometimes write up to three digits that are not needed.
     """
     text = value.cast("string")
     digits = F.length(F.regexp_replace(F.regexp_replace(text, "E.*$", ""), r"^-?0*\.?0*|\.", ""))
-    sixteen, same16 = _rounded(value, 16)
-    seventeen, same17 = _rounded(value, 17)
-    return F.when(digits < 17, text).when(same16, sixteen).when((digits > 17) & same17, seventeen).otherwise(text)
+    result = F.when(digits < 17, text)
+    for count in (15, 16, 17):
+        rounded, same = _rounded(value, count)
+        result = result.when(same, rounded)
+    return result.otherwise(text)
 
 
 def _render_fractional(value: Column) -> Column:
