@@ -23,37 +23,37 @@ def _rounded(value: Column, digits: int) -> tuple[Column, Column]:
     return F.concat(mantissa, F.lit("E"), exponent), text.try_cast("double") == value
 
 
-def _shortest(value: Column) -> Column:
-    """Digits of a number, the fewest that give it back.
+def shortest_text(value: Column, text: Column) -> Column:
+    """Digits of a number, the fewest that give it back; ``text`` is the number cast to a string.
 
     Java versions before 19 sometimes write up to three digits that are not needed.
     """
-    text = value.cast("string")
     digits = F.length(F.regexp_replace(F.regexp_replace(text, "E.*$", ""), r"^-?0*\.?0*|\.", ""))
-    result = F.when(digits < 17, text)
+    result = F.when((F.length(text) < 17) | (digits < 17), text)
     for count in (15, 16, 17):
         rounded, same = _rounded(value, count)
         result = result.when(same, rounded)
     return result.otherwise(text)
 
 
-def _render_fractional(value: Column) -> Column:
-    """Plain digits from 1e-4 up to 1e16, otherwise ``1.5e+16``; whole numbers keep ``.0``."""
-    text = _shortest(value)
+def plain_text(value: Column, text: Column) -> Column:
+    """Plain digits from 1e-4 up to 1e16, otherwise ``1.5e+16``; whole numbers keep ``.0``.
+
+    ``text`` is the shortest text of the number.
+    """
     size = F.abs(value.cast("double"))
     # 16 whole digits and 21 decimals hold every 17-digit double of the plain range exactly.
-    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")
-    plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
+    decimal = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(decimal, r"\.$", ".0")
     mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0$", "")
     exponent = F.regexp_extract(text, "E-?(\\d+)$", 1)
-    digits = F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent)
     sign = F.when(text.contains("E-"), F.lit("e-")).otherwise(F.lit("e+"))
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when(size == F.lit(float("inf")), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
         .when(~text.contains("E"), text)
         .when((size >= F.lit(1e-4)) & (size < F.lit(1e16)), plain)
-        .otherwise(F.concat(mantissa, sign, digits))
+        .otherwise(F.concat(mantissa, sign, F.lpad(exponent, F.greatest(F.length(exponent), F.lit(2)), "0")))
     )
 
 
@@ -62,7 +62,7 @@ def render(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return value
     if is_fractional(dtype):
-        return F.when(value.isNotNull(), _render_fractional(value))
+        return F.when(value.isNotNull(), plain_text(value, shortest_text(value, value.cast("string"))))
     if isinstance(dtype, T.BinaryType):
         return F.hex(value)
     if isinstance(dtype, T.VariantType):

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataproof.functions.rendering import render
-from dataproof.functions.types import column, is_integral
+from dataproof.functions.rendering import plain_text, render, shortest_text
+from dataproof.functions.types import column, is_fractional, is_integral
 from dataproof.plans.two_level import melt
 
 
@@ -42,8 +42,25 @@ def value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> tuple[DataFr
     return melted.groupBy("position", *names).agg(F.count(F.lit(1)).alias("count")), lanes
 
 
-def _rendered(lanes: Sequence[tuple[str, T.DataType]]) -> Column:
-    return F.coalesce(*[render(F.col(lane), dtype) for lane, dtype in lanes])
+def _with_text(counts: DataFrame, lanes: Sequence[tuple[str, T.DataType]]) -> DataFrame:
+    """Replace the lanes by the rendered ``value``.
+
+    Fractional lanes are rendered in steps, each a column of its own: as one expression the
+    text of a number would be made anew in every place that looks at it.
+    """
+    fractional = [lane for lane, dtype in lanes if is_fractional(dtype)]
+    texts = {f"{lane}_text": F.col(lane).cast("string") for lane in fractional}
+    shortest = {f"{lane}_text": shortest_text(F.col(lane), F.col(f"{lane}_text")) for lane in fractional}
+    steps = counts.withColumns(texts).withColumns(shortest) if fractional else counts
+    value = F.coalesce(
+        *[
+            F.when(F.col(lane).isNotNull(), plain_text(F.col(lane), F.col(f"{lane}_text")))
+            if lane in fractional
+            else render(F.col(lane), dtype)
+            for lane, dtype in lanes
+        ]
+    )
+    return steps.select("position", value.alias("value"), "count")
 
 
 def top_values(df: DataFrame, fields: Sequence[T.StructField], k: int = 10) -> DataFrame:
@@ -53,10 +70,9 @@ def top_values(df: DataFrame, fields: Sequence[T.StructField], k: int = 10) -> D
     per column and task reach the ranking.
     """
     counts, lanes = value_counts(df, fields)
-    value = _rendered(lanes)
     by_column = Window.partitionBy("position").orderBy(F.desc("count"), F.asc_nulls_last("value"))
     return (
-        counts.select("position", value.alias("value"), "count")
+        _with_text(counts, lanes)
         .withColumn("rank", F.row_number().over(by_column))
         .where(F.col("rank") <= k)
         .select(_name_of(fields).alias("column"), "rank", "value", "count")
