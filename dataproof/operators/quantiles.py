@@ -160,20 +160,19 @@ def _count(df: DataFrame, searches: list[_Search]) -> list[tuple[_Search, _Rank,
     of a column is one row per task. The running total runs over the buckets of one column.
     """
     width = max(len(s.bounds) for s in searches)
-    ends = [f"end{j}" for j in range(width)]
     cells = []
     for s in searches:
         bounds: list[float | None] = [*s.bounds, *[None] * (width - len(s.bounds))]
-        cells.append(
-            [
-                column(s.name).cast("double").alias("number"),
-                F.lit(s.listed()).cast("bigint").alias("listed"),
-                *[F.lit(b).cast("double").alias(end) for end, b in zip(ends, bounds)],
-            ]
+        # A constant of the plan that the cells only refer to.
+        brackets = F.struct(
+            F.array(*[F.lit(b).cast("double") for b in bounds]).alias("ends"),
+            F.lit(s.listed()).cast("bigint").alias("listed"),
         )
+        cells.append([column(s.name).cast("double").alias("number"), brackets.alias("brackets")])
     number = F.col("number")
+    ends = [F.get(F.col("brackets.ends"), F.lit(j)) for j in range(width)]
     located = melt(df, cells).where(number.isNotNull()).select(
-        "position", "listed", "number", _bucket([F.col(end) for end in ends], number).alias("bucket")
+        "position", "number", "brackets.listed", _bucket(ends, number).alias("bucket")
     )
     is_listed = F.expr("shiftright(listed, bucket) & 1") == 1
     counts = (
