@@ -48,9 +48,27 @@ def dataset_manifest(spark: SparkSession, path: str | list[str], format: str) ->
 
 
 def dataset_digest(manifest: DataFrame) -> DataFrame:
-    """One digest for a dataset of several files: the hash of the sorted file digests."""
-    return manifest.agg(
-        F.count(F.lit(1)).alias("files"),
+    """``files, bytes, digest`` of a dataset; independent of file names and order.
+
+    One file has its own digest. Several files have the digest of a two-level list: equal
+    digests become one line with their count, lines are hashed per leading digits, and the
+    at most 4096 group hashes are hashed together. If a file has no digest, neither has the
+    dataset.
+    """
+    lines = manifest.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.sum("bytes").alias("bytes"))
+    line = F.concat_ws(" ", "digest", F.col("copies").cast("string"))
+    groups = lines.groupBy(F.substring("digest", 8, 3).alias("lead")).agg(
+        F.sum("copies").alias("files"),
+        F.sum("bytes").alias("bytes"),
+        F.max("digest").alias("any"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("hash"),
+    )
+    total = groups.agg(
+        F.sum("files").alias("files"),
         F.sum("bytes").alias("bytes"),
-        F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256)).alias("digest"),
+        F.max("any").alias("any"),
+        F.count_if(F.col("lead").isNull()).alias("unknown"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), "\n"), 256).alias("hash"),
     )
+    combined = F.when(F.col("files") == 1, F.col("any")).otherwise(F.concat(F.lit("sha256:"), F.col("hash")))
+    return total.select("files", "bytes", F.when(F.col("unknown") == 0, combined).alias("digest"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dataproof.functions.canonical import is_strict_json
-from dataproof.sources.manifest import dataset_manifest
+from dataproof.sources.manifest import MAX_DIGEST_BYTES, dataset_manifest
 from dataproof.sources.readers import FORMATS
 
 _NUL = "\x00"
@@ -41,7 +41,11 @@ def _nothing(format: str) -> str:
 
 
 def _whole_file_errors(spark: SparkSession, path: str | list[str], format: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load([path] if isinstance(path, str) else list(path))
+    listed = spark.read.format("binaryFile").load([path] if isinstance(path, str) else list(path))
+    path_column = F.col("_metadata.file_path").alias("path")
+    too_large = F.lit("File of 2 GiB or more cannot be checked as a whole").alias("error")
+    files = listed.where(F.col("length") <= MAX_DIGEST_BYTES)
+    large = listed.where(F.col("length") > MAX_DIGEST_BYTES).select(path_column, too_large)
     content = F.col("content")
     if format == "parquet":
         ends = [F.hex(F.substring(content, 1, 4)), F.hex(F.substring(content, -4, 4))]
@@ -52,7 +56,7 @@ def _whole_file_errors(spark: SparkSession, path: str | list[str], format: str)
         error = F.when(text.contains(_NUL), F.lit("Text dataset contains NUL bytes")).when(
             ~F.coalesce(is_strict_json(text), F.lit(False)), F.lit("JSON dataset is invalid")
         )
-    return files.select(F.col("_metadata.file_path").alias("path"), error.alias("error"))
+    return files.select(path_column, error.alias("error")).unionAll(large)
 
 
 def line_status(text: Column, format: str) -> Column:

@@ -60,6 +60,13 @@ def test_every_type(spark):
     assert profile.sample.count() == 2
 
 
+def test_void_column(spark):
+    df = spark.sql("SELECT id, NULL AS v FROM range(2)")
+    columns = {row["column"]: row for row in profile_dataset(df, distinct="exact").columns.collect()}
+    assert columns["id"]["distinct_count"] == 2 and columns["v"]["null_count"] == 2
+    assert columns["v"]["approximate_distinct"] == 0 and columns["v"]["distinct_count"] is None
+
+
 def test_empty_and_all_null(spark):
     empty = spark.createDataFrame([], "a double, b string")
     statistics = column_statistics(empty)

@@ -136,9 +136,16 @@ def test_manifest(spark, folder):
     rows = {row["name"]: row for row in dataset_manifest(spark, f"{folder}/m", "csv").collect()}
     digests = {n: "sha256:" + hashlib.sha256(t.encode()).hexdigest() for n, t in (("one.csv", one), ("two.csv", two))}
     assert {n: r["digest"] for n, r in rows.items()} == digests
-    reference = dataset_reference(dataset_manifest(spark, f"{folder}/m", "csv"), "both", "csv")
-    assert reference["bytes"] == 11
-    assert reference["digest"] == "sha256:" + hashlib.sha256(",".join(sorted(digests.values())).encode()).hexdigest()
+    single = dataset_reference(dataset_manifest(spark, f"{folder}/m/one.csv", "csv"), "one", "csv")
+    assert (single["bytes"], single["digest"]) == (5, digests["one.csv"])
+    both = dataset_reference(dataset_manifest(spark, f"{folder}/m", "csv"), "both", "csv")
+    put(folder, "n/renamed.csv", two)
+    put(folder, "n/other.csv", one)
+    assert both["bytes"] == 11
+    assert both == dataset_reference(dataset_manifest(spark, f"{folder}/n", "csv"), "both", "csv")
+    put(folder, "n/copy.csv", one)
+    more = dataset_reference(dataset_manifest(spark, f"{folder}/n", "csv"), "both", "csv")
+    assert more["bytes"] == 16 and more["digest"] not in (both["digest"], *digests.values())
 
 
 BLOCKED = (
