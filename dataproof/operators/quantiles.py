@@ -67,6 +67,8 @@ class _Rank:
     lo: float
     hi: float
     inside: float  # upper estimate of the values strictly inside the bracket
+    floor: float  # what the value is known not to lie below or above
+    ceiling: float
     value: float | None = None
 
 
@@ -88,7 +90,7 @@ class _Search:
             lo, hi, inside = self.lowest, self.highest, float(self.real)
         for rank in {math.floor(position), math.ceil(position)}:
             if rank < self.real:
-                self.ranks.setdefault(rank, _Rank(rank, lo, hi, inside))
+                self.ranks.setdefault(rank, _Rank(rank, lo, hi, inside, self.lowest, self.highest))
 
     @property
     def open(self) -> list[_Rank]:
@@ -154,7 +156,9 @@ def _bucket(bounds: Sequence[Column], number: Column) -> Column:
 
 
 def _count(df: DataFrame, searches: list[_Search]) -> list[tuple[_Search, _Rank, int, int]]:
-    """Locate every open rank exactly; return those in an interval whose values were not listed.
+    """Locate every open rank exactly; return those between two ends whose values were not listed.
+
+    A rank outside all ends gets a wider bracket, which the next count looks into.
 
     A single group-by counts buckets and listed values together: a value that fills a third
     of a column is one row per task. The running total runs over the buckets of one column.
@@ -198,10 +202,11 @@ def _count(df: DataFrame, searches: list[_Search]) -> list[tuple[_Search, _Rank,
         elif row["value"] is not None:
             r.value = row["value"]
         else:
-            r.lo = bounds[j - 1] if j > 0 else s.lowest
-            r.hi = bounds[j] if j < len(bounds) else s.highest
+            r.lo = r.floor = bounds[j - 1] if j > 0 else r.floor
+            r.hi = r.ceiling = bounds[j] if j < len(bounds) else r.ceiling
             r.inside = float(row["count"])
-            result.append((s, r, row["before"], row["count"]))
+            if 0 < j < len(bounds):
+                result.append((s, r, row["before"], row["count"]))
     return result
 
 
@@ -222,8 +227,7 @@ def _narrow(df: DataFrame, unsettled: list[tuple[_Search, _Rank, int, int]]) ->
     for row in merged.select("position", sketch_quantiles(F.col("sketch"), grid).alias("grid")).collect():
         _, r, before, count = unsettled[row["position"]]
         offset = r.rank - before
-        # The interval may reach down to an extreme, which then belongs to the count as well.
-        first = max(0, math.floor(((offset - 1) / count - RANK_MARGIN) * _GRID))
+        first = max(0, math.floor((offset / count - RANK_MARGIN) * _GRID))
         last = min(_GRID, math.ceil(((offset + 1) / count + RANK_MARGIN) * _GRID))
         r.lo, r.hi = row["grid"][first], row["grid"][last]
         r.inside = count * ((last - first) / _GRID + 2 * RANK_MARGIN)

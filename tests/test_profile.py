@@ -114,6 +114,7 @@ def percentile(values, p):
 SHAPES = {
     "uniform": lambda r, i: r.random(),
     "hot_value": lambda r, i: 7.0 if i % 3 == 0 else r.gauss(0, 100),
+    "hot_lowest": lambda r, i: -5.0 if i % 3 == 0 else float(i),
     "two_values": lambda r, i: float(i % 2),
     "constant": lambda r, i: 3.25,
     "heavy_tail": lambda r, i: 1e300 if i % 97 == 0 else math.exp(r.gauss(0, 20)),
