@@ -274,8 +274,9 @@ def profile_dataset(
     top = top_values(df, groupable, top_k) if groupable else df.sparkSession.createDataFrame([], empty_top)
     if distinct == "exact" and groupable:
         exact = exact_distinct(df, groupable)
+        counted = F.col("column").isin([f.name for f in groupable])
         frame = frame.join(exact, "column", "left").withColumn(
-            "distinct_count", F.when(F.col("column").isin([f.name for f in groupable]), F.coalesce("distinct_count", F.lit(0)))
+            "distinct_count", F.when(counted, F.coalesce("distinct_count", F.lit(0)))
         )
     lists = top.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("ranked")
@@ -287,12 +288,13 @@ def profile_dataset(
         .drop("ranked")
         .orderBy("ordinal")
     )
+    shown = [*STATISTICS_SCHEMA.names, *[c for c in columns.columns if c == "distinct_count"]]
     summary = df.sparkSession.createDataFrame(
         [(statistics.row_count, total)], "row_count bigint, column_count int"
     )
     return Profile(
         summary=summary,
-        columns=columns.select(*STATISTICS_SCHEMA.names, *(["distinct_count"] if "distinct_count" in columns.columns else []), "top_values"),
+        columns=columns.select(*shown, "top_values"),
         top_values=top,
         sample=stable_sample(df, sample_rows, row_hash),
         warnings=tuple(warnings),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataproof.operators.compare import compare_datasets, key_overlap, schema_diff
-from dataproof.operators.profile import column_statistics
+from dataproof.operators.frequencies import exact_distinct
+from dataproof.operators.profile import DISTINCT_ERROR, column_statistics
 from dataproof.operators.research import correlations, duplicate_rows, monthly_trend, outliers, research_dataset
 from dataproof.queries.registry import query, table
 
@@ -220,9 +221,6 @@ def _drift_sql() -> str:
 @query(_drift_sql())
 def q_compare_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null rates of both sides; distinct estimates are checked against exact counts."""
-    from dataproof.operators.frequencies import exact_distinct
-    from dataproof.operators.profile import DISTINCT_ERROR
-
     sides = _sides(spark, sf_dir)
     drift = compare_datasets(*sides).drift
     checked = drift
@@ -230,7 +228,7 @@ def q_compare_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         exact = exact_distinct(df, df.schema.fields).withColumnRenamed("distinct_count", f"{label}_exact")
         checked = checked.join(exact, "column", "left")
 
-    def close(label: str):
+    def close(label: str) -> Column:
         exact = F.col(f"{label}_exact")
         return F.abs(F.col(f"{label}_approximate_distinct") - exact) <= 5 * DISTINCT_ERROR * exact
 

@@ -84,7 +84,8 @@ def q_validate_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate_files(spark, sf_dir, "parquet").select("name", "bytes", "valid", "error")
 
 
-_LINE = "CASE event_id % 50 WHEN 0 THEN 'not-json' WHEN 1 THEN props || ' trailing' WHEN 2 THEN '[1, 2' WHEN 3 THEN '\"text\"' ELSE props END"
+_LINE = """CASE event_id % 50 WHEN 0 THEN 'not-json' WHEN 1 THEN props || ' trailing' WHEN 2 THEN '[1, 2'
+    WHEN 3 THEN '"text"' ELSE props END"""
 
 
 @query(f"SELECT event_id, json_valid({_LINE}) AS valid FROM events")
@@ -108,7 +109,10 @@ def q_validate_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select(
         (F.col("event_id") % 16).alias("part"),
         "event_id",
-        F.when(F.expr(_BAD), F.lit("{broken")).when(F.col("event_id") % 5 == 0, F.concat(F.lit("\n"), "props")).otherwise(F.col("props")).alias("value"),
+        F.when(F.expr(_BAD), F.lit("{broken"))
+        .when(F.col("event_id") % 5 == 0, F.concat(F.lit("\n"), "props"))
+        .otherwise(F.col("props"))
+        .alias("value"),
     )
     lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
     found = validate_files(spark, path, "ndjson")
