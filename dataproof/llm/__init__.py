@@ -1 +1,8 @@
 """Operators for training corpora. Nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors with the tasks; nothing need be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

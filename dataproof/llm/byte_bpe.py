@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dataproof.llm.common import Hashed, text_batches, whole_text
+from dataproof.llm.common import Hashed, share, shared, text_batches, whole_text
 
 PAD = -1
 NONE = np.int32(2**31 - 1)
@@ -182,10 +182,10 @@ class Encoder:
 
 def _mapped(df: DataFrame, vocabulary: ByteVocabulary, id_column: str, fields: list[tuple[str, pa.DataType, str]], make):
     """One row per row of ``df``: the id and the columns that ``make(encoder, text, ids)`` gives."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = share(df.sparkSession, vocabulary)
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared(sent))
         for part, texts in text_batches(batches, max_bytes=4 << 20):
             made = [make(encoder, text, ids) for text, ids in zip(texts, encoder.encode_many(texts))]
             columns = zip(fields, zip(*made))
@@ -209,10 +209,10 @@ def encode(df: DataFrame, vocabulary: ByteVocabulary, id_column: str = "doc_id")
 
 def decode(df: DataFrame, vocabulary: ByteVocabulary, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """``doc_id, decoded`` (binary) of every row of ``df``; null ids decode to no bytes."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary.tokens)
+    sent = share(df.sparkSession, vocabulary.tokens)
 
     def run(batches):
-        tokens = shared.value
+        tokens = shared(sent)
         for batch in batches:
             made = [b"".join(map(tokens.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "decoded"])

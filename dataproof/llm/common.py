@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,15 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast that executors can read with :func:`shared` even if this package is not installed there."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(broadcast: Broadcast):
+    return cloudpickle.loads(broadcast.value)
+
+
 def whole_text(df: DataFrame, column: str = "text") -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(df[column], F.lit(""))

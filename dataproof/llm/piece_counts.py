@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import text_batches, whole_text
+from dataproof.llm.common import share, shared, text_batches, whole_text
 
 MARK = "▁"
 NORMAL, UNUSED, USER_DEFINED = 1, 5, 4  # piece types of the model format
@@ -163,10 +163,10 @@ def token_counts(df: DataFrame, vocabulary: PieceVocabulary, id_column: str = "d
     row by row; further columns of ``df`` are not read; an empty table gives an empty result. A text is
     cut into segments, never shortened: memory is one text and the counts of recent segments.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = share(df.sparkSession, vocabulary)
 
     def count(batches):
-        counter = text_counter(shared.value)
+        counter = text_counter(shared(sent))
         for part, texts in text_batches(batches):
             tokens = pa.array([counter(text) for text in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), tokens], ["doc_id", "n_bytes", "n_tokens"])

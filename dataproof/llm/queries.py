@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dataproof.llm import byte_bpe, piece_counts
+from dataproof.llm import byte_bpe, decontaminate, divergence, piece_counts, sharding
 from dataproof.queries.registry import Query, table
 
 REGISTRY: dict[str, Query] = {}
@@ -32,3 +32,44 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(path, public_tokenizers.PATTERN))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, least(len(w), 13) AS size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS passage
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+spots AS (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS passage
+  FROM d, (SELECT DISTINCT size FROM wins) AS s, unnest(range(1, len(w) - size + 2)) AS t(i) WHERE len(w) >= size),
+hits AS (SELECT doc_id, i, spots.size AS size, item FROM spots JOIN wins USING (passage) WHERE spots.size = wins.size),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM hits, unnest(range(i, i + size)) AS t(p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(covered.n, 0) > 0 AND 20 * coalesce(covered.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query(OP2_SQL)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
