@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dataproof.llm import byte_bpe, decontaminate, divergence, piece_counts, sharding
+from dataproof.llm import byte_bpe, decontaminate, divergence, jaccard_join, piece_counts, sharding
 from dataproof.queries.registry import Query, table
 
 REGISTRY: dict[str, Query] = {}
@@ -73,3 +73,8 @@ def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
