@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dataproof.llm import byte_bpe, decontaminate, divergence, jaccard_join, piece_counts, sharding
+from dataproof.llm import byte_bpe, decontaminate, divergence, jaccard_join, piece_counts, quality_knn, sharding, url_gbt
 from dataproof.queries.registry import Query, table
 
 REGISTRY: dict[str, Query] = {}
@@ -78,3 +78,13 @@ def op6_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op4_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_gbt.judge_urls(table(spark, sf_dir, "pages"))
