@@ -8,7 +8,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dataproof.llm import byte_bpe, decontaminate, divergence, jaccard_join, piece_counts, quality_knn, sharding, url_gbt
+from dataproof.llm import (
+    byte_bpe,
+    decontaminate,
+    divergence,
+    jaccard_join,
+    piece_counts,
+    quality_knn,
+    sharding,
+    suffix_tree,
+    url_gbt,
+)
 from dataproof.queries.registry import Query, table
 
 REGISTRY: dict[str, Query] = {}
@@ -88,3 +98,8 @@ def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_gbt.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.corpus_scores(table(spark, sf_dir, "documents"))
