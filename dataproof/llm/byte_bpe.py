@@ -232,3 +232,11 @@ def round_trip(df: DataFrame, vocabulary: ByteVocabulary, id_column: str = "doc_
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: every text encoded, the ids decoded, both digested."""
     fields = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
     return _mapped(df, vocabulary, id_column, fields, _digest)
+
+
+def encode_checked(df: DataFrame, vocabulary: ByteVocabulary, id_column: str = "doc_id") -> DataFrame:
+    """``doc_id, ids, n_tokens, restored``: every text encoded, and whether the decoded ids are the text again."""
+    fields = [("ids", pa.list_(pa.int32()), "array<int>"), ("n_tokens", pa.int64(), "long"), ("restored", pa.bool_(), "boolean")]
+    return _mapped(
+        df, vocabulary, id_column, fields, lambda encoder, text, ids: (ids, len(ids), encoder.decode(ids) == text.encode())
+    )

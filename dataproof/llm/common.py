@@ -53,6 +53,12 @@ def whole_text(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by their places, so that no added column can clash with them, and those names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
 def crc_remainder(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import Hashed, mix64, settle, share, shared, text_batches, whole_text
+from dataproof.llm.common import Hashed, mix64, numbered, settle, share, shared, text_batches, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, as a Java character class.
@@ -140,11 +140,12 @@ def _covered(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
 def mark_hits(df: DataFrame, items: DataFrame, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``df`` with ``n_words``, ``hit_spans`` (array of start and end, in words) and ``hit_items`` (array of ids).
 
-    ``df`` must not have columns of these names. A null text has no words and no hits; an empty item
+    Columns of these names are replaced. A null text has no words and no hits; an empty item
     table hits nothing; repeated rows are judged row by row. Test items are broadcast in blocks of at
     most ``block_windows`` windows, one pass over the documents a block, so that no broadcast grows with
     the benchmark.
     """
+    df = df.drop("n_words", "hit_spans", "hit_items")
     windows = item_windows(items)
     blocks = max(1, -(-windows.count() // block_windows))
     schema = df.schema
@@ -207,24 +208,24 @@ def decontaminate(df: DataFrame, items: DataFrame, remove: str = "documents", te
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    columns = df.columns
-    marked = mark_hits(df, items, text)
+    rows, names = numbered(df)
+    at = df.columns.index(text)
+    marked = mark_hits(rows, items, names[at])
     if remove == "documents":
-        return with_verdict(marked).where(~F.col("contaminated")).select(columns)
+        return with_verdict(marked).where(~F.col("contaminated")).select(names).toDF(*df.columns)
 
     def cut(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text)
             spans = batch.column(batch.num_columns - 1).to_pylist()
             texts = [
                 cut_spans(value, [(x["start"], x["end"]) for x in found]) if found else value
                 for value, found in zip(batch.column(at).to_pylist(), spans)
             ]
-            arrays = [batch.column(i) for i in range(len(columns))]
+            arrays = [batch.column(i) for i in range(len(names))]
             arrays[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return marked.select(*columns, "hit_spans").mapInArrow(cut, df.schema)
+    return marked.select(*names, "hit_spans").mapInArrow(cut, rows.schema).toDF(*df.columns)
 
 
 def contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id") -> DataFrame:

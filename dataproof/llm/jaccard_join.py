@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import Words64, mix64, settle, share, shared, text_batches, whole_text
+from dataproof.llm.common import Words64, mix64, numbered, settle, share, shared, text_batches, whole_text
 
 SHINGLE = 3
 PERCENT = 90
@@ -329,10 +329,11 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", perce
     """
     found = link_components(df, id_column, text, percent)
     best = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"), F.col("row"))
-    kept = found.groupBy("component").agg(F.min(best).alias("best")).select(F.col("best.mark").alias("kept_mark_"))
-    kept = kept.groupBy("kept_mark_").agg(F.count("*").alias("kept_rows_"))
-    marked = df.withColumn("mark_", F.xxhash64(df[id_column], whole_text(df, text)))
-    joined = marked.join(kept, F.col("mark_") == F.col("kept_mark_"))
+    kept = found.groupBy("component").agg(F.min(best).alias("best")).select(F.col("best.mark").alias("mark"))
+    kept = kept.groupBy("mark").agg(F.count("*").alias("kept_rows"))
+    rows, names = numbered(df)
+    value, own = whole_text(rows, names[df.columns.index(text)]), F.col(names[df.columns.index(id_column)])
+    joined = rows.withColumn("mark", F.xxhash64(own, value)).join(kept, "mark")
     # Rows equal in id and text share a mark: as many of them stay as components chose that mark.
-    place = F.row_number().over(Window.partitionBy("mark_").orderBy(F.lit(0)))
-    return joined.withColumn("place_", place).where("place_ <= kept_rows_").select(df.columns)
+    place = F.row_number().over(Window.partitionBy("mark").orderBy(F.lit(0)))
+    return joined.withColumn("place", place).where("place <= kept_rows").select(names).toDF(*df.columns)

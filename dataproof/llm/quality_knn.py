@@ -163,8 +163,9 @@ def scores(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``score`` (double, higher: label 1 likelier) and ``predicted`` (1 from one half on).
 
     A null text counts as the empty text and is scored by its measures alone; equal texts have equal
-    scores; an empty table gives an empty result. ``df`` must not have columns of the new names.
+    scores; an empty table gives an empty result. Columns of the new names are replaced.
     """
+    df = df.drop("score", "predicted")
     sent = share(df.sparkSession, model)
 
     def run(batches):

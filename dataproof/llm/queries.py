@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dataproof.llm import (
     byte_bpe,
+    chat_repair,
     decontaminate,
     divergence,
     jaccard_join,
@@ -103,3 +104,8 @@ def op4_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.corpus_scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
