@@ -53,7 +53,7 @@ def canonical_text(json_text: Column) -> Column:
 def canonical_json(value: Column, dtype: T.DataType) -> Column:
     """Canonical JSON of a struct, map, array or variant column.
 
-    Numbers that JSON cannot hold are an error rather than the strings ``to_json`` would write.
+    NULL where the value is NULL or has a number that JSON cannot hold (NaN and the infinities).
     """
     if isinstance(dtype, T.VariantType):
         return F.to_json(value)
@@ -61,7 +61,13 @@ def canonical_json(value: Column, dtype: T.DataType) -> Column:
     bad = _non_finite(value, dtype)
     if bad is None:
         return text
-    return F.when(bad, F.raise_error(F.lit("Canonical JSON cannot contain non-finite numbers"))).otherwise(text)
+    return F.when(~bad, text)
+
+
+def has_non_finite(value: Column, dtype: T.DataType) -> Column:
+    """Whether a value has a number that JSON cannot hold, which is why it has no canonical form."""
+    bad = _non_finite(value, dtype)
+    return F.lit(False) if bad is None else bad
 
 
 def sha256_hex(text: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataproof.functions.rendering import render
-from dataproof.functions.types import column, contains_map, is_nested
+from dataproof.functions.rendering import render, render_apart
+from dataproof.functions.types import column, contains_map, is_fractional, is_nested
 
 
 def hashable(value: Column, dtype: T.DataType) -> list[Column]:
@@ -46,7 +46,8 @@ def portable_row_hash(fields: Sequence[T.StructField]) -> Column:
     """md5 over length-prefixed renderings: the same value in any engine, at the price of rendering."""
     parts = []
     for field in fields:
-        text = render(column(field.name), field.dataType)
+        draw = render_apart if is_fractional(field.dataType) else render
+        text = draw(column(field.name), field.dataType)
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N")))
     return F.md5(F.concat(*parts) if parts else F.lit(""))
 

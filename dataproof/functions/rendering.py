@@ -57,6 +57,14 @@ def plain_text(value: Column, text: Column) -> Column:
     )
 
 
+def render_apart(value: Column, dtype: T.DataType) -> Column:
+    """The same text as :func:`render`, outside the generated code of its surroundings.
+
+    Rendering a fraction is a large expression; several of them exceed what the JVM compiles as one method.
+    """
+    return F.get(F.transform(F.array(value), lambda item: render(item, dtype)), F.lit(0))
+
+
 def render(value: Column, dtype: T.DataType) -> Column:
     """Text of a value; NULL stays NULL."""
     if isinstance(dtype, T.StringType):

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataproof.functions.rendering import render
-from dataproof.functions.types import column, field_of, is_chart_temporal, is_numeric
-from dataproof.operators.profile import MAX_COLUMNS, Statistics, column_statistics
+from dataproof.functions.rendering import render, render_apart
+from dataproof.functions.types import column, field_of, is_chart_temporal, is_fractional, is_numeric
+from dataproof.operators.profile import Statistics, column_statistics
 
 MAX_KEYS = 8
 
@@ -50,23 +50,45 @@ def schema_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _key_pair(lf: T.StructField, rf: T.StructField) -> tuple[Column, Column, str | None]:
-    """The two sides of one key in a common type."""
+    """The two sides of one key in a common type.
+
+    A double cannot hold every 64-bit integer or decimal, so a fractional and another numeric side
+    are compared by their exact digits. Timestamps with and without a zone are compared as text.
+    """
     l, r = column(lf.name), column(rf.name)
     lt, rt = lf.dataType, rf.dataType
-    same_family = lt == rt or (is_numeric(lt) and is_numeric(rt)) or (is_chart_temporal(lt) and is_chart_temporal(rt))
-    if same_family:
+    if lt == rt or (is_chart_temporal(lt) and is_chart_temporal(rt) and not _zones_differ(lt, rt)):
         return l, r, None
-    note = f"Key {lf.name} is {lt.simpleString()} on the left and {rt.simpleString()} on the right; compared as text."
+    if is_numeric(lt) and is_numeric(rt):
+        if is_fractional(lt) == is_fractional(rt):
+            return l, r, None
+        return _digits(l, lt), _digits(r, rt), None
+    note = f"{lf.name}: {lt.simpleString()} against {rt.simpleString()}, so the texts are compared."
     return render(l, lt), render(r, rt), note
 
 
+def _zones_differ(lt: T.DataType, rt: T.DataType) -> bool:
+    return {type(lt), type(rt)} == {T.TimestampType, T.TimestampNTZType}
+
+
+def _digits(value: Column, dtype: T.DataType) -> Column:
+    """The exact digits of a number, the same for equal numbers of any numeric type."""
+    if is_fractional(dtype):
+        number = value.cast("double")
+        whole = (number == F.floor(number)) & (F.abs(number) < F.lit(1e18))
+        text = F.regexp_replace(render_apart(number, T.DoubleType()), r"\.0$", "")
+        return F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(text)
+    text = value.cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "") if isinstance(dtype, T.DecimalType) and dtype.scale else text
+
+
 def _unique_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[str]:
     unique = list(dict.fromkeys(keys))
     if not unique or len(unique) > MAX_KEYS:
-        raise ValueError(f"Give between 1 and {MAX_KEYS} comparison keys")
+        raise ValueError(f"1 to {MAX_KEYS} keys are needed")
     for key in unique:
         if key not in left.columns or key not in right.columns:
-            raise ValueError(f"Comparison key {key} is not present in both datasets")
+            raise ValueError(f"Only one side has the key {key}")
     return unique
 
 
@@ -105,25 +127,27 @@ def _drift_rows(left: Statistics, right: Statistics, shared: Sequence[str]) -> l
     r = {record["column"]: record for record in right.records}
     rows = []
     for name in shared:
-        a, b = l.get(name), r.get(name)
-        delta = round(b["null_rate"] - a["null_rate"], 6) if a and b else None
+        a, b = l[name], r[name]
         rows.append(
             (
                 name,
-                a and a["null_rate"],
-                b and b["null_rate"],
-                delta,
-                a and a["approximate_distinct"],
-                b and b["approximate_distinct"],
+                a["null_rate"],
+                b["null_rate"],
+                round(b["null_rate"] - a["null_rate"], 6),
+                a["approximate_distinct"],
+                b["approximate_distinct"],
             )
         )
     return rows
 
 
 def compare_datasets(
-    left: DataFrame, right: DataFrame, keys: Sequence[str] = (), *, max_columns: int = MAX_COLUMNS
+    left: DataFrame, right: DataFrame, keys: Sequence[str] = (), *, max_columns: int | None = None
 ) -> Comparison:
-    """Compare two datasets: one scan of each side, and one shuffle if keys are given."""
+    """Compare two datasets: one scan of each side, and one shuffle if keys are given.
+
+    ``max_columns`` leaves out the statistics of further columns; drift has only columns with both.
+    """
     spark = left.sparkSession
     warnings: list[str] = []
     overlap = None
@@ -137,10 +161,10 @@ def compare_datasets(
         found = column_statistics(df, max_columns=max_columns, moments=False)
         total = len(df.schema.fields)
         if total > len(found.fields):
-            warnings.append(f"{label}: Column statistics limited to the first {len(found.fields)} of {total} columns.")
+            warnings.append(f"{label}: profiled {len(found.fields)} of {total} columns, as asked.")
         statistics.append(found)
     l, r = statistics
-    shared = sorted(_type_names(left).keys() & _type_names(right).keys())
+    shared = sorted({f.name for f in l.fields} & {f.name for f in r.fields})
     rows = [(l.row_count, r.row_count, r.row_count - l.row_count, percent_change(l.row_count, r.row_count))]
     return Comparison(
         rows=spark.createDataFrame(rows, _ROWS),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataproof.functions.hashing import order_hash, value_hash
-from dataproof.functions.rendering import finite, render
+from dataproof.functions.rendering import finite, render, render_apart
 from dataproof.functions.types import column, is_fractional, is_groupable, is_integral, is_numeric, is_temporal
 from dataproof.operators.frequencies import exact_distinct, top_values
 from dataproof.operators.quantiles import (
@@ -25,7 +25,6 @@ from dataproof.operators.quantiles import (
 )
 from dataproof.plans.two_level import aggregate_two_level, melt
 
-MAX_COLUMNS = 100
 TOP_K = 10
 SAMPLE_ROWS = 20
 # Standard error of distinct estimates.
@@ -103,7 +102,7 @@ def _lane_type(dtype: T.DataType) -> T.DataType | None:
 
 
 def _scalar_frame(df: DataFrame, fields: Sequence[T.StructField], moments: bool) -> DataFrame:
-    """One row per column position: counts, extremes, mean and spread, all in generated code."""
+    """One row per column position: counts, extremes, mean and spread in generated code; few rows are rendered."""
     lanes = _order_lanes(fields) if moments else []
     cells = []
     for f in fields:
@@ -125,7 +124,8 @@ def _scalar_frame(df: DataFrame, fields: Sequence[T.StructField], moments: bool)
         return merged
 
     def extreme_text(which: str) -> Column:
-        fractional = F.when(_is_fractional_position(fields), render(F.col(f"{which}_number"), T.DoubleType()))
+        text = render_apart(F.col(f"{which}_number"), T.DoubleType())
+        fractional = F.when(_is_fractional_position(fields), text)
         return F.coalesce(fractional, *[render(F.col(f"{which}_{lane}"), dtype) for lane, dtype in lanes])
 
     return merged.select(
@@ -174,14 +174,14 @@ def _is_fractional_position(fields: Sequence[T.StructField]) -> Column:
 def column_statistics(
     df: DataFrame,
     *,
-    max_columns: int = MAX_COLUMNS,
+    max_columns: int | None = None,
     distinct: bool = True,
     moments: bool = True,
     quantiles: bool = True,
     approx_quantiles: bool = False,
     distinct_error: float = DISTINCT_ERROR,
 ) -> Statistics:
-    """All scalar statistics of the first ``max_columns`` columns.
+    """All scalar statistics of all columns, or of the first ``max_columns`` if that is given.
 
     One job computes everything but the quartiles; exact quartiles take at least one more
     (``approx_quantiles`` takes them from the sketch instead). The number of jobs does not
@@ -250,7 +250,7 @@ def stable_sample(df: DataFrame, rows: int = SAMPLE_ROWS, row_hash: str = "fast"
 def profile_dataset(
     df: DataFrame,
     *,
-    max_columns: int = MAX_COLUMNS,
+    max_columns: int | None = None,
     top_k: int = TOP_K,
     sample_rows: int = SAMPLE_ROWS,
     distinct: str = "approximate",
@@ -267,7 +267,7 @@ def profile_dataset(
     total = len(df.schema.fields)
     warnings = []
     if total > len(statistics.fields):
-        warnings.append(f"Column statistics limited to the first {len(statistics.fields)} of {total} columns.")
+        warnings.append(f"Profiled {len(statistics.fields)} of {total} columns, as asked.")
     frame = statistics.frame(df)
     groupable = [f for f in statistics.fields if is_groupable(f.dataType)]
     empty_top = "column string, rank int, value string, count bigint"
@@ -281,9 +281,9 @@ def profile_dataset(
     lists = top.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("ranked")
     )
-    # At most max_columns rows of at most top_k values on either side of this join.
+    # Texts have no length limit, so the sizes decide how this is joined.
     columns = (
-        frame.join(F.broadcast(lists), "column", "left")
+        frame.join(lists, "column", "left")
         .withColumn("top_values", F.transform("ranked", lambda r: F.struct(r["value"].alias("value"), r["count"].alias("count"))))
         .drop("ranked")
         .orderBy("ordinal")

@@ -137,9 +137,12 @@ def exact_quantiles(
                 search.want(p, values[2 + 2 * i], values[3 + 2 * i])
             searches.append(search)
     while remaining := [s for s in searches if s.open]:
+        before = [(r.lo, r.hi) for s in remaining for r in s.open]
         unsettled = _count(df, remaining)
         if unsettled:
             _narrow(df, unsettled)
+        if before == [(r.lo, r.hi) for s in remaining for r in s.open]:
+            raise RuntimeError("the input changed while it was read: a rank is in none of its brackets")
     return {s.name: [s.quantile(p) for p in probabilities] for s in searches}
 
 

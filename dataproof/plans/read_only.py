@@ -69,6 +69,11 @@ VOLATILE_EXPRESSIONS = frozenset(
 # read-only aggregates; whether a result is ordered is reported separately.
 ORDER_DEPENDENT = frozenset({"AnyValue", "CollectList", "CollectSet", "First", "Last", "ListAgg", "MaxBy", "MinBy", "Mode"})
 
+# Leaves of an analysed plan that read no table, and words that stand for the clock.
+_FREE_LEAVES = ("CTERelationRef", "LocalRelation", "OneRowRelation", "UnionLoopRef")
+_CLOCK_WORDS = re.compile(r"(?i)(?<!\w)(now|today|tomorrow|yesterday)(?!\w)")
+_DATETIMES = ("date", "timestamp", "timestamp_ntz")
+
 _SUBQUERIES = frozenset({"Exists", "LateralSubquery", "ListQuery", "ScalarSubquery"})
 _LEADING_TRIVIA = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)*", re.DOTALL)
 
@@ -82,43 +87,49 @@ def _name(node: Any) -> str:
     return node.getClass().getSimpleName().rstrip("$")
 
 
-def _walk_expression(expression: Any) -> Iterator[tuple[str, str, Any]]:
+def _walk_expression(expression: Any, common: frozenset[str]) -> Iterator[tuple[str, str, Any, frozenset[str]]]:
     name = _name(expression)
-    yield "expression", name, expression
+    yield "expression", name, expression, common
     if name in _SUBQUERIES:
-        yield from _walk(expression.plan())
+        yield from _walk(expression.plan(), common)
     for child in _items(expression.children()):
-        yield from _walk_expression(child)
+        yield from _walk_expression(child, common)
+
 
+def _walk(plan: Any, common: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, Any, frozenset[str]]]:
+    """Every plan node and expression, inside subqueries and common table expressions too.
 
-def _walk(plan: Any) -> Iterator[tuple[str, str, Any]]:
-    """Every plan node and expression, inside subqueries and common table expressions too."""
+    With each come the names of the common table expressions that can be seen there: those of the
+    enclosing WITH clauses, inside a WITH clause only the ones before, and its own if it is recursive.
+    """
     name = _name(plan)
-    yield "node", name, plan
+    yield "node", name, plan, common
     if name == "View":  # a registered table; what it is made of is not the query's doing
         return
-    for expression in _items(plan.expressions()):
-        yield from _walk_expression(expression)
     if name == "UnresolvedWith":
         for relation in _items(plan.cteRelations()):
-            yield from _walk(relation.productElement(1))
+            own = relation.productElement(0).lower()
+            yield from _walk(relation.productElement(1), common | {own} if plan.allowRecursion() else common)
+            common = common | {own}
+    for expression in _items(plan.expressions()):
+        yield from _walk_expression(expression, common)
     for child in _items(plan.children()):
-        yield from _walk(child)
+        yield from _walk(child, common)
 
 
 def _clean(sql: str) -> str:
     text = sql.strip()
     if not text:
-        raise PolicyError("SQL query is empty")
+        raise PolicyError("there is no SQL text")
     if len(text) > MAX_SQL_CHARS:
-        raise PolicyError(f"SQL query exceeds {MAX_SQL_CHARS:,} characters")
+        raise PolicyError(f"the SQL text has more than {MAX_SQL_CHARS} characters")
     if "\0" in text:
-        raise PolicyError("SQL query contains a NUL byte")
+        raise PolicyError("the SQL text has a zero byte in it")
     if text.endswith(";"):
         text = text[:-1].rstrip()
     first = re.match(r"\w+", text[_LEADING_TRIVIA.match(text).end():])
     if not first or first.group().lower() not in ("select", "with"):
-        raise PolicyError("Only SELECT or WITH queries are allowed")
+        raise PolicyError("a statement must begin with SELECT or WITH")
     return text
 
 
@@ -153,33 +164,28 @@ def check_parsed(session: SparkSession, sql: str, tables: set[str]) -> tuple[str
         plan = _parse(session, text)
     except ParseException as error:
         raise PolicyError(f"Not a single valid statement: {str(error).strip().splitlines()[0]}") from None
-    found = list(_walk(plan))
-    common = {
-        relation.productElement(0).lower()
-        for kind, name, node in found
-        if name == "UnresolvedWith"
-        for relation in _items(node.cteRelations())
-    }
-    allowed = {table.lower() for table in tables} | common
-    for kind, name, node in found:
+    registered = {table.lower() for table in tables}
+    for kind, name, node, common in _walk(plan):
         if kind == "node":
             if name == "UnresolvedTableValuedFunction" or name == "Generate":
-                raise PolicyError("Table functions are not allowed in FROM or JOIN clauses")
+                raise PolicyError("a function cannot stand for a table")
             if name == "Sample" or (name == "GlobalLimit" and _samples_rows(node)):
                 raise PolicyError("Sampling is volatile or non-reproducible")
             if name not in ALLOWED_NODES:
-                raise PolicyError(f"Only SELECT or WITH queries are allowed; found {name}")
+                raise PolicyError(f"{name} is no part of a read-only query")
             if name == "UnresolvedRelation":
                 parts = [str(part) for part in _items(node.multipartIdentifier())]
-                if len(parts) != 1 or parts[0].lower() not in allowed:
-                    raise PolicyError(f"Query may reference only registered tables; rejected {'.'.join(parts)}")
+                if len(parts) != 1 or parts[0].lower() not in registered | common:
+                    raise PolicyError(f"{'.'.join(parts)} is not a registered table")
         elif name == "UnresolvedFunction":
             parts = [str(part).lower() for part in _items(node.nameParts())]
             _check_function(parts[-1])
             if parts == ["unix_timestamp"] and not node.children().size():
                 raise PolicyError("Function unix_timestamp without arguments is volatile or non-reproducible")
+        elif name == "Literal" and _names_the_clock(node):
+            raise PolicyError("A date literal names the clock, which is volatile or non-reproducible")
         elif name == "FunctionTableSubqueryArgumentExpression":
-            raise PolicyError("Table functions are not allowed in FROM or JOIN clauses")
+            raise PolicyError("a function cannot stand for a table")
     return text, _ordered(plan)
 
 
@@ -205,12 +211,41 @@ def _is_volatile_itself(name: str, expression: Any) -> bool:
     return all(child.deterministic() for child in _items(expression.children()))
 
 
-def check_analyzed(df: DataFrame) -> None:
-    """Look at what names turned out to be: the second half of the function rules."""
+def _names_the_clock(literal: Any) -> bool:
+    """Whether a typed literal was written as ``DATE 'today'`` or the like; parsing has replaced the word."""
+    if literal.dataType().typeName() not in _DATETIMES:
+        return False
+    origin = literal.origin()
+    if not (origin.sqlText().isDefined() and origin.startIndex().isDefined() and origin.stopIndex().isDefined()):
+        return True
+    text = origin.sqlText().get()[origin.startIndex().get() : origin.stopIndex().get() + 1]
+    return bool(_CLOCK_WORDS.search(text))
+
+
+def _casts_the_clock(cast: Any) -> bool:
+    """Whether a constant text such as ``'now'`` becomes a date or time."""
+    child = cast.child()
+    if cast.dataType().typeName() not in _DATETIMES or not child.dataType().typeName().startswith("string"):
+        return False
+    if not child.foldable() or not child.resolved():
+        return False
+    value = child.eval(None)
+    return value is not None and bool(_CLOCK_WORDS.search(str(value)))
+
+
+def check_analyzed(df: DataFrame, tables: set[str]) -> None:
+    """Look at what names turned out to be: the second half of the function and table rules."""
+    registered = {table.lower() for table in tables}
     plan = df._jdf.queryExecution().analyzed()
-    for kind, name, node in _walk(plan):
-        if kind != "expression":
+    for kind, name, node, _ in _walk(plan):
+        if kind == "node":
+            if name == "View" and not (node.isTempView() and node.desc().identifier().table().lower() in registered):
+                raise PolicyError(f"{node.desc().identifier().table()} is not a registered table")
+            if name not in ("View", *_FREE_LEAVES) and not node.children().size():
+                raise PolicyError(f"{name} reads from outside the registered tables")
             continue
+        if name == "Cast" and _casts_the_clock(node):
+            raise PolicyError("A date text names the clock, which is volatile or non-reproducible")
         if name in EXTERNAL_EXPRESSIONS:
             raise PolicyError(f"Expression {name} reaches outside the query")
         if name in VOLATILE_EXPRESSIONS or _is_volatile_itself(name, node):

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import threading
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from dataproof.plans.read_only import check_analyzed, check_parsed
 from dataproof.plans.tables import register
 
 DEFAULT_ROWS = 1000
-MAX_ROWS = 10_000
 MAX_RESULT_BYTES = 5 * 1024 * 1024
 
 
@@ -36,28 +34,27 @@ class SelectResult:
     deterministic: bool
     row_limit: int
     _query: DataFrame
+    max_bytes: int = MAX_RESULT_BYTES
 
     def truncated(self) -> bool:
         """Whether the query has more rows than the limit; reads one row beyond it at most."""
         return self._query.limit(self.row_limit + 1).count() > self.row_limit
 
     def fetch(self, timeout_seconds: float | None = None) -> FetchedRows:
-        """Run once and bring the bounded result to the driver."""
+        """Bring the bounded result to the driver, after the executors have measured it."""
         bounded = self._query.limit(self.row_limit + 1)
+        names = [f"c{i}" for i in range(len(bounded.columns))]
+        size = F.octet_length(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).cast("bigint")
+        measured = _collect(bounded.toDF(*names).agg(F.coalesce(F.sum(size), F.lit(0)).alias("size")), timeout_seconds)
+        if measured[0]["size"] > self.max_bytes:
+            raise ValueError(f"The result takes more than {self.max_bytes} bytes; ask for fewer rows or columns")
         found = _collect(bounded, timeout_seconds)
         rows = found[: self.row_limit]
-        encoded = sum(len(json.dumps(row.asDict(True), default=_text).encode()) + 1 for row in rows)
-        if encoded > MAX_RESULT_BYTES:
-            raise ValueError("Query result exceeds the 5 MiB limit; aggregate or select fewer columns")
         return FetchedRows(
             tuple(bounded.columns), tuple(rows), len(rows), len(found) > self.row_limit, self.deterministic
         )
 
 
-def _text(value: Any) -> str:
-    return value.hex() if isinstance(value, (bytes, bytearray)) else str(value)
-
-
 def _collect(df: DataFrame, timeout_seconds: float | None) -> list[Row]:
     if timeout_seconds is None:
         return df.collect()
@@ -84,7 +81,7 @@ def _collect(df: DataFrame, timeout_seconds: float | None) -> list[Row]:
 
 
 def safe_select(
-    spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, row_limit: int = DEFAULT_ROWS
+    spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, row_limit: int = DEFAULT_ROWS, *, max_bytes: int = MAX_RESULT_BYTES
 ) -> SelectResult:
     """Check a query against the read-only policy and plan it with a row limit.
 
@@ -93,9 +90,8 @@ def safe_select(
     """
     if isinstance(row_limit, bool) or not isinstance(row_limit, int) or row_limit < 1:
         raise ValueError("row limit must be a positive integer")
-    row_limit = min(row_limit, MAX_ROWS)
     session = register(spark, tables)
     text, deterministic = check_parsed(session, sql, set(tables))
     query = session.sql(text)
-    check_analyzed(query)
-    return SelectResult(query.limit(row_limit), deterministic, row_limit, query)
+    check_analyzed(query, set(tables))
+    return SelectResult(query.limit(row_limit), deterministic, row_limit, query, max_bytes)

@@ -30,10 +30,10 @@ _COPIED_CONF = (
 
 def check_names(tables: Mapping[str, DataFrame]) -> None:
     if not tables:
-        raise ValueError("At least one dataset is required")
+        raise ValueError("give one table at least")
     for name in tables:
         if not TABLE_NAME.fullmatch(name):
-            raise ValueError(f"Unsafe table name: {name}")
+            raise ValueError(f"{name} cannot be a table name")
 
 
 def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> SparkSession:

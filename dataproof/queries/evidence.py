@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from dataproof.functions.canonical import canonical_json, sha256_hex, utf8_bytes
 from dataproof.functions.types import field_of
-from dataproof.operators.reports import build_reports, verify_reports
+from dataproof.operators.reports import build_reports, dataset_reference, verify_reports
 from dataproof.queries.registry import query, table
+from dataproof.queries.sources import DATASET_SQL, event_files
 from dataproof.session import shared_dir
+from dataproof.sources.manifest import dataset_manifest
 from dataproof.sources.artifacts import artifact_rows, get_artifacts, put_artifacts, verify_artifacts
 
 _CANONICAL = """'{"conv_id":' || conv_id || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}'"""
@@ -31,6 +33,19 @@ def q_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("content", text).withColumns({"digest": sha256_hex(content), "bytes": utf8_bytes(content)})
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE sha256('{"id":' || event_id || ',"v":' ||
+       CAST(event_id % 7 AS VARCHAR) || '}') END AS hash, CASE WHEN event_id % 3 = 0 THEN 'non_finite_number' END AS error FROM events"""
+)
+def q_canonical_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number that JSON cannot hold flags its row and leaves the others alone."""
+    df = table(spark, sf_dir, "events").select(
+        "event_id", F.expr("named_struct('v', IF(event_id % 3 = 0, double('NaN'), event_id % 7), 'id', event_id)").alias("content")
+    )
+    found = artifact_rows(df, "query")
+    return found.select("event_id", F.regexp_extract("artifact_id", "_([0-9a-f]{64})$", 1).alias("hash"), "error")
+
+
 @query("SELECT doc_id, sha256(text) AS digest, strlen(text) AS bytes FROM documents")
 def q_text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests over whole texts."""
@@ -69,10 +84,10 @@ def q_get_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT conv_id, turn, n = 0 AS valid, CASE n WHEN 1 THEN 'Artifact kind does not match its ID'
-        WHEN 2 THEN 'Artifact content does not match its ID' WHEN 3 THEN 'Artifact byte length mismatch'
-        WHEN 4 THEN 'Artifact content is not canonical JSON' WHEN 5 THEN 'Invalid artifact ID'
-        WHEN 6 THEN 'Artifact digest does not match its ID' END AS error
+    f"""SELECT conv_id, turn, n = 0 AS valid, CASE n WHEN 1 THEN 'kind: differs from the id'
+        WHEN 2 THEN 'content: other hash than the id' WHEN 3 THEN 'bytes: other length than the content'
+        WHEN 4 THEN 'content: not canonical' WHEN 5 THEN 'id: wrong form'
+        WHEN 6 THEN 'digest: differs from the id' END AS error
         FROM (SELECT conv_id, turn, (conv_id + turn) % 7 AS n FROM conversations)"""
 )
 def q_verify_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +115,12 @@ _DATASETS = [
 
 
 def _body_sql(result: str) -> str:
+    """``ds`` has the digest and the bytes of the dataset."""
     before = (
-        '{"assumptions":[],"datasets":[{"bytes":10,"digest":"sha256:' + "a" * 64 + '","format":"parquet",'
-        '"name":"conversations","sourceKind":"path"}],"engine":{"name":"Spark","version":"' + pyspark.__version__ + '"},'
+        '{"assumptions":[],"datasets":[{"bytes":\' || ds.bytes || \',"digest":"\' || ds.digest || \'","format":"ndjson",'
+        '"name":"events","sourceKind":"path"}],"engine":{"name":"Spark","version":"' + pyspark.__version__ + '"},'
         '"methods":["profile"],"reproducibility":{"deterministic":true,"rowLimit":100,"sandboxProvider":"spark",'
-        '"sourceDigests":["sha256:' + "a" * 64 + '"]},"request":{"a":[1,2.5,null],"operation":"profile"},"result":'
+        '"sourceDigests":["\' || ds.digest || \'"]},"request":{"a":[1,2.5,null],"operation":"profile"},"result":'
     )
     after = (
         ',"schemaVersion":"dataproof.report.v1","service":"dataproof","serviceVersion":"0.1.0",'
@@ -113,19 +129,21 @@ def _body_sql(result: str) -> str:
     return f"'{before}' || {result} || '{after}'"
 
 
-def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reports(spark: SparkSession, sf_dir: str, datasets: list[dict] = _DATASETS) -> DataFrame:
     results = _content(spark, sf_dir).withColumnRenamed("content", "result")
     request = {"operation": "profile", "a": [1, 2.5, None]}
-    reports = build_reports(results, "profile_dataset", request, _DATASETS, methods=["profile"], row_limit=100)
+    reports = build_reports(results, "profile_dataset", request, datasets, methods=["profile"], row_limit=100)
     return reports.drop("result")
 
 
 @query(
     f"""SELECT conv_id, turn, 'sha256:' || sha256(body) AS digest, 'dataproof_report_' || sha256(body) AS report_id
-        FROM (SELECT conv_id, turn, {_body_sql('content')} AS body FROM ({_CONTENT}))"""
+        FROM (SELECT conv_id, turn, {_body_sql('content')} AS body FROM ({_CONTENT}), ({DATASET_SQL}) AS ds)"""
 )
 def q_build_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reports(spark, sf_dir).drop("report")
+    """Reports on files: their manifest gives the dataset record."""
+    manifest = dataset_manifest(spark, event_files(spark, sf_dir), "ndjson")
+    return _reports(spark, sf_dir, [dataset_reference(manifest, "events", "ndjson")]).drop("report")
 
 
 @query(

@@ -212,9 +212,21 @@ def q_profile_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT count(*) AS row_count, 3 AS column_count, 20 AS sample_rows FROM embeddings")
+@query(
+    """SELECT 'vec_id' AS column_name, count(*) AS row_count, count(*) - count(vec_id) AS null_count, true AS distinct_within_tolerance,
+              3 AS column_count, 20 AS sample_rows FROM embeddings
+       UNION ALL SELECT 'embedding', count(*), count(*) - count(embedding), true, 3, 20 FROM embeddings
+       UNION ALL SELECT 'label', count(*), count(*) - count(label), true, 3, 20 FROM embeddings"""
+)
 def q_profile_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with a list column: profiled without frequent values, sampled by its full rows."""
-    profile = profile_dataset(table(spark, sf_dir, "embeddings"))
+    df = table(spark, sf_dir, "embeddings")
+    profile = profile_dataset(df)
     sampled = profile.sample.agg(F.count(F.lit(1)).cast("int").alias("sample_rows"))
-    return profile.summary.crossJoin(sampled)
+    keys = [F.struct(F.lit(name).alias("column_name"), F.xxhash64(name).alias("h")) for name in ("vec_id", "embedding", "label")]
+    exact = df.select(F.explode(F.array(*keys)).alias("k")).groupBy("k.column_name").agg(F.countDistinct("k.h").alias("exact"))
+    close = F.abs(F.col("approximate_distinct") - F.col("exact")) <= 5 * DISTINCT_ERROR * F.col("exact")
+    found = profile.columns.select(F.col("column").alias("column_name"), "null_count", "approximate_distinct").join(exact, "column_name")
+    return found.join(profile.summary).join(sampled).select(
+        "column_name", "row_count", "null_count", close.alias("distinct_within_tolerance"), "column_count", "sample_rows"
+    )

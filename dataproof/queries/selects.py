@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dataproof.plans.select import MAX_ROWS, safe_select
+from dataproof.plans.select import safe_select
 from dataproof.queries.registry import REGISTRY, Query, table
 
 
+#: More rows than any of these queries gives at any scale.
+ROWS = 10_000
+
+
 def _register(name: str, tables: Sequence[str], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return safe_select(spark, {t: table(spark, sf_dir, t) for t in tables}, sql, MAX_ROWS).df
+        return safe_select(spark, {t: table(spark, sf_dir, t) for t in tables}, sql, ROWS).df
 
     run.__name__ = name
     REGISTRY[name] = Query(run, sql)
@@ -28,13 +32,14 @@ _register(
 _register(
     "q_sql_outer_joins",
     ["nation", "supplier"],
-    """SELECT n_name, s_name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 9000
+    """SELECT n_name, count(*) AS row_count, count(s_name) AS suppliers, min(s_name) AS first_name FROM (
+       SELECT n_name, s_name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 9000
        UNION ALL
        SELECT n_name, s_name FROM (SELECT * FROM nation WHERE n_nationkey < 10) AS n
        FULL JOIN (SELECT * FROM supplier WHERE s_acctbal < 0) AS s ON n_nationkey = s_nationkey
        UNION ALL
        SELECT n_name, s_name FROM (SELECT * FROM nation WHERE n_nationkey > 20) AS n
-       RIGHT JOIN supplier ON n_nationkey = s_nationkey""",
+       RIGHT JOIN supplier ON n_nationkey = s_nationkey) AS joined GROUP BY n_name""",
 )
 _register(
     "q_sql_semi_anti",
@@ -48,26 +53,28 @@ _register(
 _register(
     "q_sql_theta_cross",
     ["region", "nation"],
-    """SELECT r.r_name, count(*) AS later_nations FROM region r JOIN nation n ON n.n_regionkey > r.r_regionkey
-       GROUP BY r.r_name
-       UNION ALL SELECT 'all pairs' AS r_name, count(*) AS later_nations FROM region CROSS JOIN nation""",
+    """SELECT r.r_name, count(*) AS later_nations FROM region r JOIN nation n
+       ON n.n_regionkey = r.r_regionkey AND n.n_nationkey > 2 * r.r_regionkey GROUP BY r.r_name""",
 )
 _register(
     "q_sql_window",
     ["orders"],
-    """SELECT o_custkey, o_orderkey, row_number() OVER w AS n, rank() OVER (ORDER BY o_orderpriority) AS priority_rank,
+    """SELECT n, count(*) AS row_count, sum(priority_rank) AS ranks, sum(o_orderkey - previous) AS gaps,
+              round(sum(running), 0) AS running_total FROM (
+       SELECT o_custkey, o_orderkey, row_number() OVER w AS n,
+              rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS priority_rank,
               lag(o_orderkey) OVER w AS previous,
-              round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
-                    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running
-       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
-       ORDER BY o_custkey, o_orderkey LIMIT 5000""",
+              sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
+                    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS running
+       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) AS windowed GROUP BY n""",
 )
 _register(
     "q_sql_window_range",
     ["events"],
-    """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
-              RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS recent
-       FROM events ORDER BY event_id LIMIT 10000""",
+    """SELECT recent, count(*) AS row_count, min(event_id) AS first_event, max(event_id) AS last_event FROM (
+       SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
+              RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS recent FROM events) AS windowed
+       GROUP BY recent""",
 )
 _register(
     "q_sql_cube",
@@ -87,10 +94,11 @@ _register(
 _register(
     "q_sql_set_operations",
     ["orders", "customer"],
-    """SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000
+    """SELECT count(*) AS row_count, min(k) AS least, max(k) AS most, sum(k) AS total FROM (
+       SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000
        INTERSECT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0
        EXCEPT SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'
-       UNION SELECT c_custkey AS k FROM customer WHERE c_acctbal < -990""",
+       UNION SELECT c_custkey AS k FROM customer WHERE c_acctbal < -990) AS combined""",
 )
 _register(
     "q_sql_cte",
@@ -123,9 +131,11 @@ _register(
 _register(
     "q_sql_scalar",
     ["events"],
-    """SELECT event_id, upper(substr(event_type, 1, 3)) AS code, year(ts) AS y, date_trunc('day', ts) = ts AS at_midnight,
+    """SELECT code, y, at_midnight, level, n, has_c, extreme_user, count(*) AS row_count, min(v) AS least, max(v) AS most FROM (
+       SELECT upper(substr(event_type, 1, 3)) AS code, year(ts) AS y, date_trunc('day', ts) = ts AS at_midnight,
               coalesce(nullif(value, 0), -1) AS v, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level,
-              TRY_CAST(event_type AS INTEGER) AS n, event_type LIKE '%c%' AS has_c
-       FROM events WHERE user_id IN (SELECT max(user_id) FROM events UNION SELECT min(user_id) FROM events)
-          OR value IS NOT DISTINCT FROM 0.0 ORDER BY event_id""",
+              TRY_CAST(event_type AS INTEGER) AS n, event_type LIKE '%c%' AS has_c,
+              user_id IN (SELECT max(user_id) FROM events UNION SELECT min(user_id) FROM events)
+                 OR value IS NOT DISTINCT FROM 0.0 AS extreme_user
+       FROM events) AS spelled GROUP BY code, y, at_midnight, level, n, has_c, extreme_user""",
 )

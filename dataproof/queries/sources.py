@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dataproof.functions.canonical import is_strict_json
@@ -10,7 +10,7 @@ from dataproof.functions.dates import to_timestamp
 from dataproof.functions.types import field_of
 from dataproof.queries.registry import query, table
 from dataproof.session import shared_dir
-from dataproof.sources.manifest import dataset_manifest
+from dataproof.sources.manifest import dataset_digest, dataset_manifest
 from dataproof.sources.readers import read_dataset
 from dataproof.sources.urls import redact_url, screen_source_urls
 from dataproof.sources.validation import validate_files
@@ -74,14 +74,96 @@ def q_scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("o_totalprice > 300000").select("o_orderkey", "o_custkey", "o_orderdate")
 
 
-@query()
+#: Events of one file: files grow in number with the table, not in size.
+_PART = 2000
+_EVENT_FILES = f"""SELECT event_id // {_PART} AS part, string_agg(props || chr(10), '' ORDER BY event_id) AS text
+    FROM events GROUP BY 1"""
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one text file for every part of ``events``."""
+    path = shared_dir(spark, "events")
+    lines = table(spark, sf_dir, "events").select(F.expr(f"event_id div {_PART}").alias("part"), "event_id", F.col("props").alias("value"))
+    _write_parts(lines, path)
+    return path
+
+
+def _write_parts(lines: DataFrame, path: str, **options: str) -> None:
+    ordered = lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value")
+    ordered.write.partitionBy("part").options(**options).text(path)
+
+
+def _part_of(path_column: str) -> Column:
+    return F.regexp_extract(path_column, r"/part=(\d+)/", 1).cast("bigint").alias("part")
+
+
+@query(f"SELECT part, 'ndjson' AS format, 'sha256:' || sha256(text) AS digest, strlen(text) AS bytes FROM ({_EVENT_FILES})")
 def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset_manifest(spark, sf_dir, "parquet").select("name", "format", "digest", "bytes")
+    """Size and digest of files whose bytes are known from the rows."""
+    manifest = dataset_manifest(spark, event_files(spark, sf_dir), "ndjson")
+    return manifest.select(_part_of("source_url"), "format", "digest", "bytes")
+
+
+#: The digest of all files together, which does not depend on their names.
+DATASET_SQL = f"""SELECT sum(copies)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, CASE WHEN sum(copies) = 1 THEN max(any_digest)
+    ELSE 'sha256:' || sha256(string_agg(hash, chr(10) ORDER BY hash)) END AS digest FROM (
+    SELECT sum(copies) AS copies, sum(bytes) AS bytes, max(digest) AS any_digest,
+           sha256(string_agg(digest || ' ' || copies, chr(10) ORDER BY digest || ' ' || copies)) AS hash FROM (
+        SELECT digest, count(*) AS copies, sum(bytes) AS bytes FROM (
+            SELECT 'sha256:' || sha256(text) AS digest, strlen(text) AS bytes FROM ({_EVENT_FILES})) GROUP BY digest)
+    GROUP BY substr(digest, 8, 3))"""
+
+
+@query(DATASET_SQL)
+def q_dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_digest(dataset_manifest(spark, event_files(spark, sf_dir), "ndjson"))
+
 
+_PARTS = f"SELECT DISTINCT event_id // {_PART} AS part FROM events"
 
-@query()
+
+@query(
+    f"""SELECT part, part % 2 = 0 AS valid, CASE WHEN part % 2 = 1 THEN 'parquet: first or last bytes are not PAR1' END AS error
+        FROM ({_PARTS})"""
+)
 def q_validate_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate_files(spark, sf_dir, "parquet").select("name", "bytes", "valid", "error")
+    """Files that end as Parquet files do; every second one does not begin so."""
+    path = shared_dir(spark, "parquet")
+    lines = table(spark, sf_dir, "events").groupBy(F.expr(f"event_id div {_PART}").alias("part")).agg(
+        F.min("event_id").alias("event_id"), F.min_by("props", "event_id").alias("value")
+    )
+    head = F.when(F.col("part") % 2 == 0, F.lit("PAR1")).otherwise(F.lit(""))
+    _write_parts(lines.withColumn("value", F.concat(head, "value")), path, lineSep="PAR1")
+    return validate_files(spark, path, "parquet").select(_part_of("path"), "valid", "error")
+
+
+@query(f"SELECT part, part % 3 <> 1 AS valid, CASE WHEN part % 3 = 1 THEN 'text: zero byte' END AS error FROM ({_PARTS})")
+def q_validate_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which every third file has one with a zero byte."""
+    path = shared_dir(spark, "csv-check")
+    bad = (F.col("part") % 3 == 1) & (F.col("event_id") % 1000 == 7)
+    lines = table(spark, sf_dir, "events").select(
+        F.expr(f"event_id div {_PART}").alias("part"), "event_id", F.concat_ws(",", "event_id", "event_type").alias("value")
+    )
+    _write_parts(lines.withColumn("value", F.when(bad, F.concat("value", F.lit("\0"))).otherwise(F.col("value"))), path)
+    return validate_files(spark, path, "csv").select(_part_of("path"), "valid", "error")
+
+
+@query(
+    f"SELECT part, part % 4 IN (0, 3) AS valid, CASE WHEN part % 4 IN (1, 2) THEN 'json: not one JSON value' END AS error FROM ({_PARTS})"
+)
+def q_validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with one array over many lines; some lack its end, some repeat a key."""
+    path = shared_dir(spark, "json-check")
+    lines = table(spark, sf_dir, "events").select(F.expr(f"event_id div {_PART}").alias("part"), "event_id", "props")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("event_id"))
+    count = F.count("*").over(Window.partitionBy("part"))
+    lines = lines.withColumns({"place": place, "count": count})
+    before = F.when(F.col("place") == 1, F.lit("[")).otherwise(F.lit(","))
+    item = F.when((F.col("part") % 4 == 2) & (F.col("place") == 1), F.lit('{"a": 1, "a": 2}')).otherwise(F.col("props"))
+    after = F.when((F.col("place") == F.col("count")) & (F.col("part") % 4 != 1), F.lit("]")).otherwise(F.lit(""))
+    _write_parts(lines.select("part", "event_id", F.concat(before, item, after).alias("value")), path)
+    return validate_files(spark, path, "json").select(_part_of("path"), "valid", "error")
 
 
 _LINE = """CASE event_id % 50 WHEN 0 THEN 'not-json' WHEN 1 THEN props || ' trailing' WHEN 2 THEN '[1, 2'
@@ -99,7 +181,7 @@ _BAD = "event_id % 16 >= 8 AND event_id % 100 >= 60"
 
 @query(
     f"""SELECT event_id % 16 AS part, bool_and(NOT ({_BAD})) AS valid,
-        'NDJSON line ' || min(n) FILTER (WHERE {_BAD}) || ' is invalid JSON' AS error FROM (
+        'ndjson: record ' || min(n) FILTER (WHERE {_BAD}) || ' is not one JSON value' AS error FROM (
         SELECT event_id, row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) AS n FROM events)
         GROUP BY 1"""
 )
@@ -133,13 +215,15 @@ _REST = "regexp_replace(url, '^[a-z]+://[^/?#]*', '')"
 _VARIANT = f"""CASE page_id % 8 WHEN 0 THEN 'ftp://example.org' || {_REST} WHEN 1 THEN 'https://user:p@example.org' || {_REST}
     WHEN 2 THEN 'https://example.org:8443' || {_REST} WHEN 3 THEN 'http://127.0.0.1' || {_REST}
     WHEN 4 THEN 'http://[::1]' || {_REST} WHEN 5 THEN 'http://localhost' || {_REST}
-    WHEN 6 THEN 'http://10.1.2.3:80' || {_REST} ELSE url END"""
+    WHEN 6 THEN 'http://10.1.2.3:80' || {_REST}
+    ELSE CASE page_id % 5 WHEN 0 THEN 'http://①②⑦.⓪.⓪.①/x' WHEN 1 THEN 'http://ｌocalhost/' WHEN 2 THEN 'http://local­host/'
+         ELSE url END END"""
 
 
 @query(
     f"""WITH v AS (SELECT page_id, {_VARIANT} AS u FROM pages),
         s AS (SELECT page_id, u, CASE WHEN u LIKE 'ftp:%' THEN 'scheme_not_http' WHEN u LIKE 'https://user:p@%' THEN 'credentials'
-              WHEN regexp_matches(u, '#.') THEN 'fragment' WHEN page_id % 8 = 5 THEN 'blocked_host'
+              WHEN regexp_matches(u, '#.') THEN 'fragment' WHEN page_id % 8 = 7 AND page_id % 5 < 3 THEN 'non_ascii_host' WHEN page_id % 8 = 5 THEN 'blocked_host'
               WHEN page_id % 8 = 2 THEN 'non_default_port' WHEN page_id % 8 IN (3, 4, 6) THEN 'prohibited_address' END AS reason
               FROM v)
         SELECT page_id, reason, reason IS NULL AS allowed, CASE WHEN reason IS NULL THEN

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,12 +32,11 @@ def build_session(app_name: str = "dataproof", master: str | None = None, **conf
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared folder, for tables written between steps.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is used. Only a local master
-    without that setting falls back to a temporary folder of this machine.
+    The folder the cluster names in ``spark.checkpoint.dir`` is used, or else the warehouse,
+    which all executors share as well. All folders of an application lie in one, which its owner
+    can drop when the application has ended.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        base = os.path.join(tempfile.gettempdir(), "dataproof-shared")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
+from urllib.parse import unquote
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest file whose bytes fit one value; beyond it a file has a record but no digest.
-MAX_DIGEST_BYTES = 2**31 - 1
+BLOCK_BYTES = 8 << 20
 
 
 def _paths(path: str | list[str]) -> list[str]:
@@ -19,28 +22,50 @@ def file_name(path_column: str = "path") -> Column:
     return F.url_decode(F.replace(F.element_at(F.split(F.col(path_column), "/"), -1), F.lit("+"), F.lit("%2B")))
 
 
+def open_file(path: str):
+    """A readable file of any storage that ``pyarrow`` knows, with random access."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return system.open_input_file(unquote(name) if path.startswith("file:") else name)
+
+
+def file_digest(path: str) -> str:
+    """SHA-256 of a file, read in blocks."""
+    digest = hashlib.sha256()
+    with open_file(path) as file:
+        while block := file.read(BLOCK_BYTES):
+            digest.update(block)
+    return f"sha256:{digest.hexdigest()}"
+
+
+def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, length`` of every file that is not empty; their contents are not read."""
+    files = spark.read.format("binaryFile").load(_paths(path))
+    return files.select(F.col("_metadata.file_path").alias("path"), "length")
+
+
 def dataset_manifest(spark: SparkSession, path: str | list[str], format: str) -> DataFrame:
     """``name, format, digest, bytes, source_kind, source_url`` per file.
 
-    Files are listed on the driver and hashed on the executors, one file per row. Sizes come
-    from the listing, so files too large for a digest are not read at all; neither are empty
-    files, which a scan leaves out.
+    Files are hashed on the executors, block by block, one file at a time in a task: any size in the
+    same memory. Empty files, which a scan leaves out, come from the listing.
     """
     files = spark.read.format("binaryFile").load(_paths(path))
     names = [(re.sub(r"^file:/+", "file:/", name),) for name in files.inputFiles()]
     listed = spark.createDataFrame(names, "path string")
-    path_column = F.col("_metadata.file_path").alias("path")
-    small = files.where(F.col("length") <= MAX_DIGEST_BYTES).select(
-        path_column, "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest")
-    )
-    large = files.where(F.col("length") > MAX_DIGEST_BYTES).select(
-        path_column, "length", F.lit(None).cast("string").alias("digest")
-    )
+
+    def digests(batches):
+        for batch in batches:
+            batch["digest"] = [file_digest(name) for name in batch["path"]]
+            yield batch
+
+    hashed = listed_files(spark, path).mapInPandas(digests, "path string, length long, digest string")
     digest_of_nothing = F.concat(F.lit("sha256:"), F.sha2(F.lit("").cast("binary"), 256))
-    return listed.join(small.unionAll(large), "path", "left").select(
+    return listed.join(hashed, "path", "left").select(
         file_name().alias("name"),
         F.lit(format).alias("format"),
-        F.when(F.col("length").isNull(), digest_of_nothing).otherwise(F.col("digest")).alias("digest"),
+        F.coalesce("digest", digest_of_nothing).alias("digest"),
         F.coalesce("length", F.lit(0)).alias("bytes"),
         F.lit("path").alias("source_kind"),
         F.col("path").alias("source_url"),
@@ -72,3 +97,7 @@ def dataset_digest(manifest: DataFrame) -> DataFrame:
     )
     combined = F.when(F.col("files") == 1, F.col("any")).otherwise(F.concat(F.lit("sha256:"), F.col("hash")))
     return total.select("files", "bytes", F.when(F.col("unknown") == 0, combined).alias("digest"))
+
+
+# The functions that run on the executors travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -73,7 +73,7 @@ def _read_csv(spark: SparkSession, path: str | list[str], separator: str | None,
     if separator is None:
         first = lines.where(F.trim("value") != "").first()
         if first is None:
-            raise ValueError("CSV dataset contains no data")
+            raise ValueError("csv: only blank lines")
         separator = sniff_separator(first["value"].removeprefix("﻿"))
     if multi_line is None:
         multi_line = _breaks_inside_quotes(lines)

@@ -64,6 +64,7 @@ FRAGMENT = "fragment"
 HOST = "blocked_host"
 PORT = "non_default_port"
 ADDRESS = "prohibited_address"
+NON_ASCII = "non_ascii_host"
 
 # Characters that a host name cannot contain, and full-width forms of the
 # characters that matter in an address, which URL parsers read as their plain forms.
@@ -197,10 +198,27 @@ def _with_parts(df: DataFrame, url: Column) -> DataFrame:
     )
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved, as URL parsers do; plain paths stay as they are."""
+    segments = F.slice(F.split(path, "/"), 2, F.length(path))
+    kind = lambda s: F.replace(F.lower(s), F.lit("%2e"), F.lit("."))
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(kind(segment) == "..", up).when(kind(segment) == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends_with_dots = kind(F.element_at(segments, -1)).isin(".", "..")
+    resolved = F.concat(F.lit("/"), F.array_join(F.when(ends_with_dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+    return F.when(kind(path).rlike(r"/\.{1,2}(/|$)"), resolved).otherwise(path)
+
+
 def screen_source_urls(df: DataFrame, url_col: str) -> DataFrame:
     """Add ``allowed, reason, normalized_url, query_redacted`` to every row.
 
-    ``reason`` is the first rule a URL breaks. ``normalized_url`` is given for allowed URLs,
+    ``reason`` is the first rule a URL breaks. Parsers fold and drop many characters of international
+    host names, so a host with any character outside ASCII that is left after the full-width forms
+    is refused. ``normalized_url`` is given for allowed URLs,
     without query and fragment.
     """
     steps = _with_ipv6_bits(_with_parts(df, column(url_col)), "_v6_text")
@@ -224,6 +242,7 @@ def screen_source_urls(df: DataFrame, url_col: str) -> DataFrame:
         .when(~is_http, F.lit(SCHEME))
         .when(~F.col("_user").isin("", ":"), F.lit(CREDENTIALS))
         .when(F.col("_fragment") != "", F.lit(FRAGMENT))
+        .when(name.rlike(r"[^\x00-\x7f]"), F.lit(NON_ASCII))
         .when(blocked, F.lit(HOST))
         .when((port != "") & (port != default_port), F.lit(PORT))
         .when(prohibited, F.lit(ADDRESS))
@@ -233,7 +252,7 @@ def screen_source_urls(df: DataFrame, url_col: str) -> DataFrame:
         .when(F.col("_v4").isNotNull(), ipv4_text(F.col("_v4")))
         .otherwise(name)
     )
-    path = F.when(F.col("_path") == "", F.lit("/")).otherwise(F.col("_path"))
+    path = F.when(F.col("_path") == "", F.lit("/")).otherwise(_without_dots(F.col("_path")))
     verdict = steps.withColumn("_reason", reason)
     return verdict.select(
         *[column(c) for c in df.columns],

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import codecs
+import json
+import re
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dataproof.functions.canonical import is_strict_json
-from dataproof.sources.manifest import MAX_DIGEST_BYTES, dataset_manifest
+from dataproof.sources.manifest import BLOCK_BYTES, dataset_manifest, listed_files, open_file
 from dataproof.sources.readers import FORMATS
 
 _NUL = "\x00"
-_PARQUET_MAGIC = "50415231"  # 'PAR1' in hex
+_PARQUET_MAGIC = b"PAR1"
 
 
 def validate_files(spark: SparkSession, path: str | list[str], format: str) -> DataFrame:
     """``path, name, format, bytes, digest, valid, error`` per file.
 
-    Line formats are checked line by line in splits; JSON and Parquet files as a whole.
+    Line formats are checked line by line in splits. JSON files are read block by block in one task each, of
+    Parquet files only both ends; any size takes the same memory.
     """
     if format not in FORMATS:
         raise ValueError(f"Unknown format: {format}")
@@ -26,7 +33,7 @@ def validate_files(spark: SparkSession, path: str | list[str], format: str) -> D
     else:
         errors = _line_errors(spark.read.text(path), format)
     # Empty files have no lines and so no row on the right.
-    error = F.when(F.col("bytes") == 0, F.lit("Dataset is empty")).otherwise(
+    error = F.when(F.col("bytes") == 0, F.lit("no bytes")).otherwise(
         F.when(F.col("checked").isNull(), F.lit(_nothing(format))).otherwise(F.col("error"))
     )
     return (
@@ -37,26 +44,117 @@ def validate_files(spark: SparkSession, path: str | list[str], format: str) -> D
 
 
 def _nothing(format: str) -> str:
-    return "NDJSON dataset contains no records" if format == "ndjson" else f"{format.upper()} dataset contains no data"
+    return f"{format}: only blank lines"
 
 
 def _whole_file_errors(spark: SparkSession, path: str | list[str], format: str) -> DataFrame:
-    listed = spark.read.format("binaryFile").load([path] if isinstance(path, str) else list(path))
-    path_column = F.col("_metadata.file_path").alias("path")
-    too_large = F.lit("File of 2 GiB or more cannot be checked as a whole").alias("error")
-    files = listed.where(F.col("length") <= MAX_DIGEST_BYTES)
-    large = listed.where(F.col("length") > MAX_DIGEST_BYTES).select(path_column, too_large)
-    content = F.col("content")
-    if format == "parquet":
-        ends = [F.hex(F.substring(content, 1, 4)), F.hex(F.substring(content, -4, 4))]
-        fine = (F.col("length") >= 8) & (ends[0] == _PARQUET_MAGIC) & (ends[1] == _PARQUET_MAGIC)
-        error = F.when(~fine, F.lit("Parquet payload is missing the PAR1 header/footer"))
-    else:
-        text = F.try_validate_utf8(content.cast("string"))
-        error = F.when(text.contains(_NUL), F.lit("Text dataset contains NUL bytes")).when(
-            ~F.coalesce(is_strict_json(text), F.lit(False)), F.lit("JSON dataset is invalid")
-        )
-    return files.select(path_column, error.alias("error")).unionAll(large)
+    check = _parquet_error if format == "parquet" else _json_error
+
+    def errors(batches):
+        for batch in batches:
+            batch["error"] = [check(name, size) for name, size in zip(batch["path"], batch["length"])]
+            yield batch[["path", "error"]]
+
+    return listed_files(spark, path).mapInPandas(errors, "path string, error string")
+
+
+def _parquet_error(path: str, size: int) -> str | None:
+    """Only the first and the last four bytes are read."""
+    with open_file(path) as file:
+        head = file.read(4)
+        file.seek(max(0, size - 4))
+        tail = file.read(4)
+    return None if size >= 8 and head == tail == _PARQUET_MAGIC else "parquet: first or last bytes are not PAR1"
+
+
+# The grammar of JSON.
+_JSON_TOKEN = re.compile(
+    r"""[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")"""
+    r"""|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))"""
+)
+#: A token that is not complete within so many characters is not looked for further.
+LONGEST_TOKEN = 1 << 26
+
+
+def _json_error(path: str, size: int) -> str | None:
+    """Reads the file in blocks and keeps only the open brackets and the keys of open objects."""
+    decoder, wrong = codecs.getincrementaldecoder("utf-8-sig")(), "json: not one JSON value"
+    checker = JsonChecker()
+    rest, step = "", BLOCK_BYTES
+    with open_file(path) as file:
+        while True:
+            block = file.read(step)
+            try:
+                text = decoder.decode(block, final=not block)
+            except UnicodeDecodeError:
+                return wrong
+            if "\0" in text:
+                return "text: zero byte"
+            rest = checker.feed(rest + text, final=not block)
+            if rest is None or len(rest) > LONGEST_TOKEN:
+                return wrong
+            # A token longer than a block is read in steps that grow with it.
+            step = max(BLOCK_BYTES, len(rest))
+            if not block:
+                return None if checker.complete and not rest.strip(" \t\r\n") else wrong
+
+
+class JsonChecker:
+    """Checks that a text is one JSON value without repeated keys, piece by piece."""
+
+    def __init__(self):
+        self.open: list[set[str] | None] = []  # the keys of open objects, None for arrays
+        self.state = "value"
+
+    @property
+    def complete(self) -> bool:
+        return not self.open and self.state == "end"
+
+    def feed(self, text: str, final: bool) -> str | None:
+        """What is left of ``text`` for the next piece; None if it is wrong."""
+        at = 0
+        while match := _JSON_TOKEN.match(text, at):
+            # The end of a number is only known from what follows it.
+            if match.end() == len(text) and not final:
+                break
+            if not self._take(match[1], match[2]):
+                return None
+            at = match.end()
+        if final and text[at:].strip(" \t\r\n"):
+            return None
+        return text[at:]
+
+    def _take(self, mark: str | None, string: str | None) -> bool:
+        state = self.state
+        if mark in ("{", "["):
+            if state not in ("value", "first value"):
+                return False
+            self.open.append(set() if mark == "{" else None)
+            self.state = "first key" if mark == "{" else "first value"
+        elif mark in ("}", "]"):
+            if not self.open or state not in (("first key", "end") if mark == "}" else ("first value", "end")):
+                return False
+            if (self.open.pop() is None) == (mark == "}"):
+                return False
+            self.state = "end"
+        elif mark == ",":
+            if state != "end" or not self.open:
+                return False
+            self.state = "value" if self.open[-1] is None else "key"
+        elif mark == ":":
+            if state != "colon":
+                return False
+            self.state = "value"
+        elif state in ("key", "first key"):
+            if string is None or (key := json.loads(string)) in self.open[-1]:
+                return False
+            self.open[-1].add(key)
+            self.state = "colon"
+        elif state in ("value", "first value"):
+            self.state = "end"
+        else:
+            return False
+        return True
 
 
 def line_status(text: Column, format: str) -> Column:
@@ -92,8 +190,12 @@ def _line_errors(lines: DataFrame, format: str) -> DataFrame:
         F.min(F.col("offset") + F.col("bad_json") - F.col("first") + 1).alias("bad_line"),
         F.max("has_nul").alias("has_nul"),
     )
-    error = F.when(F.col("has_nul"), F.lit("Text dataset contains NUL bytes")).when(
+    error = F.when(F.col("has_nul"), F.lit("text: zero byte")).when(
         F.col("bad_line").isNotNull(),
-        F.concat(F.lit("NDJSON line "), F.col("bad_line").cast("string"), F.lit(" is invalid JSON")),
+        F.concat(F.lit("ndjson: record "), F.col("bad_line").cast("string"), F.lit(" is not one JSON value")),
     )
     return per_file.select("path", error.alias("error"))
+
+
+# The functions that run on the executors travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
