@@ -222,15 +222,16 @@ def _names_the_clock(literal: Any) -> bool:
     return bool(_CLOCK_WORDS.search(text))
 
 
-def _casts_the_clock(cast: Any) -> bool:
+def _reads_the_clock(expression: Any) -> bool:
     """Whether a constant text such as ``'now'`` becomes a date or time."""
-    child = cast.child()
-    if cast.dataType().typeName() not in _DATETIMES or not child.dataType().typeName().startswith("string"):
+    if expression.dataType().typeName() not in _DATETIMES:
         return False
-    if not child.foldable() or not child.resolved():
-        return False
-    value = child.eval(None)
-    return value is not None and bool(_CLOCK_WORDS.search(str(value)))
+    for child in _items(expression.children()):
+        if child.dataType().typeName().startswith("string") and child.foldable():
+            value = child.eval(None)
+            if value is not None and _CLOCK_WORDS.search(str(value)):
+                return True
+    return False
 
 
 def check_analyzed(df: DataFrame, tables: set[str]) -> None:
@@ -244,7 +245,7 @@ def check_analyzed(df: DataFrame, tables: set[str]) -> None:
             if name not in ("View", *_FREE_LEAVES) and not node.children().size():
                 raise PolicyError(f"{name} reads from outside the registered tables")
             continue
-        if name == "Cast" and _casts_the_clock(node):
+        if name.startswith(("Cast", "ParseTo", "GetTimestamp")) and _reads_the_clock(node):
             raise PolicyError("A date text names the clock, which is volatile or non-reproducible")
         if name in EXTERNAL_EXPRESSIONS:
             raise PolicyError(f"Expression {name} reaches outside the query")

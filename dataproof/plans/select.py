@@ -34,7 +34,7 @@ class SelectResult:
     deterministic: bool
     row_limit: int
     _query: DataFrame
-    max_bytes: int = MAX_RESULT_BYTES
+    max_bytes: int
 
     def truncated(self) -> bool:
         """Whether the query has more rows than the limit; reads one row beyond it at most."""
@@ -81,7 +81,7 @@ def _collect(df: DataFrame, timeout_seconds: float | None) -> list[Row]:
 
 
 def safe_select(
-    spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, row_limit: int = DEFAULT_ROWS, *, max_bytes: int = MAX_RESULT_BYTES
+    spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, row_limit: int = DEFAULT_ROWS, *, max_bytes: int | None = None
 ) -> SelectResult:
     """Check a query against the read-only policy and plan it with a row limit.
 
@@ -94,4 +94,4 @@ def safe_select(
     text, deterministic = check_parsed(session, sql, set(tables))
     query = session.sql(text)
     check_analyzed(query, set(tables))
-    return SelectResult(query.limit(row_limit), deterministic, row_limit, query, max_bytes)
+    return SelectResult(query.limit(row_limit), deterministic, row_limit, query, MAX_RESULT_BYTES if max_bytes is None else max_bytes)

@@ -72,6 +72,7 @@ _JSON_TOKEN = re.compile(
     r"""[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")"""
     r"""|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))"""
 )
+_IN_NUMBER = re.compile(r"[0-9.eE+-]*")
 #: A token that is not complete within so many characters is not looked for further.
 LONGEST_TOKEN = 1 << 26
 
@@ -114,8 +115,8 @@ class JsonChecker:
         """What is left of ``text`` for the next piece; None if it is wrong."""
         at = 0
         while match := _JSON_TOKEN.match(text, at):
-            # The end of a number is only known from what follows it.
-            if match.end() == len(text) and not final:
+            # The end of a number or a word is only known from what follows it.
+            if match[3] and not final and _IN_NUMBER.match(text, match.end()).end() == len(text):
                 break
             if not self._take(match[1], match[2]):
                 return None

@@ -12,7 +12,7 @@ from dataproof.functions.hashing import portable_row_hash
 from dataproof.functions.rendering import render
 from dataproof.operators import quantiles
 from dataproof.operators.frequencies import exact_distinct, top_values
-from dataproof.operators.profile import column_statistics, profile_dataset, stable_sample
+from dataproof.operators.profile import _bracket_frame, column_statistics, profile_dataset, stable_sample
 
 
 @pytest.fixture(scope="module")
@@ -91,10 +91,11 @@ def test_non_finite_numbers(spark):
 
 def test_column_limit(spark):
     df = spark.range(5).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(104)])
-    profile = profile_dataset(df)
-    assert profile.columns.count() == 100
-    assert profile.warnings == ("Column statistics limited to the first 100 of 104 columns.",)
-    assert profile.statistics.record("c99")["median"] == 101.0
+    everything = profile_dataset(df)
+    assert everything.columns.count() == 104 and everything.warnings == ()
+    assert everything.statistics.record("c103")["median"] == 105.0
+    limited = profile_dataset(df, max_columns=100)
+    assert limited.columns.count() == 100 and limited.warnings == ("Profiled 100 of 104 columns, as asked.",)
 
 
 def test_odd_column_names(spark):
@@ -161,7 +162,10 @@ def test_approximate_quartiles(spark):
 
 
 def test_quantile_plan_has_no_unbounded_aggregate(spark, sf_dir):
-    """Neither exact percentiles nor collected columns: counting and a ranking of the counts."""
+    """Neither exact percentiles nor collected columns: a sketch, and for values a ranking of their counts."""
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sketched = _bracket_frame(lineitem, lineitem.schema.fields)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in sketched and "collect_list" not in sketched
     top = top_values(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema.fields)
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.count("partial_count") >= 1

@@ -25,6 +25,14 @@ def duck(sf_dir):
     connection.close()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def no_codegen_fallback(spark):
+    """A plan whose generated code is too large for the JVM fails instead of being interpreted."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    yield
+    spark.conf.set("spark.sql.codegen.fallback", "true")
+
+
 def comparable(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(value + 0.0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dataproof import dataset_manifest, read_dataset, redact_url, screen_source_urls, shared_dir, validate_files
 from dataproof.operators.reports import dataset_reference
 from dataproof.sources.readers import sniff_separator
+from dataproof.sources.validation import JsonChecker
 
 
 def put(folder, name, content):
@@ -50,7 +51,7 @@ def test_separator_outside_quotes():
 
 
 def test_empty_csv(spark, folder):
-    with pytest.raises(ValueError, match="no data"):
+    with pytest.raises(ValueError, match="only blank lines"):
         read_dataset(spark, put(folder, "e.csv", "\n\n"), "csv")
 
 
@@ -84,20 +85,20 @@ def test_unknown_format(spark):
     [
         ("ok.json", "json", '[{"id":1}]', None),
         ("scalar.json", "json", " 1 ", None),
-        ("bad.json", "json", "[1,2", "JSON dataset is invalid"),
-        ("tail.json", "json", '{"a":1} x', "JSON dataset is invalid"),
+        ("bad.json", "json", "[1,2", "json: not one JSON value"),
+        ("tail.json", "json", '{"a":1} x', "json: not one JSON value"),
         ("ok.ndjson", "ndjson", '{"id":1}\r\n\r\n[2]\n"x"', None),
-        ("bad.ndjson", "ndjson", '{"id":1}\n  \nnot-json', "NDJSON line 2 is invalid JSON"),
-        ("tail.ndjson", "ndjson", '{"id":1}\n{"id":2}}\n', "NDJSON line 2 is invalid JSON"),
-        ("blank.ndjson", "ndjson", "\n \t\n", "NDJSON dataset contains no records"),
+        ("bad.ndjson", "ndjson", '{"id":1}\n  \nnot-json', "ndjson: record 2 is not one JSON value"),
+        ("tail.ndjson", "ndjson", '{"id":1}\n{"id":2}}\n', "ndjson: record 2 is not one JSON value"),
+        ("blank.ndjson", "ndjson", "\n \t\n", "ndjson: only blank lines"),
         ("ok.csv", "csv", "a,b\n1,2\n", None),
-        ("blank.csv", "csv", " \n", "CSV dataset contains no data"),
-        ("nul.csv", "csv", "a\n\0\n", "Text dataset contains NUL bytes"),
-        ("nul.json", "json", '"\0"', "Text dataset contains NUL bytes"),
-        ("empty.csv", "csv", "", "Dataset is empty"),
-        ("empty.parquet", "parquet", "", "Dataset is empty"),
-        ("short.parquet", "parquet", "PAR1", "Parquet payload is missing the PAR1 header/footer"),
-        ("text.parquet", "parquet", "PAR1 not really", "Parquet payload is missing the PAR1 header/footer"),
+        ("blank.csv", "csv", " \n", "csv: only blank lines"),
+        ("nul.csv", "csv", "a\n\0\n", "text: zero byte"),
+        ("nul.json", "json", '"\0"', "text: zero byte"),
+        ("empty.csv", "csv", "", "no bytes"),
+        ("empty.parquet", "parquet", "", "no bytes"),
+        ("short.parquet", "parquet", "PAR1", "parquet: first or last bytes are not PAR1"),
+        ("text.parquet", "parquet", "PAR1 not really", "parquet: first or last bytes are not PAR1"),
     ],
 )
 def test_validation(spark, folder, name, format, content, error):
@@ -118,7 +119,62 @@ def test_line_numbers_across_splits(spark, folder, sf_dir):
         row = validate_files(spark, path, "ndjson").first()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert row["error"] == f"NDJSON line {1 + sum(1 for line in lines[:15_001] if line)} is invalid JSON"
+    assert row["error"] == f"ndjson: record {1 + sum(1 for line in lines[:15_001] if line)} is not one JSON value"
+
+
+def test_json_is_checked_in_pieces():
+    good = ['{"a":[1,-2.5e3,{"b":"x\\u00e9\\""}],"c":null}', " [] ", "true", "{}", '"a"', "-0.1", '[{"a":1},{"a":2}]']
+    bad = ["", "{", "[1,]", '{"a":1,"a":2}', "[1 2]", "01", "1 2", '{"a"}', '{"a":1]', "nul", "'x'", '"\t"', "[,1]", '{"a":1,}', "]", ":"]
+    for text, fine in [(t, True) for t in good] + [(t, False) for t in bad]:
+        for width in (1, 2, 3, 100):
+            checker, rest = JsonChecker(), ""
+            for i in range(0, len(text), width):
+                if rest is not None:
+                    rest = checker.feed(rest + text[i : i + width], final=False)
+            if rest is not None:
+                rest = checker.feed(rest, final=True)
+            assert (rest is not None and checker.complete and not rest.strip()) == fine, (text, width)
+
+
+def test_files_beyond_two_gibibytes(spark, folder):
+    """Sparse files take no disk; their digests and ends are read like those of any other."""
+    size = 2**31 + 10
+    path = os.path.join(folder, "large.parquet")
+    with open(path, "wb") as file:
+        file.write(b"PAR1")
+        file.truncate(size - 4)
+        file.seek(size - 4)
+        file.write(b"PAR1")
+    row = validate_files(spark, path, "parquet").first()
+    assert row["valid"] and row["bytes"] == size
+    digest = hashlib.sha256(b"PAR1")
+    for _ in range((size - 8) // (1 << 20)):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes((size - 8) % (1 << 20)))
+    digest.update(b"PAR1")
+    assert row["digest"] == "sha256:" + digest.hexdigest()
+
+
+def test_shared_folder_settings(spark):
+    """The checkpoint folder where it is set, or else the warehouse; never a folder of this machine alone."""
+    from types import SimpleNamespace
+
+    def session(**settings):
+        conf = SimpleNamespace(get=lambda key, default=None: settings.get(key.replace(".", "_"), default))
+        context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda key: None), applicationId="app")
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    both = session(spark_checkpoint_dir="/c", spark_sql_warehouse_dir="/w")
+    assert shared_dir(both, "x").startswith("/c/app/x-")
+    assert shared_dir(session(spark_sql_warehouse_dir="/w"), "x").startswith("/w/app/x-")
+
+
+def test_international_hosts_and_dot_segments(spark):
+    urls = ["http://①②⑦.⓪.⓪.①/x", "http://ｌocalhost/", "http://local\u00adhost/", "http://example.org/a/../b/./c", "http://example.org/a/%2E%2e/..", "http://example.org/a..b/.c"]
+    rows = screen_source_urls(spark.createDataFrame([(u,) for u in urls], "u string"), "u").collect()
+    assert [row["reason"] for row in rows] == ["non_ascii_host"] * 3 + [None] * 3
+    assert [row["normalized_url"] for row in rows[3:]] == ["http://example.org/b/c", "http://example.org/", "http://example.org/a..b/.c"]
 
 
 def test_validation_of_many_files(spark, folder):
@@ -126,7 +182,7 @@ def test_validation_of_many_files(spark, folder):
     put(folder, "d/b c.ndjson", "x")
     put(folder, "d/e.ndjson", "")
     found = {row["name"]: row["error"] for row in validate_files(spark, f"{folder}/d", "ndjson").collect()}
-    assert found == {"a.ndjson": None, "b c.ndjson": "NDJSON line 1 is invalid JSON", "e.ndjson": "Dataset is empty"}
+    assert found == {"a.ndjson": None, "b c.ndjson": "ndjson: record 1 is not one JSON value", "e.ndjson": "no bytes"}
 
 
 def test_manifest(spark, folder):
