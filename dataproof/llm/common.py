@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,15 +18,12 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder in the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Where the setting is missing, a local session gets a folder of its own; any other master is
-    an error, because executors could not see each other's files.
+    Where the setting is missing, the warehouse is used, which all executors share as well. All folders
+    of an application lie in one, which its owner can drop when the application has ended.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="dataproof-llm-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
