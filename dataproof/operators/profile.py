@@ -256,9 +256,12 @@ def profile_dataset(
     distinct: str = "approximate",
     approx_quantiles: bool = False,
     row_hash: str = "fast",
+    max_distinct_rate: float | None = None,
 ) -> Profile:
     """Profile a dataset. Statistics are computed here; frequent values and sample stay lazy.
 
+    ``max_distinct_rate`` leaves columns out of the frequent values whose estimated distinct values
+    are a larger part of the rows: their values are all rare, and counting them shuffles them whole.
     ``distinct="exact"`` replaces the estimates of groupable columns by exact counts.
     """
     if distinct not in ("approximate", "exact"):
@@ -270,6 +273,12 @@ def profile_dataset(
         warnings.append(f"Profiled {len(statistics.fields)} of {total} columns, as asked.")
     frame = statistics.frame(df)
     groupable = [f for f in statistics.fields if is_groupable(f.dataType)]
+    if max_distinct_rate is not None:
+        most = max_distinct_rate * statistics.row_count
+        unique = [f.name for f in groupable if statistics.record(f.name)["approximate_distinct"] > most]
+        groupable = [f for f in groupable if f.name not in unique]
+        if unique:
+            warnings.append(f"No frequent values of nearly unique columns, as asked: {', '.join(unique)}.")
     empty_top = "column string, rank int, value string, count bigint"
     top = top_values(df, groupable, top_k) if groupable else df.sparkSession.createDataFrame([], empty_top)
     if distinct == "exact" and groupable:

@@ -148,9 +148,9 @@ def q_build_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT conv_id, turn, n <= 2 AS structure_valid, n IN (0, 2) AS digest_valid, n = 0 AS report_id_valid,
-              n = 0 AS integrity_valid, CASE n WHEN 3 THEN 'report.integrity.algorithm must be ''sha256'''
-              WHEN 4 THEN 'report.body has missing or unsupported properties' WHEN 5 THEN 'report must be JSON'
-              WHEN 6 THEN 'report.body.datasets must be an array of dataset records' END AS error
+              n = 0 AS integrity_valid, CASE n WHEN 3 THEN '$.integrity.algorithm: other_value'
+              WHEN 4 THEN '$.body: other_members' WHEN 5 THEN '$: not_json'
+              WHEN 6 THEN '$.body.datasets: not_dataset_records' END AS error
        FROM (SELECT conv_id, turn, (conv_id + turn) % 7 AS n FROM conversations)"""
 )
 def q_verify_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,3 +222,10 @@ def test_row_hash_tells_nulls_apart(spark):
     df = spark.createDataFrame([(None, 1), (1, None), (None, None), (11, None), (1, 1)], "a int, b int")
     hashed = df.select(portable_row_hash(df.schema.fields).alias("h"))
     assert hashed.distinct().count() == 5
+
+
+def test_nearly_unique_columns_can_be_left_out(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("k"))
+    profile = profile_dataset(df, max_distinct_rate=0.5)
+    assert {r["column"] for r in profile.top_values.collect()} == {"k"}
+    assert profile.warnings == ("No frequent values of nearly unique columns, as asked: id.",)
