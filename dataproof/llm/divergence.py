@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from dataproof.llm.common import settle, whole_text
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Character classes as Java regular expressions; what none of them matches is one more class.
-CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[\s]", r"[.,;:!?'\"()\-]")
+WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+#: Character classes as Java regular expressions. White space is one more class, and so is all the rest.
+CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", SYMBOLS)
+CLASS_NUMBER = len(CLASSES) + 2
 ALL = "*"
 
 
@@ -48,25 +50,33 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda word: word != "")
 
 
-def class_counts(text: Column) -> Column:
-    """How many characters of each class ``text`` has, as an array; the rest comes last."""
+def word_characters(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda total, word: total + F.char_length(word))
+
+
+def class_counts(text: Column, in_words: Column) -> Column:
+    """How many characters of each class ``text`` has, as an array; ``in_words`` of them are not white space."""
+    counted = F.array(*[F.regexp_count(text, F.lit(kind)).cast("long") for kind in CLASSES])
+    spaces = F.char_length(text) - in_words
 
     def with_rest(counts: Column) -> Column:
-        rest = F.char_length(text) - F.aggregate(counts, F.lit(0), lambda total, x: total + x)
-        return F.concat(counts, F.array(rest))
+        rest = in_words - F.aggregate(counts, F.lit(0).cast("long"), lambda total, x: total + x)
+        return F.concat(counts, F.array(spaces, rest))
 
-    counted = [F.regexp_count(text, F.lit(f"{kind}")) for kind in CLASSES]
-    return let(F.array(*counted), with_rest)
+    return let(counted, with_rest)
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
     """Words inside windows of ``width`` words that occur twice or more. Windows are told apart by 64-bit hashes."""
 
-    def count(bound: Column) -> Column:
+    def hashes(bound: Column) -> Column:
         def window(start: Column) -> Column:
-            return F.struct(F.xxhash64(*[F.get(bound, start + k) for k in range(width)]).alias("h"), start.alias("p"))
+            return F.xxhash64(*[F.get(bound, start + k) for k in range(width)])
 
-        ordered = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(bound) - width), window))
+        return F.transform(F.sequence(F.lit(0), F.size(bound) - width), window)
+
+    def count(found: Column) -> Column:
+        ordered = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
 
         def places(found: Column) -> Column:
             def again(x: Column, i: Column) -> Column:
@@ -80,17 +90,22 @@ def repeated_words(words: Column, width: int = 5) -> Column:
             return F.struct((so_far["words"] + new).alias("words"), place.alias("last"))
 
         start = F.struct(F.lit(0).alias("words"), F.lit(-width).alias("last"))
-        return F.aggregate(let(ordered, places), start, cover, lambda end: end["words"])
+        covered = F.aggregate(let(ordered, places), start, cover, lambda end: end["words"])
+        # Most texts repeat no window at all.
+        return F.when(F.size(F.array_distinct(found)) < F.size(found), covered).otherwise(0)
+
+    def of_words(bound: Column) -> Column:
+        return F.when(F.size(bound) >= width, let(hashes(bound), count)).otherwise(0)
 
-    return let(words, lambda bound: F.when(F.size(bound) >= width, count(bound)).otherwise(0)).cast("long")
+    return let(words, of_words).cast("long")
 
 
 def base_counts(text: Column, words: Column) -> dict[str, Column]:
     """The counts of the base rules."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.regexp_replace(line, SPACE, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda total, word: total + F.char_length(word)),
+        "word_chars": word_characters(words),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long"),
         "n_repeat_words": repeated_words(words),
@@ -112,14 +127,14 @@ def language_references(df: DataFrame, limits: Limits = Limits(), lang: str = "l
     rows = df.select(F.coalesce(df[lang].cast("string"), F.lit(ALL)).alias("language"), text.alias("text"))
     words = rows.select("language", F.explode(words_of(F.col("text"))).alias("word"))
     counts = settle(words.groupBy("language", F.lower("word").alias("word")).agg(F.count("*").alias("n")), "words")
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    classes = settle(
-        rows.select("language", class_counts(F.col("text")).alias("classes")).groupBy("language").agg(*sums), "classes"
-    )
+    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASS_NUMBER)]
+    lengths = rows.select("language", "text", F.char_length(F.regexp_replace("text", SPACE, "")).cast("long").alias("in_words"))
+    counted = lengths.select("language", class_counts(F.col("text"), F.col("in_words")).alias("classes"))
+    classes = settle(counted.groupBy("language").agg(*sums), "classes")
     pooled_counts = counts.where(F.col("language") != ALL).groupBy("word").agg(F.sum("n").alias("n"))
     pooled_counts = pooled_counts.unionByName(counts.where(F.col("language") == ALL).select("word", "n"))
     pooled_counts = pooled_counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("language"), "word", "n")
-    pooled_classes = classes.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES) + 1)])
+    pooled_classes = classes.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(CLASS_NUMBER)])
     pooled_classes = pooled_classes.select(F.lit(ALL).alias("language"), *pooled_classes.columns)
     counts = counts.where(F.col("language") != ALL).unionByName(pooled_counts)
     classes = classes.where(F.col("language") != ALL).unionByName(pooled_classes)
@@ -130,8 +145,8 @@ def language_references(df: DataFrame, limits: Limits = Limits(), lang: str = "l
         F.array_sort(F.collect_list(F.struct("place", "word", "n", _slot(F.col("word"), limits.slots).alias("slot")))).alias("top")
     )
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
-    class_total = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 1)), F.lit(0))
-    shares = [F.col(f"c{i}") / F.greatest(class_total, F.lit(1)) for i in range(len(CLASSES) + 1)]
+    class_total = sum((F.col(f"c{i}") for i in range(CLASS_NUMBER)), F.lit(0))
+    shares = [F.col(f"c{i}") / F.greatest(class_total, F.lit(1)) for i in range(CLASS_NUMBER)]
     taken = F.transform("top", lambda x: x["slot"])
     return (
         totals.join(top, "language")
@@ -165,21 +180,18 @@ def _root(divergence: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
-def class_distance(text: Column, class_shares: Column) -> Column:
+def class_distance(text: Column, in_words: Column, class_shares: Column) -> Column:
     """The distance of the character classes of ``text`` to the reference."""
     length = F.greatest(F.char_length(text), F.lit(1))
-    terms = F.zip_with(class_counts(text), class_shares, lambda n, q: _term(n / length, q))
+    terms = F.zip_with(class_counts(text, in_words), class_shares, lambda n, q: _term(n / length, q))
     return _root(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x))
 
 
 def word_distance(words: Column, common: Column, common_shares: Column, slots: Column, size: int) -> Column:
     """The distance of the common words among ``words`` to the reference; all other words are one bin."""
-    placed = F.transform(
-        words, lambda word: let(F.lower(word), lambda low: F.struct(F.get(slots, _slot(low, size)).alias("at"), low.alias("word")))
-    )
-    found = F.sort_array(
-        F.transform(F.filter(placed, lambda x: F.get(common, x["at"] - 1) == x["word"]), lambda x: x["at"])
-    )
+    lower = F.transform(words, F.lower)
+    common_only = F.filter(lower, lambda word: F.get(common, F.get(slots, _slot(word, size)) - 1) == word)
+    found = F.sort_array(F.transform(common_only, lambda word: F.get(slots, _slot(word, size))))
 
     def divergence(found: Column) -> Column:
         runs = F.filter(
@@ -207,13 +219,15 @@ def judge(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: st
 
     A null text has no words and fails the base rules; a null language is held against all documents
     together; repeated rows are judged alike; an empty table gives an empty result. Distances are null
-    below the minimum lengths. ``df`` must not have columns of the new names.
+    below the minimum lengths. Columns of the new names are replaced.
     """
     references = settle(language_references(df.select(df[text].alias("text"), df[lang].alias("lang")), limits), "references")
     total = references.where(F.col("language") == ALL).agg(F.sum("total")).first()[0] or 0
     references = references.where((F.col("language") == ALL) | (F.col("total") * limits.rare_language >= total))
     # At most rare_language + 1 rows of some 40 KB.
     references = F.broadcast(references.select(F.struct("*").alias("ref_")))
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance"]
+    df = df.drop(*new, "base_failed", "kept")
     own = F.coalesce(df[lang].cast("string"), F.lit(ALL))
     alone = F.broadcast(references.select(F.col("ref_.language").alias("known_")))
     filled = whole_text(df, text)
@@ -225,7 +239,7 @@ def judge(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: st
     far = rows.withColumns(
         {
             "class_distance": F.when(
-                F.char_length("text_") >= limits.min_chars, class_distance(F.col("text_"), F.col("ref_.class_shares"))
+                F.char_length("text_") >= limits.min_chars, class_distance(F.col("text_"), F.col("word_chars"), F.col("ref_.class_shares"))
             ),
             "word_distance": F.when(
                 F.col("n_words") >= limits.min_words,
