@@ -12,12 +12,16 @@ inequality of one of them. Equal sets are one node from the start.
 3. *Stars.* The first node of a region is its pivot; its distance to every other member is computed
    exactly. Linked nodes make components.
 4. *Recursion.* Regions whose further members lie in several components go on. Their nodes are dealt into
-   finer regions by their locally rarest shingles (linked nodes share one of them). Then, round by round,
-   a region takes a growing number of members as pivots, computes their distances to all members, and
-   falls into Voronoi cells: each member goes to its nearest pivot's cell and, as a boundary node, to
-   every cell whose pivot is at most two thresholds farther. Pivots leave, as they are compared with all.
+   finer regions by their locally rarest shingles (linked nodes share one of them). A region takes some
+   members as pivots (those that differ least from all others by shingles of their own), computes their
+   distances to all members, and falls into Voronoi cells: each member goes to its nearest pivot's cell and, as a boundary node, to
+   every cell whose pivot is at most two thresholds farther. Pivots leave, as they are compared with all;
+   so do members of a pivot's component that all others are a threshold farther from the pivot than.
    Regions inside one component are done. If the cells would replicate too much (members about equally far
-   from all pivots), the region stays whole for that round and only loses its pivots.
+   from all pivots), regions stay whole and only lose their pivots.
+5. *Cells.* What is left of a cell is joined in blocks: sketches of the sets are points of a metric space whose
+   distances are never more than the symmetric difference, members are sorted by their distance to a pivot in
+   it, and each is held against those within its window. Pairs that no bound keeps apart are verified exactly.
 
 Pivots of whole documents alone could not part a corpus: unrelated documents are all at distance one
 from each other, so every document would be a boundary document of every cell. Hence steps 1 and 2.
@@ -40,6 +44,8 @@ PERCENT = 90
 RING, LEVELS = 1.25, 8
 #: Bits of the filter that spares later passes most documents without candidates: 4 MB in all.
 FILTER_BITS = 1 << 25
+#: Buckets of a sketch; members of a region that are compared in one task, with as many others.
+BUCKETS, CHUNK = 64, 1024
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -68,6 +74,34 @@ def set_number(shingles: np.ndarray) -> tuple[int, int]:
     return int(first.astype(np.int64)), int(second.astype(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of ``BUCKETS`` hashed buckets, at most 65535.
+
+    The sum of the differences of two sketches is a metric, and never more than the symmetric difference.
+    """
+    counts = np.bincount((mix64(shingles + _ODD[2]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+
+
+def near_pairs(sizes: np.ndarray, slacks: np.ndarray, labels: np.ndarray, sketches: np.ndarray, percent: int):
+    """Yields each row with the later rows that it may be linked with, by sizes, slacks and sketches.
+
+    The first row is the pivot: only rows within the window of its distances to it are looked at.
+    """
+    share = (100 - percent) / (100 + percent)
+    to_pivot = np.abs(sketches - sketches[0]).sum(axis=1)
+    order = np.argsort(to_pivot, kind="stable")
+    ordered, largest = to_pivot[order], sizes.max()
+    for place, row in enumerate(order):
+        window = ordered[place] + share * (sizes[row] + largest) + 1e-6
+        others = order[place + 1 : np.searchsorted(ordered, window, side="right")]
+        others = others[(labels[others] != labels[row]) & (slacks[others] + slacks[row] >= 0)]
+        apart = np.abs(sketches[others] - sketches[row]).sum(axis=1)
+        others = others[apart <= share * (sizes[others] + sizes[row]) + 1e-6]
+        if len(others):
+            yield row, others
+
+
 def ring_bounds(percent: int, largest: int = 1 << 40) -> list[int]:
     """The least size of each ring. Smaller sets are linked with equal sets only."""
     bounds = [-(-percent // (100 - percent))]
@@ -133,7 +167,7 @@ def _marked(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """``node, n, shingles`` of the nodes of ``wanted`` (``node, mark, h1, h2``), from one more pass over the texts.
+    """``node, n, shingles, sketch`` of the nodes of ``wanted`` (``node, mark, h1, h2``), from one more pass over the texts.
 
     A filter of a fixed number of bits goes to all tasks; documents that pass it by chance go at the join.
     """
@@ -158,14 +192,15 @@ def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text: str, width: in
                 arrays = [pa.array([x[i] for x in numbers_of], pa.int64()) for i in (0, 1)]
                 flat = pa.array(np.concatenate(sets).astype(np.int64))
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), flat))
-                yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "shingles"])
+                arrays.append(pa.array([sketch(found) for found in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "shingles", "sketch"])
 
     rows = _marked(df, id_column, text).select("doc_id", "mark", "text")
     rows = rows.select(F.lit(0).alias("zero"), "mark", "text")
-    found = rows.mapInArrow(cut, "h1 long, h2 long, shingles array<long>")
+    found = rows.mapInArrow(cut, "h1 long, h2 long, shingles array<long>, sketch binary")
     found = wanted.select("node", "h1", "h2").join(found, ["h1", "h2"])
-    found = found.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    return settle(found.select("node", F.size("shingles").alias("n"), "shingles"), "sets")
+    found = found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    return settle(found.select("node", F.size("shingles").alias("n"), "shingles", "sketch"), "sets")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,38 +247,86 @@ def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _rare_regions(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``key, node``: regions around each node's locally rarest shingles.
+    """``key, node, slack``: regions around each node's locally rarest shingles.
 
     In one order of all shingles, linked sets share one of their first ``n - ceil(percent * n / 100) + 1``.
+    A shingle that no other node has is in the symmetric difference with every other node. What a node
+    brings to the difference that a link may have at most, less its own such shingles, is its slack: two
+    nodes whose slacks add up to less than nought are not linked.
     """
     rows = sets.join(nodes, "node").select("node", "n", F.explode("shingles").alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("count"))
     ranked = rows.join(counts, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("order"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    first = ranked.select("node", F.explode(F.slice("order", F.lit(1), keep.cast("int"))).alias("x"))
-    return first.where("x.count > 1").select("x.key", "node")
+    alone = F.size(F.filter("order", lambda x: x["count"] == 1))
+    slack = F.col("n") * ((100 - percent) / (100 + percent)) - alone + 1e-6
+    first = ranked.select("node", slack.alias("slack"), F.explode(F.slice("order", F.lit(1), keep.cast("int"))).alias("x"))
+    return first.where("x.count > 1").select("x.key", "node", "slack")
 
 
 def _open(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of regions whose members lie in several components, with their ``label``."""
+    """The rows of regions that may still have links between components, with their ``label``.
+
+    Their members lie in several components, and not all of them have a negative slack.
+    """
     rows = _with_labels(regions, labels)
-    spread = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return rows.join(spread.select("key"), "key")
+    slack = F.max("slack") if "slack" in regions.columns else F.lit(0)
+    ends = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), slack.alias("most"))
+    return rows.join(ends.where("low < high AND most >= 0").select("key"), "key")
+
+
+def _ends(left: str, right: str) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``node, label``) after the components that ``links`` (``a, b``) connect are one."""
+    ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b")]
+    between = links.join(ends[0], "a").join(ends[1], "b").where("label_a <> label_b")
+    between = settle(between.select(*_ends("label_a", "label_b")).distinct(), "between")
+    if not between.head(1):
+        return labels
+    joined = components(between).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    moved = labels.join(joined, "label", "left").select("node", F.coalesce("whole", "label").alias("label"))
+    return settle(moved, "labels")
 
 
-def _voronoi(rows: DataFrame, found: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """``key, node``: the cells of each region around its pivots, boundary nodes in several."""
-    met = rows.select("key", "node").join(pivots, "key").where("node <> pivot")
-    ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
-    met = met.select("key", "node", "pivot", *ends).join(found.select("a", "b", "distance"), ["a", "b"])
-    gone = pivots.select("key", F.col("pivot").alias("node"))
-    met = met.join(gone, ["key", "node"], "left_anti")
+def _met(rows: DataFrame, found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``key, node, slack, pivot, distance`` of what may go on of ``rows`` (``key, node, slack, pivot``).
+
+    A member in its pivot's component goes no further if all members of other components are more than a
+    threshold farther from the pivot than it is: by the triangle inequality it is linked with none of them.
+    """
+    met = rows.select("key", "node", "slack", "pivot", *_ends("node", "pivot"))
+    met = met.join(found.select("a", "b", "distance"), ["a", "b"]).drop("a", "b").join(labels, "node")
+    met = met.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot")
+    own = F.col("label") == F.col("pivot_label")
+    others = met.groupBy("key", "pivot").agg(F.min(F.when(~own, F.col("distance"))).alias("other"))
+    met = met.join(others, ["key", "pivot"])
+    alone = own & (F.col("other").isNull() | (F.col("distance") + ((100 - percent) / 100 + 1e-9) < F.col("other")))
+    met = settle(met.select("key", "node", "slack", "pivot", "distance", "label", alone.alias("alone")), "met")
+    gone = met.where("alone").select("key", "node").union(met.select("key", "pivot")).distinct()
+    return met.drop("alone").join(gone, ["key", "node"], "left_anti")
+
+
+def _cells(met: DataFrame, percent: int) -> DataFrame:
+    """``key, node, slack``: the Voronoi cells of each region around its pivots, boundary nodes in several.
+
+    Regions stay whole for a round if the cells of all of them had a quarter more rows.
+    """
     near = met.groupBy("key", "node").agg(
-        F.min("distance").alias("near"), F.collect_list(F.struct("pivot", "distance")).alias("all")
+        F.first("slack").alias("slack"),
+        F.min("distance").alias("near"),
+        F.collect_list(F.struct("pivot", "distance")).alias("all"),
     )
     window = 2 * (100 - percent) / 100 + 1e-9
-    cells = near.select("key", "node", F.explode(F.filter("all", lambda x: x["distance"] <= F.col("near") + window)).alias("cell"))
-    return cells.select(F.xxhash64("key", "cell.pivot").alias("key"), "node")
+    near = near.select("key", "node", "slack", F.filter("all", lambda x: x["distance"] <= F.col("near") + window).alias("cells"))
+    near = settle(near, "cells")
+    rows, replicas = near.agg(F.count("*"), F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()
+    if 4 * replicas > 5 * rows:
+        return near.select("key", "node", "slack")
+    cells = near.select("key", "node", "slack", F.explode("cells").alias("cell"))
+    return cells.select(F.xxhash64("key", "cell.pivot").alias("key"), "node", "slack")
 
 
 def link_components(
@@ -270,11 +353,13 @@ def link_components(
 
     candidates = signed.select(F.col("row").alias("node"), "mark", "h1", "h2").join(members.select("node").distinct(), "node")
     sets = _sets(df, settle(candidates, "candidates"), id_column, text, width)
-    star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    found = settle(_distances(star, sets, percent).where("linked").select("a", "b"), "links")
-    labels = components(found)
+    star = members.where("node <> pivot").withColumn("slack", F.lit(0.0))
+    pairs = star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    found = settle(_distances(pairs, sets, percent), "distances")
+    own = sets.select("node", F.col("node").alias("label"))
+    labels = _merged(own, found.where("linked").select("a", "b"))
 
-    rest = members.where("node <> pivot").select("key", "node")
+    rest = _met(star, found, labels, percent).select("key", "node", "slack")
     open_nodes = settle(_open(rest, labels).select("node").distinct(), "open")
     if open_nodes.head(1):
         labels = _finish(settle(_rare_regions(open_nodes, sets, percent), "rare"), labels, sets, percent)
@@ -295,26 +380,51 @@ def link_components(
 
 def _finish(regions: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, pivots: int = 4) -> DataFrame:
     """The labels after all regions are joined to the end."""
-    while True:
-        rows = settle(_open(regions, labels), "rows")
-        size = rows.count()
-        if not size:
-            return labels
-        one = rows.groupBy("key", "label").agg(F.min("node").alias("pivot"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("label"))
-        chosen = settle(one.withColumn("place", place).where(F.col("place") <= pivots).select("key", "pivot"), "pivots")
-        ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
-        pairs = rows.join(chosen, "key").where("node <> pivot").select(*ends).distinct()
-        found = settle(_distances(pairs, sets, percent), "distances")
-        links = found.where("linked").select("a", "b")
-        labels = components(links.union(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))))
-        cells = settle(_voronoi(rows, found, chosen, percent).distinct(), "cells")
-        if 4 * cells.count() <= 5 * size:
-            regions = cells
-        else:
-            gone = chosen.select("key", F.col("pivot").alias("node"))
-            regions = rows.select("key", "node").join(gone, ["key", "node"], "left_anti")
-        pivots *= 2
+    rows = settle(_open(regions, labels), "rows")
+    # The members with the most slack are pivots, one of each component before the second of any.
+    in_label = F.row_number().over(Window.partitionBy("key", "label").orderBy(F.desc("slack"), "node"))
+    best = rows.where("slack >= 0").withColumn("turn", in_label).where(F.col("turn") <= pivots)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("turn", F.desc("slack"), "node"))
+    best = best.withColumn("place", place).where(F.col("place") <= pivots)
+    chosen = settle(best.select("key", F.col("node").alias("pivot")), "pivots")
+    star = rows.select("key", "node", "slack").join(chosen, "key").where("node <> pivot")
+    found = settle(_distances(star.select(*_ends("node", "pivot")).distinct(), sets, percent), "distances")
+    labels = _merged(labels, found.where("linked").select("a", "b"))
+    cells = settle(_open(_cells(_met(star, found, labels, percent), percent), labels), "cells")
+    pairs = settle(_pairs_left(cells, sets, percent), "pairs")
+    found = _distances(pairs, sets, percent)
+    return _merged(labels, found.where("linked").select("a", "b"))
+
+
+def _pairs_left(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the pairs of members of different components that no bound keeps apart.
+
+    A cell is hashed into chunks, and a task compares two chunks, or one with itself.
+    """
+    chunks = cells.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    rows = cells.join(chunks, "key").join(sets.select("node", "n", "sketch"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def compare(found):
+        import pandas as pd
+
+        found = found.sort_values("node")
+        sketches = np.stack([np.frombuffer(x, dtype=np.uint16) for x in found["sketch"]]).astype(np.int32)
+        nodes, own = found["node"].to_numpy(), found["own"].to_numpy()
+        crossing = found["low"].iloc[0] != found["high"].iloc[0]
+        columns = [found[name].to_numpy() for name in ("n", "slack", "label")]
+        left, right = [], []
+        for row, others in near_pairs(*columns, sketches, percent):
+            if crossing:
+                others = others[own[others] != own[row]]
+            left.append(np.full(len(others), nodes[row]))
+            right.append(nodes[others])
+        pairs = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right)]
+        return pd.DataFrame({"a": np.minimum(*pairs), "b": np.maximum(*pairs)})
+
+    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -279,3 +279,44 @@ def test_stages_take_odd_rows(spark, sf_dir, odd_documents):
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 12
+
+
+def test_no_linked_pair_is_lost_between_sketches():
+    """Sketches are never farther apart than the sets, and the windows leave out no pair that a bound allows."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = []
+    for _ in range(80):
+        keep = rng.random(300) > rng.choice([0.01, 0.05, 0.2])
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, int(rng.integers(0, 20)), dtype=np.uint64)])))
+    sketches = np.stack([np.frombuffer(jaccard_join.sketch(x), dtype=np.uint16) for x in sets]).astype(np.int32)
+    sizes, labels = np.array([len(x) for x in sets]), np.arange(80) // 2
+    found = {(min(a, int(b)), max(a, int(b))) for a, others in jaccard_join.near_pairs(sizes, np.zeros(80), labels, sketches, 90) for b in others}
+    linked = 0
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            apart = sizes[i] + sizes[j] - 2 * both
+            assert np.abs(sketches[i] - sketches[j]).sum() <= apart
+            if labels[i] != labels[j] and 100 * both >= 90 * (sizes[i] + sizes[j] - both):
+                linked += 1
+                assert (j, i) in found
+    assert linked > 20
+
+
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_cells_are_joined_in_chunks(spark, chunk, monkeypatch):
+    """Many texts at about the same distance from each other, some of them linked, whatever the size of a chunk."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for place in rng.sample(range(60), 4):
+            words[place] = f"x{rng.randrange(6)}"
+        texts.append(" ".join(words))
+        if i % 9 == 0:
+            texts.append(" ".join(words[:-1]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert found_components(df) == linked_components(list(range(len(texts))), texts, 90)
