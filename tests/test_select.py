@@ -9,6 +9,7 @@ import pytest
 from dataproof import PolicyError, safe_select
 from dataproof.plans import select
 
+# Statements that the policy has to reject or accept.
 REJECTED = [
     "DELETE FROM dataset",
     "UPDATE dataset SET value = 1",
