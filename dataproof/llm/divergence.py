@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from dataproof.llm.common import settle, whole_text
 
-SPACE = r"[\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]"
+SPACE = SPACES + "+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-#: Character classes as Java regular expressions. White space is one more class, and so is all the rest.
-CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", SYMBOLS)
+#: Character classes as Java regular expressions, the commonest first. White space is one more class, and so is all the rest.
+CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", SYMBOLS, r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]")
 CLASS_NUMBER = len(CLASSES) + 2
 ALL = "*"
 
@@ -54,16 +55,28 @@ def word_characters(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda total, word: total + F.char_length(word))
 
 
-def class_counts(text: Column, in_words: Column) -> Column:
-    """How many characters of each class ``text`` has, as an array; ``in_words`` of them are not white space."""
-    counted = F.array(*[F.regexp_count(text, F.lit(kind)).cast("long") for kind in CLASSES])
-    spaces = F.char_length(text) - in_words
+def _without(text: Column, kind: str) -> Column:
+    return F.regexp_replace(text, f"{kind}+", "")
+
+
+def class_counts(text: Column) -> Column:
+    """How many characters of each class ``text`` has, as an array.
+
+    The commonest class is cut out first, in runs, so that the others are looked for in a short rest of the text.
+    """
+
+    def of_rest(bare: Column) -> Column:
+        def cut(kind: str) -> Column:
+            return (F.char_length(bare) - F.char_length(_without(bare, kind))).cast("long")
+
+        commonest = (F.char_length(text) - F.char_length(bare)).cast("long")
+        return F.array(commonest, *[cut(kind) for kind in (*CLASSES[1:], SPACES)])
 
     def with_rest(counts: Column) -> Column:
-        rest = in_words - F.aggregate(counts, F.lit(0).cast("long"), lambda total, x: total + x)
-        return F.concat(counts, F.array(spaces, rest))
+        rest = F.char_length(text) - F.aggregate(counts, F.lit(0).cast("long"), lambda total, x: total + x)
+        return F.concat(counts, F.array(rest))
 
-    return let(counted, with_rest)
+    return let(let(_without(text, CLASSES[0]), of_rest), with_rest)
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
@@ -128,8 +141,7 @@ def language_references(df: DataFrame, limits: Limits = Limits(), lang: str = "l
     words = rows.select("language", F.explode(words_of(F.col("text"))).alias("word"))
     counts = settle(words.groupBy("language", F.lower("word").alias("word")).agg(F.count("*").alias("n")), "words")
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASS_NUMBER)]
-    lengths = rows.select("language", "text", F.char_length(F.regexp_replace("text", SPACE, "")).cast("long").alias("in_words"))
-    counted = lengths.select("language", class_counts(F.col("text"), F.col("in_words")).alias("classes"))
+    counted = rows.select("language", class_counts(F.col("text")).alias("classes"))
     classes = settle(counted.groupBy("language").agg(*sums), "classes")
     pooled_counts = counts.where(F.col("language") != ALL).groupBy("word").agg(F.sum("n").alias("n"))
     pooled_counts = pooled_counts.unionByName(counts.where(F.col("language") == ALL).select("word", "n"))
@@ -180,10 +192,10 @@ def _root(divergence: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
-def class_distance(text: Column, in_words: Column, class_shares: Column) -> Column:
+def class_distance(text: Column, class_shares: Column) -> Column:
     """The distance of the character classes of ``text`` to the reference."""
     length = F.greatest(F.char_length(text), F.lit(1))
-    terms = F.zip_with(class_counts(text, in_words), class_shares, lambda n, q: _term(n / length, q))
+    terms = F.zip_with(class_counts(text), class_shares, lambda n, q: _term(n / length, q))
     return _root(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x))
 
 
@@ -239,7 +251,7 @@ def judge(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: st
     far = rows.withColumns(
         {
             "class_distance": F.when(
-                F.char_length("text_") >= limits.min_chars, class_distance(F.col("text_"), F.col("word_chars"), F.col("ref_.class_shares"))
+                F.char_length("text_") >= limits.min_chars, class_distance(F.col("text_"), F.col("ref_.class_shares"))
             ),
             "word_distance": F.when(
                 F.col("n_words") >= limits.min_words,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -114,6 +116,36 @@ def test_clean_documents_are_kept(spark, sf_dir, documents):
     assert rows.where("NOT kept").count() == 0 and rows.count() > 50
 
 
+def test_classes_match_brute_force(spark, documents, odd_documents):
+    signs = "@~^_{}[]/\\=+`\ufffd\u0001\u2500 #$ .,\"- \t\v\n aé ßÄZ 09٣ 漢字 किताब ǅ 𝑎🙂"
+    texts = [signs * 3, ""] + [r.text or "" for r in documents.limit(40).collect() + odd_documents.collect()]
+
+    def kind(c):
+        group = unicodedata.category(c)
+        if c in " \t\n\v\f\r":
+            return 6
+        if c in ".,;:!?'\"()-":
+            return 3
+        if c in "#*$%&|<>":
+            return 4
+        return {"Ll": 0, "Lu": 1, "Nd": 2}.get(group, 5 if group in ("Lo", "Lm", "Lt") or group[0] == "M" else 7)
+
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = table.select(divergence.class_counts(F.col("text"))).collect()
+    for text, (counts,) in zip(texts, found):
+        assert counts == [sum(kind(c) == k for c in text) for k in range(divergence.CLASS_NUMBER)]
+
+
+def test_symbol_junk_is_rejected(spark, documents):
+    """Characters that are neither letters, digits nor punctuation are told apart from lower-case letters."""
+    rng = random.Random(2)
+    junk = ["@~^_{}[]/\\=+`", "\ufffd", "\u0001\u0002\u2500\u2588"]
+    rows = [(-1 - i, " ".join("".join(rng.choice(x) for _ in range(rng.randint(2, 8))) for _ in range(200)), "en") for i, x in enumerate(junk)]
+    table = documents.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = divergence.verdicts(table).where("doc_id < 0").collect()
+    assert len(found) == 3 and all(not r.kept and r.class_distance > 0.30 for r in found)
+
+
 def test_rules_run_no_python(documents):
     plan = divergence.verdicts(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
