@@ -2,8 +2,9 @@
 
 Two histograms of a document are held against references of its language: the shares of character
 classes and the shares of the language's most common words (all others are one more bin). The distance
-is the Jensen-Shannon distance, the square root of the divergence in bits, between 0 and 1. Documents
-shorter than a minimum are not judged by it, because their histograms say too little.
+is the Jensen-Shannon distance, the square root of the divergence in bits, between 0 and 1. A document with
+hardly any of the common words (gibberish, or another language) is rejected too. Documents
+shorter than a minimum are not judged by either, because their histograms say too little.
 
 References are counted over all documents. A language with less than 1/256 of all words is held against
 the reference of all documents together, so there are at most 257 references.
@@ -39,6 +40,9 @@ class Limits:
     min_chars: int = 300
     max_class_distance: float = 0.30
     max_word_distance: float = 0.50
+    #: Common words must have this part of the share that they have in the reference. Their absence alone is
+    #: a distance of 0.41 only, which short clean texts come near to; 0.15 is the least part of a clean one.
+    min_common_part: float = 0.125
     rare_language: int = 256
 
 
@@ -199,11 +203,19 @@ def class_distance(text: Column, class_shares: Column) -> Column:
     return _root(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x))
 
 
-def word_distance(words: Column, common: Column, common_shares: Column, slots: Column, size: int) -> Column:
-    """The distance of the common words among ``words`` to the reference; all other words are one bin."""
+def common_places(words: Column, common: Column, slots: Column, size: int) -> Column:
+    """The places in ``common`` (from 1) of the common words among ``words``, ascending."""
     lower = F.transform(words, F.lower)
     common_only = F.filter(lower, lambda word: F.get(common, F.get(slots, _slot(word, size)) - 1) == word)
-    found = F.sort_array(F.transform(common_only, lambda word: F.get(slots, _slot(word, size))))
+    return F.sort_array(F.transform(common_only, lambda word: F.get(slots, _slot(word, size))))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+
+
+def word_distance(found: Column, n_words: Column, common_shares: Column) -> Column:
+    """The distance of the common words to the reference; all other words are one bin. ``found`` are their places."""
 
     def divergence(found: Column) -> Column:
         runs = F.filter(
@@ -213,14 +225,14 @@ def word_distance(words: Column, common: Column, common_shares: Column, slots: C
 
         def add(so_far: Column, run: Column) -> Column:
             share = F.get(common_shares, run["at"] - 1)
-            term = _term((run["i"] - so_far["last"]) / F.size(words), share)
+            term = _term((run["i"] - so_far["last"]) / n_words, share)
             return F.struct(
                 (so_far["sum"] + term).alias("sum"), (so_far["seen"] + share).alias("seen"), run["i"].alias("last")
             )
 
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("seen"), F.lit(-1).alias("last"))
-        all_shares = F.aggregate(common_shares, F.lit(0.0), lambda total, x: total + x)
-        others = _term((F.size(words) - F.size(found)) / F.size(words), F.greatest(1 - all_shares, F.lit(0.0)))
+        all_shares = _sum(common_shares)
+        others = _term((n_words - F.size(found)) / n_words, F.greatest(1 - all_shares, F.lit(0.0)))
         return F.aggregate(runs, start, add, lambda end: end["sum"] + (all_shares - end["seen"]) / 2 + others)
 
     return _root(let(found, divergence))
@@ -248,6 +260,9 @@ def judge(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: st
     rows = rows.join(references, F.coalesce("known_", F.lit(ALL)) == F.col("ref_.language"), "left")
     rows = rows.withColumn("words_", words_of(F.col("text_")))
     rows = rows.withColumns(base_counts(F.col("text_"), F.col("words_")))
+    # Too short texts have no distance.
+    places = common_places(F.col("words_"), F.col("ref_.common"), F.col("ref_.slots"), limits.slots)
+    rows = rows.withColumn("found_", F.when(F.col("n_words") >= limits.min_words, places))
     far = rows.withColumns(
         {
             "class_distance": F.when(
@@ -255,15 +270,16 @@ def judge(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: st
             ),
             "word_distance": F.when(
                 F.col("n_words") >= limits.min_words,
-                word_distance(
-                    F.col("words_"), F.col("ref_.common"), F.col("ref_.common_shares"), F.col("ref_.slots"), limits.slots
-                ),
+                word_distance(F.col("found_"), F.col("n_words"), F.col("ref_.common_shares")),
             ),
+            "few_": (F.col("n_words") >= limits.min_words)
+            & (F.size("found_") < limits.min_common_part * _sum(F.col("ref_.common_shares")) * F.col("n_words")),
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         }
-    ).drop("text_", "words_", "ref_", "known_")
+    ).drop("text_", "words_", "ref_", "known_", "found_")
     too_far = (F.col("class_distance") > limits.max_class_distance) | (F.col("word_distance") > limits.max_word_distance)
-    return far.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(too_far, F.lit(False)))
+    bad = F.coalesce(too_far, F.lit(False)) | F.coalesce("few_", F.lit(False))
+    return far.withColumn("kept", ~F.col("base_failed") & ~bad).drop("few_")
 
 
 def verdicts(df: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id") -> DataFrame:

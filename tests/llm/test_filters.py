@@ -146,6 +146,22 @@ def test_symbol_junk_is_rejected(spark, documents):
     assert len(found) == 3 and all(not r.kept and r.class_distance > 0.30 for r in found)
 
 
+def test_texts_without_common_words_are_rejected(spark, sf_dir, documents):
+    """Letter gibberish, and clean texts under another language's name, are at a word distance below the limit."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(-1 - i, " ".join("".join(rng.choices(letters, k=rng.randint(4, 9))) for _ in range(120)), "en") for i in range(4)]
+    # Short ones, which hardly move the references.
+    clean = documents.join(labels_of(spark, sf_dir).where("quality = 1").select("doc_id"), "doc_id").where("size(split(text, ' ')) > 80")
+    for lang, named in (("de", "en"), ("fr", "en"), ("es", "en"), ("en", "de")):
+        r = clean.where(F.col("lang") == lang).orderBy(F.length("text"), "doc_id").first()
+        rows.append((-100 - len(rows), r.text, named))
+    table = documents.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = divergence.verdicts(table).where("doc_id < 0").collect()
+    assert len(found) == 8 and [r.doc_id for r in found if r.kept] == []
+    assert all(r.word_distance < 0.50 for r in found if r.doc_id > -100)
+
+
 def test_rules_run_no_python(documents):
     plan = divergence.verdicts(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
