@@ -432,12 +432,14 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     return link_components(df, percent=percent).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE
+) -> DataFrame:
     """``df`` with one row of each component: the one with the least id (null ids last), ties by a hash of the row.
 
     Of rows with equal ids and texts one is kept. Rows without words all stay.
     """
-    found = link_components(df, id_column, text, percent)
+    found = link_components(df, id_column, text, percent, width)
     best = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"), F.col("row"))
     kept = found.groupBy("component").agg(F.min(best).alias("best")).select(F.col("best.mark").alias("mark"))
     kept = kept.groupBy("mark").agg(F.count("*").alias("kept_rows"))

@@ -273,6 +273,17 @@ def test_pipeline(spark, sf_dir, documents):
     assert out.where("NOT restored").count() == 0 and out.count() == docs.count()
 
 
+def test_near_copies_go_in_the_pipeline(spark, sf_dir):
+    """A copy with four scattered changed words is below 90 % at three words and above 80 % at five."""
+    base = [f"w{i}" for i in range(200)]
+    copy = [f"x{i}" if i in (30, 80, 130, 180) else word for i, word in enumerate(base)]
+    other = [f"x{i}" if i % 9 == 0 else word for i, word in enumerate(base)]
+    rows = [(i, " ".join(words), "en") for i, words in enumerate([base, copy, other])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len({x for _, _, x in found_components(docs)}) == 3
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()) == [0, 2]
+
+
 def test_stages_take_odd_rows(spark, sf_dir, odd_documents):
     docs = odd_documents.selectExpr("*", "1 AS kept", "'x' AS mark", "2 AS n_words")
     for _, stage in corpus_pipeline.STAGES[:-1]:
