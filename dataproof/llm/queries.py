@@ -16,6 +16,7 @@ from dataproof.llm import (
     divergence,
     filter_audit,
     jaccard_join,
+    page_wrapper,
     piece_counts,
     quality_knn,
     sharding,
@@ -113,6 +114,11 @@ def op9_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+@query()
+def op11_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def _cluster_sql(clusters: int = 8, rounds: int = 10, seed: int = 3, size: int = 64, scale: int = 1024) -> str:
     """The clustering with one common table expression per round."""
     steps = [
