@@ -160,6 +160,10 @@ def read_page(html: str) -> Node:
                 continue
             if name in ("html", "body"):
                 continue
+            if mute:
+                # Blocks inside of a button or the like end nothing outside of it.
+                mute.append((name, len(stack)))
+                continue
             flush()
             if stack[-1].name == "p" or (name in HEADINGS and stack[-1].name in HEADINGS):
                 pop_to(len(stack) - 1)
@@ -202,16 +206,16 @@ def read_page(html: str) -> Node:
             name = token["close"].lower()
             if name == "a":
                 in_link = 0
-            if name in BLOCKS:
+            if any(name == known for known, _ in mute):
+                while mute.pop()[0] != name:
+                    pass
+            elif name in BLOCKS:
                 for place in range(len(stack) - 1, 0, -1):
                     if stack[place].name == name:
                         pop_to(place)
                         break
                 else:
                     flush()
-            elif any(name == known for known, _ in mute):
-                while mute.pop()[0] != name:
-                    pass
     flush()
     return root
 

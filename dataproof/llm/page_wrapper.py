@@ -3,17 +3,17 @@
 Pages become block trees, and the trees of a host are aligned by simple tree matching. First each tree is folded to its
 skeleton, in which children of one shape are one child; pages of a site have few skeletons. Skeletons of a host are
 aligned with each other, in groups of some 64, level by level, to one seed tree; nodes that fewer than a 64th of the pages
-of a group have are left out, which a node that half of the pages have survives. Then each skeleton is aligned with
-the seed, which tells what slot of the site a block of text stands in. A text that at least half of the pages of a host
-have in one slot is template. So is, outside of articles and main parts, a slot whose few texts take turns or whose
-text is mostly links. All other texts are content.
+of a group have are left out, which a node that most pages have survives. Then each skeleton is aligned with
+the seed, which tells what slot of the site a block of text stands in. A text that most pages of a host have in one
+slot is template: three in five, or nine in ten inside of an article or main part, since articles share passages too. So
+is, outside of those, a slot whose few texts take turns or whose text is mostly links. All other texts are content.
 
 Page furniture that names itself (``nav``, ``footer``, roles, class names) is template without a count, since it varies
 from page to page as content does. If a page has an ``article``, only that is looked at, else its main part, else all.
 
 Pages that are copies of each other share their texts without being templates. Pages are therefore counted by the
-least hash of their five-word windows, which near copies mostly have in common, and hosts with fewer than four such
-pages have no constant texts. An article that would lose more than half of itself keeps it all.
+least hash of their five-word windows, which near copies mostly have in common, and hosts with fewer than eight such
+pages (sixteen for texts inside of articles) have no constant texts. An article that would lose more than half of itself keeps it all.
 
 Every page is parsed once, in its task. No page text is shuffled unless a host's templates exceed what can be broadcast;
 counts are shuffled by host, slot and text, so a host with a third of all pages is spread over all tasks.
@@ -35,8 +35,9 @@ from dataproof.llm.common import Words64, mix64, settle, text_batches
 
 #: Skeletons aligned in one task at once; nodes of fewer than this part of their pages are left out.
 GROUP = 64
-#: A host has constant texts from so many different pages on.
-MIN_PAGES = 4
+#: A host has constant texts from so many different pages on, and so large a part of its pages has them: outside of
+#: articles and main parts, and inside of them.
+MIN_PAGES, PART = (8, 16), (0.6, 0.9)
 #: Tables of at most so many bytes are broadcast; larger ones are joined by a salted shuffle.
 BROADCAST_BYTES = 32 << 20
 SALT = 32
@@ -189,7 +190,10 @@ def templates(pages: DataFrame) -> DataFrame:
     counts = settle(counts, "texts")
     hosts = pages.select("host", "sample").distinct().groupBy("host").agg(F.count("*").alias("samples"))
     constant = join_small(counts, settle(hosts, "hosts"), ["host"], F.col("text"))
-    constant = constant.where((F.col("samples") >= MIN_PAGES) & (2 * F.col("pages") >= F.col("samples")))
+    outside, inside = (
+        (F.col("samples") >= least) & (F.col("pages") >= part * F.col("samples")) for least, part in zip(MIN_PAGES, PART)
+    )
+    constant = constant.where(F.when(F.col("level") == 0, outside).otherwise(inside))
     by_slot = counts.groupBy("host", "slot").agg(
         F.max("level").alias("level"),
         F.count("*").alias("texts"),
@@ -197,7 +201,7 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum("links").alias("links"),
         F.sum("chars").alias("chars"),
     )
-    turns = (F.col("pages") >= 2 * MIN_PAGES) & (4 * F.col("texts") <= F.col("pages"))
+    turns = (F.col("pages") >= MIN_PAGES[0]) & (4 * F.col("texts") <= F.col("pages"))
     furniture = by_slot.where((F.col("level") == 0) & (turns | (2 * F.col("links") > F.col("chars"))))
     leaves = slots.select("host", "skeleton", F.posexplode("slots").alias("leaf", "slot"))
     whole = leaves.join(furniture.select("host", "slot"), ["host", "slot"]).select(
