@@ -74,6 +74,33 @@ def q_correlations_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlations(table(spark, sf_dir, "lineitem").select(*_LINE))
 
 
+def _wide_expressions(integer: str) -> dict[str, str]:
+    """48 columns that are made from those of lineitem; every seventh has NULLs."""
+    out = {}
+    for i in range(48):
+        whole = f"(l_partkey * {i + 1} + l_linenumber * {7 * i + 3} + CAST(l_quantity AS {integer}) * {i % 5}) % {50 + 3 * i}"
+        value = f"CAST({whole} AS DOUBLE)" if i % 2 else f"{whole} + {1000000 * i}"
+        out[f"w{i}"] = f"CASE WHEN l_orderkey % {i + 2} = 0 THEN NULL ELSE {value} END" if i % 7 == 3 else value
+    return out
+
+
+def _wide_sql() -> str:
+    columns = ", ".join(f"{e} AS {n}" for n, e in _wide_expressions("BIGINT").items())
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, {columns} FROM lineitem),
+        m AS MATERIALIZED (SELECT row, CAST(substr(name, 2) AS INTEGER) AS c, CAST(x AS DOUBLE) AS x FROM (
+            SELECT row, {", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in _wide_expressions("BIGINT"))} FROM d)
+            UNPIVOT (x FOR name IN (COLUMNS(* EXCLUDE (row)))))
+        SELECT 'w' || a.c AS left_column, 'w' || b.c AS right_column, round(corr(a.x, b.x), 6) AS correlation
+        FROM m AS a JOIN m AS b ON a.row = b.row AND a.c < b.c GROUP BY a.c, b.c"""
+
+
+@query(_wide_sql())
+def q_correlations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 1 128 pairs of 48 columns: co-moments are added up as matrices, no row is expanded by pairs."""
+    columns = [f"{e} AS {n}" for n, e in _wide_expressions("BIGINT").items()]
+    return _correlations(table(spark, sf_dir, "lineitem").selectExpr(*columns))
+
+
 def _fences_sql(source: str, names: list[str]) -> str:
     parts = [
         f"""SELECT '{c}' AS column_name, round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence,
