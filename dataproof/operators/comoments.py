@@ -25,8 +25,10 @@ from dataproof.plans.two_level import FAN_IN
 #: What a pair of columns has: rows with both values, rows of them with a value that is not finite, means of the first
 #: and second column, sums of squared deviations, and the sum of products of deviations.
 PARTS = ("rows", "odd", "mean_a", "mean_b", "square_a", "square_b", "product")
+#: What is left of a sum of squares may be rounding if it is a smaller part than this.
+LEAST_LEFT = 1e-6
 #: A spread of so small a part of the mean is what rounding leaves of a constant.
-LEAST_SPREAD = 1e-13
+LEAST_SPREAD = 1e-14
 
 Matrices = dict[str, np.ndarray]
 
@@ -49,7 +51,7 @@ def batch_matrices(values: np.ndarray, present: np.ndarray) -> Matrices:
     mean = sums / known
     bad = odd.T @ present + present.T @ odd - odd.T @ odd
     square = np.maximum(squares - sums * mean, 0.0)
-    return {
+    out = {
         "rows": rows,
         "odd": bad,
         "mean_a": mean + middle[:, None],
@@ -58,6 +60,16 @@ def batch_matrices(values: np.ndarray, present: np.ndarray) -> Matrices:
         "square_b": square.T.copy(),
         "product": apart.T @ apart - sums * mean.T,
     }
+    # Where nearly all of a sum of squares cancelled, rounding is what is left: those few pairs are added up again.
+    for a, b in np.argwhere((square < LEAST_LEFT * squares) & (rows > 0)):
+        both = sound[:, a] & sound[:, b]
+        sides = [values[both, side] for side in (a, b)]
+        means = [x[0] if x.min() == x.max() else x.mean() for x in sides]
+        x, y = (side - mean for side, mean in zip(sides, means))
+        for (i, j), first, second, means_ in (((a, b), x, y, means), ((b, a), y, x, means[::-1])):
+            out["mean_a"][i, j], out["mean_b"][i, j] = means_
+            out["square_a"][i, j], out["square_b"][i, j], out["product"][i, j] = first @ first, second @ second, x @ y
+    return out
 
 
 def merge_matrices(left: Matrices, right: Matrices) -> Matrices:
