@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from dataproof.functions.dates import DATE_TEXT
 from dataproof.functions.types import column
+from dataproof.sources.records import ArrayItems, QuotedLines, cut_records
 
 FORMATS = ("csv", "json", "ndjson", "parquet")
 
@@ -29,8 +30,8 @@ def read_dataset(
 
     CSV has a header; its separator is taken from the header line. ``multi_line`` tells
     whether quoted CSV values may contain line breaks. Left open, one pass over the lines
-    decides: files without such values are read in parallel splits, only the others file by
-    file.
+    decides. Files with such values are cut into records in parallel splits too, and so are
+    JSON arrays (see :mod:`dataproof.sources.records`); their records are parsed as texts.
     """
     if format == "csv":
         return _read_csv(spark, path, separator, multi_line)
@@ -62,10 +63,18 @@ def sniff_separator(header: str) -> str:
     return max(SEPARATORS, key=lambda s: (outside_quotes.count(s), -SEPARATORS.index(s)))
 
 
-def _breaks_inside_quotes(lines: DataFrame) -> bool:
-    """A value with a line break leaves an odd number of quotes on its first line."""
-    quotes = F.length("value") - F.length(F.translate(F.col("value"), '"', ""))
-    return bool(lines.where(quotes % 2 == 1).limit(1).count())
+def _inferred_from(reader, texts: DataFrame, format: str) -> T.StructType:
+    """The schema of records that are rows of text."""
+    encoder = texts.sparkSession.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING()
+    return T._parse_datatype_json_string(getattr(reader._jreader, format)(getattr(texts._jdf, "as")(encoder)).schema().json())
+
+
+def _parsed(texts: DataFrame, parse, schema: T.StructType, options: dict) -> DataFrame:
+    """The columns of records that are rows of text; only the selected ones are parsed."""
+    # DDL cannot express every name, so the record is parsed by places and renamed.
+    named = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    rows = texts.select(parse(F.col("value"), named.simpleString(), {k: str(v).lower() if v is True or v is False else v for k, v in options.items()}).alias("r"))
+    return rows.select([F.col(f"r.c{i}").alias(f.name) for i, f in enumerate(schema)])
 
 
 def _read_csv(spark: SparkSession, path: str | list[str], separator: str | None, multi_line: bool | None) -> DataFrame:
@@ -75,23 +84,58 @@ def _read_csv(spark: SparkSession, path: str | list[str], separator: str | None,
         if first is None:
             raise ValueError("csv: only blank lines")
         separator = sniff_separator(first["value"].removeprefix("﻿"))
-    if multi_line is None:
-        multi_line = _breaks_inside_quotes(lines)
-    options = {"header": True, "sep": separator, "multiLine": multi_line, "escape": '"', "mode": "FAILFAST"}
+    options = {"header": True, "sep": separator, "escape": '"', "mode": "FAILFAST"}
+    records = None if multi_line is False else cut_records(spark, path, QuotedLines(separator))
+    if records is not None:
+        return _read_csv_records(spark, records.rows, options)
     inferred = _inference_session(spark).read.options(**options).option("inferSchema", True).csv(path).schema
     # Reading with the widened schema, instead of casting afterwards, keeps filters and
     # column selection in the scan.
     return spark.read.options(**options).schema(_widened(inferred)).csv(path)
 
 
+def _read_csv_records(spark: SparkSession, records: DataFrame, options: dict) -> DataFrame:
+    session = _inference_session(spark)
+    header = records.where("first").select("value").first()["value"]
+    heading = _inferred_from(session.read.options(**options), session.createDataFrame([(header,)], "value string"), "csv")
+    options = options | {"header": False}
+    texts = records.where("NOT first").select("value")
+    inferred = _widened(_inferred_from(session.read.options(**options).option("inferSchema", True), texts, "csv"))
+    if len(inferred) == 0:
+        return spark.createDataFrame([], heading)
+    types = [f.dataType for f in inferred] + [T.StringType()] * (len(heading) - len(inferred))
+    schema = T.StructType([T.StructField(h.name, kind) for h, kind in zip(heading, types)])
+    return _parsed(texts, F.from_csv, schema, options)
+
+
 def _read_json(spark: SparkSession, path: str | list[str], *, multi_line: bool) -> DataFrame:
-    options = {"multiLine": multi_line, "mode": "FAILFAST"}
-    inferred = _inference_session(spark).read.options(**options).json(path).schema
-    typed = _with_dates(spark.read.options(**options).schema(inferred).json(path))
-    order = _first_record_keys(spark, path, multi_line)
-    fields = {f.name: f for f in typed.fields}
-    names = [name for name in order if name in fields] + [f.name for f in typed.fields if f.name not in order]
-    return spark.read.options(**options).schema(T.StructType([fields[name] for name in names])).json(path)
+    options = {"mode": "FAILFAST"}
+    session = _inference_session(spark)
+    if not multi_line:
+        inferred = session.read.options(**options).json(path).schema
+        typed = _with_dates(spark.read.options(**options).schema(inferred).json(path))
+        schema = _in_order(typed, _keys_of_first(spark.read.text(path).where(F.trim("value") != "")))
+        return spark.read.options(**options).schema(schema).json(path)
+    records = cut_records(spark, path, ArrayItems()).rows
+    texts = records.select("value")
+    inferred = _inferred_from(session.read.options(**options), texts, "json")
+    if len(inferred) == 0:
+        return spark.createDataFrame([], inferred)
+    typed = _with_dates(_parsed_json(texts, inferred, options))
+    return _parsed_json(texts, _in_order(typed, _keys_of_first(records.where("first").select("value"))), options)
+
+
+def _parsed_json(texts: DataFrame, schema: T.StructType, options: dict) -> DataFrame:
+    """The columns of JSON objects that are rows of text."""
+    return texts.select(F.from_json("value", schema, options).alias("r")).select(
+        [F.col("r")[f.name].alias(f.name) for f in schema]
+    )
+
+
+def _in_order(schema: T.StructType, order: list[str]) -> T.StructType:
+    fields = {f.name: f for f in schema.fields}
+    names = [name for name in order if name in fields] + [f.name for f in schema.fields if f.name not in order]
+    return T.StructType([fields[name] for name in names])
 
 
 def _with_dates(df: DataFrame) -> T.StructType:
@@ -116,10 +160,7 @@ def _with_dates(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in df.schema.fields])
 
 
-def _first_record_keys(spark: SparkSession, path: str | list[str], multi_line: bool) -> list[str]:
+def _keys_of_first(texts: DataFrame) -> list[str]:
     """Keys of the first record in their order; Spark's inference sorts them by name."""
-    text = F.col("value")
-    records = spark.read.text(path, wholetext=multi_line).where(F.trim(text) != "")
-    first = F.coalesce(F.get_json_object(text, "$[0]"), text) if multi_line else text
-    row = records.select(F.json_object_keys(first).alias("keys")).first()
+    row = texts.select(F.json_object_keys("value").alias("keys")).first()
     return list(row["keys"] or []) if row else []
