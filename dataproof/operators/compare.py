@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataproof.functions.rendering import render, render_apart
+from dataproof.functions.numbers import numeric_key
+from dataproof.functions.rendering import render
 from dataproof.functions.types import column, field_of, is_chart_temporal, is_fractional, is_numeric
 from dataproof.operators.profile import Statistics, column_statistics
 
@@ -53,33 +54,29 @@ def _key_pair(lf: T.StructField, rf: T.StructField) -> tuple[Column, Column, str
     """The two sides of one key in a common type.
 
     A double cannot hold every 64-bit integer or decimal, so a fractional and another numeric side
-    are compared by their exact digits. Timestamps with and without a zone are compared as text.
+    are compared by their digits (:func:`numeric_key`), and so are decimals for which no type holds both.
+    Timestamps with and without a zone are compared as text.
     """
     l, r = column(lf.name), column(rf.name)
     lt, rt = lf.dataType, rf.dataType
     if lt == rt or (is_chart_temporal(lt) and is_chart_temporal(rt) and not _zones_differ(lt, rt)):
         return l, r, None
     if is_numeric(lt) and is_numeric(rt):
-        if is_fractional(lt) == is_fractional(rt):
+        if is_fractional(lt) == is_fractional(rt) and not _too_wide(lt, rt):
             return l, r, None
-        return _digits(l, lt), _digits(r, rt), None
+        return numeric_key(l, lt), numeric_key(r, rt), None
     note = f"{lf.name}: {lt.simpleString()} against {rt.simpleString()}, so the texts are compared."
     return render(l, lt), render(r, rt), note
 
 
-def _zones_differ(lt: T.DataType, rt: T.DataType) -> bool:
-    return {type(lt), type(rt)} == {T.TimestampType, T.TimestampNTZType}
+def _too_wide(lt: T.DataType, rt: T.DataType) -> bool:
+    """Whether the common type of two exact numbers would have to round one of them."""
+    whole, scale = (max(x) for x in zip(*[(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (19, 0) for t in (lt, rt)]))
+    return isinstance(lt, T.DecimalType) | isinstance(rt, T.DecimalType) and whole + scale > 38
 
 
-def _digits(value: Column, dtype: T.DataType) -> Column:
-    """The exact digits of a number, the same for equal numbers of any numeric type."""
-    if is_fractional(dtype):
-        number = value.cast("double")
-        whole = (number == F.floor(number)) & (F.abs(number) < F.lit(1e18))
-        text = F.regexp_replace(render_apart(number, T.DoubleType()), r"\.0$", "")
-        return F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(text)
-    text = value.cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "") if isinstance(dtype, T.DecimalType) and dtype.scale else text
+def _zones_differ(lt: T.DataType, rt: T.DataType) -> bool:
+    return {type(lt), type(rt)} == {T.TimestampType, T.TimestampNTZType}
 
 
 def _unique_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[str]:

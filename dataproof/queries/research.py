@@ -344,3 +344,39 @@ def q_key_overlap_numeric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "customer").selectExpr(f"{_MIXED} AS k")
     right = table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey AS DOUBLE) + IF(o_custkey % 3 = 0, 0.5D, 0D) AS k")
     return key_overlap(left, right, ["k"]).drop("keys")
+
+
+_FAR_LEFT = "1152921504606846976 + c_custkey * 64"
+
+
+@query(
+    f"""WITH l AS (SELECT DISTINCT CAST({_FAR_LEFT} AS HUGEINT) AS k FROM customer),
+        r AS (SELECT DISTINCT CAST(1152921504606846976::DOUBLE + o_custkey * 256 AS HUGEINT) AS k FROM orders)
+        SELECT (SELECT count(*) FROM l) AS left_distinct, (SELECT count(*) FROM r) AS right_distinct,
+               (SELECT count(*) FROM l JOIN r USING (k)) AS intersection"""
+)
+def q_key_overlap_far_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit integers around 2**60 against the doubles there: only every fourth integer is a double."""
+    left = table(spark, sf_dir, "customer").selectExpr(f"{_FAR_LEFT} AS k")
+    right = table(spark, sf_dir, "orders").selectExpr("CAST(1152921504606846976 AS DOUBLE) + o_custkey * 256 AS k")
+    return key_overlap(left, right, ["k"]).drop("keys")
+
+
+_FAR_DECIMAL = """CASE WHEN c_custkey % 2 = 0 THEN CAST(100000000000000000000 + c_custkey * 16384 AS DECIMAL(38,10))
+    ELSE CAST(c_custkey * CAST(0.0000001 AS DECIMAL(10,7)) AS DECIMAL(38,10)) END"""
+_FAR_DOUBLE = "CASE WHEN o_custkey % 2 = 0 THEN 1e20 + o_custkey * 16384 ELSE o_custkey / 1e7 END"
+
+
+@query(
+    f"""WITH l AS (SELECT DISTINCT CASE WHEN k >= 1 THEN CAST(CAST(k AS HUGEINT) AS VARCHAR) ELSE CAST(CAST(k AS DOUBLE) AS VARCHAR) END AS k
+                   FROM (SELECT {_FAR_DECIMAL.replace("100000000000000000000", "100000000000000000000::HUGEINT")} AS k FROM customer)),
+        r AS (SELECT DISTINCT CASE WHEN k >= 1 THEN CAST(CAST(k AS HUGEINT) AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS k
+              FROM (SELECT {_FAR_DOUBLE} AS k FROM orders))
+        SELECT (SELECT count(*) FROM l) AS left_distinct, (SELECT count(*) FROM r) AS right_distinct,
+               (SELECT count(*) FROM l JOIN r USING (k)) AS intersection"""
+)
+def q_key_overlap_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals of 1e20 and of 1e-7 against doubles."""
+    left = table(spark, sf_dir, "customer").selectExpr(f"{_FAR_DECIMAL.replace('100000000000000000000', '100000000000000000000BD')} AS k")
+    right = table(spark, sf_dir, "orders").selectExpr(f"{_FAR_DOUBLE.replace('1e20', '1e20D').replace('1e7', '1e7D')} AS k")
+    return key_overlap(left, right, ["k"]).drop("keys")
