@@ -234,3 +234,82 @@ def _narrow(df: DataFrame, unsettled: list[tuple[_Search, _Rank, int, int]]) ->
         last = min(_GRID, math.ceil(((offset + 1) / count + RANK_MARGIN) * _GRID))
         r.lo, r.hi = row["grid"][first], row["grid"][last]
         r.inside = count * ((last - first) / _GRID + 2 * RANK_MARGIN)
+
+
+#: Buckets of approximate quantiles between a power of two and the next. A value is at most half a bucket from its
+#: bucket's middle, so the relative error is 1/512 at most.
+STEPS = 256
+RELATIVE_ERROR = 1 / (2 * STEPS)
+_LEAST_EXPONENT = -1074
+_BEYOND = (1024 - _LEAST_EXPONENT) * STEPS + 1
+
+
+def number_bucket(number: Column) -> Column:
+    """The bucket of a double: 0 for zero, and equal steps within each power of two on either side, in the order of the
+    numbers. Infinities and NaN come last.
+
+    The logarithm may be off by one in its last place; a mantissa outside of [1, 2) shows it and is put right, so the
+    bucket is the same on every machine.
+    """
+    size = F.abs(number)
+    guess = F.least(F.floor(F.log2(size)), F.lit(1023))
+
+    def of_guess(guess: Column) -> Column:
+        mantissa = size / F.pow(F.lit(2.0), guess)
+        shift = F.when(mantissa >= 2.0, 1).when(mantissa < 1.0, -1).otherwise(0)
+        exact = mantissa / F.when(shift == 1, 2.0).when(shift == -1, 0.5).otherwise(1.0)
+        step = F.floor((exact - 1.0) * STEPS)
+        return (guess + shift - _LEAST_EXPONENT) * STEPS + step + 1
+
+    place = F.get(F.transform(F.array(guess), of_guess), F.lit(0))
+    place = F.when(size == F.lit(float("inf")), _BEYOND).when(size == 0, 0).otherwise(place)
+    return F.when(F.isnan(number), _BEYOND + 1).when(number < 0, -place).otherwise(place).cast("int")
+
+
+def bucket_middle(bucket: int) -> float | None:
+    """The middle of a bucket; None for infinities and NaN."""
+    if abs(bucket) >= _BEYOND:
+        return None
+    if bucket == 0:
+        return 0.0
+    exponent, step = divmod(abs(bucket) - 1, STEPS)
+    return math.copysign(math.ldexp(1 + (step + 0.5) / STEPS, exponent + _LEAST_EXPONENT), bucket)
+
+
+def approximate_quantiles(
+    df: DataFrame, names: Sequence[str], probabilities: Sequence[float] = QUARTILES
+) -> dict[str, list[float | None]]:
+    """Quantiles of several numeric columns within a relative error of ``RELATIVE_ERROR``, in one scan.
+
+    Values are counted per bucket, exactly, and counts are added up: the result is the same in any order and
+    partitioning. A task sends one row per column and bucket in use. Order statistics become the middles of their
+    buckets and are interpolated as exact ones are. The driver gets two buckets per column and probability.
+    """
+    if not names:
+        return {}
+    cells = [[column(name).cast("double").alias("number")] for name in names]
+    counted = melt(df, cells).where(F.col("number").isNotNull())
+    counted = counted.groupBy("position", number_bucket(F.col("number")).alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+    own = Window.partitionBy("position")
+    counted = counted.withColumns({"upto": F.sum("count").over(own.orderBy("bucket")), "all": F.sum("count").over(own)})
+    wanted = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("all") - 1)
+        wanted += [F.struct(F.lit(i).alias("which"), F.lit(0).alias("side"), F.floor(place).alias("rank"))]
+        wanted += [F.struct(F.lit(i).alias("which"), F.lit(1).alias("side"), F.ceil(place).alias("rank"))]
+    hits = counted.select("position", "bucket", "all", "upto", "count", F.explode(F.array(*wanted)).alias("want"))
+    hits = hits.where((F.col("upto") - F.col("count") <= F.col("want.rank")) & (F.col("want.rank") < F.col("upto")))
+    found: dict[tuple[int, int, int], int] = {}
+    totals: dict[int, int] = {}
+    for row in hits.select("position", "bucket", "all", "want.which", "want.side").collect():
+        found[row["position"], row["which"], row["side"]] = row["bucket"]
+        totals[row["position"]] = row["all"]
+    out = {}
+    for position, total in totals.items():
+        quantiles: list[float | None] = []
+        for i, p in enumerate(probabilities):
+            low, high = (bucket_middle(found[position, i, side]) for side in (0, 1))
+            at = p * (total - 1)
+            quantiles.append(None if low is None or high is None else low + (high - low) * (at - math.floor(at)))
+        out[names[position]] = quantiles
+    return out

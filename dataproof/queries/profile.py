@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dataproof.functions.hashing import portable_row_hash
 from dataproof.operators.frequencies import exact_distinct, top_values
 from dataproof.operators.profile import DISTINCT_ERROR, column_statistics, profile_dataset, stable_sample
+from dataproof.operators.quantiles import RELATIVE_ERROR, approximate_quantiles
 from dataproof.queries.registry import query, table
 
 _NUMERIC = (
@@ -230,3 +231,52 @@ def q_profile_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(profile.summary).join(sampled).select(
         "column_name", "row_count", "null_count", close.alias("distinct_within_tolerance"), "column_count", "sample_rows"
     )
+
+
+_SPREAD = {
+    "price": "l_extendedprice",
+    "around_zero": "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice - 30000 END",
+    "small": "l_tax * 1e-200",
+    "large": "-l_quantity * 1e200",
+    "whole": "l_orderkey",
+}
+
+
+def _approximate_sql() -> str:
+    """Order statistics as the middles of their buckets: equal steps between powers of two."""
+    parts = []
+    for name, expression in _SPREAD.items():
+        picked = ", ".join(
+            f"max(CASE WHEN r = {side}({p} * (n - 1)) THEN middle END) AS {side}{i}, any_value({p} * (n - 1) - floor({p} * (n - 1))) AS part{i}"
+            if side == "floor"
+            else f"max(CASE WHEN r = {side}({p} * (n - 1)) THEN middle END) AS {side}{i}"
+            for i, p in enumerate((0.25, 0.5, 0.75))
+            for side in ("floor", "ceil")
+        )
+        quartiles = ", ".join(
+            f"floor{i} + (ceil{i} - floor{i}) * part{i} AS {q}" for i, q in enumerate(("first_quartile", "median", "third_quartile"))
+        )
+        parts.append(f"""SELECT '{name}' AS column_name, {quartiles}, true AS within_error, true AS repeatable FROM (SELECT {picked} FROM (
+            SELECT r, n, CASE WHEN x = 0 THEN 0 ELSE sign(x) * pow(2.0, e) * (1 + (floor((abs(x) / pow(2.0, e) - 1) * 256) + 0.5) / 256) END AS middle
+            FROM (SELECT x, r, n, g + CASE WHEN abs(x) / pow(2.0, g) >= 2 THEN 1 WHEN abs(x) / pow(2.0, g) < 1 THEN -1 ELSE 0 END AS e
+                  FROM (SELECT x, floor(log2(nullif(abs(x), 0))) AS g, row_number() OVER (ORDER BY x) - 1 AS r, count(*) OVER () AS n
+                        FROM (SELECT CAST({expression} AS DOUBLE) AS x FROM lineitem) WHERE x IS NOT NULL))))""")
+    return " UNION ALL ".join(parts)
+
+
+@query(_approximate_sql())
+def q_quartiles_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles from exact counts of buckets: near the exact ones, and the same however the rows are dealt."""
+    df = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _SPREAD.items()])
+    names = list(_SPREAD)
+    found = approximate_quantiles(df, names)
+    again = [approximate_quantiles(df.repartition(parts), names) for parts in (3, 16)]
+    exact = column_statistics(df, distinct=False)
+    rows = []
+    for name in names:
+        record = exact.record(name)
+        true = [record[q] for q in ("first_quartile", "median", "third_quartile")]
+        near = all(abs(a - b) <= RELATIVE_ERROR * max(abs(a), abs(b)) * 1.01 for a, b in zip(found[name], true))
+        rows.append((name, *found[name], near, all(other[name] == found[name] for other in again)))
+    schema = "column_name string, first_quartile double, median double, third_quartile double, within_error boolean, repeatable boolean"
+    return spark.createDataFrame(rows, schema)

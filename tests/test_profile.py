@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import struct
 
 import duckdb
 import pytest
@@ -158,7 +159,53 @@ def test_quartiles_of_few_rows(spark, n):
 def test_approximate_quartiles(spark):
     df = spark.range(100_000).select(F.col("id").alias("a"))
     record = column_statistics(df, approx_quantiles=True).record("a")
-    assert abs(record["median"] - 50_000) < 1500
+    assert abs(record["median"] - 49_999.5) <= quantiles.RELATIVE_ERROR * 50_000
+
+
+def plain_bucket(x):
+    """By the parts of the number itself instead of a logarithm."""
+    if x != x:
+        return quantiles._BEYOND + 1
+    if x == 0:
+        return 0
+    if math.isinf(x):
+        return int(math.copysign(quantiles._BEYOND, x))
+    mantissa, exponent = math.frexp(abs(x))
+    place = (exponent - 1 + 1074) * 256 + math.floor((mantissa * 2 - 1) * 256) + 1
+    return int(math.copysign(place, x))
+
+
+def test_buckets_follow_the_parts_of_a_number(spark):
+    rng = random.Random(2)
+    values = [0.0, -0.0, 1.0, -1.0, 2.0, 0.5, 5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, math.inf, -math.inf, math.nan]
+    for e in range(-1074, 1024, 3):
+        values += [math.ldexp(1.0, e), math.nextafter(math.ldexp(1.0, e), 0), math.nextafter(math.ldexp(1.0, e), math.inf)]
+    values += [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double").coalesce(1)
+    found = [b for (b,) in df.select(quantiles.number_bucket(F.col("x"))).collect()]
+    assert found == [plain_bucket(x) for x in values]
+    for x, bucket in zip(values, found):
+        if math.isfinite(x) and abs(x) > 1e-300:
+            assert abs(quantiles.bucket_middle(bucket) - x) <= quantiles.RELATIVE_ERROR * abs(x)
+
+
+def test_approximate_quantiles_of_odd_columns(spark):
+    rng = random.Random(3)
+    wild = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-200, 200) for _ in range(999)]
+    rows = [(x, None if i % 2 else float(i), None, math.nan if i > 300 else 1.0, 7) for i, x in enumerate(wild)]
+    df = spark.createDataFrame(rows, "wild double, `half.full` double, empty double, nan double, seven int")
+    names = df.columns
+    found = quantiles.approximate_quantiles(df, names)
+    for parts in (1, 5, 64):
+        assert quantiles.approximate_quantiles(df.repartition(parts), names) == found
+    assert set(found) == {"wild", "half.full", "nan", "seven"}
+    for value, p in zip(found["wild"], (0.25, 0.5, 0.75)):
+        exact = percentile(wild, p)
+        assert abs(value - exact) <= quantiles.RELATIVE_ERROR * abs(exact) * 1.01
+    assert found["nan"] == [quantiles.bucket_middle(plain_bucket(1.0)), None, None]
+    assert quantiles.approximate_quantiles(df.where("false"), names) == {}
+    record = column_statistics(df, approx_quantiles=True).record("wild")
+    assert [record["first_quartile"], record["median"], record["third_quartile"]] == found["wild"]
 
 
 def test_quantile_plan_has_no_unbounded_aggregate(spark, sf_dir):
