@@ -2,8 +2,10 @@
 
 Spark's own parser and analyser do the reading; this module only looks at the plans they
 return. Plan nodes are allowed by name, so that a statement type nobody thought of is
-rejected. Functions are checked twice: by name in the parsed plan, and by expression class
-in the analysed plan, because a bare ``current_date`` is a column name until it is analysed.
+rejected. Functions are allowed by the group that Spark documents them in, but for those of a group
+that do not give the same result every time; all others are rejected, functions of the user too. They are checked
+twice: by name in the parsed plan, and by expression class in the analysed plan, because a bare
+``current_date`` is a column name until it is analysed.
 All access to Spark's plan objects is in this file.
 """
 
@@ -42,6 +44,26 @@ EXTERNAL_FUNCTIONS = frozenset(
     }
 )
 
+# The groups of functions that depend on their arguments only, but for the exceptions below.
+REPEATABLE_GROUPS = frozenset(
+    {
+        "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs",
+        "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs",
+        "predicate_funcs", "st_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs",
+    }
+)
+
+# Functions of other groups that depend on their arguments only.
+REPEATABLE_FUNCTIONS = frozenset(
+    {
+        "aes_decrypt", "assert_true", "bitmap_bit_position", "bitmap_bucket_number", "bitmap_count", "raise_error",
+        "try_aes_decrypt", "typeof",
+    }
+)
+
+# Aggregates of those groups whose result depends on how rows are dealt and merged, or on chance.
+UNSTABLE_AGGREGATES = re.compile(r"approx_percentile|percentile_approx|approx_top_k\w*|histogram_numeric|(hll|kll|theta)_\w+")
+
 # Functions whose result differs between two runs of the same query.
 VOLATILE_FUNCTIONS = frozenset(
     {
@@ -133,11 +155,21 @@ def _clean(sql: str) -> str:
     return text
 
 
-def _check_function(name: str) -> None:
+def _group_of(session: SparkSession, name: str) -> str | None:
+    """The group of a built-in function in Spark's documentation; none for functions of the user and unknown ones."""
+    found = session._jsparkSession.sessionState().functionRegistry().lookupFunction(
+        session._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    )
+    return found.get().getGroup() if found.isDefined() and found.get().getSource() == "built-in" else None
+
+
+def _check_function(session: SparkSession, name: str) -> None:
     if name in EXTERNAL_FUNCTIONS:
         raise PolicyError(f"Function {name} reaches outside the query")
-    if name in VOLATILE_FUNCTIONS:
+    if name in VOLATILE_FUNCTIONS or UNSTABLE_AGGREGATES.fullmatch(name):
         raise PolicyError(f"Function {name} is volatile or non-reproducible")
+    if name not in REPEATABLE_FUNCTIONS and _group_of(session, name) not in REPEATABLE_GROUPS:
+        raise PolicyError(f"Function {name} is not known to give the same result every time, so it may be volatile or non-reproducible")
 
 
 def _parse(session: SparkSession, text: str) -> Any:
@@ -179,7 +211,7 @@ def check_parsed(session: SparkSession, sql: str, tables: set[str]) -> tuple[str
                     raise PolicyError(f"{'.'.join(parts)} is not a registered table")
         elif name == "UnresolvedFunction":
             parts = [str(part).lower() for part in _items(node.nameParts())]
-            _check_function(parts[-1])
+            _check_function(session, parts[-1])
             if parts == ["unix_timestamp"] and not node.children().size():
                 raise PolicyError("Function unix_timestamp without arguments is volatile or non-reproducible")
         elif name == "Literal" and _names_the_clock(node):
@@ -247,6 +279,8 @@ def check_analyzed(df: DataFrame, tables: set[str]) -> None:
             continue
         if name.startswith(("Cast", "ParseTo", "GetTimestamp")) and _reads_the_clock(node):
             raise PolicyError("A date text names the clock, which is volatile or non-reproducible")
+        if "UDF" in name or name in ("UserDefinedGenerator", "ScalaAggregator"):
+            raise PolicyError(f"Expression {name} is not built in, so it may be volatile or non-reproducible")
         if name in EXTERNAL_EXPRESSIONS:
             raise PolicyError(f"Expression {name} reaches outside the query")
         if name in VOLATILE_EXPRESSIONS or _is_volatile_itself(name, node):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 import pytest
 
 from dataproof import PolicyError, safe_select
-from dataproof.plans import select
+from dataproof.plans import read_only, select
 
 # Statements that the policy has to reject or accept.
 REJECTED = [
@@ -279,3 +280,68 @@ def test_ordinary_dates_are_allowed(spark):
     df = spark.createDataFrame([(1, "now")], "id bigint, word string")
     sql = "SELECT DATE '2024-01-01' AS d, TIMESTAMP '2024-01-01 00:00:00' AS t, CAST('2024-01-01' AS DATE) AS c, 'today' AS w FROM dataset"
     assert safe_select(spark, {"dataset": df}, sql).df.count() == 1
+
+
+def built_in_functions(spark):
+    """Names, groups and examples of all functions that Spark has."""
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    names = registry.listFunction().iterator()
+    while names.hasNext():
+        name = names.next()
+        info = registry.lookupFunction(name).get()
+        yield name.funcName(), info.getGroup(), re.findall(r"> (SELECT.*?);\n", info.getExamples() + "\n", re.DOTALL)
+
+
+def test_every_built_in_function_is_refused_or_repeatable(spark, tables):
+    """Examples of allowed functions give the same rows in two runs, dealt over other numbers of tasks."""
+    refused, tried = set(), set()
+    for name, group, examples in built_in_functions(spark):
+        allowed = True
+        try:
+            read_only._check_function(spark, name)
+        except PolicyError:
+            allowed = False
+            refused.add(name)
+        for sql in examples[:2]:
+            try:
+                runs = []
+                for parts in (1, 8):
+                    spark.conf.set("spark.sql.leafNodeDefaultParallelism", parts)
+                    runs.append(safe_select(spark, tables, sql).df.toJSON().collect())
+            except Exception:
+                continue  # Examples that are refused, need other tables, or show an error.
+            finally:
+                spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+            if allowed:
+                tried.add(name)
+                assert sorted(runs[0]) == sorted(runs[1]), (name, sql)
+    assert len(tried) > 350
+    # Of the groups that are allowed, exactly these are left out.
+    kept_out = {n for n, g, _ in built_in_functions(spark) if g in read_only.REPEATABLE_GROUPS} & refused
+    assert {n for n in kept_out if not read_only.UNSTABLE_AGGREGATES.fullmatch(n)} == {
+        "curdate", "current_date", "current_time", "current_timestamp", "current_timezone", "localtimestamp", "now", "rand", "randn",
+        "random", "randstr", "shuffle", "uniform",
+    }
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT hex(aes_encrypt('Spark','0000111122223333')) FROM t",
+        "SELECT kll_sketch_agg_bigint(id) FROM t",
+        "SELECT kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(id), 0.5) FROM t",
+        "SELECT percentile_approx(id, 0.5) FROM t",
+        "SELECT hll_sketch_estimate(hll_sketch_agg(id)) FROM t",
+        "SELECT system.builtin.aes_encrypt('Spark','0000111122223333') FROM t",
+        "SELECT my_own(id) FROM t",
+        "SELECT my_own_python(id) FROM t",
+        "SELECT upper('a'), no_such_function(id) FROM t",
+    ],
+)
+def test_functions_outside_of_the_allow_list(spark, sql):
+    spark.udf.register("my_own_python", lambda x: x)
+    spark.sql("DROP TEMPORARY FUNCTION IF EXISTS my_own")
+    spark.sql("CREATE TEMPORARY FUNCTION my_own(x BIGINT) RETURNS BIGINT RETURN x + 1")
+    with pytest.raises(PolicyError, match="volatile or non-reproducible"):
+        safe_select(spark, {"t": spark.range(3)}, sql)
+    spark.sql("DROP TEMPORARY FUNCTION IF EXISTS my_own")
