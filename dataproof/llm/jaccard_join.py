@@ -5,10 +5,12 @@ inequality of one of them. Equal sets are one node from the start.
 
 1. *Rings.* The pivot is the empty set: a node's distance to it is its size. Rings are ranges of sizes; a
    node is also replicated to the ring of every size that a linked smaller node can have.
-2. *Regions.* In a ring, linked nodes differ in at most ``d`` shingles. Shingles are hashed into ``d + 1``
-   blocks, so linked nodes agree on a whole block: a block's content is a pivot, and its region are the
-   nodes at distance nought from it within the block. An empty block says nothing; nodes with empty blocks are
-   blocked anew with another hash, again and again.
+2. *Regions.* In a ring, linked nodes differ in at most ``d`` shingles, which touch at most ``d`` blocks if shingles
+   are hashed into blocks. There are so many blocks that a node fills more than ``d`` of them: one of the filled blocks
+   is untouched, so linked nodes agree on its content. That content is a pivot, and its region are the nodes at distance
+   nought from it within the block. The few nodes that fill too few blocks are hashed anew into twice as many, until
+   they fill enough; empty blocks make no regions. (Below 75 per cent too many blocks would be needed; there a region
+   is what has one of the first shingles in the order of a hash.)
 3. *Stars.* The first node of a region is its pivot; its distance to every other member is computed
    exactly. Linked nodes make components.
 4. *Recursion.* Regions whose further members lie in several components go on. Their nodes are dealt into
@@ -29,7 +31,9 @@ from each other, so every document would be a boundary document of every cell. H
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,8 @@ from dataproof.llm.common import Words64, mix64, numbered, settle, share, shared
 
 SHINGLE = 3
 PERCENT = 90
-#: Ratio of the sizes that bound a ring; levels of blocking anew.
-RING, LEVELS = 1.25, 8
+#: Ratio of the sizes that bound a ring; the similarity from which on shingles are blocked.
+RING, LEAST_BLOCKED = 1.25, 75
 #: Bits of the filter that spares later passes most documents without candidates: 4 MB in all.
 FILTER_BITS = 1 << 25
 #: Buckets of a sketch; members of a region that are compared in one task, with as many others.
@@ -110,55 +114,98 @@ def ring_bounds(percent: int, largest: int = 1 << 40) -> list[int]:
     return bounds
 
 
+@lru_cache(maxsize=None)
+def block_number(least: int, allowed: int) -> int:
+    """So many blocks that nearly every set of ``least`` shingles fills more than ``allowed`` of them."""
+    blocks = allowed + 1
+    while True:
+        load = least / blocks
+        empty = math.exp(-load)
+        spread = math.sqrt(max(0.0, blocks * empty * (1 - (1 + load) * empty)))
+        if blocks * (1 - empty) - 2 * spread >= allowed + 1:
+            return blocks
+        blocks += max(1, blocks // 50)
+
+
 def region_keys(shingles: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
-    """The regions of one set, as 64-bit numbers."""
+    """The regions of one set, as 64-bit numbers. No region stands for an empty block."""
     size = len(shingles)
     if size < bounds[0]:
         return np.zeros(0, dtype=np.uint64)
     least = max(-(-percent * size // 100), bounds[0])
+    if percent < LEAST_BLOCKED:
+        # The first shingles in an order by hashes; linked sets have one of them in common.
+        return np.sort(mix64(shingles ^ _ODD[0]))[: size - least + 1]
     content_of = mix64(shingles ^ _ODD[0])
     out = []
     for ring in range(bisect_right(bounds, least) - 1, bisect_right(bounds, size)):
-        blocks = (100 - percent) * (bounds[ring + 1] - 1) // percent + 1
-        for level in range(LEVELS):
-            seed = mix64(np.array([ring * LEVELS + level + 1], dtype=np.uint64))[0]
+        allowed = (100 - percent) * (bounds[ring + 1] - 1) // percent
+        blocks, filled, level = block_number(bounds[ring], allowed), 0, 0
+        while filled <= allowed:
+            seed = mix64(np.array([(ring << 32) + level + 1], dtype=np.uint64))[0]
             with np.errstate(over="ignore"):
-                block = (mix64(shingles + seed) % np.uint64(blocks)).astype(np.int64)
-                content = np.zeros(blocks, dtype=np.uint64)
-                np.add.at(content, block, content_of)
-                keys = mix64(content ^ mix64(seed + np.arange(blocks, dtype=np.uint64)))
-            full = np.bincount(block, minlength=blocks) > 0
-            last = full.all() or level == LEVELS - 1
-            out.append(keys if last else keys[full])
-            if last:
-                break
+                block = mix64(shingles + seed) % np.uint64(blocks)
+                order = np.argsort(block)
+                block = block[order]
+                starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                content = np.add.reduceat(content_of[order], starts)
+                out.append(mix64(content ^ mix64(seed + block[starts])))
+            filled, level, blocks = len(starts), level + 1, 2 * blocks
     return np.concatenate(out)
 
 
-def _signatures(df: DataFrame, id_column: str, text: str, percent: int, width: int) -> DataFrame:
-    """``row, doc_id, mark, n, h1, h2, keys`` of every row; ``row`` is a number of its own."""
+def _signatures(df: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
+    """``row, doc_id, mark, n, h1, h2`` of every row; ``row`` is a number of its own."""
 
     def sign(batches):
-        numbers, bounds = Words64(), ring_bounds(percent)
+        numbers = Words64()
         for part, texts in text_batches(batches):
-            sizes, firsts, seconds, keys = [], [], [], []
+            sets = [shingle_set(value, numbers, width) for value in texts]
+            numbers_of = [set_number(found) for found in sets]
+            columns = [part.column(i) for i in range(3)] + [pa.array(list(map(len, sets)), pa.int64())]
+            columns += [pa.array([x[i] for x in numbers_of], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "mark", "n", "h1", "h2"])
+
+    rows = _marked(df, id_column, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "mark", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return settle(rows.mapInArrow(sign, f"row long, doc_id {kind}, mark long, n long, h1 long, h2 long"), "signatures")
+
+
+def _regions(df: DataFrame, nodes: DataFrame, id_column: str, text: str, percent: int, width: int) -> DataFrame:
+    """``key, node, pivot``: the members of all regions of two nodes or more; the pivot is the first of them.
+
+    Keys come from another pass over the texts, in which a set that a task has met before says nothing. They are
+    shuffled with so many bits of the set's hash only as tell most nodes apart (the rest of 64 would cost more
+    than all else that is written), and nodes join those that are not alone. If two nodes agree in these bits, both
+    join, which adds members but loses none.
+    """
+    mask = (1 << min(63, nodes.count().bit_length() + 10)) - 1
+
+    def cut(batches):
+        numbers, bounds, met = Words64(), ring_bounds(percent), set()
+        for _, texts in text_batches(batches, max_rows=512):
+            keys, shorts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
             for value in texts:
                 found = shingle_set(value, numbers, width)
-                first, second = set_number(found)
-                sizes.append(len(found)), firsts.append(first), seconds.append(second)
+                name = set_number(found)
+                if name in met:
+                    continue
+                if len(met) >= Words64.limit:
+                    met.clear()
+                met.add(name)
                 keys.append(region_keys(found, percent, bounds))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys).astype(np.int64)
-            columns = [part.column(i) for i in range(3)]
-            columns += [pa.array(values, pa.int64()) for values in (sizes, firsts, seconds)]
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "mark", "n", "h1", "h2", "keys"])
+                shorts.append(np.full(len(keys[-1]), name[0] & mask))
+            yield pa.RecordBatch.from_pydict(
+                {"key": pa.array(np.concatenate(keys).astype(np.int64)), "short": pa.array(np.concatenate(shorts))}
+            )
 
-    rows = _marked(df, id_column, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "mark", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return settle(
-        rows.mapInArrow(sign, f"row long, doc_id {kind}, mark long, n long, h1 long, h2 long, keys array<long>"), "signatures"
-    )
+    found = _marked(df, id_column, text).select("text").mapInArrow(cut, "key long, short long")
+    shared_by = F.count("*").over(Window.partitionBy("key"))
+    found = found.withColumn("times", shared_by).where(F.col("times") > 1).select("key", "short")
+    members = found.join(nodes.select(F.col("h1").bitwiseAND(F.lit(mask)).alias("short"), "node"), "short")
+    members = settle(members.select("key", "node").distinct(), "members")
+    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
+    return settle(members.join(pivots.select("key", "pivot"), "key"), "regions")
 
 
 def _marked(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -342,14 +389,10 @@ def link_components(
     """
     if not 50 <= percent <= 99:
         raise ValueError("percent lies between 50 and 99")
-    signed = _signatures(df, id_column, text, percent, width)
+    signed = _signatures(df, id_column, text, width)
     nodes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
     nodes = settle(nodes, "nodes")
-
-    first = signed.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node")
-    blocks = first.select(F.explode("keys").alias("key"), "node")
-    shared_by = blocks.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    members = settle(blocks.join(shared_by.select("key", "pivot"), "key"), "regions")
+    members = _regions(df, nodes, id_column, text, percent, width)
 
     candidates = signed.select(F.col("row").alias("node"), "mark", "h1", "h2").join(members.select("node").distinct(), "node")
     sets = _sets(df, settle(candidates, "candidates"), id_column, text, width)
@@ -367,7 +410,7 @@ def link_components(
     named = _with_labels(nodes.select("h1", "h2", "n", "node", "least_id"), labels)
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "label").select("h1", "h2", "n", "component_id", F.col("label").alias("component"))
-    out = signed.drop("keys").join(named, ["h1", "h2", "n"], "left")
+    out = signed.join(named, ["h1", "h2", "n"], "left")
     return out.select(
         "row",
         "doc_id",

@@ -78,23 +78,39 @@ def test_hard_neighbours(spark, percent):
     assert found_components(df, percent) == linked_components(list(range(len(texts))), texts, percent)
 
 
-def test_regions_hold_all_linked_pairs():
+@pytest.mark.parametrize("percent", [50, 70, 75, 80, 90, 95])
+def test_regions_hold_all_linked_pairs(percent):
     """Any two linked sets share a region, whatever their sizes."""
     rng = np.random.default_rng(5)
-    bounds = jaccard_join.ring_bounds(90)
+    bounds = jaccard_join.ring_bounds(percent)
     for size in [9, 10, 11, 17, 18, 19, 20, 30, 57, 99, 150, 400]:
+        if size < bounds[0]:
+            continue
         for _ in range(20):
-            full = rng.integers(0, 2**63, size, dtype=np.uint64)
-            drop = size // 10
-            left = np.unique(full[: size - int(rng.integers(0, drop + 1))])
-            rest = drop - (size - len(left))
-            right = np.unique(full[int(rng.integers(0, rest + 1)) :])
+            full = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            drop = size * (100 - percent) // 100
+            rng.shuffle(full)
+            cut = int(rng.integers(0, drop + 1))
+            left = np.sort(full[: size - cut])
+            right = np.sort(full[int(rng.integers(0, drop - cut + 1)) :])
             both = len(np.intersect1d(left, right))
-            assert 100 * both >= 90 * len(np.union1d(left, right))
-            keys = [set(jaccard_join.region_keys(x, 90, bounds).tolist()) for x in (left, right)]
+            assert 100 * both >= percent * len(np.union1d(left, right))
+            keys = [set(jaccard_join.region_keys(x, percent, bounds).tolist()) for x in (left, right)]
             assert keys[0] & keys[1]
 
 
+@pytest.mark.parametrize(("percent", "most"), [(80, 0.7), (90, 0.35)])
+def test_unrelated_texts_share_no_region(percent, most):
+    rng = np.random.default_rng(6)
+    bounds = jaccard_join.ring_bounds(percent)
+    seen = Counter()
+    for size in [40, 300, 1000] * 100:
+        keys = set(jaccard_join.region_keys(rng.integers(0, 2**63, size, dtype=np.uint64), percent, bounds).tolist())
+        assert len(keys) <= most * size
+        seen.update(keys)
+    assert max(seen.values()) == 1
+
+
 def test_join_of_odd_rows(odd_documents):
     rows = odd_documents.collect()
     assert found_components(odd_documents) == linked_components([r.doc_id for r in rows], [r.text for r in rows], 90)
@@ -273,6 +289,12 @@ def test_pipeline(spark, sf_dir, documents):
     assert out.where("NOT restored").count() == 0 and out.count() == docs.count()
 
 
+def test_verdicts_are_not_repeated_in_a_filter(spark, sf_dir, documents):
+    """The optimizer must not copy the whole verdict into a filter pushed below it."""
+    plan = corpus_pipeline.rules_stage(spark, documents, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2
+
+
 def test_near_copies_go_in_the_pipeline(spark, sf_dir):
     """A copy with four scattered changed words is below 90 % at three words and above 80 % at five."""
     base = [f"w{i}" for i in range(200)]
