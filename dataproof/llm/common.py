@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,11 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, purpose: str) -> DataFrame:
+def settle(df: DataFrame, purpose: str, pack: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps neither recompute it nor
-    depend on executors that held parts of it."""
+    depend on executors that held parts of it. ``pack`` takes more time to write less, for tables with texts."""
     folder = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression="zstd" if pack else "snappy")
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -55,6 +55,21 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*names), names
 
 
+#: Tables of at most so many bytes are broadcast by :func:`join_small`; beyond, keys are dealt over so many tasks.
+BROADCAST_BYTES, SALT = 32 << 20, 32
+
+
+def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], salt: Column) -> DataFrame:
+    """A left join with a written table of few bytes a key: by broadcast up to a measured size, else by a shuffle in
+    which each key of ``rows`` is dealt over ``SALT`` tasks by ``salt``."""
+    bytes_of = sum((F.length(F.to_json(F.struct(F.col(name)))) for name in small.columns), F.lit(0))
+    if (small.agg(F.sum(bytes_of)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), list(keys), "left")
+    copies = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(salt), F.lit(SALT)).cast("int"))
+    return salted.join(copies, [*keys, "salt_"], "left").drop("salt_")
+
+
 def crc_remainder(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -80,7 +95,7 @@ def text_batches(
 class Words64(dict):
     """64-bit numbers of words, kept for words seen before; emptied when it grows too large."""
 
-    limit = 1 << 20
+    limit = 1 << 18
 
     def __missing__(self, word):
         import xxhash

@@ -2,12 +2,17 @@
 
 Two histograms of a document are held against references of its language: the shares of character
 classes and the shares of the language's most common words (all others are one more bin). The distance
-is the Jensen-Shannon distance, the square root of the divergence in bits, between 0 and 1. A document with
-hardly any of the common words (gibberish, or another language) is rejected too. Documents
-shorter than a minimum are not judged by either, because their histograms say too little.
+is the Jensen-Shannon distance, the square root of the divergence in bits, between 0 and 1. A third histogram has
+two bins, common words and all others; a document is too far if it has fewer common words than the reference and its
+distance comes near the one of having none at all (gibberish, or another language). Documents shorter than a minimum
+are not judged by distances, because their histograms say too little.
 
-References are counted over all documents. A language with less than 1/256 of all words is held against
-the reference of all documents together, so there are at most 257 references.
+References are counted over all documents, one for every language. A language's counts are taken together with a fixed
+number of words of all documents at their average shares, so that the reference of a language of few documents is close to
+the average of all and moves to its own with every document more.
+
+One pass counts what needs one text alone (base counts and character classes) and writes it beside the rows; references are
+sums of that and of word counts; a second pass looks up common words and measures distances.
 """
 
 from __future__ import annotations
@@ -18,16 +23,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import settle, whole_text
+from dataproof.llm.common import join_small, numbered, settle, whole_text
 
 SPACES = r"[\x20\x09-\x0D]"
 SPACE = SPACES + "+"
+WHITE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes as Java regular expressions, the commonest first. White space is one more class, and so is all the rest.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", SYMBOLS, r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]")
 CLASS_NUMBER = len(CLASSES) + 2
+SYMBOL_CLASS, SPACE_CLASS = CLASSES.index(SYMBOLS), len(CLASSES)
 ALL = "*"
+#: The columns of a verdict.
+VERDICT = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words class_distance word_distance common_distance base_failed kept"
+).split()
 
 
 @dataclass(frozen=True)
@@ -35,15 +46,16 @@ class Limits:
     """Parameters of the rules."""
 
     common_words: int = 48
-    slots: int = 8192
+    slots: int = 1024
     min_words: int = 60
     min_chars: int = 300
     max_class_distance: float = 0.30
     max_word_distance: float = 0.50
-    #: Common words must have this part of the share that they have in the reference. Their absence alone is
-    #: a distance of 0.41 only, which short clean texts come near to; 0.15 is the least part of a clean one.
-    min_common_part: float = 0.125
-    rare_language: int = 256
+    #: Of the distance that a document without any common word has. Clean documents come to 0.73.
+    max_absence: float = 0.76
+    #: Words of all documents that each language's own are taken together with, and characters.
+    prior_words: int = 200
+    prior_chars: int = 1200
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,11 +64,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda word: word != "")
-
-
-def word_characters(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda total, word: total + F.char_length(word))
+    trimmed = F.btrim(text, F.lit(WHITE))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
 def _without(text: Column, kind: str) -> Column:
@@ -66,31 +75,36 @@ def _without(text: Column, kind: str) -> Column:
 def class_counts(text: Column) -> Column:
     """How many characters of each class ``text`` has, as an array.
 
-    The commonest class is cut out first, in runs, so that the others are looked for in a short rest of the text.
+    The commonest class and white space are cut out first, in runs, so that the others are looked for in a short rest
+    of the text.
     """
 
-    def of_rest(bare: Column) -> Column:
-        def cut(kind: str) -> Column:
-            return (F.char_length(bare) - F.char_length(_without(bare, kind))).cast("long")
+    def of_bare(bare: Column) -> Column:
+        def of_rest(rest: Column) -> Column:
+            def cut(kind: str) -> Column:
+                return (F.char_length(rest) - F.char_length(_without(rest, kind))).cast("long")
+
+            commonest = (F.char_length(text) - F.char_length(bare)).cast("long")
+            spaces = (F.char_length(bare) - F.char_length(rest)).cast("long")
+            return F.array(commonest, *[cut(kind) for kind in CLASSES[1:]], spaces)
 
-        commonest = (F.char_length(text) - F.char_length(bare)).cast("long")
-        return F.array(commonest, *[cut(kind) for kind in (*CLASSES[1:], SPACES)])
+        return let(_without(bare, SPACES), of_rest)
 
     def with_rest(counts: Column) -> Column:
         rest = F.char_length(text) - F.aggregate(counts, F.lit(0).cast("long"), lambda total, x: total + x)
         return F.concat(counts, F.array(rest))
 
-    return let(let(_without(text, CLASSES[0]), of_rest), with_rest)
+    return let(let(_without(text, CLASSES[0]), of_bare), with_rest)
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
     """Words inside windows of ``width`` words that occur twice or more. Windows are told apart by 64-bit hashes."""
 
-    def hashes(bound: Column) -> Column:
+    def hashes(ids: Column) -> Column:
         def window(start: Column) -> Column:
-            return F.xxhash64(*[F.get(bound, start + k) for k in range(width)])
+            return F.xxhash64(*[F.get(ids, start + k) for k in range(width)])
 
-        return F.transform(F.sequence(F.lit(0), F.size(bound) - width), window)
+        return F.transform(F.sequence(F.lit(0), F.size(ids) - width), window)
 
     def count(found: Column) -> Column:
         ordered = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -112,75 +126,121 @@ def repeated_words(words: Column, width: int = 5) -> Column:
         return F.when(F.size(F.array_distinct(found)) < F.size(found), covered).otherwise(0)
 
     def of_words(bound: Column) -> Column:
-        return F.when(F.size(bound) >= width, let(hashes(bound), count)).otherwise(0)
+        ids = F.transform(bound, lambda word: F.xxhash64(word))
+        return F.when(F.size(bound) >= width, let(let(ids, hashes), count)).otherwise(0)
 
     return let(words, of_words).cast("long")
 
 
-def base_counts(text: Column, words: Column) -> dict[str, Column]:
-    """The counts of the base rules."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": word_characters(words),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long"),
-        "n_repeat_words": repeated_words(words),
-    }
+def measured(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``df`` with its language (``language_``), the counts of its character classes (``classes_``) and the base counts.
 
+    The symbols of the base rules are one of the classes, and what is not white space lies in words.
+    """
+    rows = df.select(
+        "*",
+        F.coalesce(df[lang].cast("string"), F.lit(ALL)).alias("language_"),
+        words_of(whole_text(df, text)).alias("words_"),
+        class_counts(whole_text(df, text)).alias("classes_"),
+    )
+    lines = F.filter(F.split(whole_text(df, text), "\n"), lambda line: line.rlike(WORD))
+    everything = F.aggregate("classes_", F.lit(0).cast("long"), lambda total, x: total + x)
+    return rows.select(
+        *df.columns,
+        "language_",
+        "classes_",
+        F.size("words_").cast("long").alias("n_words"),
+        (everything - F.get("classes_", F.lit(SPACE_CLASS))).alias("word_chars"),
+        F.get("classes_", F.lit(SYMBOL_CLASS)).alias("n_symbols"),
+        let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("words_")).alias("n_repeat_words"),
+    )
 
-def _slot(word: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
 
+def _slot(word: Column, seed: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(word, seed), F.lit(slots)).cast("int")
 
-def language_references(df: DataFrame, limits: Limits = Limits(), lang: str = "lang") -> DataFrame:
-    """``language, class_shares, common, common_shares, slots``: a row per language, and ``*`` for all together.
 
-    ``common`` are the most common words in lower case, the most common first. ``slots`` finds them: at the
-    hash of a word modulo its size stands the word's place in ``common`` counted from 1, or 0. Of two common
-    words with one slot the more common one has it; the other counts as any other word.
+def _commonest(counts: DataFrame, number: int) -> DataFrame:
+    """The rows of the ``number`` commonest words of each language, ranked in two steps: first within parts of it."""
+    order = [F.col("n").desc(), F.col("word")]
+    in_part = F.row_number().over(Window.partitionBy("language", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(*order))
+    best = counts.withColumn("place", in_part).where(F.col("place") <= number).drop("place")
+    place = F.row_number().over(Window.partitionBy("language").orderBy(*order))
+    return best.withColumn("place", place).where(F.col("place") <= number).drop("place")
+
+
+def _smoothed(own: Column, total: Column, average: Column, prior: int) -> Column:
+    return (own + prior * average) / (total + F.lit(float(prior)))
+
+
+def references_of(rows: DataFrame, limits: Limits, text: str = "text") -> DataFrame:
+    """``language, class_shares, common, common_shares, longest, seed, slots`` of the rows of :func:`measured`: a row per
+    language, and ``*`` for all together.
+
+    ``common`` are the words with the highest shares, in lower case, chosen among the commonest of the language and of all
+    documents. ``slots`` finds them: at the hash of a word with ``seed`` modulo its size stands the word's place in ``common``
+    counted from 1, or 0; the seed is one with which no two common words meet. ``longest`` is the length of the longest.
     """
-    text = whole_text(df)
-    rows = df.select(F.coalesce(df[lang].cast("string"), F.lit(ALL)).alias("language"), text.alias("text"))
-    words = rows.select("language", F.explode(words_of(F.col("text"))).alias("word"))
+    words = rows.select(F.col("language_").alias("language"), F.explode(words_of(whole_text(rows, text))).alias("word"))
     counts = settle(words.groupBy("language", F.lower("word").alias("word")).agg(F.count("*").alias("n")), "words")
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(CLASS_NUMBER)]
-    counted = rows.select("language", class_counts(F.col("text")).alias("classes"))
-    classes = settle(counted.groupBy("language").agg(*sums), "classes")
-    pooled_counts = counts.where(F.col("language") != ALL).groupBy("word").agg(F.sum("n").alias("n"))
-    pooled_counts = pooled_counts.unionByName(counts.where(F.col("language") == ALL).select("word", "n"))
-    pooled_counts = pooled_counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("language"), "word", "n")
-    pooled_classes = classes.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(CLASS_NUMBER)])
-    pooled_classes = pooled_classes.select(F.lit(ALL).alias("language"), *pooled_classes.columns)
-    counts = counts.where(F.col("language") != ALL).unionByName(pooled_counts)
-    classes = classes.where(F.col("language") != ALL).unionByName(pooled_classes)
-
-    order = Window.partitionBy("language").orderBy(F.col("n").desc(), F.col("word"))
-    top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limits.common_words)
-    top = top.groupBy("language").agg(
-        F.array_sort(F.collect_list(F.struct("place", "word", "n", _slot(F.col("word"), limits.slots).alias("slot")))).alias("top")
-    )
+    sums = [F.sum(F.get("classes_", F.lit(i))).alias(f"c{i}") for i in range(CLASS_NUMBER)]
+    classes = rows.groupBy(F.col("language_").alias("language")).agg(*sums)
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
-    class_total = sum((F.col(f"c{i}") for i in range(CLASS_NUMBER)), F.lit(0))
-    shares = [F.col(f"c{i}") / F.greatest(class_total, F.lit(1)) for i in range(CLASS_NUMBER)]
-    taken = F.transform("top", lambda x: x["slot"])
-    return (
-        totals.join(top, "language")
-        .join(classes, "language")
-        .select(
-            "language",
-            "total",
-            F.array(*shares).alias("class_shares"),
-            F.transform("top", lambda x: x["word"]).alias("common"),
-            F.transform("top", lambda x: x["n"] / F.col("total")).alias("common_shares"),
-            let(
-                taken,
-                lambda own: F.transform(
-                    F.sequence(F.lit(0), F.lit(limits.slots - 1)), lambda i: F.array_position(own, i).cast("int")
-                ),
-            ).alias("slots"),
-        )
+    # One row per language from here on.
+    languages = settle(classes.join(totals, "language", "left").fillna(0, ["total"]), "languages")
+    everything = languages.agg(F.sum("total"), *[F.sum(f"c{i}") for i in range(CLASS_NUMBER)]).first()
+    all_words, all_classes = everything[0] or 0, [n or 0 for n in everything[1:]]
+    pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(limits.common_words)
+    general = pooled.collect()
+
+    class_share = [F.lit(n / max(1, sum(all_classes))) for n in all_classes]
+    characters = sum((F.col(f"c{i}") for i in range(CLASS_NUMBER)), F.lit(0))
+    shares = [_smoothed(F.col(f"c{i}"), characters, share, limits.prior_chars) for i, share in enumerate(class_share)]
+    languages = languages.where(F.col("language") != ALL)
+    languages = languages.select("language", "total", F.array(*shares).alias("class_shares"))
+    alone = languages.sparkSession.createDataFrame([(ALL, 0)], "language string, total long")
+    languages = languages.unionByName(alone.withColumn("class_shares", F.array(*class_share)))
+
+    wanted = languages.select("language", F.explode(F.array(*[F.lit(row["word"]) for row in general]).cast("array<string>")).alias("word"))
+    own = _commonest(counts.where(F.col("language") != ALL), limits.common_words)
+    wanted = settle(wanted.unionByName(own.select("language", "word")).distinct(), "wanted")
+    average = counts.join(wanted.select("word").distinct(), "word").groupBy("word").agg((F.sum("n") / max(1, all_words)).alias("average"))
+    found = wanted.join(counts.where(F.col("language") != ALL), ["language", "word"], "left").join(average, "word")
+    found = found.join(languages.select("language", "total"), "language")
+    share = _smoothed(F.coalesce("n", F.lit(0)), F.col("total"), F.col("average"), limits.prior_words)
+    found = found.select("language", "word", share.alias("share"))
+    place = F.row_number().over(Window.partitionBy("language").orderBy(F.col("share").desc(), "word"))
+    found = found.withColumn("place", place).where(F.col("place") <= limits.common_words)
+    top = found.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("place", "word", "share"))).alias("top"))
+
+    def apart(seed: Column) -> Column:
+        taken = F.transform("common", lambda word: _slot(word, seed, limits.slots))
+        return F.size(F.array_distinct(taken)) == F.size("common")
+
+    def table(taken: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(limits.slots - 1)), lambda i: F.array_position(taken, i).cast("int"))
+
+    out = languages.join(top, "language", "left").select(
+        "language",
+        "class_shares",
+        F.coalesce(F.transform("top", lambda x: x["word"]), F.array().cast("array<string>")).alias("common"),
+        F.coalesce(F.transform("top", lambda x: x["share"]), F.array().cast("array<double>")).alias("common_shares"),
+    )
+    out = out.select(
+        "*",
+        F.coalesce(F.array_max(F.transform("common", F.char_length)), F.lit(0)).alias("longest"),
+        # Seeds fail with a probability of two in three each.
+        F.get(F.filter(F.sequence(F.lit(0), F.lit(511)), apart), F.lit(0)).alias("seed"),
     )
+    slots = let(F.transform("common", lambda word: _slot(word, F.col("seed"), limits.slots)), table)
+    return out.withColumn("slots", F.when(F.col("seed").isNull(), F.raise_error(F.lit("no seed parts the words"))).otherwise(slots))
+
+
+def language_references(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """The references of the documents of ``df``; see :func:`references_of`."""
+    rows = df.select(df[text].alias("text"), df[lang].alias("lang"))
+    return references_of(settle(measured(rows), "measured"), limits)
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -196,18 +256,29 @@ def _root(divergence: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
-def class_distance(text: Column, class_shares: Column) -> Column:
-    """The distance of the character classes of ``text`` to the reference."""
-    length = F.greatest(F.char_length(text), F.lit(1))
-    terms = F.zip_with(class_counts(text), class_shares, lambda n, q: _term(n / length, q))
-    return _root(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x))
+def _share_of(n: Column, total: Column) -> Column:
+    return n / F.greatest(total, F.lit(1))
+
+
+def class_distance(classes: Column, n_chars: Column, class_shares: Column) -> Column:
+    """The distance of counted character classes to the reference."""
+    return _root(_sum(F.zip_with(classes, class_shares, lambda n, q: _term(_share_of(n, n_chars), q))))
 
 
-def common_places(words: Column, common: Column, slots: Column, size: int) -> Column:
+def common_places(words: Column, reference: dict[str, Column], size: int) -> Column:
     """The places in ``common`` (from 1) of the common words among ``words``, ascending."""
-    lower = F.transform(words, F.lower)
-    common_only = F.filter(lower, lambda word: F.get(common, F.get(slots, _slot(word, size)) - 1) == word)
-    return F.sort_array(F.transform(common_only, lambda word: F.get(slots, _slot(word, size))))
+    # No word is shorter in lower case.
+    lower = F.transform(F.filter(words, lambda word: F.char_length(word) <= reference["longest"]), F.lower)
+
+    def place(word: Column) -> Column:
+        return F.get(reference["slots"], _slot(word, reference["seed"], size))
+
+    return F.sort_array(F.transform(F.filter(lower, lambda word: F.get(reference["common"], place(word) - 1) == word), place))
+
+
+def common_distance(part: Column, reference_part: Column) -> Column:
+    """The distance of the two-bin histograms of common and other words."""
+    return _root(_term(part, reference_part) + _term(1 - part, F.greatest(1 - reference_part, F.lit(0.0))))
 
 
 def _sum(values: Column) -> Column:
@@ -239,47 +310,42 @@ def word_distance(found: Column, n_words: Column, common_shares: Column) -> Colu
 
 
 def judge(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """``df`` with the base counts, ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``.
+    """``df`` with the base counts, ``class_distance``, ``word_distance``, ``common_distance``, ``base_failed`` and ``kept``.
 
     A null text has no words and fails the base rules; a null language is held against all documents
     together; repeated rows are judged alike; an empty table gives an empty result. Distances are null
-    below the minimum lengths. Columns of the new names are replaced.
+    below the minimum lengths. Columns of the new names are replaced; columns of any other name are kept.
     """
-    references = settle(language_references(df.select(df[text].alias("text"), df[lang].alias("lang")), limits), "references")
-    total = references.where(F.col("language") == ALL).agg(F.sum("total")).first()[0] or 0
-    references = references.where((F.col("language") == ALL) | (F.col("total") * limits.rare_language >= total))
-    # At most rare_language + 1 rows of some 40 KB.
-    references = F.broadcast(references.select(F.struct("*").alias("ref_")))
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance"]
-    df = df.drop(*new, "base_failed", "kept")
-    own = F.coalesce(df[lang].cast("string"), F.lit(ALL))
-    alone = F.broadcast(references.select(F.col("ref_.language").alias("known_")))
-    filled = whole_text(df, text)
-    rows = df.select("*", filled.alias("text_"), own.alias("own_"))
-    rows = rows.join(alone, F.col("own_") == F.col("known_"), "left").drop("own_")
-    rows = rows.join(references, F.coalesce("known_", F.lit(ALL)) == F.col("ref_.language"), "left")
-    rows = rows.withColumn("words_", words_of(F.col("text_")))
-    rows = rows.withColumns(base_counts(F.col("text_"), F.col("words_")))
-    # Too short texts have no distance.
-    places = common_places(F.col("words_"), F.col("ref_.common"), F.col("ref_.slots"), limits.slots)
-    rows = rows.withColumn("found_", F.when(F.col("n_words") >= limits.min_words, places))
-    far = rows.withColumns(
+    kept_columns = [name for name in df.columns if name not in VERDICT]
+    chosen = df.select(*[df[name] for name in kept_columns])
+    rows, names = numbered(chosen)
+    own_text, own_lang = names[kept_columns.index(text)], names[kept_columns.index(lang)]
+    rows = settle(measured(rows, own_text, own_lang), "measured")
+    references = settle(references_of(rows, limits, own_text).withColumnRenamed("language", "language_"), "references")
+    rows = join_small(rows, references, ["language_"], F.col(own_text))
+    reference = {name: F.col(name) for name in references.columns}
+    long_enough = F.col("n_words") >= limits.min_words
+    found = common_places(words_of(whole_text(rows, own_text)), reference, limits.slots)
+    rows = rows.withColumn("found_", F.when(long_enough, found))
+    n_chars = _sum(F.col("classes_"))
+    rows = rows.withColumns(
         {
             "class_distance": F.when(
-                F.char_length("text_") >= limits.min_chars, class_distance(F.col("text_"), F.col("ref_.class_shares"))
-            ),
-            "word_distance": F.when(
-                F.col("n_words") >= limits.min_words,
-                word_distance(F.col("found_"), F.col("n_words"), F.col("ref_.common_shares")),
+                n_chars >= limits.min_chars, class_distance(F.col("classes_"), n_chars, F.col("class_shares"))
             ),
-            "few_": (F.col("n_words") >= limits.min_words)
-            & (F.size("found_") < limits.min_common_part * _sum(F.col("ref_.common_shares")) * F.col("n_words")),
-            "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+            "word_distance": F.when(long_enough, word_distance(F.col("found_"), F.col("n_words"), F.col("common_shares"))),
+            "part_": F.when(long_enough, F.size("found_") / F.col("n_words")),
+            "reference_part_": _sum(F.col("common_shares")),
         }
-    ).drop("text_", "words_", "ref_", "known_", "found_")
-    too_far = (F.col("class_distance") > limits.max_class_distance) | (F.col("word_distance") > limits.max_word_distance)
-    bad = F.coalesce(too_far, F.lit(False)) | F.coalesce("few_", F.lit(False))
-    return far.withColumn("kept", ~F.col("base_failed") & ~bad).drop("few_")
+    )
+    rows = rows.withColumn("common_distance", F.when(long_enough, common_distance(F.col("part_"), F.col("reference_part_"))))
+    absent = limits.max_absence * common_distance(F.lit(0.0), F.col("reference_part_"))
+    few = (F.col("part_") < F.col("reference_part_")) & (F.col("common_distance") > absent)
+    far = (F.col("class_distance") > limits.max_class_distance) | (F.col("word_distance") > limits.max_word_distance)
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    good = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)) & ~F.coalesce(few, F.lit(False))
+    rows = rows.withColumn("kept", good)
+    return rows.select(*names, *VERDICT).toDF(*kept_columns, *VERDICT)
 
 
 def verdicts(df: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id") -> DataFrame:

@@ -31,16 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataproof.llm import page_tree
-from dataproof.llm.common import Words64, mix64, settle, text_batches
+from dataproof.llm.common import Words64, join_small, mix64, settle, text_batches
 
 #: Skeletons aligned in one task at once; nodes of fewer than this part of their pages are left out.
 GROUP = 64
 #: A host has constant texts from so many different pages on, and so large a part of its pages has them: outside of
 #: articles and main parts, and inside of them.
 MIN_PAGES, PART = (8, 16), (0.6, 0.9)
-#: Tables of at most so many bytes are broadcast; larger ones are joined by a salted shuffle.
-BROADCAST_BYTES = 32 << 20
-SALT = 32
 WINDOW = 5
 
 
@@ -150,17 +147,6 @@ def skeleton_slots(skeletons: DataFrame, seeds: DataFrame) -> DataFrame:
     return joined.mapInArrow(align, "host string, skeleton string, slots array<int>")
 
 
-def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], salt: Column) -> DataFrame:
-    """A left join with a written table of few bytes a key: by broadcast up to a measured size, else by a shuffle in
-    which each key of ``rows`` is dealt over ``SALT`` tasks by ``salt``."""
-    size = small.agg(F.sum(sum((F.length(F.to_json(F.struct(F.col(name)))) for name in small.columns), F.lit(0)))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(small), list(keys), "left")
-    copies = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(salt), F.lit(SALT)).cast("int"))
-    return salted.join(copies, [*keys, "salt_"], "left").drop("salt_")
-
-
 def templates(pages: DataFrame) -> DataFrame:
     """``host, skeleton, leaves, texts`` from the rows of :func:`page_blocks`, where there is anything to leave out: the
     leaves of the skeleton that are template whatever they hold, and the hashes of leaf and text that are."""

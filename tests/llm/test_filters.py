@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dataproof.llm import decontaminate, divergence, quality_knn, url_gbt
+from dataproof.llm import common, decontaminate, divergence, quality_knn, url_gbt
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEST_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,30 +85,96 @@ def test_base_counts_match_brute_force(documents, odd_documents):
     assert divergence.judge(odd_documents.withColumn("kept", F.lit("x"))).schema["kept"].dataType.simpleString() == "boolean"
 
 
-def test_distances_match_brute_force(documents):
+def class_of(c):
+    group = unicodedata.category(c)
+    if c in " \t\n\v\f\r":
+        return 6
+    if c in ".,;:!?'\"()-":
+        return 3
+    if c in "#*$%&|<>":
+        return 4
+    return {"Ll": 0, "Lu": 1, "Nd": 2}.get(group, 5 if group in ("Lo", "Lm", "Lt") or group[0] == "M" else 7)
+
+
+def distance(p, q):
+    half = lambda x, y: x * math.log2(2 * x / (x + y)) if x > 0 else 0.0
+    return math.sqrt(max(0.0, sum(half(x, y) + half(y, x) for x, y in zip(p, q)) / 2))
+
+
+def plain_references(rows, limits):
+    words, classes = defaultdict(Counter), defaultdict(Counter)
+    for r in rows:
+        words[r.lang or "*"].update(w.lower() for w in WORD.findall(r.text or ""))
+        classes[r.lang or "*"].update(map(class_of, r.text or ""))
+    pool, pool_classes = sum(words.values(), Counter()), sum(classes.values(), Counter())
+    total, characters = sum(pool.values()), sum(pool_classes.values())
+    rank = lambda counts: [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: limits.common_words]]
+    out = {"*": ([pool_classes[k] / characters for k in range(8)], {w: pool[w] / total for w in rank(pool)})}
+    for lang in set(words) | set(classes):
+        if lang != "*":
+            n, c = sum(words[lang].values()), sum(classes[lang].values())
+            wanted = set(rank(pool)) | set(rank(words[lang]))
+            shares = {w: (words[lang][w] + limits.prior_words * pool[w] / total) / (n + limits.prior_words) for w in wanted}
+            best = sorted(shares, key=lambda w: (-shares[w], w))[: limits.common_words]
+            chars = [(classes[lang][k] + limits.prior_chars * pool_classes[k] / characters) / (c + limits.prior_chars) for k in range(8)]
+            out[lang] = (chars, {w: shares[w] for w in best})
+    return out
+
+
+def plain_verdict(r, references, limits):
+    """Class, word and common distance, and whether the document is kept."""
+    class_shares, shares = references[r.lang or "*"]
+    text, words = r.text or "", [w.lower() for w in WORD.findall(r.text or "")]
+    n_words, _, _, _, repeated = base_of(r.text)
+    far_class = far_word = far_common = None
+    bad = n_words < 10 or 100 * repeated > 20 * n_words
+    if len(text) >= limits.min_chars:
+        counts = Counter(map(class_of, text))
+        far_class = distance([counts[k] / len(text) for k in range(8)], class_shares)
+        bad |= far_class > limits.max_class_distance
+    if n_words >= limits.min_words:
+        counts = Counter(w for w in words if w in shares)
+        p, q = sum(counts.values()) / n_words, sum(shares.values())
+        far_word = distance([*(counts[w] / n_words for w in shares), 1 - p], [*shares.values(), 1 - q])
+        far_common = distance([p, 1 - p], [q, 1 - q])
+        bad |= far_word > limits.max_word_distance or (p < q and far_common > limits.max_absence * distance([0, 1], [q, 1 - q]))
+    return far_class, far_word, far_common, not bad
+
+
+def test_references_match_brute_force(documents):
     limits = divergence.Limits()
-    references = {r.language: r for r in divergence.language_references(documents, limits).collect()}
-    counts = Counter(w.lower() for r in documents.collect() for w in WORD.findall(r.text))
-    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: limits.common_words]
-    assert references["*"].common == [w for w, _ in top]
-
-    def term(p, q):
-        half = lambda x: x * math.log2(2 * x / (p + q)) if x else 0.0
-        return (half(p) + half(q)) / 2
-
-    for r in divergence.judge(documents).limit(60).collect():
-        if r.word_distance is None:
-            continue
-        ref = references[r.lang]
-        slots = {w: ref.slots for w in ref.common}
-        words = [w.lower() for w in WORD.findall(r.text)]
-        # A common word whose slot another one holds counts as any other word.
-        holders = [w for i, w in enumerate(ref.common) if i + 1 in slots[w]]
-        found = Counter(w for w in words if w in holders)
-        shares = dict(zip(ref.common, ref.common_shares))
-        total = sum(term(found[w] / len(words), shares[w]) for w in ref.common)
-        total += term(1 - sum(found.values()) / len(words), 1 - sum(ref.common_shares))
-        assert r.word_distance == pytest.approx(math.sqrt(max(total, 0)), abs=1e-9)
+    rows = documents.collect()
+    expected = plain_references(rows, limits)
+    found = {r.language: r for r in divergence.language_references(documents, limits).collect()}
+    assert set(found) == set(expected)
+    for lang, (class_shares, shares) in expected.items():
+        r = found[lang]
+        assert r.class_shares == pytest.approx(class_shares) and dict(zip(r.common, r.common_shares)) == pytest.approx(shares)
+        # Every common word has a slot of its own.
+        assert sorted(x for x in r.slots if x) == list(range(1, 1 + len(shares))) and r.longest == max(map(len, shares))
+
+
+@pytest.mark.parametrize("relabel", [False, True])
+def test_verdicts_match_brute_force(spark, documents, odd_documents, relabel):
+    """Also for languages of one document, and of one word."""
+    limits = divergence.Limits()
+    table = documents.select("doc_id", "text", "lang").unionByName(odd_documents.select("doc_id", "text", "lang"))
+    if relabel:
+        table = table.withColumn("lang", F.expr("CASE WHEN doc_id % 5 = 0 THEN concat('rare', doc_id) ELSE lang END"))
+    references = plain_references(table.collect(), limits)
+    rows = divergence.judge(table).collect()
+    assert len(rows) == table.count()
+    for r in rows:
+        *far, kept = plain_verdict(r, references, limits)
+        for found, expected in zip((r.class_distance, r.word_distance, r.common_distance), far):
+            assert (found is None) == (expected is None) and (found is None or found == pytest.approx(expected, abs=1e-7))
+        assert r.kept == kept
+
+
+def test_languages_beyond_a_broadcast(documents, monkeypatch):
+    whole = sorted(map(tuple, divergence.verdicts(documents).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, divergence.verdicts(documents).collect())) == whole
 
 
 def test_clean_documents_are_kept(spark, sf_dir, documents):
@@ -120,20 +186,10 @@ def test_classes_match_brute_force(spark, documents, odd_documents):
     signs = "@~^_{}[]/\\=+`\ufffd\u0001\u2500 #$ .,\"- \t\v\n aé ßÄZ 09٣ 漢字 किताब ǅ 𝑎🙂"
     texts = [signs * 3, ""] + [r.text or "" for r in documents.limit(40).collect() + odd_documents.collect()]
 
-    def kind(c):
-        group = unicodedata.category(c)
-        if c in " \t\n\v\f\r":
-            return 6
-        if c in ".,;:!?'\"()-":
-            return 3
-        if c in "#*$%&|<>":
-            return 4
-        return {"Ll": 0, "Lu": 1, "Nd": 2}.get(group, 5 if group in ("Lo", "Lm", "Lt") or group[0] == "M" else 7)
-
     table = spark.createDataFrame([(t,) for t in texts], "text string")
     found = table.select(divergence.class_counts(F.col("text"))).collect()
     for text, (counts,) in zip(texts, found):
-        assert counts == [sum(kind(c) == k for c in text) for k in range(divergence.CLASS_NUMBER)]
+        assert counts == [sum(class_of(c) == k for c in text) for k in range(divergence.CLASS_NUMBER)]
 
 
 def test_symbol_junk_is_rejected(spark, documents):

@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from dataproof.llm import page_tree, page_wrapper
+from dataproof.llm import common, page_tree, page_wrapper
 from dataproof.llm.common import Words64
 
 
@@ -173,5 +173,5 @@ def test_large_templates_are_joined_by_a_shuffle(spark, sf_dir, monkeypatch):
     rows = [(i, "http://a.example/", soup(rng, i)[0]) for i in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     whole = sorted(map(tuple, page_wrapper.extract(df).collect()))
-    monkeypatch.setattr(page_wrapper, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, page_wrapper.extract(df).collect())) == whole
