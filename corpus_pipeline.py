@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dataproof.llm import byte_bpe, decontaminate, divergence, jaccard_join, quality_knn
 from dataproof.llm.common import numbered, settle
@@ -31,7 +32,9 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the distribution divergence reject go."""
     rows, names = numbered(docs)
     judged = divergence.judge(rows, text=_at(docs, names, "text"), lang=_at(docs, names, "lang"))
-    return judged.where("kept").select(names).toDF(*docs.columns)
+    # A filter on the verdict would be planned with the whole computation repeated in it; a generator has it once.
+    own = F.array(F.struct(*names))
+    return judged.select(F.inline(F.when(F.col("kept"), own))).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
