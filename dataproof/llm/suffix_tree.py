@@ -1,17 +1,23 @@
 """Language-model scores by a probabilistic suffix tree (operator 10).
 
-The model reads a text as its lower-cased words with single spaces between them and an end sign, byte by
-byte. Training counts every byte with the ``DEPTH`` bytes before it, over all training texts. A context
-is kept if it stands for a fixed part of all bytes at least, and if its next-byte distribution diverges
-from that of its longest suffix, or if a longer kept context needs it. Distributions are smoothed with
-those of the suffixes, down to the even one. A byte is scored in the state of the longest kept suffix of
-what stands before it.
-
-Known words are symbols as well: a word with what ends it (a space or the end) has the mixed probability
-of its share among the training words and of its spelling by the tree, both proper distributions.
+The symbols of the tree are phrases: a text is cut behind every word whose hash is a multiple of ``ANCHOR`` and at its
+end, so that a passage is cut alike wherever it stands. A state is a context of none to ``PHRASES`` phrases. Its counts are
+tables that grow with the corpus: a phrase is kept in a state if training has met it there twice or more, and a context
+of one phrase or more is kept if it has such phrases and what they gain over its suffix, in nats of likelihood, is enough.
+The distribution of a state gives the kept phrases their counts, and what training met once, and one more, goes to the
+distribution of its suffix; it adds up to one in every state. A phrase is scored in the state of the longest kept
+suffix of what stands before it. Below all states a phrase is spelt word by word.
+
+Words are symbols of their own there: a word with what ends it (a space or the end) has the mixed probability of its share
+among the training words and of its spelling. Spellings come from a suffix tree over bytes: training counts every byte
+with the ``DEPTH`` bytes before it; a context is kept if it stands for a fixed part of all bytes at least, and if its
+next-byte distribution diverges from that of its longest suffix, or if a longer kept context needs it.
+
+Phrases that training has met twice are looked for with a filter of fixed size, so only phrases that a kept one may
+concern are shuffled; the rest of a text's score is added up where the text is.
 
 Beside it runs the unigram base over words. Words too rare for a broadcast table get their counts in a
-shuffle, by 64-bit hashes.
+shuffle, by 64-bit hashes, as do phrases.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import Hashed, Words64, crc_remainder, settle, share, shared, text_batches, whole_text
+from dataproof.llm.common import Hashed, Words64, crc_remainder, mix64, settle, share, shared, text_batches, whole_text
 
 DEPTH = 5
 #: A context must stand for this part of all bytes: at most ``DEPTH * PART`` contexts, whatever the corpus.
@@ -37,6 +44,10 @@ BACK = 1.0
 FREQUENT, SAMPLE = 131072, 16
 #: How much the word shares weigh against the spelling.
 TRUST = 0.95
+#: One word in so many ends a phrase; phrases of the longest context; the least gain of a context, in nats.
+ANCHOR, PHRASES, LEAST_GAIN = 8, 2, 2.0
+#: Bits of the filter of phrases met twice: 4 MB.
+FILTER_BITS = 1 << 25
 END, SPACE = 10, 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -334,48 +345,60 @@ def scores(df: DataFrame, learn, id_column: str = "doc_id", text: str = "text")
             later[sizes[symbol_text] > 0] = rare
             mixed[later] = 0
             spelt_later = pa.array(spelt[later].astype(np.float32))
+            symbol_ids = np.zeros(len(symbol_text), dtype=np.uint64)
+            symbol_ids[sizes[symbol_text] > 0] = ids
+            phrases, firsts, phrase_of = phrases_of(symbol_ids, symbols)
+            # Phrases are numbered within their text.
+            per_text = np.bincount(symbol_text[firsts], minlength=len(texts))
+            phrase_ends = np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32)
+            at = (phrase_of - phrase_ends[symbol_text])[later].astype(np.int32)
+            phrase_logs = np.add.reduceat(mixed + ending, firsts)
             columns = [
                 part.column(0),
                 part.column(1),
                 pa.array((sizes + 1).astype(np.int64)),
                 pa.array(np.bincount(text_of, weights=known[found], minlength=len(texts)).astype(np.int64)),
                 pa.array(np.bincount(text_of, weights=logs[found], minlength=len(texts)).astype(np.float64)),
-                pa.array(np.bincount(symbol_text, weights=mixed + ending, minlength=len(texts)).astype(np.float64)),
+                pa.ListArray.from_arrays(pa.array(phrase_ends), pa.array(phrases.astype(np.int64))),
+                pa.ListArray.from_arrays(pa.array(phrase_ends), pa.array(phrase_logs.astype(np.float32))),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[rare].astype(np.int64))),
                 pa.ListArray.from_arrays(pa.array(ends), spelt_later),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(at)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "held_out", "n_tokens", "often_known", "often_logs", "log_score", "rare", "spelt"]
+    names = ["doc_id", "held_out", "n_tokens", "often_known", "often_logs", "phrases", "logs", "rare", "spelt", "at"]
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(
         score,
-        f"doc_id {kind}, held_out boolean, n_tokens long, often_known long, often_logs double, log_score double, "
-        "rare array<long>, spelt array<float>",
+        f"doc_id {kind}, held_out boolean, n_tokens long, often_known long, often_logs double, phrases array<long>, "
+        "logs array<float>, rare array<long>, spelt array<float>, at array<int>",
     )
     scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
 
     # The counts of the other words: one shuffle by word, which frequent words stay out of.
-    single = scored.select("row", (~F.col("held_out")).cast("int").alias("own"), F.explode(F.arrays_zip("rare", "spelt")).alias("x"))
-    single = single.select("row", "own", F.col("x.rare").alias("word"), F.col("x.spelt").cast("double").alias("spelt"))
+    single = scored.select("row", (~F.col("held_out")).cast("int").alias("own"), F.explode(F.arrays_zip("rare", "spelt", "at")).alias("x"))
+    single = single.select("row", "own", F.col("x.rare").alias("word"), F.col("x.spelt").alias("spelt"), F.col("x.at").alias("at"))
     by_word = Window.partitionBy("word")
     single = single.withColumns(
         {"c": F.sum("own").over(by_word), "first": F.row_number().over(by_word.orderBy("row")) == 1}
     )
+    spelt = F.col("spelt").cast("double")
+    mixed = F.when(F.col("c") > 0, F.log(F.exp(spelt) + F.col("c") * (TRUST * words_share))).otherwise(spelt)
     per_row = single.groupBy("row").agg(
         F.sum((F.col("c") > 0).cast("int")).alias("rare_known"),
         F.sum(F.log10(F.col("c") + 1.0)).alias("rare_logs"),
         F.sum((F.col("first") & (F.col("c") > 0)).cast("int")).alias("new_words"),
-        F.sum(
-            F.when(F.col("c") > 0, F.log(F.exp("spelt") + F.col("c") * (TRUST * words_share))).otherwise(F.col("spelt"))
-        ).alias("rare_score"),
+        F.collect_list(F.struct("at", mixed.cast("float").alias("log"))).alias("later"),
     )
-    per_row = settle(per_row, "rare")
-    rare_words = per_row.agg(F.sum("new_words")).first()[0] or 0
+    whole = scored.drop("rare", "spelt", "at").join(per_row, "row", "left")
+    whole = settle(whole.withColumns({"ats": F.col("later.at"), "later": F.col("later.log")}), "whole")
+    rare_words = whole.agg(F.sum("new_words")).first()[0] or 0
     distinct = rare_words + int((often_counts > 0).sum()) + (train_texts > 0)
     log_all = math.log10(train_tokens + distinct + 1)
     zero = F.lit(0).cast("long")
-    return scored.join(per_row, "row", "left").select(
+    found = phrase_scores(whole.select("row", "held_out", "phrases", "logs", "ats", "later"), train_texts)
+    return whole.join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -384,10 +407,150 @@ def scores(df: DataFrame, learn, id_column: str = "doc_id", text: str = "text")
         (
             F.col("often_logs") + F.coalesce("rare_logs", F.lit(0.0)) + math.log10(train_texts + 1) - F.col("n_tokens") * log_all
         ).alias("base_score"),
-        ((F.col("log_score") + F.coalesce("rare_score", F.lit(0.0))) / math.log(10)).alias("score"),
+        (F.col("log_score") / math.log(10)).alias("score"),
     )
 
 
+def phrases_of(ids: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of texts whose words ``ids`` follow each other, ``symbols`` of them a text: their 64-bit numbers, the
+    places of their first words, and for each word the number of its phrase. A text's last phrase has a mark of its end."""
+    last = np.zeros(len(ids), dtype=bool)
+    last[np.cumsum(symbols) - 1] = True
+    cut = last | (ids % np.uint64(ANCHOR) == 0)
+    firsts = np.concatenate([[0], np.flatnonzero(cut)[:-1] + 1])
+    phrase_of = np.cumsum(np.concatenate([[False], cut[:-1]]))
+    place = np.arange(len(ids), dtype=np.uint64) - firsts[phrase_of].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        # The sum of hashes of words with their places.
+        numbers = np.add.reduceat(mix64(mix64(ids) + (place + np.uint64(1)) * _ODD), firsts)
+        return mix64(numbers + last[np.flatnonzero(cut)].astype(np.uint64)), firsts, phrase_of
+
+
+def _then(context: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """The context that a context becomes with a further phrase."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64(context + np.uint64(1)) * _ODD + phrase)
+
+
+def contexts_of(phrases: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """For each phrase of texts that follow each other (``starts`` are the first ones), the contexts of 0, 1, ... phrases
+    before it. The start of a text is a phrase before the first; longer contexts that reach beyond it are 0."""
+    out = [np.zeros(len(phrases), dtype=np.uint64)]
+    for size in range(1, PHRASES + 1):
+        longer = np.zeros(len(phrases), dtype=np.uint64)
+        longer[1:] = _then(out[-1], phrases)[:-1]
+        longer[starts] = START if size == 1 else 0
+        if size > 1:
+            longer[out[-1] == 0] = 0
+        out.append(longer)
+    return out
+
+
+START = np.uint64(0x5DEECE66D)
+
+
+def _events(batches, bits: np.ndarray | None):
+    """The phrases of rows ``row, held_out, phrases, logs, ats, later``; those that the filter ``bits`` lets pass, if given.
+
+    ``x1, x2, ...`` are the contexts before a phrase, ``y0, y1, ...`` the contexts followed by it, ``log`` its spelling.
+    """
+    for batch in batches:
+        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        lists = columns["phrases"]
+        offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        sizes = np.diff(offsets)
+        phrases = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        logs = columns["logs"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        # Rare words add their share to the phrase they stand in; rows without any have a null there.
+        lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(columns["ats"]), 0), dtype=np.int64)
+        into = np.repeat(offsets[:-1], lengths) + columns["ats"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        logs += np.bincount(into, weights=columns["later"].flatten().to_numpy(zero_copy_only=False), minlength=len(logs))[: len(logs)]
+        contexts = contexts_of(phrases, offsets[:-1])
+        seen = [_then(context, phrases) for context in contexts]
+        for y, context in zip(seen[1:], contexts[1:]):
+            y[context == 0] = 0
+        rows = np.repeat(columns["row"].to_numpy(zero_copy_only=False), sizes)
+        own = np.repeat(~np.asarray(columns["held_out"].to_numpy(zero_copy_only=False), dtype=bool), sizes)
+        first = np.zeros(len(phrases), dtype=bool)
+        first[offsets[:-1]] = True
+        alive = np.ones(len(phrases), dtype=bool)
+        if bits is not None:
+            alive = first | _passes(seen[0], bits) | _passes(contexts[1], bits)
+        # What has no such context gets a key that nothing else has, so that no task gets all of it.
+        alone = mix64((rows.astype(np.uint64) << np.uint64(20)) + np.arange(len(rows), dtype=np.uint64) + START)
+        for keys in (*contexts[1:], *seen[1:]):
+            np.copyto(keys, alone, where=keys == 0)
+        out = {"row": pa.array(rows[alive]), "own": pa.array(own[alive]), "log": pa.array(logs[alive])}
+        out |= {f"x{k}": pa.array(contexts[k][alive].astype(np.int64)) for k in range(1, PHRASES + 1)}
+        out |= {f"y{k}": pa.array(seen[k][alive].astype(np.int64)) for k in range(PHRASES + 1)}
+        yield pa.RecordBatch.from_pydict(out)
+
+
+def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = keys % np.uint64(FILTER_BITS)
+    return ((bits[(place // np.uint64(64)).astype(np.int64)] >> (place % np.uint64(64))) & np.uint64(1)).astype(bool)
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A filter of ``FILTER_BITS`` bits in which the places of all keys (``key``) are set."""
+    # The low bits of a number are the same with and without a sign.
+    place = F.col("key").bitwiseAND(FILTER_BITS - 1)
+    parts = keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast((key & {FILTER_BITS - 1}) % 64 as int))").alias("bit"))
+    known = parts.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits[known["at"].to_numpy(dtype=np.int64)] = known["bits"].to_numpy(dtype=np.int64).astype(np.uint64)
+    return bits
+
+
+def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
+    """``row, log_score`` (natural logarithm) of rows ``row, held_out, phrases, logs, ats, later``."""
+    fields = ["row long", "own boolean", "log double"]
+    fields += [f"x{k} long" for k in range(1, PHRASES + 1)] + [f"y{k} long" for k in range(PHRASES + 1)]
+    schema = ", ".join(fields)
+    events = rows.mapInArrow(lambda batches: _events(batches, None), schema)
+    # Of all phrases only the counts are needed, and the sum of their spellings for each row.
+    counts = events.where("own").select(F.col("y0").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    counts = settle(counts.groupBy((F.col("c") > 1).alias("kept"), F.when(F.col("c") > 1, F.col("key")).alias("key")).agg(F.sum("c").alias("c")), "phrases")
+    total, kept_total = counts.agg(F.sum("c"), F.sum(F.when(F.col("kept"), F.col("c")))).first()
+    total, kept_total = total or 0, kept_total or 0
+    kept = counts.where("kept").select("key", "c")
+    novel = math.log((total - kept_total + 1) / (total + 1))
+    spelt = events.groupBy("row").agg((F.sum("log") + F.count("*") * novel).alias("spelt"))
+    sent = share(rows.sparkSession, _filter_of(kept))
+    alive = settle(rows.mapInArrow(lambda batches: _events(batches, shared(sent)), schema), "alive")
+
+    def mixed(count, weight, log, size):
+        """The logarithm of (count + weight * e ** log) / size."""
+        return F.when(count > 0, F.log(count + weight * F.exp(log))).otherwise(F.log(weight) + log) - F.log(size)
+
+    number = F.coalesce("c", F.lit(0))
+    lit = lambda x: F.lit(float(x))
+    states = alive.join(kept.withColumnRenamed("key", "y0"), "y0", "left")
+    states = states.withColumns({"c": number, "p": mixed(number, lit(total - kept_total + 1), F.col("log"), lit(total + 1))})
+    start = rows.sparkSession.createDataFrame([(int(START.astype(np.int64)), train_texts)], "key long, c long")
+    # How often each context of one phrase more has been met: as often as its last phrase in the context before.
+    met = kept.unionByName(start)
+    for k in range(1, PHRASES + 1):
+        states = settle(states, "states")
+        pairs = states.where("own AND c > 1").groupBy(F.col(f"y{k}").alias("key"))
+        pairs = pairs.agg(F.count("*").alias("c"), F.max(f"x{k}").alias("context"), F.max("p").alias("p")).where("c > 1")
+        pairs = settle(pairs, "pairs")
+        sums = pairs.groupBy("context").agg(F.sum("c").alias("kept")).join(met.select(F.col("key").alias("context"), F.col("c").alias("met")), "context")
+        gain = mixed(F.col("c"), F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0) - F.col("p")
+        gains = pairs.join(sums, "context").groupBy("context", "kept", "met").agg(F.sum(F.col("c") * gain).alias("gain"))
+        contexts = settle(gains.where(F.col("gain") >= LEAST_GAIN).drop("gain"), "contexts")
+        found = states.drop("c").join(contexts.withColumnRenamed("context", f"x{k}"), f"x{k}", "left")
+        found = found.join(pairs.select(F.col("key").alias(f"y{k}"), "c"), f"y{k}", "left")
+        p = F.when(F.col("met").isNull(), F.col("p")).otherwise(
+            mixed(number, F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0)
+        )
+        states = found.withColumns({"p": p, "c": F.when(F.col("met").isNotNull(), number).otherwise(0)}).drop("met", "kept")
+        met = pairs.select("key", "c")
+    gained = states.groupBy("row").agg(F.sum(F.col("p") - F.col("log") - novel).alias("gained"))
+    out = spelt.join(gained, "row", "left")
+    return out.select("row", (F.col("spelt") + F.coalesce("gained", F.lit(0.0))).alias("log_score"))
+
+
 def corpus_scores(df: DataFrame) -> DataFrame:
     """Scores of ``documents``; every seventh text, by a checksum of its id, is held out."""
     return scores(df, crc_remainder(df["doc_id"], 7) != 2)

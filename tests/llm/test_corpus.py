@@ -273,6 +273,128 @@ def test_longest_kept_suffix_is_used(spark):
     assert suffix_tree.spellings([[b"ab", b"abc"]], tree).sum() == pytest.approx(expected, abs=1e-4)
 
 
+def plain_phrase_scores(texts, train_texts):
+    """``texts`` are (own, phrases, logs of the spellings). The tree as dictionaries, and every score from it."""
+    depth = suffix_tree.PHRASES
+    counts = [Counter() for _ in range(depth + 1)]
+
+    def context(phrases, i, size):
+        """The phrases before phrase ``i``, the start of the text among them; None where it has not so many."""
+        before = (None, *phrases[:i])
+        return tuple(before[len(before) - size :]) if size <= len(before) else "none"
+
+    for own, phrases, _ in texts:
+        if own:
+            for i, phrase in enumerate(phrases):
+                for size in range(depth + 1):
+                    if (before := context(phrases, i, size)) != "none":
+                        counts[size][before, phrase] += 1
+    met = [Counter() for _ in range(depth + 1)]
+    for size in range(depth + 1):
+        for (before, _), n in counts[size].items():
+            met[size][before] += n
+    # A phrase is kept in a state if it has been met there, and in the states of the suffixes, twice or more.
+    kept = [{key: n for key, n in counts[size].items() if n > 1} for size in range(depth + 1)]
+    spelt = {phrase: log for _, phrases, logs in texts for phrase, log in zip(phrases, logs)}
+    states = [{} for _ in range(depth + 1)]
+
+    def probability(before, phrase, size):
+        below = spelt[phrase] if size == 0 else probability(before[1:], phrase, size - 1)
+        if before not in states[size]:
+            return below
+        total, novel = met[size][before], met[size][before] - states[size][before] + 1
+        return math.log((kept[size].get((before, phrase), 0) + novel * math.exp(below)) / (total + 1))
+
+    states[0][()] = sum(kept[0].values())
+    for size in range(1, depth + 1):
+        sums = Counter()
+        for (before, _), n in kept[size].items():
+            sums[before] += n
+        for before, own in sums.items():
+            states[size][before] = own
+            gain = sum(
+                n * (probability(before, phrase, size) - probability(before[1:], phrase, size - 1))
+                for (b, phrase), n in kept[size].items()
+                if b == before
+            )
+            if gain < suffix_tree.LEAST_GAIN:
+                del states[size][before]
+    out = []
+    for _, phrases, _ in texts:
+        total = 0.0
+        for i, phrase in enumerate(phrases):
+            size = max(k for k in range(depth + 1) if (c := context(phrases, i, k)) != "none" and all(c[j:] in states[k - j] for j in range(k)))
+            total += probability(context(phrases, i, size), phrase, size)
+        out.append(total)
+    return out, sum(map(len, states[1:]))
+
+
+def phrase_rows(spark, texts):
+    number = lambda phrase: int(np.uint64(phrase * 0x9E3779B97F4A7C15 % 2**64).astype(np.int64))
+    rows = []
+    for row, (own, phrases, logs) in enumerate(texts):
+        # A part of the spelling comes later, as with rare words.
+        ats = [i for i in range(len(phrases)) if i % 3 == 0] if row % 2 else None
+        later = [-1.0] * len(ats) if ats is not None else None
+        known = [log + (1.0 if ats is not None and i % 3 == 0 else 0.0) for i, log in enumerate(logs)]
+        rows.append((row, not own, [number(p) for p in phrases], known, ats, later))
+    schema = "row long, held_out boolean, phrases array<long>, logs array<float>, ats array<int>, later array<float>"
+    return spark.createDataFrame(rows, schema)
+
+
+def random_phrases(rng, texts, passages):
+    out = []
+    for i in range(texts):
+        phrases = []
+        for _ in range(rng.randrange(1, 5)):
+            phrases += rng.choice(passages) if rng.random() < 0.5 else [rng.randrange(10**6) for _ in range(rng.randrange(1, 4))]
+        phrases[-1] += 10**6  # the last phrase of a text has a mark
+        out.append((i % 7 != 2, phrases, [-5.0 - phrase % 11 for phrase in phrases]))
+    return out
+
+
+def test_phrase_scores_match_brute_force(spark):
+    rng = random.Random(5)
+    passages = [[rng.randrange(10**6) for _ in range(rng.randrange(1, 6))] for _ in range(8)]
+    texts = random_phrases(rng, 120, passages) + [(True, [*passages[0], 7], [-5.0 - p % 11 for p in [*passages[0], 7]])] * 3
+    expected, contexts = plain_phrase_scores(texts, sum(own for own, _, _ in texts))
+    found = {r.row: r.log_score for r in suffix_tree.phrase_scores(phrase_rows(spark, texts).repartition(3), sum(own for own, _, _ in texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == pytest.approx(expected, abs=1e-4) and contexts > 10
+
+
+def test_contexts_grow_with_the_corpus():
+    """Twice the passages that repeat are twice the kept contexts: no share of the corpus has to be reached."""
+    rng = random.Random(6)
+    kept = []
+    for size in (50, 100, 200):
+        passages = [[rng.randrange(10**6) for _ in range(4)] for _ in range(size)]
+        kept.append(plain_phrase_scores(random_phrases(rng, 20 * size, passages), 20 * size)[1])
+    assert kept[1] > 1.7 * kept[0] and kept[2] > 1.7 * kept[1]
+
+
+def test_phrases_are_cut_alike():
+    """A passage has the same phrases wherever it stands, but for those at its ends."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    texts = [np.concatenate([rng.integers(0, 2**63, n, dtype=np.uint64), passage, rng.integers(0, 2**63, 9, dtype=np.uint64)]) for n in (0, 5, 17)]
+    numbers, firsts, phrase_of = suffix_tree.phrases_of(np.concatenate(texts), np.array([len(x) for x in texts]))
+    inside = int((passage % suffix_tree.ANCHOR == 0).sum()) - 1
+    starts = np.cumsum([0, *map(len, texts)])
+    sets = [set(numbers[np.unique(phrase_of[a:b])].tolist()) for a, b in zip(starts, starts[1:])]
+    assert len(sets[0] & sets[1] & sets[2]) >= inside > 0
+    assert len(firsts) == len(numbers) == phrase_of[-1] + 1
+
+
+def test_texts_that_occur_twice_are_told_apart(spark, documents):
+    """Learnt texts that training has twice are far likelier a token than those it has once."""
+    found = {r.doc_id: r.score / r.n_tokens for r in suffix_tree.corpus_scores(documents).collect() if not r.held_out and r.n_tokens > 30}
+    copies = Counter(r.text for r in documents.collect() if r.doc_id in found)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    twice = [x for i, x in found.items() if copies[texts[i]] > 1]
+    once = sorted(x for i, x in found.items() if copies[texts[i]] == 1)
+    assert len(twice) > 5 and np.median(twice) > once[int(0.95 * len(once))]
+
+
 def test_scores_without_training(spark, odd_documents):
     found = suffix_tree.scores(odd_documents, odd_documents["doc_id"] < 0).collect()
     assert len(found) == 12 and all(r.held_out and r.n_known == 0 and math.isfinite(r.score) for r in found)
