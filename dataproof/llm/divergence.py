@@ -320,7 +320,7 @@ def judge(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: st
     chosen = df.select(*[df[name] for name in kept_columns])
     rows, names = numbered(chosen)
     own_text, own_lang = names[kept_columns.index(text)], names[kept_columns.index(lang)]
-    rows = settle(measured(rows, own_text, own_lang), "measured")
+    rows = settle(measured(rows, own_text, own_lang), "measured", pack=True)
     references = settle(references_of(rows, limits, own_text).withColumnRenamed("language", "language_"), "references")
     rows = join_small(rows, references, ["language_"], F.col(own_text))
     reference = {name: F.col(name) for name in references.columns}

@@ -43,7 +43,7 @@ class Model:
 class Terms(dict):
     """The columns of a word and of its shape, packed into one number."""
 
-    limit = 1 << 19
+    limit = 1 << 17
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
