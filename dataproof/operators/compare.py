@@ -13,6 +13,7 @@ from dataproof.functions.numbers import numeric_key
 from dataproof.functions.rendering import render
 from dataproof.functions.types import column, field_of, is_chart_temporal, is_fractional, is_numeric
 from dataproof.operators.profile import Statistics, column_statistics
+from dataproof.plans.two_level import melt
 
 MAX_KEYS = 8
 
@@ -50,6 +51,24 @@ def schema_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.sparkSession.createDataFrame(rows, _SCHEMA_DIFF)
 
 
+def schema_drift(left: DataFrame, right: DataFrame) -> DataFrame:
+    """:func:`schema_diff` with the rows of either side that have a value in the column (``left_present``, ``right_present``).
+
+    One scan of each side: every row is one narrow row per column, counted in its task.
+    """
+    diff = schema_diff(left, right)
+    for label, df in (("left", left), ("right", right)):
+        names = F.array(*[F.lit(f.name) for f in df.schema.fields])
+        cells = [[column(f.name).isNotNull().alias("present")] for f in df.schema.fields]
+        counts = melt(df, cells).groupBy("position").agg(F.count_if("present").alias(f"{label}_present"))
+        counts = counts.select(F.get(names, F.col("position")).alias("column"), f"{label}_present")
+        # A row per column.
+        diff = diff.join(F.broadcast(counts), "column", "left")
+        on_side = F.col("side").isin("shared", f"{label}_only")
+        diff = diff.withColumn(f"{label}_present", F.when(on_side, F.coalesce(f"{label}_present", F.lit(0))))
+    return diff
+
+
 def _key_pair(lf: T.StructField, rf: T.StructField) -> tuple[Column, Column, str | None]:
     """The two sides of one key in a common type.
 

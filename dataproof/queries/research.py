@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataproof.operators.compare import compare_datasets, key_overlap, schema_diff
+from dataproof.operators.compare import compare_datasets, key_overlap, schema_drift
 from dataproof.operators.frequencies import exact_distinct
 from dataproof.operators.profile import DISTINCT_ERROR, column_statistics
 from dataproof.operators.research import correlations, duplicate_rows, monthly_trend, outliers, research_dataset
@@ -229,18 +229,19 @@ def _schema_sql() -> str:
     parts = []
     for side, source in zip(("l", "r"), sides):
         own = (*names, "o_orderpriority" if side == "l" else "extra")
-        parts += [f"SELECT '{side}' AS s, '{c}' AS column_name, max(typeof({c})) AS type FROM ({source})" for c in own]
+        parts += [f"SELECT '{side}' AS s, '{c}' AS column_name, max(typeof({c})) AS type, count({c}) AS n FROM ({source})" for c in own]
     return f"""WITH c AS ({' UNION ALL '.join(parts)}),
         l AS (SELECT * FROM c WHERE s = 'l'), r AS (SELECT * FROM c WHERE s = 'r')
         SELECT coalesce(l.column_name, r.column_name) AS column_name, CASE WHEN r.s IS NULL THEN 'left_only'
-               WHEN l.s IS NULL THEN 'right_only' ELSE 'shared' END AS side, coalesce(l.type <> r.type, false) AS type_changed
+               WHEN l.s IS NULL THEN 'right_only' ELSE 'shared' END AS side, coalesce(l.type <> r.type, false) AS type_changed,
+               l.n AS left_present, r.n AS right_present
         FROM l FULL JOIN r ON l.column_name = r.column_name"""
 
 
 @query(_schema_sql())
 def q_compare_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = schema_diff(*_sides(spark, sf_dir))
-    return diff.select(F.col("column").alias("column_name"), "side", "type_changed")
+    diff = schema_drift(*_sides(spark, sf_dir))
+    return diff.select(F.col("column").alias("column_name"), "side", "type_changed", "left_present", "right_present")
 
 
 def _drift_sql() -> str:

@@ -223,7 +223,8 @@ _VARIANT = f"""CASE page_id % 8 WHEN 0 THEN 'ftp://example.org' || {_REST} WHEN
 @query(
     f"""WITH v AS (SELECT page_id, {_VARIANT} AS u FROM pages),
         s AS (SELECT page_id, u, CASE WHEN u LIKE 'ftp:%' THEN 'scheme_not_http' WHEN u LIKE 'https://user:p@%' THEN 'credentials'
-              WHEN regexp_matches(u, '#.') THEN 'fragment' WHEN page_id % 8 = 7 AND page_id % 5 < 3 THEN 'non_ascii_host' WHEN page_id % 8 = 5 THEN 'blocked_host'
+              WHEN regexp_matches(u, '#.') THEN 'fragment' WHEN page_id % 8 = 7 AND page_id % 5 = 0 THEN 'prohibited_address'
+              WHEN page_id % 8 = 7 AND page_id % 5 < 3 OR page_id % 8 = 5 THEN 'blocked_host'
               WHEN page_id % 8 = 2 THEN 'non_default_port' WHEN page_id % 8 IN (3, 4, 6) THEN 'prohibited_address' END AS reason
               FROM v)
         SELECT page_id, reason, reason IS NULL AS allowed, CASE WHEN reason IS NULL THEN
@@ -235,6 +236,31 @@ def q_url_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen_source_urls(df, "u").drop("u")
 
 
+#: Host names of other scripts, and what parsers make of them.
+_NAMES = (
+    ("münchen.example", "xn--mnchen-3ya.example"),
+    ("BÜCHER.Example", "xn--bcher-kva.example"),
+    ("例え.テスト", "xn--r8jz45g.xn--zckzah"),
+    ("www.пример.example", "www.xn--e1afmkfd.example"),
+    ("ñandú。example", "xn--and-6ma2c.example"),
+    ("plain.example", "plain.example"),
+    ("straße.example", None),
+)
+_NAME_CASES = " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(_NAMES))
+_ASCII_CASES = " ".join(f"WHEN {i} THEN {'NULL' if name is None else repr(name)}" for i, (_, name) in enumerate(_NAMES))
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN page_id % 7 = 6 THEN 'non_ascii_host' END AS reason,
+        'http://' || CASE page_id % 7 {_ASCII_CASES} END || '/p/' || page_id AS normalized_url FROM pages"""
+)
+def q_url_international(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of other scripts are written as parsers write them; one without a sure ASCII form is refused."""
+    name = F.expr(f"CASE page_id % 7 {_NAME_CASES} END")
+    df = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://"), name, F.lit("/p/"), "page_id").alias("u"))
+    return screen_source_urls(df, "u").select("page_id", "reason", "normalized_url")
+
+
 @query(
     r"""SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS source_url, regexp_matches(url, '^[^?#]*\?[^#]') AS query_redacted
         FROM pages"""

@@ -66,6 +66,10 @@ PORT = "non_default_port"
 ADDRESS = "prohibited_address"
 NON_ASCII = "non_ascii_host"
 
+# Characters that newer rules for international names keep (sharp s, final sigma, joiners) and the
+# rules of 2003 fold or drop: a host with one of them would become another host.
+_DEVIATING = "[\u00df\u1e9e\u03c2\u200c\u200d]"
+
 # Characters that a host name cannot contain, and full-width forms of the
 # characters that matter in an address, which URL parsers read as their plain forms.
 _FORBIDDEN_IN_HOST = r"""[\x00-\x20"#%/:<>?@\[\\\]^`{|}\x7f]"""
@@ -157,6 +161,18 @@ def _with_ipv6_bits(df: DataFrame, address: str) -> DataFrame:
     )
 
 
+def ascii_host(name: Column) -> Column:
+    """A host name with its international labels folded, composed and written as ``xn--`` labels; others stay.
+
+    Java's own mapping does it where the rows are: case folding, compatibility forms, characters that are dropped (soft
+    hyphens), the dots of other scripts, and Punycode. NULL for names that it refuses (characters unknown to its
+    tables, wrong directions, labels too long) and for those that newer rules map to another name.
+    """
+    mapped = F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name))
+    folds = ~name.rlike(_DEVIATING) & ~mapped.rlike(r"[^\x00-\x7f]")
+    return F.when(~name.rlike(r"[^\x00-\x7f]"), name).when(folds, mapped)
+
+
 def _with_parts(df: DataFrame, url: Column) -> DataFrame:
     """Split a URL. Every step is a column of its own, so that no pattern is matched twice."""
     pattern = r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*([^/\\?#]*)([^?#]*)(?:\?([^#]*))?(?:#((?s:.*)))?$"
@@ -189,7 +205,9 @@ def _with_parts(df: DataFrame, url: Column) -> DataFrame:
                 "_port": F.regexp_replace(F.regexp_extract(place, host_pattern, 2), "^0+(?=[0-9])", ""),
             }
         )
-        .withColumn("_name", F.lower(F.translate(decoded, _WIDE, _PLAIN)))
+        .withColumn("_given", F.lower(F.translate(decoded, _WIDE, _PLAIN)))
+        .withColumn("_ascii", F.when(F.col("_given").rlike(r"[^\x00-\x7f]"), ascii_host(F.col("_given"))))
+        .withColumn("_name", F.coalesce("_ascii", "_given"))
         .withColumn("_bare", F.regexp_replace("_name", r"\.$", ""))
         .withColumn("_is_v4", ~F.col("_is_v6") & F.col("_bare").rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$"))
         .withColumn("_v4_parts", F.when(F.col("_is_v4"), _ipv4_parts(F.col("_name"))))
@@ -216,10 +234,9 @@ def _without_dots(path: Column) -> Column:
 def screen_source_urls(df: DataFrame, url_col: str) -> DataFrame:
     """Add ``allowed, reason, normalized_url, query_redacted`` to every row.
 
-    ``reason`` is the first rule a URL breaks. Parsers fold and drop many characters of international
-    host names, so a host with any character outside ASCII that is left after the full-width forms
-    is refused. ``normalized_url`` is given for allowed URLs,
-    without query and fragment.
+    ``reason`` is the first rule a URL breaks. International host names are mapped to ASCII first
+    (:func:`ascii_host`), and the rules look at what they are then; a host that has no sure ASCII form is refused.
+    ``normalized_url`` is given for allowed URLs, without query and fragment.
     """
     steps = _with_ipv6_bits(_with_parts(df, column(url_col)), "_v6_text")
     name, bare, port, scheme = (F.col(c) for c in ("_name", "_bare", "_port", "_scheme"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dataproof import dataset_manifest, read_dataset, redact_url, screen_source_urls, shared_dir, validate_files
-from dataproof.operators.reports import dataset_reference
+from dataproof.operators.reports import build_reports, dataset_reference, verify_reports
 from dataproof.sources.readers import sniff_separator
 from dataproof.sources.validation import JsonChecker
 
@@ -173,7 +173,7 @@ def test_shared_folder_settings(spark):
 def test_international_hosts_and_dot_segments(spark):
     urls = ["http://①②⑦.⓪.⓪.①/x", "http://ｌocalhost/", "http://local\u00adhost/", "http://example.org/a/../b/./c", "http://example.org/a/%2E%2e/..", "http://example.org/a..b/.c"]
     rows = screen_source_urls(spark.createDataFrame([(u,) for u in urls], "u string"), "u").collect()
-    assert [row["reason"] for row in rows] == ["non_ascii_host"] * 3 + [None] * 3
+    assert [row["reason"] for row in rows] == ["prohibited_address", "blocked_host", "blocked_host"] + [None] * 3
     assert [row["normalized_url"] for row in rows[3:]] == ["http://example.org/b/c", "http://example.org/", "http://example.org/a..b/.c"]
 
 
@@ -204,11 +204,13 @@ def test_manifest(spark, folder):
     assert more["bytes"] == 16 and more["digest"] not in (both["digest"], *digests.values())
 
 
+# Addresses that are not public, and some that are.
 BLOCKED = (
-    "0.0.0.0 10.1.2.3 100.64.0.1 127.0.0.1 169.254.169.254 172.16.0.1 192.168.1.1 198.18.0.1 224.0.0.1 255.255.255.255 "
-    ":: ::1 ::8.8.8.8 3fff::1 5f00::1 fc00::1 fe80::1 fec0::1 ff02::1 2001:db8::1 ::ffff:127.0.0.1"
-).split()
-PUBLIC = "8.8.8.8 1.1.1.1 2606:4700:4700::1111 2001:4860:4860::8888 ::ffff:8.8.8.8".split()
+    "0.0.0.0", "10.1.2.3", "100.64.0.1", "127.0.0.1", "169.254.169.254", "172.16.0.1", "192.168.1.1", "198.18.0.1", "224.0.0.1",
+    "255.255.255.255", "::", "::1", "::8.8.8.8", "3fff::1", "5f00::1", "fc00::1", "fe80::1", "fec0::1", "ff02::1", "2001:db8::1",
+    "::ffff:127.0.0.1",
+)
+PUBLIC = ("8.8.8.8", "1.1.1.1", "2606:4700:4700::1111", "2001:4860:4860::8888", "::ffff:8.8.8.8")
 
 URLS = {
     "ftp://example.com/data.csv": "scheme_not_http",
@@ -265,6 +267,48 @@ def test_urls(spark):
     assert rows["ftp://example.com/data.csv"]["normalized_url"] is None
 
 
+def test_international_hosts(spark):
+    """Folded and written in Punycode as by Python's encoder for one label; disguises of local hosts stay refused."""
+    names = ["münchen", "BÜCHER", "例え", "пример", "ελλάδα", "é", "e\u0301", "①②③", "ﬁne", "Ｆｕｌｌ", "a\u00adb", "ⅷ", "日本語" * 3, "مثال"]
+    urls = {f"http://{n}.example/x": f"http://{n.encode('idna').decode().lower()}.example/x" for n in names}
+    urls |= {"http://a。b．c｡d/": "http://a.b.c.d/", "http://M%C3%BCnchen.example": "http://xn--mnchen-3ya.example/"}
+    refused = {
+        "http://①②⑦.⓪.⓪.①/x": "prohibited_address",
+        "http://ｌocalhost/": "blocked_host",
+        "http://local\u00adhost/": "blocked_host",
+        "http://lo\u200bcalhost/": "blocked_host",
+        "http://ⓛocalhost/": "blocked_host",
+        "http://x.ⓘnternal/": "blocked_host",
+        "http://straße.example/": "non_ascii_host",
+        "http://βόλος.example/": "non_ascii_host",
+        "http://a\u200db.example/": "non_ascii_host",
+        "http://\U0001f9f8.example/": "non_ascii_host",
+        "http://local\U0001bca0host/": "non_ascii_host",
+        "http://é" + "e" * 70 + ".example/": "non_ascii_host",
+        "http://ａ／ｂ/": "invalid_url",
+    }
+    df = spark.createDataFrame([(u,) for u in [*urls, *refused]], "url string")
+    rows = {row["url"]: row for row in screen_source_urls(df, "url").collect()}
+    assert {u: rows[u]["normalized_url"] for u in urls} == urls
+    assert {u: rows[u]["reason"] for u in refused} == refused
+
+
+def test_dataset_records_name_their_url(spark, folder):
+    put(folder, "m/one.csv", "hello")
+    manifest = dataset_manifest(spark, f"{folder}/m/one.csv", "csv")
+    record = dataset_reference(manifest, "one", "csv", url="https://Bücher.example/a/../one.csv?token=secret")
+    assert record["sourceKind"] == "url" and record["sourceQueryRedacted"] is True
+    assert record["sourceUrl"] == "https://xn--bcher-kva.example/one.csv"
+    assert dataset_reference(manifest, "one", "csv", url="http://example.com/one.csv")["sourceQueryRedacted"] is False
+    for url in ("http://localhost/one.csv", "https://u:p@example.com/one.csv", "ftp://example.com/one.csv"):
+        with pytest.raises(ValueError, match="not allowed"):
+            dataset_reference(manifest, "one", "csv", url=url)
+    results = spark.createDataFrame([(1, "{}")], "id int, text string").selectExpr("id", "parse_json(text) AS result")
+    reports = build_reports(results, "profile_dataset", {}, [record])
+    assert "secret" not in reports.first()["report"] and "xn--bcher-kva" in reports.first()["report"]
+    assert verify_reports(reports, "report").where("NOT structure_valid OR NOT digest_valid").count() == 0
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("http://a/b?c#d",), ("http://a/b#d?x",), ("http://a?",)], "u string")
     rows = [tuple(row["r"]) for row in df.select(redact_url(F.col("u")).alias("r")).collect()]
