@@ -65,7 +65,7 @@ def q_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _content(spark, sf_dir).select("content")
     put_artifacts(content, "profile", path)
     put_artifacts(content.unionAll(content), "profile", path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("write", "lead")
 
 
 @query(

@@ -10,7 +10,8 @@ from dataproof.plans.select import safe_select
 from dataproof.queries.registry import REGISTRY, Query, table
 
 
-#: More rows than any of these queries gives at any scale.
+#: More rows than any of these queries gives at any scale: all of them group by columns of few values, or by bounded
+#: numbers, or have a limit of their own.
 ROWS = 10_000
 
 
@@ -56,25 +57,31 @@ _register(
     """SELECT r.r_name, count(*) AS later_nations FROM region r JOIN nation n
        ON n.n_regionkey = r.r_regionkey AND n.n_nationkey > 2 * r.r_regionkey GROUP BY r.r_name""",
 )
+_register(
+    "q_sql_cross",
+    ["region", "orders"],
+    """SELECT r_name, order_count, o_orderstatus FROM region
+       CROSS JOIN (SELECT o_orderstatus, count(*) AS order_count FROM orders GROUP BY o_orderstatus) AS totals""",
+)
 _register(
     "q_sql_window",
     ["orders"],
-    """SELECT n, count(*) AS row_count, sum(priority_rank) AS ranks, sum(o_orderkey - previous) AS gaps,
+    """SELECT least(n, 100) AS n, count(*) AS row_count, sum(priority_rank) AS ranks, sum(o_orderkey - previous) AS gaps,
               round(sum(running), 0) AS running_total FROM (
        SELECT o_custkey, o_orderkey, row_number() OVER w AS n,
               rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS priority_rank,
               lag(o_orderkey) OVER w AS previous,
               sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
                     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS running
-       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) AS windowed GROUP BY n""",
+       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) AS windowed GROUP BY least(n, 100)""",
 )
 _register(
     "q_sql_window_range",
     ["events"],
-    """SELECT recent, count(*) AS row_count, min(event_id) AS first_event, max(event_id) AS last_event FROM (
+    """SELECT least(recent, 1000) AS recent, count(*) AS row_count, min(event_id) AS first_event, max(event_id) AS last_event FROM (
        SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
               RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS recent FROM events) AS windowed
-       GROUP BY recent""",
+       GROUP BY least(recent, 1000)""",
 )
 _register(
     "q_sql_cube",

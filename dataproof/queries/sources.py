@@ -10,7 +10,7 @@ from dataproof.functions.dates import to_timestamp
 from dataproof.functions.types import field_of
 from dataproof.queries.registry import query, table
 from dataproof.session import shared_dir
-from dataproof.sources.manifest import dataset_digest, dataset_manifest
+from dataproof.sources.manifest import dataset_digest, dataset_manifest, tree_digests
 from dataproof.sources.readers import read_dataset
 from dataproof.sources.urls import redact_url, screen_source_urls
 from dataproof.sources.validation import validate_files
@@ -119,6 +119,28 @@ def q_dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_digest(dataset_manifest(spark, event_files(spark, sf_dir), "ndjson"))
 
 
+_BLOCK, _FAN = 1000, 8
+
+
+@query(
+    f"""WITH f AS ({_EVENT_FILES}),
+        l0 AS (SELECT part, i AS place, sha256(substr(text, i * {_BLOCK} + 1, {_BLOCK})) AS d
+               FROM f, unnest(range(CAST(ceil(strlen(text) / {_BLOCK}) AS BIGINT))) AS t(i)),
+        l1 AS (SELECT part, place // {_FAN} AS place, sha256(string_agg(d, chr(10) ORDER BY place)) AS d FROM l0 GROUP BY 1, 2),
+        l2 AS (SELECT part, place // {_FAN} AS place, sha256(string_agg(d, chr(10) ORDER BY place)) AS d FROM l1 GROUP BY 1, 2),
+        l3 AS (SELECT part, place // {_FAN} AS place, sha256(string_agg(d, chr(10) ORDER BY place)) AS d FROM l2 GROUP BY 1, 2)
+        SELECT part, strlen(text) AS bytes, CAST(ceil(strlen(text) / {_BLOCK}) AS BIGINT) AS blocks,
+               'tree-sha256-{_BLOCK}-{_FAN}:' || CASE WHEN strlen(text) <= {_BLOCK} THEN (SELECT any_value(d) FROM l0 WHERE l0.part = f.part)
+               WHEN strlen(text) <= {_BLOCK * _FAN} THEN (SELECT any_value(d) FROM l1 WHERE l1.part = f.part)
+               WHEN strlen(text) <= {_BLOCK * _FAN**2} THEN (SELECT any_value(d) FROM l2 WHERE l2.part = f.part)
+               ELSE (SELECT any_value(d) FROM l3 WHERE l3.part = f.part) END AS digest FROM f"""
+)
+def q_tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are hashed in blocks side by side; parents hash their children's digests."""
+    found = tree_digests(spark, event_files(spark, sf_dir), block_bytes=_BLOCK, fan=_FAN)
+    return found.select(_part_of("path"), "bytes", "blocks", "digest")
+
+
 _PARTS = f"SELECT DISTINCT event_id // {_PART} AS part FROM events"
 
 

@@ -7,11 +7,16 @@ import re
 import sys
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataproof.session import shared_dir
+
 BLOCK_BYTES = 8 << 20
+#: Digests under one parent of a tree, and blocks that a task hashes.
+TREE_FAN, BLOCKS_A_TASK = 1024, 16
 
 
 def _paths(path: str | list[str]) -> list[str]:
@@ -72,6 +77,49 @@ def dataset_manifest(spark: SparkSession, path: str | list[str], format: str) ->
     )
 
 
+def tree_digests(spark: SparkSession, path: str | list[str], block_bytes: int = BLOCK_BYTES, fan: int = TREE_FAN) -> DataFrame:
+    """``path, name, bytes, blocks, digest`` per file that is not empty: a digest that many tasks compute for one file.
+
+    Files are cut into blocks, and the blocks of all files are hashed side by side, each by SHA-256. The digests of ``fan``
+    neighbours are written one a line and hashed to a parent, level by level, until one is left; a file of one block
+    has that block's digest. Block size and fan are part of the digest's name, as others give other digests.
+    """
+    files = listed_files(spark, path)
+    last = F.greatest(F.ceil(F.col("length") / block_bytes) - 1, F.lit(0))
+    blocks = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("place"))
+    # A fixed number of tasks: what the rows stand for is much larger than they are.
+    tasks = max(1, -(-blocks.count() // BLOCKS_A_TASK))
+
+    def hashed(batches):
+        for batch in batches:
+            found = []
+            for name, own in batch.groupby("path", sort=False):
+                with open_file(name) as file:
+                    for place in own["place"]:
+                        file.seek(place * block_bytes)
+                        found.append((name, place, hashlib.sha256(file.read(block_bytes)).hexdigest()))
+            yield pd.DataFrame(found, columns=["path", "place", "digest"])
+
+    level = blocks.repartition(tasks, "path", "place").mapInPandas(hashed, "path string, place long, digest string")
+    folder = shared_dir(spark, "blocks")
+    level.write.parquet(folder)
+    level = spark.read.parquet(folder)
+    most = level.agg(F.max("place")).first()[0] or 0
+    while most > 0:
+        parents = level.groupBy("path", F.floor(F.col("place") / fan).alias("parent"))
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), "\n")
+        # A file with one digest left keeps it.
+        level = parents.agg(F.count("*").alias("n"), F.max("place").alias("last"), F.max("digest").alias("own"), lines.alias("lines"))
+        digest = F.when((F.col("n") == 1) & (F.col("last") == 0), F.col("own")).otherwise(F.sha2("lines", 256))
+        level = level.select("path", F.col("parent").alias("place"), digest.alias("digest"))
+        most //= fan
+    name = F.lit(f"tree-sha256-{block_bytes}-{fan}:")
+    found = files.join(level.select("path", "digest"), "path")
+    return found.select(
+        "path", file_name().alias("name"), F.col("length").alias("bytes"), (last + 1).alias("blocks"), F.concat(name, "digest").alias("digest")
+    )
+
+
 def dataset_digest(manifest: DataFrame) -> DataFrame:
     """``files, bytes, digest`` of a dataset; independent of file names and order.
 

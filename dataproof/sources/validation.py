@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import re
 import sys
@@ -68,13 +69,17 @@ def _parquet_error(path: str, size: int) -> str | None:
 
 
 # The grammar of JSON.
+_IN_STRING = r"""(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"""
 _JSON_TOKEN = re.compile(
-    r"""[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")"""
-    r"""|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))"""
+    rf"""[ \t\r\n]*+(?:([{{}}\[\],:])|("{_IN_STRING}")"""
+    r"""|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null))"""
 )
+_STRING_PART = re.compile(_IN_STRING)
 _IN_NUMBER = re.compile(r"[0-9.eE+-]*")
-#: A token that is not complete within so many characters is not looked for further.
-LONGEST_TOKEN = 1 << 26
+#: What a number or a word may look like before its end is read.
+_BEGUN = re.compile(r"-?[0-9]*+(?:\.[0-9]*+)?(?:[eE][+-]?[0-9]*+)?|t(r(ue?)?)?|f(a(l(se?)?)?)?|n(u(ll?)?)?")
+#: Longer keys are told apart by a digest.
+LONG_KEY = 1024
 
 
 def _json_error(path: str, size: int) -> str | None:
@@ -92,28 +97,52 @@ def _json_error(path: str, size: int) -> str | None:
             if "\0" in text:
                 return "text: zero byte"
             rest = checker.feed(rest + text, final=not block)
-            if rest is None or len(rest) > LONGEST_TOKEN:
+            if rest is None:
                 return wrong
-            # A token longer than a block is read in steps that grow with it.
+            # A number longer than a block is read in steps that grow with it; strings are not held.
             step = max(BLOCK_BYTES, len(rest))
             if not block:
                 return None if checker.complete and not rest.strip(" \t\r\n") else wrong
 
 
+class _Key:
+    """What a key is told apart by, put together from parts: itself, or a digest if it is long."""
+
+    def __init__(self):
+        self.text, self.length, self.digest = "", 0, hashlib.sha256()
+
+    def add(self, part: str) -> None:
+        # Halves of a character may be in two parts.
+        units = json.loads(f'"{part}"').encode("utf-16-le", "surrogatepass")
+        self.digest.update(units)
+        self.length += len(units)
+        if self.length <= 2 * LONG_KEY:
+            self.text += units.hex()
+
+    def value(self) -> str:
+        return self.text if self.length <= 2 * LONG_KEY else f"digest {self.length} {self.digest.hexdigest()}"
+
+
 class JsonChecker:
     """Checks that a text is one JSON value without repeated keys, piece by piece."""
 
     def __init__(self):
         self.open: list[set[str] | None] = []  # the keys of open objects, None for arrays
         self.state = "value"
+        self.key: _Key | None = None  # the string that the last piece ended in
+        self.inside = False
 
     @property
     def complete(self) -> bool:
-        return not self.open and self.state == "end"
+        return not self.open and self.state == "end" and not self.inside
 
     def feed(self, text: str, final: bool) -> str | None:
         """What is left of ``text`` for the next piece; None if it is wrong."""
         at = 0
+        if self.inside:
+            at = self._string(text, 0)
+            if at < 0 or self.inside:
+                return None if at < 0 or final else text[at:]
         while match := _JSON_TOKEN.match(text, at):
             # The end of a number or a word is only known from what follows it.
             if match[3] and not final and _IN_NUMBER.match(text, match.end()).end() == len(text):
@@ -121,11 +150,33 @@ class JsonChecker:
             if not self._take(match[1], match[2]):
                 return None
             at = match.end()
-        if final and text[at:].strip(" \t\r\n"):
+        left = text[at:].lstrip(" \t\r\n")
+        if not left:
+            return ""
+        if final:
             return None
-        return text[at:]
-
-    def _take(self, mark: str | None, string: str | None) -> bool:
+        if left[0] == '"':
+            if self.state not in ("value", "first value", "key", "first key"):
+                return None
+            self.inside, self.key = True, _Key() if self.state in ("key", "first key") else None
+            at = self._string(left, 1)
+            return None if at < 0 else left[at:]
+        return left if _BEGUN.fullmatch(left) else None
+
+    def _string(self, text: str, at: int) -> int:
+        """Goes on in a string; the place behind what is used up, or -1 if it is wrong."""
+        end = _STRING_PART.match(text, at).end()
+        if self.key is not None:
+            self.key.add(text[at:end])
+        if end == len(text):
+            return end
+        if text[end] == '"':
+            self.inside = False
+            return end + 1 if self._take(None, '""', self.key.value() if self.key is not None else None) else -1
+        # An escape may go on in the next piece.
+        return end if text[end] == "\\" and re.fullmatch(r"\\(u[0-9a-fA-F]{0,3})?", text[end:]) else -1
+
+    def _take(self, mark: str | None, string: str | None, key: str | None = None) -> bool:
         state = self.state
         if mark in ("{", "["):
             if state not in ("value", "first value"):
@@ -147,7 +198,13 @@ class JsonChecker:
                 return False
             self.state = "value"
         elif state in ("key", "first key"):
-            if string is None or (key := json.loads(string)) in self.open[-1]:
+            if string is None:
+                return False
+            if key is None:
+                whole = _Key()
+                whole.add(string[1:-1])
+                key = whole.value()
+            if key in self.open[-1]:
                 return False
             self.open[-1].add(key)
             self.state = "colon"

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,42 @@ def test_get_from_an_absent_table(spark, folder):
     assert get_artifacts(spark, f"{folder}/none", ["dataproof_query_" + "0" * 64]).count() == 0
 
 
+def test_two_writers_at_once(spark, folder):
+    """Each artifact is found once, whoever has added it, and readers see whole writes only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{folder}/artifacts"
+    first = spark.sql("SELECT named_struct('n', id) AS content FROM range(60)")
+    second = spark.sql("SELECT named_struct('n', id) AS content FROM range(30, 90)")
+    with ThreadPoolExecutor(2) as pool:
+        asked = [r["artifact_id"] for rows in pool.map(lambda df: put_artifacts(df, "query", path).collect(), (first, second)) for r in rows]
+    assert len(set(asked)) == 90
+    found = get_artifacts(spark, path, asked)
+    assert artifacts.read_artifacts(spark, path).count() == 90
+    assert found.count() == 90 and verify_artifacts(found).where("NOT valid").count() == 0
+    before = spark.read.parquet(path).count()
+    put_artifacts(first.unionAll(second), "query", path)
+    assert spark.read.parquet(path).count() == before
+
+
+def test_a_failed_write_is_not_read(spark, folder, monkeypatch):
+    path = f"{folder}/artifacts"
+    rows = spark.sql("SELECT named_struct('n', id) AS content FROM range(5)")
+    ids = [r["artifact_id"] for r in put_artifacts(rows, "query", path).collect()]
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(artifacts, "_commit", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            put_artifacts(spark.sql("SELECT named_struct('n', id) AS content FROM range(9)"), "query", path)
+    assert spark.read.parquet(path).count() == 5 and get_artifacts(spark, path, ids).count() == 5
+    assert os.listdir(f"{path}/_staged") == []
+    put_artifacts(spark.sql("SELECT named_struct('n', id) AS content FROM range(9)"), "query", path)
+    assert spark.read.parquet(path).count() == 9
+
+
 def test_oversized_artifact(spark, folder, monkeypatch):
     monkeypatch.setattr(artifacts, "MAX_ARTIFACT_BYTES", 20)
     df = spark.sql("SELECT named_struct('payload', repeat('x', 20)) AS content")

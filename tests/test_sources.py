@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dataproof import dataset_manifest, read_dataset, redact_url, screen_source_urls, shared_dir, validate_files
 from dataproof.operators.reports import build_reports, dataset_reference, verify_reports
+from dataproof.sources.manifest import tree_digests
 from dataproof.sources.readers import sniff_separator
 from dataproof.sources.validation import JsonChecker
 
@@ -267,6 +268,47 @@ def test_urls(spark):
     assert rows["ftp://example.com/data.csv"]["normalized_url"] is None
 
 
+@pytest.mark.parametrize("size", [0, 1, 9, 10, 11, 40, 41, 170])
+def test_tree_digest(spark, folder, size):
+    """Blocks of ten bytes, four digests under a parent, against a plain recursion; other files change nothing."""
+    data = bytes(range(65, 91)) * 7
+    put(folder, "t/x y.bin", data[:size].decode())
+    put(folder, "t/other.bin", "z" * 35)
+
+    def root(hashes):
+        while len(hashes) > 1:
+            hashes = [hashlib.sha256("\n".join(hashes[i : i + 4]).encode()).hexdigest() for i in range(0, len(hashes), 4)]
+        return hashes[0]
+
+    rows = {r["name"]: r for r in tree_digests(spark, f"{folder}/t", block_bytes=10, fan=4).collect()}
+    assert set(rows) == ({"x y.bin", "other.bin"} if size else {"other.bin"})
+    if size:
+        blocks = [hashlib.sha256(data[i : min(i + 10, size)]).hexdigest() for i in range(0, size, 10)]
+        expected = (size, len(blocks), f"tree-sha256-10-4:{root(blocks)}")
+        assert (rows["x y.bin"]["bytes"], rows["x y.bin"]["blocks"], rows["x y.bin"]["digest"]) == expected
+
+
+def test_long_strings_are_not_held():
+    """Strings and keys that go on over many pieces; what is held back is at most the part of an escape."""
+    for text, sound in (
+        ('{"a": "' + "x" * 5000 + '\\u00e9", "b": 1}', True),
+        ('{"' + "k" * 5000 + '": 1, "' + "k" * 4999 + '": 2}', True),
+        ('{"' + "k" * 5000 + '": 1, "' + "k" * 5000 + '": 2}', False),
+        ('["' + "x" * 5000 + "\n" + '"]', False),
+        ('["' + "x" * 5000, False),
+        ("[" + "1" * 5000 + "]", True),
+        ("[" + "1" * 5000 + "x]", False),
+    ):
+        checker, rest, longest = JsonChecker(), "", 0
+        for i in range(0, len(text) + 7, 7):
+            rest = checker.feed(rest + text[i : i + 7], final=i >= len(text))
+            if rest is None:
+                break
+            longest = max(longest, len(rest))
+        assert (rest is not None and checker.complete and not rest.strip()) == sound
+        assert longest < 8 or "1111" in text
+
+
 def test_international_hosts(spark):
     """Folded and written in Punycode as by Python's encoder for one label; disguises of local hosts stay refused."""
     names = ["münchen", "BÜCHER", "例え", "пример", "ελλάδα", "é", "e\u0301", "①②③", "ﬁne", "Ｆｕｌｌ", "a\u00adb", "ⅷ", "日本語" * 3, "مثال"]
