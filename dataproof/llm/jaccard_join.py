@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,9 +113,18 @@ def ring_bounds(percent: int, largest: int = 1 << 40) -> list[int]:
     return bounds
 
 
-@lru_cache(maxsize=None)
+#: Numbers of blocks that have been looked for. A plain dictionary travels with the functions that use it.
+_BLOCKS: dict[tuple[int, int], int] = {}
+
+
 def block_number(least: int, allowed: int) -> int:
     """So many blocks that nearly every set of ``least`` shingles fills more than ``allowed`` of them."""
+    if (least, allowed) not in _BLOCKS:
+        _BLOCKS[least, allowed] = _fewest_blocks(least, allowed)
+    return _BLOCKS[least, allowed]
+
+
+def _fewest_blocks(least: int, allowed: int) -> int:
     blocks = allowed + 1
     while True:
         load = least / blocks
@@ -402,6 +410,9 @@ def link_components(
     own = sets.select("node", F.col("node").alias("label"))
     labels = _merged(own, found.where("linked").select("a", "b"))
 
+    # Regions that lie in one component by now are done; groups of near copies share very many.
+    ends = _with_labels(members.select("key", "node"), labels).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    star = star.join(settle(ends.where("low < high").select("key"), "open"), "key")
     rest = _met(star, found, labels, percent).select("key", "node", "slack")
     open_nodes = settle(_open(rest, labels).select("node").distinct(), "open")
     if open_nodes.head(1):

@@ -12,13 +12,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import settle
+from dataproof.llm.common import join_small, settle
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Labelled URLs learnt from at most, chosen by a hash of the URL.
 MAX_LABELLED = 200_000
-#: A suffix has statistics of its own if it holds this part of the labelled URLs: at most so many suffixes.
-SUFFIX_PART = 1024
 FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "mark_ratio", "entropy",
             "parameters", "query_length", "has_fragment", "secure", "suffix_rate", "top_rate")
@@ -89,8 +87,8 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
     ).drop("url_")
 
 
-def _rates(labelled: DataFrame, column: str, prior: float, total: int) -> DataFrame:
-    """``column, folds, all``: smoothed block rates of common suffixes, over all folds and without each fold."""
+def _rates(labelled: DataFrame, column: str, prior: float) -> DataFrame:
+    """``column, folds, all``: smoothed block rates of all suffixes, over all folds and without each fold."""
     folds = F.array(*[F.lit(i) for i in range(FOLDS)])
     both = labelled.groupBy(column).agg(
         F.count("*").alias("n"),
@@ -98,19 +96,22 @@ def _rates(labelled: DataFrame, column: str, prior: float, total: int) -> DataFr
         F.array(*[F.sum((F.col("fold") == i).cast("int")) for i in range(FOLDS)]).alias("n_fold"),
         F.array(*[F.sum(F.when(F.col("fold") == i, F.col("blocked")).otherwise(0)) for i in range(FOLDS)]).alias("hits_fold"),
     )
-    both = both.where(F.col("n") * SUFFIX_PART >= total)
     without = F.transform(
         folds,
         lambda i: (F.col("hits") - F.get("hits_fold", i) + 10 * prior) / (F.col("n") - F.get("n_fold", i) + 10),
     )
     return both.select(
-        F.col(column).alias(f"{column}_known"), without.alias(f"{column}_folds"), ((F.col("hits") + 10 * prior) / (F.col("n") + 10)).alias(f"{column}_all")
+        column, without.alias(f"{column}_folds"), ((F.col("hits") + 10 * prior) / (F.col("n") + 10)).alias(f"{column}_all")
     )
 
 
-def judge_urls(df: DataFrame, id_column: str = "page_id", url: str = "url", rules=RULES, trees: int = 20, depth: int = 4) -> DataFrame:
+def judge_urls(
+    df: DataFrame, id_column: str = "page_id", url: str = "url", rules=RULES, trees: int = 20, depth: int = 4, most: int = MAX_LABELLED
+) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_score`` of every row of ``df``.
 
+    The trees learn from ``most`` labelled URLs at most; the rates of suffixes are counted over all of them.
+
     A null URL, or one without ``://``, has an empty host and path. ``block_score`` is the trees'
     probability of a block; null where a rule decides. With no labelled URLs all others are allowed, with
     labels of one kind they get that verdict. Repeated URLs are judged alike, null ids kept, further
@@ -130,15 +131,13 @@ def judge_urls(df: DataFrame, id_column: str = "page_id", url: str = "url", rule
         )
     prior = hits / total
     for column in ("suffix", "top"):
-        # At most SUFFIX_PART rows.
-        rates = F.broadcast(_rates(labelled, column, prior, total))
-        rows = rows.join(rates, F.col(column) == F.col(f"{column}_known"), "left")
+        rows = join_small(rows, settle(_rates(labelled, column, prior), "rates"), [column], F.col("url"))
         own = F.when(F.col("match").isNotNull(), F.get(f"{column}_folds", F.col("fold"))).otherwise(F.col(f"{column}_all"))
         rows = rows.withColumn(f"{column}_rate", F.coalesce(own, F.lit(prior)))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     learnt = rows.where(F.col("match").isNotNull()).select("features", F.col("blocked").cast("double").alias("label"), "url", "page_id")
-    if total > MAX_LABELLED:
-        learnt = learnt.orderBy(F.xxhash64("url"), "url", "page_id").limit(MAX_LABELLED)
+    if total > most:
+        learnt = learnt.orderBy(F.xxhash64("url"), "url", "page_id").limit(most)
     learnt = settle(learnt.select("features", "label").repartition(8), "labelled")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1).fit(learnt)
     judged = model.transform(rows.select("page_id", "host", "path", "match", "features"))

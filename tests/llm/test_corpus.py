@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import heapq
 import math
 import random
@@ -13,7 +14,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from dataproof.llm import chat_repair, jaccard_join, sharding, suffix_tree
+import public_tokenizers
+import tiktoken
+from dataproof.llm import chat_repair, divergence, jaccard_join, quality_knn, sharding, suffix_tree
+from dataproof.llm.common import settle
+from test_filters import contamination_of, plain_references, plain_verdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -411,6 +416,89 @@ def test_pipeline(spark, sf_dir, documents):
     assert out.where("NOT restored").count() == 0 and out.count() == docs.count()
 
 
+def planted(documents, items):
+    """The documents with copies, near copies, junk and benchmark passages among them."""
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in documents.collect()]
+    rng = random.Random(12)
+    clean = [r for r in rows if r[1] and 80 < len(r[1].split()) < 400 and r[2] == "en"]
+    passages = [text for _, text in items if text and len(text.split()) >= 13]
+    number = 10**6
+    for _, text, lang, source, _ in rng.sample(clean, 12):
+        words = text.split()
+        near = list(words)
+        for place in rng.sample(range(len(near)), len(near) // 60):
+            near[place] = "changed"
+        for other in (text, " ".join(words).upper(), " ".join(near), " ".join(words[:40] + [rng.choice(passages)] + words[40:])):
+            rows.append((number, other, lang, source, len(other)))
+            number += 1
+    for junk in ("@~^ {}[] " * 90, "lorem " * 300, " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(120)), "", None, "few words"):
+        rows.append((number, junk, "en", "src1", 0))
+        number += 1
+    return rows
+
+
+def test_stages_match_brute_force(spark, sf_dir, documents):
+    """The ids that each stage keeps, each on what the stage before has kept, against plain versions."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs = spark.createDataFrame(planted(documents, items), documents.schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        docs = settle(stage(spark, docs, sf_dir), "stage")
+        found = sorted(r.doc_id for r in docs.collect())
+        kept[name] = len(before) - len(found)
+        if name == "quality classifier":
+            labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+            texts = spark.createDataFrame(before, documents.schema).select("doc_id", "text")
+            model = quality_knn.fit(texts, labels.where(~quality_knn.held_out(labels)))
+            terms = quality_knn.Terms()
+            votes = {r.doc_id: quality_knn.vote(quality_knn.term_counts([r.text or ""], terms), model)[0] for r in before}
+            # A vote next to one half may fall either way with the order of a sum.
+            sure = {i for i, vote in votes.items() if abs(vote - 0.5) > 1e-4}
+            assert set(found) & sure == {i for i in sure if votes[i] >= 0.5}
+        elif name == "quality rules":
+            references = plain_references(before, divergence.Limits())
+            assert found == sorted(r.doc_id for r in before if plain_verdict(r, references, divergence.Limits())[-1])
+        elif name == "n-gram Jaccard join":
+            assert found == one_of_each(before)
+        else:
+            verdict = {r.doc_id: contamination_of([r.text], items)[0][-1] for r in before}
+            assert found == sorted(i for i, bad in verdict.items() if not bad)
+    assert all(number > 0 for number in kept.values()), kept
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect():
+        assert r.restored and list(r.ids) == library.encode_ordinary(texts.pop(r.doc_id))
+    assert not texts
+
+
+def one_of_each(rows, width=5, percent=80):
+    """The least id of each group of texts that are linked by word shingles, and all texts without words."""
+
+    def cut(text):
+        words = WORD.findall((text or "").translate(LOWER))
+        size = min(width, len(words))
+        return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+    rows = sorted(rows, key=lambda r: r.doc_id)
+    sets, up = [cut(r.text) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return sorted(r.doc_id for i, r in enumerate(rows) if find(i) == i)
+
+
 def test_verdicts_are_not_repeated_in_a_filter(spark, sf_dir, documents):
     """The optimizer must not copy the whole verdict into a filter pushed below it."""
     plan = corpus_pipeline.rules_stage(spark, documents, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -284,6 +284,56 @@ def test_url_verdicts(spark, sf_dir):
         assert r.verdict in ("allow", "block") and (r.block_score is None) == (r.rule is not None)
 
 
+def plain_features(url):
+    url = url or ""
+    host, path = "", ""
+    if "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0].translate(LOWER)
+        path = re.split("[?#]", rest[len(host) :])[0]
+    query = re.search(r"\?([^#]*)", url)
+    counts = Counter(url)
+    return {
+        "length": len(url),
+        "host_length": len(host),
+        "path_length": len(path),
+        "depth": len([x for x in path.split("/") if x]),
+        "labels": len(host.split(".")),
+        "digit_ratio": sum(c in "0123456789" for c in url) / max(1, len(url)),
+        "mark_ratio": sum(not (c.isascii() and c.isalnum()) for c in url) / max(1, len(url)),
+        "entropy": -sum(n / len(url) * math.log2(n / len(url)) for n in counts.values()),
+        "parameters": len(query[1].split("&")) if query and query[1] else 0,
+        "query_length": len(query[1]) if query else 0,
+        "has_fragment": int("#" in url),
+        "secure": int(url.startswith("https:")),
+        "suffix": ".".join(host.split(".")[-2:]),
+        "top": host.split(".")[-1],
+    }
+
+
+def test_features_match_plain_ones(spark, sf_dir):
+    odd = [None, "", "no scheme", "https://a.b.C.example/x//y/?p=1&q&&r#f?z", "http://EXAMPLE", "x://h?q://b/c", "http://é.例え/ß?ü"]
+    urls = odd + [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60).collect()]
+    rows = url_gbt.lexical_features(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    for r in rows:
+        for name, value in plain_features(r.url).items():
+            assert r[name] == pytest.approx(value, abs=1e-12) if isinstance(value, float) else r[name] == value, (r.url, name)
+
+
+def test_rates_of_rare_suffixes_and_folds(spark):
+    """Each suffix has its rate, however rare, and a URL's own fold is left out of what it learns from."""
+    rng = random.Random(1)
+    rows = [(f"s{rng.randrange(300)}" if i % 2 else "hot", i % url_gbt.FOLDS, int(rng.random() < 0.3)) for i in range(3000)]
+    found = url_gbt._rates(spark.createDataFrame(rows, "suffix string, fold int, blocked int"), "suffix", 0.3).collect()
+    assert len(found) == len({suffix for suffix, _, _ in rows})
+    for r in found:
+        own = [(fold, blocked) for suffix, fold, blocked in rows if suffix == r.suffix]
+        assert r.suffix_all == pytest.approx((sum(b for _, b in own) + 3) / (len(own) + 10))
+        for fold in range(url_gbt.FOLDS):
+            others = [b for f, b in own if f != fold]
+            assert r.suffix_folds[fold] == pytest.approx((sum(others) + 3) / (len(others) + 10))
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "http://NET", "http://a.NET/x?y#z", "http://example.com/de/", "x://h?q://b/c", "://?", "http://net/a\nb#c"]
     table = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
