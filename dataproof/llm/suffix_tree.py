@@ -374,7 +374,7 @@ def scores(df: DataFrame, learn, id_column: str = "doc_id", text: str = "text")
         f"doc_id {kind}, held_out boolean, n_tokens long, often_known long, often_logs double, phrases array<long>, "
         "logs array<float>, rare array<long>, spelt array<float>, at array<int>",
     )
-    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored", pack=True)
 
     # The counts of the other words: one shuffle by word, which frequent words stay out of.
     single = scored.select("row", (~F.col("held_out")).cast("int").alias("own"), F.explode(F.arrays_zip("rare", "spelt", "at")).alias("x"))
@@ -392,7 +392,7 @@ def scores(df: DataFrame, learn, id_column: str = "doc_id", text: str = "text")
         F.collect_list(F.struct("at", mixed.cast("float").alias("log"))).alias("later"),
     )
     whole = scored.drop("rare", "spelt", "at").join(per_row, "row", "left")
-    whole = settle(whole.withColumns({"ats": F.col("later.at"), "later": F.col("later.log")}), "whole")
+    whole = settle(whole.withColumns({"ats": F.col("later.at"), "later": F.col("later.log")}), "whole", pack=True)
     rare_words = whole.agg(F.sum("new_words")).first()[0] or 0
     distinct = rare_words + int((often_counts > 0).sum()) + (train_texts > 0)
     log_all = math.log10(train_tokens + distinct + 1)
@@ -517,7 +517,7 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
     novel = math.log((total - kept_total + 1) / (total + 1))
     spelt = events.groupBy("row").agg((F.sum("log") + F.count("*") * novel).alias("spelt"))
     sent = share(rows.sparkSession, _filter_of(kept))
-    alive = settle(rows.mapInArrow(lambda batches: _events(batches, shared(sent)), schema), "alive")
+    alive = settle(rows.mapInArrow(lambda batches: _events(batches, shared(sent)), schema), "alive", pack=True)
 
     def mixed(count, weight, log, size):
         """The logarithm of (count + weight * e ** log) / size."""
@@ -526,12 +526,12 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
     number = F.coalesce("c", F.lit(0))
     lit = lambda x: F.lit(float(x))
     states = alive.join(kept.withColumnRenamed("key", "y0"), "y0", "left")
-    states = states.withColumns({"c": number, "p": mixed(number, lit(total - kept_total + 1), F.col("log"), lit(total + 1))})
+    states = states.withColumns({"c": number, "p": mixed(number, lit(total - kept_total + 1), F.col("log"), lit(total + 1))}).drop("y0")
     start = rows.sparkSession.createDataFrame([(int(START.astype(np.int64)), train_texts)], "key long, c long")
     # How often each context of one phrase more has been met: as often as its last phrase in the context before.
     met = kept.unionByName(start)
     for k in range(1, PHRASES + 1):
-        states = settle(states, "states")
+        states = settle(states, "states", pack=True)
         pairs = states.where("own AND c > 1").groupBy(F.col(f"y{k}").alias("key"))
         pairs = pairs.agg(F.count("*").alias("c"), F.max(f"x{k}").alias("context"), F.max("p").alias("p")).where("c > 1")
         pairs = settle(pairs, "pairs")
@@ -544,7 +544,8 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
         p = F.when(F.col("met").isNull(), F.col("p")).otherwise(
             mixed(number, F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0)
         )
-        states = found.withColumns({"p": p, "c": F.when(F.col("met").isNotNull(), number).otherwise(0)}).drop("met", "kept")
+        # What this state has used is not carried on.
+        states = found.withColumns({"p": p, "c": F.when(F.col("met").isNotNull(), number).otherwise(0)}).drop("met", "kept", f"x{k}", f"y{k}")
         met = pairs.select("key", "c")
     gained = states.groupBy("row").agg(F.sum(F.col("p") - F.col("log") - novel).alias("gained"))
     out = spelt.join(gained, "row", "left")
