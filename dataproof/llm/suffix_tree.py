@@ -48,6 +48,8 @@ TRUST = 0.95
 ANCHOR, PHRASES, LEAST_GAIN = 8, 2, 2.0
 #: Bits of the filter of phrases met twice: 4 MB.
 FILTER_BITS = 1 << 25
+#: Rows of a broadcast table of keys and counts, of some 40 bytes each in memory.
+BROADCAST_ROWS = 1 << 19
 END, SPACE = 10, 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -502,6 +504,11 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     return bits
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of keys and counts, broadcast if it has ``BROADCAST_ROWS`` rows at most; else joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
     """``row, log_score`` (natural logarithm) of rows ``row, held_out, phrases, logs, ats, later``."""
     fields = ["row long", "own boolean", "log double"]
@@ -525,7 +532,7 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
 
     number = F.coalesce("c", F.lit(0))
     lit = lambda x: F.lit(float(x))
-    states = alive.join(kept.withColumnRenamed("key", "y0"), "y0", "left")
+    states = alive.join(_small(kept.withColumnRenamed("key", "y0")), "y0", "left")
     states = states.withColumns({"c": number, "p": mixed(number, lit(total - kept_total + 1), F.col("log"), lit(total + 1))}).drop("y0")
     start = rows.sparkSession.createDataFrame([(int(START.astype(np.int64)), train_texts)], "key long, c long")
     # How often each context of one phrase more has been met: as often as its last phrase in the context before.
@@ -539,8 +546,8 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
         gain = mixed(F.col("c"), F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0) - F.col("p")
         gains = pairs.join(sums, "context").groupBy("context", "kept", "met").agg(F.sum(F.col("c") * gain).alias("gain"))
         contexts = settle(gains.where(F.col("gain") >= LEAST_GAIN).drop("gain"), "contexts")
-        found = states.drop("c").join(contexts.withColumnRenamed("context", f"x{k}"), f"x{k}", "left")
-        found = found.join(pairs.select(F.col("key").alias(f"y{k}"), "c"), f"y{k}", "left")
+        found = states.drop("c").join(_small(contexts.withColumnRenamed("context", f"x{k}")), f"x{k}", "left")
+        found = found.join(_small(pairs.select(F.col("key").alias(f"y{k}"), "c")), f"y{k}", "left")
         p = F.when(F.col("met").isNull(), F.col("p")).otherwise(
             mixed(number, F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0)
         )
