@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.functions.types import column
+from dataproof.plans.compiled import small_methods
 from dataproof.plans.two_level import FAN_IN
 
 #: What a pair of columns has: rows with both values, rows of them with a value that is not finite, means of the first
@@ -36,20 +37,33 @@ Matrices = dict[str, np.ndarray]
 def batch_matrices(values: np.ndarray, present: np.ndarray) -> Matrices:
     """The co-moments of one batch (rows by columns); ``present`` tells values from NULL."""
     sound = present & np.isfinite(values)
-    ones, odd = sound.astype(np.float64), (present & ~sound).astype(np.float64)
-    filled = np.where(sound, values, 0.0)
+    gaps = np.flatnonzero(~sound.all(axis=0))
+    ones, gap_ones = sound.astype(np.float64), sound[:, gaps].astype(np.float64)
+
+    def over(x: np.ndarray) -> np.ndarray:
+        """The sums of the columns of ``x`` over the rows that have a value in each column: all rows where none is missing."""
+        out = np.repeat(x.sum(axis=0)[:, None], x.shape[1], axis=1)
+        out[:, gaps] = x.T @ gap_ones
+        return out
+
+    filled = np.where(sound, values, 0.0) if len(gaps) else values
     count = ones.sum(axis=0)
     middle = filled.sum(axis=0) / np.maximum(count, 1)
     # A column of one value only must not get a spread from rounding its mean.
-    low, high = np.where(sound, values, np.inf).min(axis=0), np.where(sound, values, -np.inf).max(axis=0)
+    low, high = (values.min(axis=0), values.max(axis=0)) if not len(gaps) else (
+        np.where(sound, values, np.inf).min(axis=0), np.where(sound, values, -np.inf).max(axis=0)
+    )
     middle = np.where(low == high, low, middle)
     middle = np.where(np.isfinite(middle), middle, 0.0)
-    apart = np.where(sound, values - middle, 0.0)
-    rows = ones.T @ ones
+    apart = np.where(sound, values - middle, 0.0) if len(gaps) else values - middle
+    rows = over(ones)
     known = np.maximum(rows, 1)
-    sums, squares = apart.T @ ones, (apart * apart).T @ ones
+    sums, squares = over(apart), over(apart * apart)
     mean = sums / known
-    bad = odd.T @ present + present.T @ odd - odd.T @ odd
+    bad = np.zeros_like(rows)
+    if (present & ~sound).any():
+        odd, there = (present & ~sound).astype(np.float64), present.astype(np.float64)
+        bad = odd.T @ there + there.T @ odd - odd.T @ odd
     square = np.maximum(squares - sums * mean, 0.0)
     out = {
         "rows": rows,
@@ -125,7 +139,7 @@ def pair_correlations(df: DataFrame, names: Sequence[str]) -> np.ndarray:
                 if batch.num_rows:
                     values = [np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.float64) for c in batch.columns]
                     present = [np.asarray(c.is_valid()) for c in batch.columns]
-                    yield batch_matrices(np.stack(values, axis=1), np.stack(present, axis=1))
+                    yield batch_matrices(np.stack(values).T, np.stack(present).T)
 
         total = _merge_all(matrices())
         if total is not None:
@@ -146,7 +160,9 @@ def pair_correlations(df: DataFrame, names: Sequence[str]) -> np.ndarray:
     merged = salted.groupBy("a", "salt").applyInPandas(lambda _, rows: merge(rows), ", ".join(["a int", *cells]))
     out = np.full((size, size), np.nan)
     # A row of numbers per column.
-    for row in merged.groupBy("a").applyInPandas(lambda _, rows: finish(rows), "a int, r array<double>").collect():
+    with small_methods(df.sparkSession):
+        found = merged.groupBy("a").applyInPandas(lambda _, rows: finish(rows), "a int, r array<double>").collect()
+    for row in found:
         out[row["a"]] = [np.nan if r is None else r for r in row["r"]]
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,6 +25,7 @@ from dataproof.operators.quantiles import (
     sketch_count,
     sketch_quantiles,
 )
+from dataproof.plans.compiled import small_methods
 from dataproof.plans.two_level import aggregate_two_level, melt
 
 TOP_K = 10
@@ -104,25 +106,23 @@ def _lane_type(dtype: T.DataType) -> T.DataType | None:
 
 def _scalar_frame(df: DataFrame, fields: Sequence[T.StructField], moments: bool) -> DataFrame:
     """One row per column position: counts, extremes, mean and spread in generated code; few rows are rendered."""
-    lanes = _order_lanes(fields) if moments else []
+    if not moments:
+        return _count_frame(df, fields)
+    lanes = _order_lanes(fields)
     cells = []
     for f in fields:
         value = column(f.name)
         cell = [value.isNotNull().alias("present")]
-        if moments:
-            cell.append((value if is_numeric(f.dataType) else F.lit(None)).cast("double").alias("number"))
+        cell.append((value if is_numeric(f.dataType) else F.lit(None)).cast("double").alias("number"))
         cell += [
             (value if _lane_type(f.dataType) == dtype else F.lit(None)).cast(dtype).alias(lane) for lane, dtype in lanes
         ]
         cells.append(cell)
     aggregates = [F.count(F.lit(1)).alias("rows"), F.count_if("present").alias("present")]
-    if moments:
-        for name in ("number", *[lane for lane, _ in lanes]):
-            aggregates += [F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}")]
-        aggregates += [F.avg("number").alias("mean"), F.stddev_pop("number").alias("std")]
+    for name in ("number", *[lane for lane, _ in lanes]):
+        aggregates += [F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}")]
+    aggregates += [F.avg("number").alias("mean"), F.stddev_pop("number").alias("std")]
     merged = melt(df, cells).groupBy("position").agg(*aggregates)
-    if not moments:
-        return merged
 
     def extreme_text(which: str) -> Column:
         text = render_apart(F.col(f"{which}_number"), T.DoubleType())
@@ -139,6 +139,12 @@ def _scalar_frame(df: DataFrame, fields: Sequence[T.StructField], moments: bool)
     )
 
 
+def _count_frame(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """One row per column position: counts only, a single one per column, for which rows need not become cells."""
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(column(f.name)).alias(f"count{i}") for i, f in enumerate(fields)])
+    return melt(counted, [[F.col("rows"), F.col(f"count{i}").alias("present")] for i in range(len(fields))])
+
+
 def _distinct_frame(df: DataFrame, fields: Sequence[T.StructField], error: float) -> DataFrame:
     """One row per column position: the estimated number of distinct values.
 
@@ -196,7 +202,8 @@ def column_statistics(
     if quantiles and not approx_quantiles and any(is_numeric(f.dataType) for f in fields):
         parts.append(_bracket_frame(df, fields))
     # One job: the aggregations run side by side and end in a few rows per column.
-    collected = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).collect() if parts else []
+    with nullcontext() if moments else small_methods(df.sparkSession):
+        collected = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).collect() if parts else []
     rows: list[dict] = [{"present": 0, "distinct": 0 if distinct else None, "real": 0} for _ in fields]
     for row in collected:
         rows[row["position"]] |= {key: value for key, value in row.asDict().items() if value is not None}

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dataproof import column_statistics, correlations
-from dataproof.operators import comoments
+from dataproof.operators import comoments, profile
+from dataproof.plans.compiled import small_methods
 
 
 def plain(a, b):
@@ -102,3 +103,40 @@ def test_a_hundred_columns(spark):
     expected = np.corrcoef(matrix.T)
     assert [r for *_, r in found] == pytest.approx([expected[a, b] for a, b in combinations(range(100), 2)], abs=1e-9)
     assert seconds[100] < 8 * seconds[50] + 5
+
+
+def test_counts_of_many_columns_do_not_expand_rows(spark):
+    df = spark.range(10).selectExpr(*[f"CASE WHEN id % {i + 2} = 0 THEN NULL ELSE id END AS c{i}" for i in range(48)])
+    counted = profile._scalar_frame(df, df.schema.fields, False)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[position" not in plan
+    expected = {i: sum(x % (i + 2) != 0 for x in range(10)) for i in range(48)}
+    assert {row["position"]: row["present"] for row in counted.collect()} == expected
+
+
+def test_limit_of_methods_is_put_back(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    with pytest.raises(ZeroDivisionError), small_methods(spark):
+        assert int(spark.conf.get(limit)) <= 8000
+        raise ZeroDivisionError
+    assert spark.conf.get(limit) == before
+
+
+def test_batches_with_and_without_gaps():
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(200, 5)) + [0, 1e6, -3, 5, 0]
+    present = np.ones(values.shape, dtype=bool)
+    present[::3, 1] = present[::7, 4] = False
+    values[~present] = np.nan
+    values[5, 3] = np.inf
+    found = comoments.batch_matrices(values, present)
+    for a in range(5):
+        for b in range(5):
+            both = present[:, a] & present[:, b]
+            sound = both & np.isfinite(values[:, a]) & np.isfinite(values[:, b])
+            x, y = values[sound, a], values[sound, b]
+            assert found["rows"][a, b] == sound.sum() and found["odd"][a, b] == (both & ~sound).sum()
+            assert np.isclose(found["mean_a"][a, b], x.mean()) and np.isclose(found["mean_b"][a, b], y.mean())
+            assert np.isclose(found["square_a"][a, b], ((x - x.mean()) ** 2).sum())
+            assert np.isclose(found["product"][a, b], ((x - x.mean()) * (y - y.mean())).sum())
