@@ -248,22 +248,19 @@ def number_bucket(number: Column) -> Column:
     """The bucket of a double: 0 for zero, and equal steps within each power of two on either side, in the order of the
     numbers. Infinities and NaN come last.
 
-    The logarithm may be off by one in its last place; a mantissa outside of [1, 2) shows it and is put right, so the
-    bucket is the same on every machine.
+    The logarithm may be off by one in its last place; a mantissa outside of [1, 2) shows it and gets the steps of the
+    power of two that it belongs to, so the bucket is the same on every machine. The steps of the three powers of two are
+    lines of which the least is the right one. Nothing that is used twice stands in a branch or a lambda, so it is
+    generated code that computes logarithm and power once.
     """
     size = F.abs(number)
-    guess = F.least(F.floor(F.log2(size)), F.lit(1023))
-
-    def of_guess(guess: Column) -> Column:
-        mantissa = size / F.pow(F.lit(2.0), guess)
-        shift = F.when(mantissa >= 2.0, 1).when(mantissa < 1.0, -1).otherwise(0)
-        exact = mantissa / F.when(shift == 1, 2.0).when(shift == -1, 0.5).otherwise(1.0)
-        step = F.floor((exact - 1.0) * STEPS)
-        return (guess + shift - _LEAST_EXPONENT) * STEPS + step + 1
-
-    place = F.get(F.transform(F.array(guess), of_guess), F.lit(0))
-    place = F.when(size == F.lit(float("inf")), _BEYOND).when(size == 0, 0).otherwise(place)
-    return F.when(F.isnan(number), _BEYOND + 1).when(number < 0, -place).otherwise(place).cast("int")
+    # Least and greatest take NaN for the largest number and pass over NULL, so infinities and NaN end in the last steps.
+    guess = F.floor(F.least(F.log2(size), F.lit(1023.0)))
+    mantissa = size / F.pow(F.lit(2.0), guess)
+    lines = [mantissa * (2 * STEPS) - 2.0 * STEPS, mantissa * STEPS - 1.0 * STEPS, mantissa * (STEPS / 2)]
+    step = F.floor(F.least(*lines, F.lit(2.0 * STEPS)))
+    place = F.least((guess - _LEAST_EXPONENT) * STEPS + step + 1, F.lit(_BEYOND)) + F.isnan(number).cast("int")
+    return (place * F.when(number < 0, -1).when(number > 0, 1).when(number == 0, 0)).cast("int")
 
 
 def bucket_middle(bucket: int) -> float | None:

@@ -189,6 +189,14 @@ def test_buckets_follow_the_parts_of_a_number(spark):
             assert abs(quantiles.bucket_middle(bucket) - x) <= quantiles.RELATIVE_ERROR * abs(x)
 
 
+def test_buckets_are_generated_code(spark):
+    values = [None, -2.5, 0.0, 0.75, 1e300, math.inf, math.nan]
+    df = spark.createDataFrame([(x,) for x in values], "x double").coalesce(1)
+    found = df.select(quantiles.number_bucket(F.col("x")).alias("bucket"))
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [b for (b,) in found.collect()] == [None if x is None else plain_bucket(x) for x in values]
+
+
 def test_approximate_quantiles_of_odd_columns(spark):
     rng = random.Random(3)
     wild = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-200, 200) for _ in range(999)]
