@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -29,9 +30,19 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
 def settle(df: DataFrame, purpose: str, pack: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps neither recompute it nor
-    depend on executors that held parts of it. ``pack`` takes more time to write less, for tables with texts."""
-    folder = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(folder, compression="zstd" if pack else "snappy")
+    depend on executors that held parts of it. ``pack`` takes more time to write less, for tables with texts.
+
+    Shuffle files of the write go when it has ended, so disks hold those of one step, not of all steps so far."""
+    spark, folder = df.sparkSession, scratch_dir(df.sparkSession, purpose)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder, compression="zstd" if pack else "snappy")
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

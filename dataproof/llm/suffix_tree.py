@@ -50,6 +50,8 @@ ANCHOR, PHRASES, LEAST_GAIN = 8, 2, 2.0
 FILTER_BITS = 1 << 25
 #: Rows of a broadcast table of keys and counts, of some 40 bytes each in memory.
 BROADCAST_ROWS = 1 << 19
+#: Text that is worked on at once, of which each byte takes some hundred bytes of memory; rows of phrases likewise.
+RUN_BYTES, RUN_ROWS = 1 << 19, 2048
 END, SPACE = 10, 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -78,7 +80,7 @@ def _codes(texts: list[list[bytes]]) -> np.ndarray:
     return code[counted]
 
 
-def _runs(texts: list[str], size: int = 2 << 20):
+def _runs(texts: list[str], size: int = RUN_BYTES):
     """Parts of ``texts`` of some ``size`` characters, as word lists; at least one text each."""
     part, length = [], 0
     for text in texts:
@@ -109,8 +111,12 @@ class _Sums:
         return self.total > self.most
 
     def _merge(self) -> None:
-        keys, back = np.unique(np.concatenate([x for x, _ in self.held]), return_inverse=True)
-        counts = np.bincount(back, weights=np.concatenate([x for _, x in self.held])).astype(np.int64)
+        keys, counts = (np.concatenate(x) for x in zip(*self.held))
+        self.held = []
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+        keys, counts = keys[firsts], np.add.reduceat(counts, firsts)
         self.held, self.total = [(keys, counts)], len(keys)
 
     def empty(self):
@@ -141,7 +147,7 @@ def corpus_counts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     def count(batches):
         place, numbers, sums = shared(sent), Words64(), _Sums()
         often, totals = np.zeros(len(frequent), dtype=np.int64), np.zeros(2, dtype=np.int64)
-        for _, texts in text_batches(batches):
+        for _, texts in text_batches(batches, max_bytes=4 * RUN_BYTES):
             for part in _runs(texts):
                 ids = _numbers(part, numbers)
                 found = place(ids)
@@ -280,7 +286,7 @@ def frequent_words(rows: DataFrame, most: int = FREQUENT) -> DataFrame:
         from collections import Counter
 
         numbers = Words64()
-        for _, texts in text_batches(batches):
+        for _, texts in text_batches(batches, max_bytes=4 * RUN_BYTES):
             counts = Counter()
             for text in texts:
                 counts.update(map(numbers.__getitem__, tokens_of(text)))
@@ -324,7 +330,7 @@ def scores(df: DataFrame, learn, id_column: str = "doc_id", text: str = "text")
         tree, place, counts = shared(sent)
         shares = np.append(counts, 0) * (TRUST * words_share)
         numbers, logs, known = Words64(), np.log10(np.append(counts, 0) + 1.0), np.append(counts > 0, False)
-        for part, texts in text_batches(batches, max_bytes=2 << 20):
+        for part, texts in text_batches(batches, max_bytes=RUN_BYTES):
             words = [tokens_of(value) for value in texts]
             sizes = np.array([len(x) for x in words])
             ids = _numbers(words, numbers)
@@ -456,7 +462,7 @@ def _events(batches, bits: np.ndarray | None):
 
     ``x1, x2, ...`` are the contexts before a phrase, ``y0, y1, ...`` the contexts followed by it, ``log`` its spelling.
     """
-    for batch in batches:
+    for batch in (whole.slice(start, RUN_ROWS) for whole in batches for start in range(0, whole.num_rows, RUN_ROWS)):
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         lists = columns["phrases"]
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()

@@ -7,10 +7,12 @@ import heapq
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -563,3 +565,48 @@ def test_cells_are_joined_in_chunks(spark, chunk, monkeypatch):
             texts.append(" ".join(words[:-1]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert found_components(df) == linked_components(list(range(len(texts))), texts, 90)
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    counted = spark.range(1000).selectExpr("id % 7 AS k").repartition(3).groupBy("k").count()
+    assert settle(counted, "test").count() == 7
+    for _ in range(50):
+        settled = {name for name in shuffled() - before if name.endswith(".data")}
+        if len(settled) <= 1:  # that of the count
+            break
+        time.sleep(0.2)
+    assert len(settled) <= 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_phrases_are_read_in_slices(monkeypatch):
+    lists = {"phrases": ([[1, 2], [3], [4, 5, 6]], "uint64"), "logs": ([[0.5, 1.0], [2.0], [1.0, 1.5, 2.5]], "float32")}
+    columns = {name: pa.array(x, pa.list_(pa.int64() if kind == "uint64" else pa.float32())) for name, (x, kind) in lists.items()}
+    columns |= {"ats": pa.array([[1], None, [0, 2]], pa.list_(pa.int32())), "later": pa.array([[0.25], None, [1.0, 2.0]], pa.list_(pa.float32()))}
+    batch = pa.RecordBatch.from_pydict({"row": pa.array([0, 1, 2], pa.int64()), "held_out": pa.array([False, True, False]), **columns})
+
+    def logs():
+        return [(x["row"], x["y0"], x["log"]) for part in suffix_tree._events([batch], None) for x in part.to_pylist()]
+
+    whole = logs()
+    monkeypatch.setattr(suffix_tree, "RUN_ROWS", 1)
+    assert logs() == whole and len(list(suffix_tree._events([batch], None))) == 3
+
+
+def test_counts_are_merged(monkeypatch):
+    rng, sums, found = np.random.default_rng(1), suffix_tree._Sums(most=100), Counter()
+    parts = [rng.integers(0, 300, 120).astype(np.uint64) for _ in range(20)]
+    for part in parts:
+        if sums.add(part):
+            for keys, counts in sums.empty():
+                found.update(dict(zip(keys.tolist(), counts.tolist())))
+    for keys, counts in sums.empty():
+        found.update(dict(zip(keys.tolist(), counts.tolist())))
+    assert found == Counter(np.concatenate(parts).tolist())
