@@ -21,9 +21,11 @@ inequality of one of them. Equal sets are one node from the start.
    so do members of a pivot's component that all others are a threshold farther from the pivot than.
    Regions inside one component are done. If the cells would replicate too much (members about equally far
    from all pivots), regions stay whole and only lose their pivots.
-5. *Cells.* What is left of a cell is joined in blocks: sketches of the sets are points of a metric space whose
-   distances are never more than the symmetric difference, members are sorted by their distance to a pivot in
-   it, and each is held against those within its window. Pairs that no bound keeps apart are verified exactly.
+5. *Cells.* Of regions with the same members one is kept. What is left of a cell is joined in blocks: sketches of the
+   sets are points of a metric space whose distances are never more than the symmetric difference, members are sorted
+   by their distance to a pivot in it, and each is held against those within its window. Only members of pairs that no
+   bound keeps apart get their sets, and are verified exactly in a task that returns a forest of the links that it has
+   found. So no step has a row for each pair of a cell.
 
 Pivots of whole documents alone could not part a corpus: unrelated documents are all at distance one
 from each other, so every document would be a boundary document of every cell. Hence steps 1 and 2.
@@ -47,8 +49,8 @@ PERCENT = 90
 RING, LEAST_BLOCKED = 1.25, 75
 #: Bits of the filter that spares later passes most documents without candidates: 4 MB in all.
 FILTER_BITS = 1 << 25
-#: Buckets of a sketch; members of a region that are compared in one task, with as many others.
-BUCKETS, CHUNK = 64, 1024
+#: Buckets of a sketch; members of a region that are compared at once, with as many others, and their shingles.
+BUCKETS, CHUNK, CHUNK_SHINGLES = 256, 1024, 1 << 19
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -89,7 +91,8 @@ def sketch(shingles: np.ndarray) -> bytes:
 def near_pairs(sizes: np.ndarray, slacks: np.ndarray, labels: np.ndarray, sketches: np.ndarray, percent: int):
     """Yields each row with the later rows that it may be linked with, by sizes, slacks and sketches.
 
-    The first row is the pivot: only rows within the window of its distances to it are looked at.
+    The first row is the pivot: only rows within the window of its distances to it are looked at. ``labels`` may change
+    on the way: rows with one label are not held against each other from then on.
     """
     share = (100 - percent) / (100 + percent)
     to_pivot = np.abs(sketches - sketches[0]).sum(axis=1)
@@ -105,6 +108,29 @@ def near_pairs(sizes: np.ndarray, slacks: np.ndarray, labels: np.ndarray, sketch
             yield row, others
 
 
+def forest(sets: list, sizes: np.ndarray, slacks: np.ndarray, labels: np.ndarray, sketches: np.ndarray, sides: np.ndarray | None, percent: int):
+    """Two arrays of rows: links between rows of different ``labels`` which connect all that linked rows connect, without
+    a circle. With ``sides``, only links from one side to another."""
+    labels, left, right = labels.copy(), [], []
+    ends = np.cumsum(np.concatenate([[0], sizes]))
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(len(values), dtype=bool)
+    for row, others in near_pairs(sizes, slacks, labels, sketches, percent):
+        if sides is not None:
+            others = others[sides[others] != sides[row]]
+        if not len(others):
+            continue
+        own[flat[ends[row] : ends[row + 1]]] = True
+        both = np.array([np.count_nonzero(own[flat[ends[x] : ends[x + 1]]]) for x in others])
+        own[flat[ends[row] : ends[row + 1]]] = False
+        others = others[100 * both >= percent * (sizes[others] + sizes[row] - both)]
+        names, first = np.unique(labels[others], return_index=True)
+        left += [row] * len(first)
+        right += others[first].tolist()
+        labels[np.isin(labels, names)] = labels[row]
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
 def ring_bounds(percent: int, largest: int = 1 << 40) -> list[int]:
     """The least size of each ring. Smaller sets are linked with equal sets only."""
     bounds = [-(-percent // (100 - percent))]
@@ -254,7 +280,8 @@ def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text: str, width: in
     rows = rows.select(F.lit(0).alias("zero"), "mark", "text")
     found = rows.mapInArrow(cut, "h1 long, h2 long, shingles array<long>, sketch binary")
     found = wanted.select("node", "h1", "h2").join(found, ["h1", "h2"])
-    found = found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    # By the join's keys too, so that sets are not shuffled again.
+    found = found.groupBy("h1", "h2", "node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
     return settle(found.select("node", F.size("shingles").alias("n"), "shingles", "sketch"), "sets")
 
 
@@ -309,14 +336,23 @@ def _rare_regions(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     brings to the difference that a link may have at most, less its own such shingles, is its slack: two
     nodes whose slacks add up to less than nought are not linked.
     """
-    rows = sets.join(nodes, "node").select("node", "n", F.explode("shingles").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("count"))
-    ranked = rows.join(counts, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("order"))
+    rows = sets.join(nodes, "node").select("node", F.explode("shingles").alias("key"))
+    rows = rows.withColumn("count", F.count("*").over(Window.partitionBy("key")).cast("int")).where("count > 1")
+    # Shingles that no other node has come first in the order; they need not be shuffled to be counted.
+    of_node = Window.partitionBy("node")
+    ranked = rows.withColumns({"with_others": F.count("*").over(of_node), "place": F.row_number().over(of_node.orderBy("count", "key"))})
+    ranked = ranked.join(sets.select("node", "n"), "node")
+    alone = F.col("n") - F.col("with_others")
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    alone = F.size(F.filter("order", lambda x: x["count"] == 1))
     slack = F.col("n") * ((100 - percent) / (100 + percent)) - alone + 1e-6
-    first = ranked.select("node", slack.alias("slack"), F.explode(F.slice("order", F.lit(1), keep.cast("int"))).alias("x"))
-    return first.where("x.count > 1").select("x.key", "node", "slack")
+    return ranked.where(F.col("place") <= keep - alone).select("key", "node", slack.alias("slack"))
+
+
+def _unlike(regions: DataFrame) -> DataFrame:
+    """Of regions with the same members, told apart by 128 bits, one: texts with a passage in common share all its shingles."""
+    marks = [F.expr("bit_xor(xxhash64(node))").alias("mark"), F.expr("bit_xor(xxhash64(1, node))").alias("other_mark")]
+    found = regions.groupBy("key").agg(F.count("*").alias("members"), *marks)
+    return regions.join(found.groupBy("members", "mark", "other_mark").agg(F.min("key").alias("key")).select("key"), "key")
 
 
 def _open(regions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -434,7 +470,7 @@ def link_components(
 
 def _finish(regions: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, pivots: int = 4) -> DataFrame:
     """The labels after all regions are joined to the end."""
-    rows = settle(_open(regions, labels), "rows")
+    rows = settle(_unlike(settle(_open(regions, labels), "open")), "rows")
     # The members with the most slack are pivots, one of each component before the second of any.
     in_label = F.row_number().over(Window.partitionBy("key", "label").orderBy(F.desc("slack"), "node"))
     best = rows.where("slack >= 0").withColumn("turn", in_label).where(F.col("turn") <= pivots)
@@ -444,41 +480,53 @@ def _finish(regions: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     star = rows.select("key", "node", "slack").join(chosen, "key").where("node <> pivot")
     found = settle(_distances(star.select(*_ends("node", "pivot")).distinct(), sets, percent), "distances")
     labels = _merged(labels, found.where("linked").select("a", "b"))
-    cells = settle(_open(_cells(_met(star, found, labels, percent), percent), labels), "cells")
-    pairs = settle(_pairs_left(cells, sets, percent), "pairs")
-    found = _distances(pairs, sets, percent)
-    return _merged(labels, found.where("linked").select("a", "b"))
+    cells = settle(_open(_cells(_met(star, found, labels, percent), percent), labels), "open")
+    return _merged(labels, settle(_links_left(_unlike(cells), sets, percent), "links"))
 
 
-def _pairs_left(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: the pairs of members of different components that no bound keeps apart.
+def _links_left(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between members of different components, as many as connect what is connected by links.
 
     A cell is hashed into chunks, and a task compares two chunks, or one with itself.
     """
-    chunks = cells.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    rows = cells.join(chunks, "key").join(sets.select("node", "n", "sketch"), "node")
+    cells = settle(cells.join(sets.select("node", "n"), "node"), "cells")
+    most = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES))
+    rows = cells.join(cells.groupBy("key").agg(most.alias("chunks")), "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    rows = rows.drop("other", "chunks")
+    names = rows.columns
+
+    def parts(found):
+        found = found.sort_values("node")
+        sketches = np.stack([np.frombuffer(x, dtype=np.uint16) for x in found["sketch"]]).astype(np.int32)
+        sides = found["own"].to_numpy() if found["low"].iloc[0] != found["high"].iloc[0] else None
+        return found, [*(found[name].to_numpy() for name in ("n", "slack", "label")), sketches, sides]
+
+    def near(found):
+        found, (*columns, sides) = parts(found)
+        kept = np.zeros(len(found), dtype=bool)
+        for row, others in near_pairs(*columns, percent):
+            if sides is not None:
+                others = others[sides[others] != sides[row]]
+            kept[others] = True
+            kept[row] |= len(others) > 0
+        return found.loc[kept, names]
 
     def compare(found):
         import pandas as pd
 
-        found = found.sort_values("node")
-        sketches = np.stack([np.frombuffer(x, dtype=np.uint16) for x in found["sketch"]]).astype(np.int32)
-        nodes, own = found["node"].to_numpy(), found["own"].to_numpy()
-        crossing = found["low"].iloc[0] != found["high"].iloc[0]
-        columns = [found[name].to_numpy() for name in ("n", "slack", "label")]
-        left, right = [], []
-        for row, others in near_pairs(*columns, sketches, percent):
-            if crossing:
-                others = others[own[others] != own[row]]
-            left.append(np.full(len(others), nodes[row]))
-            right.append(nodes[others])
-        pairs = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right)]
+        found, columns = parts(found)
+        left, right = forest(found["shingles"].tolist(), *columns, percent)
+        nodes = found["node"].to_numpy()
+        pairs = nodes[left], nodes[right]
         return pd.DataFrame({"a": np.minimum(*pairs), "b": np.maximum(*pairs)})
 
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    block = ["key", "low", "high"]
+    rows = rows.join(sets.select("node", "sketch"), "node").groupBy(*block).applyInPandas(near, rows.schema)
+    rows = settle(rows, "near").join(sets.select("node", "shingles", "sketch"), "node")
+    return rows.groupBy(*block).applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -567,6 +567,39 @@ def test_cells_are_joined_in_chunks(spark, chunk, monkeypatch):
     assert found_components(df) == linked_components(list(range(len(texts))), texts, 90)
 
 
+def test_a_cell_gives_fewer_links_than_members(spark, monkeypatch):
+    """A hundred sets at one shingle from each other, in several regions with the same members, and a far one."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 40)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    sets = [np.unique(np.append(base, np.uint64(i))) for i in range(100)] + [rng.integers(0, 2**63, 81, dtype=np.uint64)]
+    rows = [(i, len(x), x.astype(np.int64).tolist(), bytearray(jaccard_join.sketch(x))) for i, x in enumerate(sets)]
+    sets = spark.createDataFrame(rows, "node long, n int, shingles array<long>, sketch binary")
+    cells = spark.createDataFrame([(key, i, 9.0, i) for key in range(5) for i in range(101)], "key long, node long, slack double, label long")
+    assert jaccard_join._unlike(cells).count() == 101
+    links = [tuple(x) for x in jaccard_join._links_left(jaccard_join._unlike(cells), sets, 90).collect()]
+    # Three chunks: six blocks, none of which gives as many links as it has members.
+    assert len(links) < 3 * 101
+    found = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(100)}
+
+
+def test_rare_regions_are_the_first_shingles_by_count(spark):
+    rng = random.Random(5)
+    sets = {i: sorted({rng.randrange(40) ** 2 for _ in range(rng.randrange(5, 30))} | {1000 + i, 2000 + i}) for i in range(30)}
+    frame = spark.createDataFrame([(i, len(x), x) for i, x in sets.items()], "node long, n int, shingles array<long>")
+    counts = Counter(x for found in sets.values() for x in found)
+    expected = {}
+    for node, found in sets.items():
+        order = sorted(found, key=lambda x: (counts[x], x))[: len(found) - -(-80 * len(found) // 100) + 1]
+        slack = len(found) * 20 / 180 - sum(counts[x] == 1 for x in found) + 1e-6
+        expected |= {(x, node): pytest.approx(slack) for x in order if counts[x] > 1}
+    got = jaccard_join._rare_regions(frame.select("node"), frame, 80)
+    # Rows of one key are counted where they meet: sets are dealt out twice, by key and by node.
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key") <= 1
+    assert {(x.key, x.node): x.slack for x in got.collect()} == expected
+
+
 def test_settled_tables_leave_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
