@@ -46,6 +46,16 @@ def settle(df: DataFrame, purpose: str, pack: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that :func:`settle` wrote, when all that is read of it has been written elsewhere."""
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+        if folder.getParent().getName() != spark.sparkContext.applicationId:
+            raise ValueError(f"{file} is not of a settled table")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def share(spark: SparkSession, value) -> Broadcast:
     """A broadcast that executors can read with :func:`shared` even if this package is not installed there."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import Hashed, Words64, crc_remainder, mix64, settle, share, shared, text_batches, whole_text
+from dataproof.llm.common import Hashed, Words64, crc_remainder, discard, mix64, settle, share, shared, text_batches, whole_text
 
 DEPTH = 5
 #: A context must stand for this part of all bytes: at most ``DEPTH * PART`` contexts, whatever the corpus.
@@ -48,8 +49,6 @@ TRUST = 0.95
 ANCHOR, PHRASES, LEAST_GAIN = 8, 2, 2.0
 #: Bits of the filter of phrases met twice: 4 MB.
 FILTER_BITS = 1 << 25
-#: Rows of a broadcast table of keys and counts, of some 40 bytes each in memory.
-BROADCAST_ROWS = 1 << 19
 #: Text that is worked on at once, of which each byte takes some hundred bytes of memory; rows of phrases likewise.
 RUN_BYTES, RUN_ROWS = 1 << 19, 2048
 END, SPACE = 10, 32
@@ -168,7 +167,7 @@ def corpus_counts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 def _numbers(texts: list[list[bytes]], numbers: Words64) -> np.ndarray:
     """The words of the texts as 64-bit numbers."""
-    return np.fromiter((numbers[word] for words in texts for word in words), dtype=np.uint64, count=sum(map(len, texts)))
+    return np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=sum(map(len, texts)))
 
 
 @dataclass
@@ -177,12 +176,14 @@ class Tree:
 
     ``contexts[d]`` finds the state of a kept context of ``d`` bytes; ``states`` has, for every state, the
     natural logarithm of the probability of each next byte, in the column that ``columns`` gives. Bytes
-    that training has not seen share a column and its probability.
+    that training has not seen share a column and its probability. ``steps`` has, for every state, the state whose
+    context has one byte more before it, by that byte's column, or -1.
     """
 
     contexts: list[Hashed]
     states: np.ndarray
     columns: np.ndarray
+    steps: np.ndarray
 
 
 def _mask(length: int) -> int:
@@ -237,7 +238,7 @@ def build(found, told) -> Tree:
     columns[seen] = np.arange(len(seen))
     # The even distribution; the last column has the probability of one unseen byte.
     below = np.full((1, width), 1 / 256)
-    contexts, states, before = [], [], {}
+    contexts, states, steps, before = [], [], [], {}
     first = 0
     for d in range(DEPTH + 1):
         keys = sorted(wanted[d])
@@ -248,13 +249,17 @@ def build(found, told) -> Tree:
         at = np.array([place.get(x, -1) for x in own["context"].tolist()], dtype=np.int64)
         counts = np.zeros((len(keys), width))
         counts[at[at >= 0], columns[own["next"].to_numpy(dtype=np.int64)[at >= 0]]] = own["n"].to_numpy()[at >= 0]
+        steps.append(np.full((len(keys), width), -1, dtype=np.int32))
         if d:
-            below = below[[before[key & _mask(d - 1)] for key in keys]]
+            suffixes = [before[key & _mask(d - 1)] for key in keys]
+            longest = [columns[key >> (8 * (d - 1))] for key in keys]
+            steps[d - 1][suffixes, longest] = np.arange(first - len(keys), first)
+            below = below[suffixes]
         back = BACK * np.maximum(1, (counts > 0).sum(axis=1, keepdims=True))
         below = (counts + back * below) / (counts.sum(axis=1, keepdims=True) + back)
         states.append(np.log(below).astype(np.float32))
         before = place
-    return Tree(contexts, np.concatenate(states), columns)
+    return Tree(contexts, np.concatenate(states), columns, np.concatenate(steps))
 
 
 def spellings(texts: list[list[bytes]], tree: Tree) -> np.ndarray:
@@ -264,18 +269,20 @@ def spellings(texts: list[list[bytes]], tree: Tree) -> np.ndarray:
     """
     code = _codes(texts)
     next_byte = (code & np.uint64(255)).astype(np.int64)
-    before = code >> np.uint64(8)
+    width, steps = tree.states.shape[1], tree.steps.ravel()
     state = np.zeros(len(code), dtype=np.int64)
-    left = np.arange(len(code))
-    for d in range(DEPTH, 0, -1):
-        found = tree.contexts[d](before[left] & np.uint64(_mask(d)))
-        hit = found >= 0
-        state[left[hit]] = found[hit]
-        left = left[~hit]
+    # Suffixes of kept contexts are kept, so the longest kept one is reached byte by byte.
+    left, at = np.arange(len(code)), state
+    for d in range(1, DEPTH + 1):
+        byte = ((code[left] >> np.uint64(8 * d)) & np.uint64(255)).astype(np.int64)
+        at = steps[at * width + tree.columns[byte]]
+        hit = at >= 0
+        left, at = left[hit], at[hit].astype(np.int64)
         if not len(left):
             break
+        state[left] = at
     ends = np.flatnonzero((next_byte == SPACE) | (next_byte == END))
-    logs = tree.states[state, tree.columns[next_byte]].astype(np.float64)
+    logs = tree.states.ravel()[state * width + tree.columns[next_byte]].astype(np.float64)
     return np.add.reduceat(logs, np.concatenate([[0], ends[:-1] + 1]))
 
 
@@ -389,18 +396,20 @@ def scores(df: DataFrame, learn, id_column: str = "doc_id", text: str = "text")
     single = single.select("row", "own", F.col("x.rare").alias("word"), F.col("x.spelt").alias("spelt"), F.col("x.at").alias("at"))
     by_word = Window.partitionBy("word")
     single = single.withColumns(
-        {"c": F.sum("own").over(by_word), "first": F.row_number().over(by_word.orderBy("row")) == 1}
+        {"c": F.sum("own").over(by_word), "first": F.row_number().over(by_word.orderBy("word")) == 1}
     )
     spelt = F.col("spelt").cast("double")
     mixed = F.when(F.col("c") > 0, F.log(F.exp(spelt) + F.col("c") * (TRUST * words_share))).otherwise(spelt)
-    per_row = single.groupBy("row").agg(
+    # Dealt out before they are listed: a word's task has hardly two rows of one text to put together.
+    per_row = single.select("row", "at", "c", "first", mixed.cast("float").alias("log")).repartition("row").groupBy("row").agg(
         F.sum((F.col("c") > 0).cast("int")).alias("rare_known"),
         F.sum(F.log10(F.col("c") + 1.0)).alias("rare_logs"),
         F.sum((F.col("first") & (F.col("c") > 0)).cast("int")).alias("new_words"),
-        F.collect_list(F.struct("at", mixed.cast("float").alias("log"))).alias("later"),
+        F.collect_list(F.struct("at", "log")).alias("later"),
     )
     whole = scored.drop("rare", "spelt", "at").join(per_row, "row", "left")
     whole = settle(whole.withColumns({"ats": F.col("later.at"), "later": F.col("later.log")}), "whole", pack=True)
+    discard(scored)
     rare_words = whole.agg(F.sum("new_words")).first()[0] or 0
     distinct = rare_words + int((often_counts > 0).sum()) + (train_texts > 0)
     log_all = math.log10(train_tokens + distinct + 1)
@@ -457,33 +466,64 @@ def contexts_of(phrases: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 START = np.uint64(0x5DEECE66D)
 
 
-def _events(batches, bits: np.ndarray | None):
-    """The phrases of rows ``row, held_out, phrases, logs, ats, later``; those that the filter ``bits`` lets pass, if given.
-
-    ``x1, x2, ...`` are the contexts before a phrase, ``y0, y1, ...`` the contexts followed by it, ``log`` its spelling.
-    """
+def _phrases(batches):
+    """For rows ``row, held_out, phrases, logs, ats, later``: the batch, the phrases, where each row's begin, and their spellings."""
     for batch in (whole.slice(start, RUN_ROWS) for whole in batches for start in range(0, whole.num_rows, RUN_ROWS)):
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         lists = columns["phrases"]
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        sizes = np.diff(offsets)
         phrases = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         logs = columns["logs"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         # Rare words add their share to the phrase they stand in; rows without any have a null there.
         lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(columns["ats"]), 0), dtype=np.int64)
         into = np.repeat(offsets[:-1], lengths) + columns["ats"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         logs += np.bincount(into, weights=columns["later"].flatten().to_numpy(zero_copy_only=False), minlength=len(logs))[: len(logs)]
+        yield columns, phrases, offsets, logs
+
+
+def _alive(phrases: np.ndarray, starts: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+    """Which phrases a phrase that training has met twice may concern: it is one, stands behind one, or begins a text.
+    Without a filter, all."""
+    if bits is None:
+        return np.ones(len(phrases), dtype=bool)
+    alive = _passes(_then(np.zeros(len(phrases), dtype=np.uint64), phrases), bits)
+    alive[1:] |= alive[:-1].copy()
+    alive[starts] = True
+    return alive
+
+
+def _learnt(batches):
+    """``key``: the phrases of the rows that are learnt from, ``y0`` of :func:`_events`."""
+    for batch in batches:
+        lists = batch.column(1).filter(pa.compute.invert(batch.column(0)))
+        phrases = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        for start in range(0, len(phrases), 1 << 16):
+            keys = _then(np.zeros(len(phrases[start : start + (1 << 16)]), dtype=np.uint64), phrases[start : start + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64))], ["key"])
+
+
+def _spelt(batches, bits: np.ndarray, novel: float):
+    """``row, spelt``: the sum over the phrases of a row that the filter ``bits`` leaves out, each as ``novel`` and its spelling."""
+    for columns, phrases, offsets, logs in _phrases(batches):
+        rest = np.where(_alive(phrases, offsets[:-1], bits), 0.0, logs + novel)
+        rest = np.bincount(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), weights=rest, minlength=len(offsets) - 1)
+        yield pa.RecordBatch.from_arrays([columns["row"], pa.array(rest)], ["row", "spelt"])
+
+
+def _events(batches, bits: np.ndarray | None):
+    """The phrases of rows ``row, held_out, phrases, logs, ats, later``; those that the filter ``bits`` lets pass, if given.
+
+    ``x1, x2, ...`` are the contexts before a phrase, ``y0, y1, ...`` the contexts followed by it, ``log`` its spelling.
+    """
+    for columns, phrases, offsets, logs in _phrases(batches):
+        sizes = np.diff(offsets)
         contexts = contexts_of(phrases, offsets[:-1])
         seen = [_then(context, phrases) for context in contexts]
         for y, context in zip(seen[1:], contexts[1:]):
             y[context == 0] = 0
         rows = np.repeat(columns["row"].to_numpy(zero_copy_only=False), sizes)
         own = np.repeat(~np.asarray(columns["held_out"].to_numpy(zero_copy_only=False), dtype=bool), sizes)
-        first = np.zeros(len(phrases), dtype=bool)
-        first[offsets[:-1]] = True
-        alive = np.ones(len(phrases), dtype=bool)
-        if bits is not None:
-            alive = first | _passes(seen[0], bits) | _passes(contexts[1], bits)
+        alive = _alive(phrases, offsets[:-1], bits)
         # What has no such context gets a key that nothing else has, so that no task gets all of it.
         alone = mix64((rows.astype(np.uint64) << np.uint64(20)) + np.arange(len(rows), dtype=np.uint64) + START)
         for keys in (*contexts[1:], *seen[1:]):
@@ -510,26 +550,20 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A written table of keys and counts, broadcast if it has ``BROADCAST_ROWS`` rows at most; else joined by a shuffle."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
     """``row, log_score`` (natural logarithm) of rows ``row, held_out, phrases, logs, ats, later``."""
     fields = ["row long", "own boolean", "log double"]
     fields += [f"x{k} long" for k in range(1, PHRASES + 1)] + [f"y{k} long" for k in range(PHRASES + 1)]
     schema = ", ".join(fields)
-    events = rows.mapInArrow(lambda batches: _events(batches, None), schema)
     # Of all phrases only the counts are needed, and the sum of their spellings for each row.
-    counts = events.where("own").select(F.col("y0").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    counts = rows.select("held_out", "phrases").mapInArrow(_learnt, "key long").groupBy("key").agg(F.count("*").alias("c"))
     counts = settle(counts.groupBy((F.col("c") > 1).alias("kept"), F.when(F.col("c") > 1, F.col("key")).alias("key")).agg(F.sum("c").alias("c")), "phrases")
     total, kept_total = counts.agg(F.sum("c"), F.sum(F.when(F.col("kept"), F.col("c")))).first()
     total, kept_total = total or 0, kept_total or 0
     kept = counts.where("kept").select("key", "c")
     novel = math.log((total - kept_total + 1) / (total + 1))
-    spelt = events.groupBy("row").agg((F.sum("log") + F.count("*") * novel).alias("spelt"))
     sent = share(rows.sparkSession, _filter_of(kept))
+    spelt = rows.mapInArrow(lambda batches: _spelt(batches, shared(sent), novel), "row long, spelt double")
     alive = settle(rows.mapInArrow(lambda batches: _events(batches, shared(sent)), schema), "alive", pack=True)
 
     def mixed(count, weight, log, size):
@@ -538,13 +572,20 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
 
     number = F.coalesce("c", F.lit(0))
     lit = lambda x: F.lit(float(x))
-    states = alive.join(_small(kept.withColumnRenamed("key", "y0")), "y0", "left")
-    states = states.withColumns({"c": number, "p": mixed(number, lit(total - kept_total + 1), F.col("log"), lit(total + 1))}).drop("y0")
+    states = alive.join(kept.withColumnRenamed("key", "y0"), "y0", "left")
+    states = states.withColumns({"c": number, "p": mixed(number, lit(total - kept_total + 1), F.col("log"), lit(total + 1))})
+    states = states.drop("y0", "log").withColumn("open", F.lit(True))
     start = rows.sparkSession.createDataFrame([(int(START.astype(np.int64)), train_texts)], "key long, c long")
     # How often each context of one phrase more has been met: as often as its last phrase in the context before.
-    met = kept.unionByName(start)
+    met, before, done = kept.unionByName(start), alive, []
     for k in range(1, PHRASES + 1):
-        states = settle(states, "states", pack=True)
+        settled = settle(states, "states", pack=True)
+        if k <= 2:
+            discard(before)  # of the tables before, all rows are in the one just written
+        # A phrase whose context is not kept has its probability: no longer context of it is kept either.
+        before, states = settled, settled.where("open")
+        if k > 1:
+            done.append(settled.where("NOT open").select("row", "p"))
         pairs = states.where("own AND c > 1").groupBy(F.col(f"y{k}").alias("key"))
         pairs = pairs.agg(F.count("*").alias("c"), F.max(f"x{k}").alias("context"), F.max("p").alias("p")).where("c > 1")
         pairs = settle(pairs, "pairs")
@@ -552,17 +593,20 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
         gain = mixed(F.col("c"), F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0) - F.col("p")
         gains = pairs.join(sums, "context").groupBy("context", "kept", "met").agg(F.sum(F.col("c") * gain).alias("gain"))
         contexts = settle(gains.where(F.col("gain") >= LEAST_GAIN).drop("gain"), "contexts")
-        found = states.drop("c").join(_small(contexts.withColumnRenamed("context", f"x{k}")), f"x{k}", "left")
-        found = found.join(_small(pairs.select(F.col("key").alias(f"y{k}"), "c")), f"y{k}", "left")
+        found = states.drop("c", "open").join(contexts.withColumnRenamed("context", f"x{k}"), f"x{k}", "left")
+        found = found.join(pairs.select(F.col("key").alias(f"y{k}"), "c"), f"y{k}", "left")
         p = F.when(F.col("met").isNull(), F.col("p")).otherwise(
             mixed(number, F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0)
         )
         # What this state has used is not carried on.
-        states = found.withColumns({"p": p, "c": F.when(F.col("met").isNotNull(), number).otherwise(0)}).drop("met", "kept", f"x{k}", f"y{k}")
+        states = found.withColumns({"p": p, "c": F.when(F.col("met").isNotNull(), number).otherwise(0), "open": F.col("met").isNotNull()}).drop("met", "kept", f"x{k}", f"y{k}")
         met = pairs.select("key", "c")
-    gained = states.groupBy("row").agg(F.sum(F.col("p") - F.col("log") - novel).alias("gained"))
-    out = spelt.join(gained, "row", "left")
-    return out.select("row", (F.col("spelt") + F.coalesce("gained", F.lit(0.0))).alias("log_score"))
+    ended = states.select("row", "p")
+    for part in done:
+        ended = ended.union(part)
+    told = ended.groupBy("row").agg(F.sum("p").alias("told"))
+    out = spelt.join(told, "row", "left")
+    return out.select("row", (F.col("spelt") + F.coalesce("told", F.lit(0.0))).alias("log_score"))
 
 
 def corpus_scores(df: DataFrame) -> DataFrame:

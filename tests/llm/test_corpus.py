@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import math
+import os
 import random
 import re
 import time
@@ -19,7 +20,7 @@ import corpus_pipeline
 import public_tokenizers
 import tiktoken
 from dataproof.llm import chat_repair, divergence, jaccard_join, quality_knn, sharding, suffix_tree
-from dataproof.llm.common import settle
+from dataproof.llm.common import discard, scratch_dir, settle
 from test_filters import contamination_of, plain_references, plain_verdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -600,6 +601,19 @@ def test_rare_regions_are_the_first_shingles_by_count(spark):
     assert {(x.key, x.node): x.slack for x in got.collect()} == expected
 
 
+def test_superseded_tables_go(spark):
+    """Of the tables that phrase scores write, those whose rows a later one has are deleted; other files are not."""
+    rng = random.Random(4)
+    texts = random_phrases(rng, 40, [[rng.randrange(1, 99) for _ in range(6)] for _ in range(3)])
+    folder = scratch_dir(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert suffix_tree.phrase_scores(phrase_rows(spark, texts), sum(own for own, _, _ in texts)).count() == len(texts)
+    kinds = Counter(x.split("-")[0] for x in set(os.listdir(folder)) - before)
+    assert kinds["states"] == 1 and kinds["alive"] == 0 and kinds["pairs"] == suffix_tree.PHRASES
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
 def test_settled_tables_leave_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
