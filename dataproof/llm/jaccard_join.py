@@ -285,6 +285,17 @@ def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text: str, width: in
     return settle(found.select("node", F.size("shingles").alias("n"), "shingles", "sketch"), "sets")
 
 
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` with the nodes of ``nodes``, and by chance some others: a filter of a fixed number of bits
+    (``FILTER_BITS`` / 64 rows at most are broadcast) spares the other sets a shuffle."""
+    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    at = F.shiftright(place, 6)
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {FILTER_BITS}) % 64 as int))")
+    parts = nodes.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    found = sets.withColumn("at", at).join(F.broadcast(parts), "at")
+    return found.where(F.col("bits").bitwiseAND(bit) != 0).select(sets.columns)
+
+
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, distance, linked`` of the pairs ``a, b``, exactly."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
@@ -334,9 +345,9 @@ def _rare_regions(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     In one order of all shingles, linked sets share one of their first ``n - ceil(percent * n / 100) + 1``.
     A shingle that no other node has is in the symmetric difference with every other node. What a node
     brings to the difference that a link may have at most, less its own such shingles, is its slack: two
-    nodes whose slacks add up to less than nought are not linked.
+    nodes whose slacks add up to less than nought are not linked. Some more nodes may be among those of ``nodes``.
     """
-    rows = sets.join(nodes, "node").select("node", F.explode("shingles").alias("key"))
+    rows = _only(sets, nodes).select("node", F.explode("shingles").alias("key"))
     rows = rows.withColumn("count", F.count("*").over(Window.partitionBy("key")).cast("int")).where("count > 1")
     # Shingles that no other node has come first in the order; they need not be shuffled to be counted.
     of_node = Window.partitionBy("node")
@@ -478,7 +489,7 @@ def _finish(regions: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     best = best.withColumn("place", place).where(F.col("place") <= pivots)
     chosen = settle(best.select("key", F.col("node").alias("pivot")), "pivots")
     star = rows.select("key", "node", "slack").join(chosen, "key").where("node <> pivot")
-    found = settle(_distances(star.select(*_ends("node", "pivot")).distinct(), sets, percent), "distances")
+    found = settle(_distances(star.select(*_ends("node", "pivot")).distinct(), _only(sets, rows), percent), "distances")
     labels = _merged(labels, found.where("linked").select("a", "b"))
     cells = settle(_open(_cells(_met(star, found, labels, percent), percent), labels), "open")
     return _merged(labels, settle(_links_left(_unlike(cells), sets, percent), "links"))
@@ -525,7 +536,8 @@ def _links_left(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     block = ["key", "low", "high"]
     rows = rows.join(sets.select("node", "sketch"), "node").groupBy(*block).applyInPandas(near, rows.schema)
-    rows = settle(rows, "near").join(sets.select("node", "shingles", "sketch"), "node")
+    rows = settle(rows, "near")
+    rows = rows.join(_only(sets.select("node", "shingles", "sketch"), rows), "node")
     return rows.groupBy(*block).applyInPandas(compare, "a long, b long").distinct()
 
 

@@ -585,6 +585,15 @@ def test_a_cell_gives_fewer_links_than_members(spark, monkeypatch):
     assert found == {i: 0 for i in range(100)}
 
 
+def test_sets_are_filtered_without_a_shuffle(spark):
+    sets = spark.range(-3000, 3000).selectExpr("id as node", "array(id) as shingles")
+    some = spark.createDataFrame([(x,) for x in (-3000, -1, 0, 7, 7, 2999)], "node long")
+    found = jaccard_join._only(sets, some)
+    nodes = [x.node for x in found.collect()]
+    assert found.columns == sets.columns and {-3000, -1, 0, 7, 2999} <= set(nodes) and len(nodes) == len(set(nodes)) < 20
+    assert jaccard_join._only(sets, some.where("false")).count() == 0
+
+
 def test_rare_regions_are_the_first_shingles_by_count(spark):
     rng = random.Random(5)
     sets = {i: sorted({rng.randrange(40) ** 2 for _ in range(rng.randrange(5, 30))} | {1000 + i, 2000 + i}) for i in range(30)}
