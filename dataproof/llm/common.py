@@ -28,16 +28,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, purpose: str, pack: bool = False) -> DataFrame:
+def settle(df: DataFrame, purpose: str, pack: bool = False, hashes: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps neither recompute it nor
     depend on executors that held parts of it. ``pack`` takes more time to write less, for tables with texts.
+    ``hashes`` is for tables of hashes and measures, which a dictionary of their values would not make smaller.
 
     Shuffle files of the write go when it has ended, so disks hold those of one step, not of all steps so far."""
     spark, folder = df.sparkSession, scratch_dir(df.sparkSession, purpose)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(folder, compression="zstd" if pack else "snappy")
+        writer = df.write.option("parquet.enable.dictionary", "false") if hashes else df.write
+        writer.parquet(folder, compression="zstd" if pack else "snappy")
     finally:
         if before is None:
             spark.conf.unset(SHUFFLE_CLEANUP)
@@ -127,6 +129,13 @@ class Words64(dict):
         return number
 
 
+def hashes64(words: pa.Array) -> np.ndarray:
+    """The 64-bit numbers of :class:`Words64` for an array of words."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words))
+
+
 def mix64(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads them evenly (the splitmix64 finaliser)."""
     z = values.astype(np.uint64, copy=True)

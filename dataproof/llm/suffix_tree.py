@@ -24,15 +24,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import Hashed, Words64, crc_remainder, discard, mix64, settle, share, shared, text_batches, whole_text
+from dataproof.llm.common import Hashed, crc_remainder, discard, hashes64, mix64, settle, share, shared, text_batches, whole_text
 
 DEPTH = 5
 #: A context must stand for this part of all bytes: at most ``DEPTH * PART`` contexts, whatever the corpus.
@@ -54,42 +54,87 @@ RUN_BYTES, RUN_ROWS = 1 << 19, 2048
 END, SPACE = 10, 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_BLANK = np.isin(np.arange(256), [SPACE, *range(9, 14)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens_of(text: str) -> list[bytes]:
-    return text.encode().translate(_LOWER).split()
+@dataclass
+class Run:
+    """Texts in one run of bytes: each as ``DEPTH`` ends, its lower-cased words parted by spaces, and an end.
+
+    ``sizes`` are the numbers of words of the texts. Symbols are the words and, for a text without words, an empty one;
+    ``ends`` are the places behind them. ``letters`` are the bytes of the words alone.
+    """
+
+    data: np.ndarray
+    sizes: np.ndarray
+    ends: np.ndarray
+    letters: np.ndarray
+
+    @cached_property
+    def symbols(self) -> np.ndarray:
+        """The numbers of symbols of the texts."""
+        return np.maximum(self.sizes, 1)
+
+    @cached_property
+    def firsts(self) -> np.ndarray:
+        """The places of the symbols' first bytes."""
+        symbols, firsts = self.symbols, np.zeros(len(self.ends), dtype=np.int64)
+        firsts[1:] = self.ends[:-1] + 1
+        firsts[np.cumsum(symbols) - symbols] += DEPTH
+        return firsts
+
+    @cached_property
+    def counted(self) -> np.ndarray:
+        """Which bytes are not those before a text."""
+        counted, begins = np.ones(len(self.data), dtype=bool), self.firsts[np.cumsum(self.symbols) - self.symbols]
+        for k in range(1, DEPTH + 1):
+            counted[begins - k] = False
+        return counted
+
+
+def run_of(texts: list[bytes]) -> Run:
+    start, end = bytes([END]) * DEPTH, bytes([END])
+    data = np.frombuffer(b"".join([start + x + end for x in texts]).translate(_LOWER), dtype=np.uint8)
+    stops = np.cumsum([len(x) + DEPTH + 1 for x in texts])
+    blank = _BLANK[data]
+    behind = blank.copy()  # of a word
+    behind[:1] = False
+    behind[1:] &= ~blank[:-1]
+    at = np.flatnonzero(behind)
+    sizes = np.diff(np.searchsorted(at, np.concatenate([[0], stops])))
+    letters = data[~blank]
+    data = data.copy()
+    data[at] = SPACE
+    data[at[np.cumsum(sizes)[sizes > 0] - 1]] = END
+    behind[stops[sizes == 0] - 1] = True
+    kept = behind | ~blank
+    for k in range(DEPTH):
+        kept[np.concatenate([[0], stops[:-1]]) + k] = True
+    return Run(data[kept], sizes, np.flatnonzero(behind[kept]), letters)
 
 
-def _codes(texts: list[list[bytes]]) -> np.ndarray:
+def _codes(run: Run) -> np.ndarray:
     """Every byte of the texts as a number with the ``DEPTH`` bytes before it.
 
     Before a text stand ends. The lowest byte of a number is the byte itself.
     """
-    start = bytes([END]) * DEPTH
-    joined = [start + b" ".join(words) + bytes([END]) for words in texts]
-    data = np.frombuffer(b"".join(joined), dtype=np.uint8).astype(np.uint64)
-    ends = np.cumsum([len(x) for x in joined])
-    code = data.copy()
-    for k in range(1, DEPTH + 1):
-        code[k:] |= data[:-k] << np.uint64(8 * k)
-    counted = np.ones(len(data), dtype=bool)
-    for k in range(DEPTH):
-        counted[np.concatenate([[0], ends[:-1]]) + k] = False
-    return code[counted]
+    padded = np.concatenate([np.zeros(7 - DEPTH, dtype=np.uint8), run.data])
+    windows = np.ndarray(max(0, len(padded) - 7), dtype=">u8", buffer=padded, strides=(1,))  # one for each byte that DEPTH stand before
+    return windows[run.counted[DEPTH:]].astype(np.uint64) & np.uint64(_mask(DEPTH + 1))
 
 
 def _runs(texts: list[str], size: int = RUN_BYTES):
-    """Parts of ``texts`` of some ``size`` characters, as word lists; at least one text each."""
+    """Parts of ``texts`` of some ``size`` characters, as runs; at least one text each."""
     part, length = [], 0
     for text in texts:
-        part.append(tokens_of(text))
+        part.append(text.encode())
         length += len(text)
         if length >= size:
-            yield part
+            yield run_of(part)
             part, length = [], 0
     if part:
-        yield part
+        yield run_of(part)
 
 
 class _Sums:
@@ -112,7 +157,7 @@ class _Sums:
     def _merge(self) -> None:
         keys, counts = (np.concatenate(x) for x in zip(*self.held))
         self.held = []
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # sorted parts, which it merges
         keys, counts = keys[order], counts[order]
         firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
         keys, counts = keys[firsts], np.add.reduceat(counts, firsts)
@@ -128,14 +173,14 @@ class _Sums:
 
 
 #: Kinds of counts.
-BYTES, WORDS, TEXTS = 0, 1, 2
+BYTES, WORDS, TEXTS, RARE = 0, 1, 2, 3
 
 
 def corpus_counts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     """``kind, key, n`` over the texts of ``rows`` (``text``).
 
-    How often each byte follows each ``DEPTH`` bytes, how often each of the ``frequent`` words occurs, and
-    the numbers of words (key 0) and of texts (key 1).
+    How often each byte follows each ``DEPTH`` bytes, how often each of the ``frequent`` words and each other
+    one occurs, and the numbers of words (key 0) and of texts (key 1).
     """
     sent = share(rows.sparkSession, Hashed(frequent, np.arange(len(frequent))))
 
@@ -144,19 +189,21 @@ def corpus_counts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([kinds, pa.array(keys), pa.array(counts)], ["kind", "key", "n"])
 
     def count(batches):
-        place, numbers, sums = shared(sent), Words64(), _Sums()
+        place, sums, rare = shared(sent), _Sums(), _Sums(1 << 19)
         often, totals = np.zeros(len(frequent), dtype=np.int64), np.zeros(2, dtype=np.int64)
         for _, texts in text_batches(batches, max_bytes=4 * RUN_BYTES):
             for part in _runs(texts):
-                ids = _numbers(part, numbers)
+                ids = _numbers(part)
                 found = place(ids)
                 often += np.bincount(found[found >= 0], minlength=len(frequent))
-                totals += (len(ids), len(part))
-                if sums.add(_codes(part)):
-                    for keys, counts in sums.empty():
-                        yield out(BYTES, keys, counts)
-        for keys, counts in sums.empty():
-            yield out(BYTES, keys, counts)
+                totals += (len(ids), len(part.sizes))
+                for kind, held, keys in ((BYTES, sums, _codes(part)), (RARE, rare, ids[found < 0])):
+                    if held.add(keys):
+                        for keys, counts in held.empty():
+                            yield out(kind, keys, counts)
+        for kind, held in ((BYTES, sums), (RARE, rare)):
+            for keys, counts in held.empty():
+                yield out(kind, keys, counts)
         seen = np.flatnonzero(often)
         yield out(WORDS, frequent[seen].astype(np.int64), often[seen])
         yield out(TEXTS, np.arange(2), totals)
@@ -165,9 +212,13 @@ def corpus_counts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _numbers(texts: list[list[bytes]], numbers: Words64) -> np.ndarray:
-    """The words of the texts as 64-bit numbers."""
-    return np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=sum(map(len, texts)))
+def _numbers(run: Run) -> np.ndarray:
+    """The words of the texts as 64-bit numbers; each different one of a run is hashed once."""
+    lengths = run.ends - run.firsts
+    offsets = np.concatenate([[0], np.cumsum(lengths[lengths > 0])]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(run.letters)])
+    coded = words.dictionary_encode()
+    return hashes64(coded.dictionary)[coded.indices.to_numpy()]
 
 
 @dataclass
@@ -267,38 +318,52 @@ def spellings(texts: list[list[bytes]], tree: Tree) -> np.ndarray:
 
     The words of all texts follow each other; a text without words counts as one empty word.
     """
-    code = _codes(texts)
-    next_byte = (code & np.uint64(255)).astype(np.int64)
-    width, steps = tree.states.shape[1], tree.steps.ravel()
-    state = np.zeros(len(code), dtype=np.int64)
+    return run_spellings(run_of([b" ".join(words) for words in texts]), Walk(tree))
+
+
+class Walk:
+    """The states of a tree in the order in which places of a text go through them, for all places at once.
+
+    From a state the next byte before a place leads to the state with that byte, or for good to the state's double.
+    Both are numbered by where their rows begin.
+    """
+
+    def __init__(self, tree: Tree):
+        number, self.width = tree.steps.shape
+        self.doubles, self.columns, self.logs = number * self.width, tree.columns, tree.states.ravel()
+        stay = np.arange(number, 2 * number, dtype=np.int32)[:, None]
+        steps = np.concatenate([np.where(tree.steps < 0, stay, tree.steps), np.broadcast_to(stay, tree.steps.shape)])
+        self.steps = (steps * np.int32(self.width)).ravel()
+        # The first two steps as one, from no byte.
+        self.two = self.steps[(self.steps[: self.width, None] + np.arange(self.width)).ravel()]
+
+
+def run_spellings(run: Run, walk: Walk) -> np.ndarray:
+    """:func:`spellings` of a run."""
+    column = walk.columns[run.data]
+
+    def before(d: int) -> np.ndarray:
+        return column[DEPTH - d : len(column) - d]
+
     # Suffixes of kept contexts are kept, so the longest kept one is reached byte by byte.
-    left, at = np.arange(len(code)), state
-    for d in range(1, DEPTH + 1):
-        byte = ((code[left] >> np.uint64(8 * d)) & np.uint64(255)).astype(np.int64)
-        at = steps[at * width + tree.columns[byte]]
-        hit = at >= 0
-        left, at = left[hit], at[hit].astype(np.int64)
-        if not len(left):
-            break
-        state[left] = at
-    ends = np.flatnonzero((next_byte == SPACE) | (next_byte == END))
-    logs = tree.states.ravel()[state * width + tree.columns[next_byte]].astype(np.float64)
-    return np.add.reduceat(logs, np.concatenate([[0], ends[:-1] + 1]))
+    state = walk.two.take(before(1) * walk.width + before(2))
+    for d in range(3, DEPTH + 1):
+        state = walk.steps.take(state + before(d))
+    state[state >= walk.doubles] -= walk.doubles
+    counted = run.counted[DEPTH:]
+    logs = walk.logs.take((state + before(0))[counted]).astype(np.float64)
+    sizes = run.ends - run.firsts + 1
+    return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
 
 
 def frequent_words(rows: DataFrame, most: int = FREQUENT) -> DataFrame:
     """``word`` (64-bit hash): the commonest words of the texts of a hash sample. Only a choice of what to broadcast."""
 
     def count(batches):
-        from collections import Counter
-
-        numbers = Words64()
         for _, texts in text_batches(batches, max_bytes=4 * RUN_BYTES):
-            counts = Counter()
-            for text in texts:
-                counts.update(map(numbers.__getitem__, tokens_of(text)))
-            keys = np.fromiter(counts.keys(), dtype=np.uint64, count=len(counts)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            for run in _runs(texts, 4 * RUN_BYTES):
+                keys, counts = np.unique(_numbers(run), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["word", "n"])
 
     # By id and text, so that of a text with very many copies some are in the sample.
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
@@ -335,22 +400,22 @@ def scores(df: DataFrame, learn, id_column: str = "doc_id", text: str = "text")
 
     def score(batches):
         tree, place, counts = shared(sent)
+        walk = Walk(tree)
         shares = np.append(counts, 0) * (TRUST * words_share)
-        numbers, logs, known = Words64(), np.log10(np.append(counts, 0) + 1.0), np.append(counts > 0, False)
+        logs, known = np.log10(np.append(counts, 0) + 1.0), np.append(counts > 0, False)
         for part, texts in text_batches(batches, max_bytes=RUN_BYTES):
-            words = [tokens_of(value) for value in texts]
-            sizes = np.array([len(x) for x in words])
-            ids = _numbers(words, numbers)
+            run = run_of([value.encode() for value in texts])
+            sizes, ids = run.sizes, _numbers(run)
             found = place(ids)  # -1, the last place, for words that are not frequent
             text_of = np.repeat(np.arange(len(texts)), sizes)
             rare = found < 0
             ends = np.concatenate([[0], np.cumsum(np.bincount(text_of[rare], minlength=len(texts)))]).astype(np.int32)
             # One symbol for each word, and one for a text without words.
-            symbols = np.maximum(sizes, 1)
+            symbols = run.symbols
             symbol_text = np.repeat(np.arange(len(texts)), symbols)
             ending = np.full(len(symbol_text), np.log(1 - last_word))
             ending[np.cumsum(symbols) - 1] = np.log(last_word)
-            spelt = spellings(words, tree) + np.log(1 - TRUST) - ending
+            spelt = run_spellings(run, walk) + np.log(1 - TRUST) - ending
             word_share = np.zeros(len(symbol_text))
             word_share[sizes[symbol_text] > 0] = shares[found]
             mixed = spelt.copy()
@@ -389,33 +454,30 @@ def scores(df: DataFrame, learn, id_column: str = "doc_id", text: str = "text")
         f"doc_id {kind}, held_out boolean, n_tokens long, often_known long, often_logs double, phrases array<long>, "
         "logs array<float>, rare array<long>, spelt array<float>, at array<int>",
     )
-    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored", pack=True)
-
-    # The counts of the other words: one shuffle by word, which frequent words stay out of.
-    single = scored.select("row", (~F.col("held_out")).cast("int").alias("own"), F.explode(F.arrays_zip("rare", "spelt", "at")).alias("x"))
-    single = single.select("row", "own", F.col("x.rare").alias("word"), F.col("x.spelt").alias("spelt"), F.col("x.at").alias("at"))
-    by_word = Window.partitionBy("word")
-    single = single.withColumns(
-        {"c": F.sum("own").over(by_word), "first": F.row_number().over(by_word.orderBy("word")) == 1}
-    )
+    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored", pack=True, hashes=True)
+
+    # The counts of the other words go to where they occur: one shuffle by word, which frequent words stay out of.
+    words = counts.where(F.col("kind") == RARE).select(F.col("key").alias("word"), F.col("n").alias("c"))
+    single = scored.select("row", F.explode(F.arrays_zip("rare", "spelt", "at")).alias("x"))
+    single = single.select("row", F.col("x.rare").alias("word"), F.col("x.spelt").alias("spelt"), F.col("x.at").alias("at"))
+    single = single.join(words.hint("shuffle_hash"), "word", "left")
     spelt = F.col("spelt").cast("double")
     mixed = F.when(F.col("c") > 0, F.log(F.exp(spelt) + F.col("c") * (TRUST * words_share))).otherwise(spelt)
     # Dealt out before they are listed: a word's task has hardly two rows of one text to put together.
-    per_row = single.select("row", "at", "c", "first", mixed.cast("float").alias("log")).repartition("row").groupBy("row").agg(
+    single = single.select("row", "at", F.coalesce("c", F.lit(0)).alias("c"), mixed.cast("float").alias("log"))
+    per_row = single.repartition("row").groupBy("row").agg(
         F.sum((F.col("c") > 0).cast("int")).alias("rare_known"),
         F.sum(F.log10(F.col("c") + 1.0)).alias("rare_logs"),
-        F.sum((F.col("first") & (F.col("c") > 0)).cast("int")).alias("new_words"),
         F.collect_list(F.struct("at", "log")).alias("later"),
     )
-    whole = scored.drop("rare", "spelt", "at").join(per_row, "row", "left")
-    whole = settle(whole.withColumns({"ats": F.col("later.at"), "later": F.col("later.log")}), "whole", pack=True)
+    whole = scored.drop("rare", "spelt", "at").join(per_row.hint("shuffle_hash"), "row", "left")
+    whole = settle(whole.withColumns({"ats": F.col("later.at"), "later": F.col("later.log")}), "whole", pack=True, hashes=True)
     discard(scored)
-    rare_words = whole.agg(F.sum("new_words")).first()[0] or 0
-    distinct = rare_words + int((often_counts > 0).sum()) + (train_texts > 0)
+    distinct = words.count() + int((often_counts > 0).sum()) + (train_texts > 0)
     log_all = math.log10(train_tokens + distinct + 1)
     zero = F.lit(0).cast("long")
     found = phrase_scores(whole.select("row", "held_out", "phrases", "logs", "ats", "later"), train_texts)
-    return whole.join(found, "row", "left").select(
+    return whole.join(found.hint("shuffle_hash"), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -564,7 +626,7 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
     novel = math.log((total - kept_total + 1) / (total + 1))
     sent = share(rows.sparkSession, _filter_of(kept))
     spelt = rows.mapInArrow(lambda batches: _spelt(batches, shared(sent), novel), "row long, spelt double")
-    alive = settle(rows.mapInArrow(lambda batches: _events(batches, shared(sent)), schema), "alive", pack=True)
+    alive = rows.mapInArrow(lambda batches: _events(batches, shared(sent)), schema)
 
     def mixed(count, weight, log, size):
         """The logarithm of (count + weight * e ** log) / size."""
@@ -572,16 +634,16 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
 
     number = F.coalesce("c", F.lit(0))
     lit = lambda x: F.lit(float(x))
-    states = alive.join(kept.withColumnRenamed("key", "y0"), "y0", "left")
+    states = alive.join(kept.withColumnRenamed("key", "y0").hint("shuffle_hash"), "y0", "left")
     states = states.withColumns({"c": number, "p": mixed(number, lit(total - kept_total + 1), F.col("log"), lit(total + 1))})
     states = states.drop("y0", "log").withColumn("open", F.lit(True))
     start = rows.sparkSession.createDataFrame([(int(START.astype(np.int64)), train_texts)], "key long, c long")
     # How often each context of one phrase more has been met: as often as its last phrase in the context before.
-    met, before, done = kept.unionByName(start), alive, []
+    met, before, done = kept.unionByName(start), None, []
     for k in range(1, PHRASES + 1):
-        settled = settle(states, "states", pack=True)
-        if k <= 2:
-            discard(before)  # of the tables before, all rows are in the one just written
+        settled = settle(states, "states", pack=True, hashes=True)
+        if k == 2:
+            discard(before)  # of the table before, all rows are in the one just written
         # A phrase whose context is not kept has its probability: no longer context of it is kept either.
         before, states = settled, settled.where("open")
         if k > 1:
@@ -591,10 +653,10 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
         pairs = settle(pairs, "pairs")
         sums = pairs.groupBy("context").agg(F.sum("c").alias("kept")).join(met.select(F.col("key").alias("context"), F.col("c").alias("met")), "context")
         gain = mixed(F.col("c"), F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0) - F.col("p")
-        gains = pairs.join(sums, "context").groupBy("context", "kept", "met").agg(F.sum(F.col("c") * gain).alias("gain"))
+        gains = pairs.join(sums.hint("shuffle_hash"), "context").groupBy("context", "kept", "met").agg(F.sum(F.col("c") * gain).alias("gain"))
         contexts = settle(gains.where(F.col("gain") >= LEAST_GAIN).drop("gain"), "contexts")
-        found = states.drop("c", "open").join(contexts.withColumnRenamed("context", f"x{k}"), f"x{k}", "left")
-        found = found.join(pairs.select(F.col("key").alias(f"y{k}"), "c"), f"y{k}", "left")
+        found = states.drop("c", "open").join(contexts.withColumnRenamed("context", f"x{k}").hint("shuffle_hash"), f"x{k}", "left")
+        found = found.join(pairs.select(F.col("key").alias(f"y{k}"), "c").hint("shuffle_hash"), f"y{k}", "left")
         p = F.when(F.col("met").isNull(), F.col("p")).otherwise(
             mixed(number, F.col("met") - F.col("kept") + 1.0, F.col("p"), F.col("met") + 1.0)
         )
@@ -605,7 +667,7 @@ def phrase_scores(rows: DataFrame, train_texts: int) -> DataFrame:
     for part in done:
         ended = ended.union(part)
     told = ended.groupBy("row").agg(F.sum("p").alias("told"))
-    out = spelt.join(told, "row", "left")
+    out = spelt.join(told.hint("shuffle_hash"), "row", "left")
     return out.select("row", (F.col("spelt") + F.coalesce("told", F.lit(0.0))).alias("log_score"))
 
 

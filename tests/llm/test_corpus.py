@@ -15,6 +15,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 import corpus_pipeline
 import public_tokenizers
@@ -666,3 +667,43 @@ def test_counts_are_merged(monkeypatch):
     for keys, counts in sums.empty():
         found.update(dict(zip(keys.tolist(), counts.tolist())))
     assert found == Counter(np.concatenate(parts).tolist())
+
+
+ODD_TEXTS = ["", "  ", "a", " A b\t\x0bc\r\n", "É ü x", "x" * 50, "ab " * 30, "\x00 \x1c\x1d y\x85", "", "Ab ab\ncd", "tail "]
+
+
+def test_runs_have_the_words_of_texts():
+    """Words, their numbers and the bytes with those before them, as read word by word; a different word is hashed once."""
+    words = [x.encode().lower().split() for x in ODD_TEXTS]
+    run, start = suffix_tree.run_of([x.encode() for x in ODD_TEXTS]), b"\n" * suffix_tree.DEPTH
+    assert run.sizes.tolist() == [len(x) for x in words]
+    assert suffix_tree._numbers(run).tolist() == [xxhash.xxh3_64_intdigest(w) for x in words for w in x]
+    expected = []
+    for text in (start + b" ".join(x) + b"\n" for x in words):
+        expected += [int.from_bytes(text[i - suffix_tree.DEPTH : i + 1], "big") for i in range(suffix_tree.DEPTH, len(text))]
+    assert suffix_tree._codes(run).tolist() == expected
+    asked, plain = [], xxhash.xxh3_64_intdigest
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(xxhash, "xxh3_64_intdigest", lambda word: asked.append(word) or plain(word))
+        suffix_tree._numbers(run)
+    assert sorted(asked) == sorted({w for x in words for w in x})
+
+
+def test_spellings_take_the_longest_kept_suffix_of_all_depths(spark):
+    rows = spark.createDataFrame([(i, f"the cat {i} sat on the mat {x}") for i, x in enumerate(ODD_TEXTS * 20)], "doc_id long, text string")
+    counts = suffix_tree.corpus_counts(rows, np.zeros(0, dtype=np.uint64))
+    tree = suffix_tree.fit(counts.where("kind = 0").selectExpr("key AS code", "n"))
+    run, expected = suffix_tree.run_of([x.encode() for x in ODD_TEXTS]), []
+    for code in suffix_tree._codes(run).tolist():
+        found = [tree.contexts[d](np.array([(code >> 8) & suffix_tree._mask(d)], dtype=np.uint64))[0] for d in range(suffix_tree.DEPTH + 1)]
+        expected.append(tree.states[max(found), tree.columns[code & 255]])
+    logs = suffix_tree.run_spellings(run, suffix_tree.Walk(tree))
+    assert len(logs) == run.symbols.sum() and logs.sum() == pytest.approx(np.sum(expected, dtype=np.float64), abs=1e-3)
+
+
+def test_words_are_counted_where_texts_are_counted(spark):
+    """Counts of words that are not broadcast come with the other counts."""
+    rows = spark.createDataFrame([(1, "a b b"), (2, "B c"), (3, None)], "doc_id long, text string").fillna("")
+    frequent = np.array([xxhash.xxh3_64_intdigest(b"a")], dtype=np.uint64)
+    counts = {x.key % 2**64: x.n for x in suffix_tree.corpus_counts(rows, frequent).where(f"kind = {suffix_tree.RARE}").collect()}
+    assert counts == {xxhash.xxh3_64_intdigest(b"b"): 3, xxhash.xxh3_64_intdigest(b"c"): 1}
