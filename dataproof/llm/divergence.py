@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from dataproof.llm.common import join_small, numbered, settle, whole_text
 
-SPACES = r"[\x20\x09-\x0D]"
-SPACE = SPACES + "+"
-WHITE = " \t\n\x0b\f\r"
+#: White space but the blank.
+OTHER_WHITE = r"[\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes as Java regular expressions, the commonest first. White space is one more class, and so is all the rest.
@@ -64,41 +63,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(WHITE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+    """The words of ``text``. It is split at single blanks, which takes no regular expression, so runs leave empty parts."""
+    return F.array_remove(F.split(F.regexp_replace(text, OTHER_WHITE, " "), " "), "")
 
 
 def _without(text: Column, kind: str) -> Column:
     return F.regexp_replace(text, f"{kind}+", "")
 
 
-def class_counts(text: Column) -> Column:
-    """How many characters of each class ``text`` has, as an array.
+def class_counts(text: Column, words: Column | None = None) -> Column:
+    """How many characters of each class ``text`` has, as an array. ``words`` are its words, if they are known.
 
-    The commonest class and white space are cut out first, in runs, so that the others are looked for in a short rest
-    of the text.
+    The words are put together without white space; the commonest class is cut out first, in runs that are long thus, so
+    that the others are looked for in a short rest of the text.
     """
 
-    def of_bare(bare: Column) -> Column:
+    def of_solid(solid: Column) -> Column:
         def of_rest(rest: Column) -> Column:
             def cut(kind: str) -> Column:
                 return (F.char_length(rest) - F.char_length(_without(rest, kind))).cast("long")
 
-            commonest = (F.char_length(text) - F.char_length(bare)).cast("long")
-            spaces = (F.char_length(bare) - F.char_length(rest)).cast("long")
+            commonest = (F.char_length(solid) - F.char_length(rest)).cast("long")
+            spaces = (F.char_length(text) - F.char_length(solid)).cast("long")
             return F.array(commonest, *[cut(kind) for kind in CLASSES[1:]], spaces)
 
-        return let(_without(bare, SPACES), of_rest)
+        return let(_without(solid, CLASSES[0]), of_rest)
 
     def with_rest(counts: Column) -> Column:
         rest = F.char_length(text) - F.aggregate(counts, F.lit(0).cast("long"), lambda total, x: total + x)
         return F.concat(counts, F.array(rest))
 
-    return let(let(_without(text, CLASSES[0]), of_bare), with_rest)
+    return let(let(F.array_join(words_of(text) if words is None else words, ""), of_solid), with_rest)
 
 
-def repeated_words(words: Column, width: int = 5) -> Column:
-    """Words inside windows of ``width`` words that occur twice or more. Windows are told apart by 64-bit hashes."""
+def window_hashes(words: Column, width: int = 5) -> Column:
+    """64-bit hashes of all windows of ``width`` words, in their order; none if there are fewer words."""
 
     def hashes(ids: Column) -> Column:
         def window(start: Column) -> Column:
@@ -106,30 +105,32 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
         return F.transform(F.sequence(F.lit(0), F.size(ids) - width), window)
 
-    def count(found: Column) -> Column:
-        ordered = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    found = let(F.transform(words, lambda word: F.xxhash64(word)), hashes)
+    return F.when(F.size(words) >= width, found).otherwise(F.array().cast("array<long>"))
 
-        def places(found: Column) -> Column:
-            def again(x: Column, i: Column) -> Column:
-                before = F.coalesce(F.get(found, i - 1)["h"] == x["h"], F.lit(False))
-                return before | F.coalesce(F.get(found, i + 1)["h"] == x["h"], F.lit(False))
 
-            return F.sort_array(F.transform(F.filter(found, again), lambda x: x["p"]))
+def repeated_words(found: Column, width: int = 5) -> Column:
+    """Words inside windows of ``width`` words that occur twice or more; ``found`` are the :func:`window_hashes`.
 
-        def cover(so_far: Column, place: Column) -> Column:
-            new = F.least(F.lit(width), place - so_far["last"])
-            return F.struct((so_far["words"] + new).alias("words"), place.alias("last"))
+    ``found`` is best a column of its own: outside of :func:`let` distinct values are counted in generated code.
+    """
+    ordered = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+
+    def places(found: Column) -> Column:
+        def again(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(found, i - 1)["h"] == x["h"], F.lit(False))
+            return before | F.coalesce(F.get(found, i + 1)["h"] == x["h"], F.lit(False))
 
-        start = F.struct(F.lit(0).alias("words"), F.lit(-width).alias("last"))
-        covered = F.aggregate(let(ordered, places), start, cover, lambda end: end["words"])
-        # Most texts repeat no window at all.
-        return F.when(F.size(F.array_distinct(found)) < F.size(found), covered).otherwise(0)
+        return F.sort_array(F.transform(F.filter(found, again), lambda x: x["p"]))
 
-    def of_words(bound: Column) -> Column:
-        ids = F.transform(bound, lambda word: F.xxhash64(word))
-        return F.when(F.size(bound) >= width, let(let(ids, hashes), count)).otherwise(0)
+    def cover(so_far: Column, place: Column) -> Column:
+        new = F.least(F.lit(width), place - so_far["last"])
+        return F.struct((so_far["words"] + new).alias("words"), place.alias("last"))
 
-    return let(words, of_words).cast("long")
+    start = F.struct(F.lit(0).alias("words"), F.lit(-width).alias("last"))
+    covered = F.aggregate(let(ordered, places), start, cover, lambda end: end["words"])
+    # Most texts repeat no window at all.
+    return F.when(F.size(F.array_distinct(found)) < F.size(found), covered).otherwise(0).cast("long")
 
 
 def measured(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -141,7 +142,13 @@ def measured(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         "*",
         F.coalesce(df[lang].cast("string"), F.lit(ALL)).alias("language_"),
         words_of(whole_text(df, text)).alias("words_"),
-        class_counts(whole_text(df, text)).alias("classes_"),
+    )
+    rows = rows.select(
+        *df.columns,
+        "language_",
+        F.size("words_").cast("long").alias("n_words"),
+        class_counts(whole_text(df, text), F.col("words_")).alias("classes_"),
+        window_hashes(F.col("words_")).alias("windows_"),
     )
     lines = F.filter(F.split(whole_text(df, text), "\n"), lambda line: line.rlike(WORD))
     everything = F.aggregate("classes_", F.lit(0).cast("long"), lambda total, x: total + x)
@@ -149,11 +156,11 @@ def measured(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         *df.columns,
         "language_",
         "classes_",
-        F.size("words_").cast("long").alias("n_words"),
+        "n_words",
         (everything - F.get("classes_", F.lit(SPACE_CLASS))).alias("word_chars"),
         F.get("classes_", F.lit(SYMBOL_CLASS)).alias("n_symbols"),
         let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words_")).alias("n_repeat_words"),
+        repeated_words(F.col("windows_")).alias("n_repeat_words"),
     )
 
 

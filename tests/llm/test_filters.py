@@ -192,6 +192,17 @@ def test_classes_match_brute_force(spark, documents, odd_documents):
         assert counts == [sum(class_of(c) == k for c in text) for k in range(divergence.CLASS_NUMBER)]
 
 
+def test_words_are_split_at_blanks_alone(spark, documents):
+    """Splitting by a regular expression takes twice as long, and distinct windows within a lambda are not compiled."""
+    texts = ["", " ", "\t\n", "a", "  a\t\tb\x0b\x0cc\r\n d  ", "\u00a0 x\u2003y \u0085z \x1c\x1f!", "1 " * 50]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = table.select("text", divergence.words_of(F.col("text")).alias("words")).collect()
+    assert all(r.words == WORD.findall(r.text) for r in found)
+    plan = divergence.measured(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"[\x20\x09-\x0D]+" not in plan and plan.count("split(") == 2
+    assert re.search(r"size\(array_distinct\(windows_#\d+", plan)
+
+
 def test_symbol_junk_is_rejected(spark, documents):
     """Characters that are neither letters, digits nor punctuation are told apart from lower-case letters."""
     rng = random.Random(2)
