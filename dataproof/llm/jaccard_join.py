@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataproof.llm.common import Words64, mix64, numbered, settle, share, shared, text_batches, whole_text
+from dataproof.llm.common import Words64, discard, mix64, numbered, settle, share, shared, text_batches, whole_text
 
 SHINGLE = 3
 PERCENT = 90
@@ -188,55 +188,52 @@ def region_keys(shingles: np.ndarray, percent: int, bounds: list[int]) -> np.nda
     return np.concatenate(out)
 
 
-def _signatures(df: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """``row, doc_id, mark, n, h1, h2`` of every row; ``row`` is a number of its own."""
+def _signatures(df: DataFrame, id_column: str, text: str, percent: int, width: int) -> DataFrame:
+    """``row, doc_id, mark, n, h1, h2, keys`` of every row; ``row`` is a number of its own.
+
+    ``keys`` are the regions of the set, so that texts are cut into shingles once for both; none if a task has met the
+    set before.
+    """
 
     def sign(batches):
-        numbers = Words64()
-        for part, texts in text_batches(batches):
+        numbers, bounds, met = Words64(), ring_bounds(percent), set()
+        for part, texts in text_batches(batches, max_rows=512):
             sets = [shingle_set(value, numbers, width) for value in texts]
             numbers_of = [set_number(found) for found in sets]
+            keys = []
+            for found, name in zip(sets, numbers_of):
+                if name in met:
+                    keys.append(np.zeros(0, dtype=np.uint64))
+                    continue
+                if len(met) >= Words64.limit:
+                    met.clear()
+                met.add(name)
+                keys.append(region_keys(found, percent, bounds))
             columns = [part.column(i) for i in range(3)] + [pa.array(list(map(len, sets)), pa.int64())]
             columns += [pa.array([x[i] for x in numbers_of], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "mark", "n", "h1", "h2"])
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "mark", "n", "h1", "h2", "keys"])
 
     rows = _marked(df, id_column, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "mark", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return settle(rows.mapInArrow(sign, f"row long, doc_id {kind}, mark long, n long, h1 long, h2 long"), "signatures")
+    signed = rows.mapInArrow(sign, f"row long, doc_id {kind}, mark long, n long, h1 long, h2 long, keys array<long>")
+    return settle(signed, "signatures", hashes=True)
 
 
-def _regions(df: DataFrame, nodes: DataFrame, id_column: str, text: str, percent: int, width: int) -> DataFrame:
+def _regions(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``key, node, pivot``: the members of all regions of two nodes or more; the pivot is the first of them.
 
-    Keys come from another pass over the texts, in which a set that a task has met before says nothing. They are
-    shuffled with so many bits of the set's hash only as tell most nodes apart (the rest of 64 would cost more
+    Keys are shuffled with so many bits of the set's hash only as tell most nodes apart (the rest of 64 would cost more
     than all else that is written), and nodes join those that are not alone. If two nodes agree in these bits, both
     join, which adds members but loses none.
     """
     mask = (1 << min(63, nodes.count().bit_length() + 10)) - 1
-
-    def cut(batches):
-        numbers, bounds, met = Words64(), ring_bounds(percent), set()
-        for _, texts in text_batches(batches, max_rows=512):
-            keys, shorts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            for value in texts:
-                found = shingle_set(value, numbers, width)
-                name = set_number(found)
-                if name in met:
-                    continue
-                if len(met) >= Words64.limit:
-                    met.clear()
-                met.add(name)
-                keys.append(region_keys(found, percent, bounds))
-                shorts.append(np.full(len(keys[-1]), name[0] & mask))
-            yield pa.RecordBatch.from_pydict(
-                {"key": pa.array(np.concatenate(keys).astype(np.int64)), "short": pa.array(np.concatenate(shorts))}
-            )
-
-    found = _marked(df, id_column, text).select("text").mapInArrow(cut, "key long, short long")
+    short = F.col("h1").bitwiseAND(F.lit(mask)).alias("short")
+    found = signed.select(F.explode("keys").alias("key"), short)
     shared_by = F.count("*").over(Window.partitionBy("key"))
     found = found.withColumn("times", shared_by).where(F.col("times") > 1).select("key", "short")
-    members = found.join(nodes.select(F.col("h1").bitwiseAND(F.lit(mask)).alias("short"), "node"), "short")
+    members = found.join(nodes.select(short, "node"), "short")
     members = settle(members.select("key", "node").distinct(), "members")
     pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     return settle(members.join(pivots.select("key", "pivot"), "key"), "regions")
@@ -444,10 +441,12 @@ def link_components(
     """
     if not 50 <= percent <= 99:
         raise ValueError("percent lies between 50 and 99")
-    signed = _signatures(df, id_column, text, width)
+    with_keys = _signatures(df, id_column, text, percent, width)
+    signed = settle(with_keys.drop("keys"), "signed")
     nodes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
     nodes = settle(nodes, "nodes")
-    members = _regions(df, nodes, id_column, text, percent, width)
+    members = _regions(with_keys, nodes)
+    discard(with_keys)
 
     candidates = signed.select(F.col("row").alias("node"), "mark", "h1", "h2").join(members.select("node").distinct(), "node")
     sets = _sets(df, settle(candidates, "candidates"), id_column, text, width)

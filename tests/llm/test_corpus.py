@@ -126,6 +126,23 @@ def test_join_of_odd_rows(odd_documents):
     assert jaccard_join.near_duplicates(odd_documents.where("false")).count() == 0
 
 
+def test_texts_are_cut_twice_at_most(monkeypatch, odd_documents):
+    """One pass gives the signatures and the regions of all texts, another the sets of those that share a region."""
+    passes, kept, whole = [], [], type(odd_documents).mapInArrow
+    monkeypatch.setattr(type(odd_documents), "mapInArrow", lambda self, *args, **named: passes.append(args[1]) or whole(self, *args, **named))
+    monkeypatch.setattr(jaccard_join, "discard", lambda table: kept.append(table))
+    assert jaccard_join.near_duplicates(odd_documents).count() == 12
+    assert len(passes) == 2
+    # Regions of a set that a task has met are not written again; sets of few shingles have none.
+    bounds, expected = jaccard_join.ring_bounds(90), {}
+    for r in odd_documents.collect():
+        found = jaccard_join.shingle_set(r.text or "", jaccard_join.Words64())
+        expected[jaccard_join.set_number(found)] = jaccard_join.region_keys(found, 90, bounds).astype(np.int64).tolist()
+    written = [r for table in kept for r in table.collect()]
+    assert len(written) == 12 and all(r["keys"] in ([], expected[r.h1, r.h2]) for r in written)
+    assert {(r.h1, r.h2) for r in written if r["keys"]} == {name for name, keys in expected.items() if keys}
+
+
 def test_one_of_each_group_stays(odd_documents):
     kept = jaccard_join.keep_one(odd_documents.withColumnRenamed("score", "mark"))
     assert kept.columns == ["doc_id", "text", "lang", "mark"]
